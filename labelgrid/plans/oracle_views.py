@@ -95,3 +95,18 @@ def uniform(seed: str, *keys: str) -> str:
 INTENSITY = """inten AS (
   SELECT image_id, y, x, CAST(c AS INT) AS c, CASE c WHEN 0 THEN q WHEN 1 THEN d ELSE t END AS v FROM (
     SELECT image_id, y, x, max(l_quantity) / 50 AS q, max(l_discount) * 10 AS d, max(l_tax) * 12.5e0 AS t FROM px GROUP BY 1, 2, 3), range(3) r(c))"""
+
+MODEL_PREDS = """mp AS (
+  SELECT author AS model_id, image_id, y, x, class_id, max(l_discount * 10) AS v FROM (
+    SELECT *, unnest([CASE WHEN l_linestatus = 'F' THEN 'a0' END, CASE WHEN l_linestatus = 'O' THEN 'a1' END, CASE WHEN l_quantity > 25 THEN 'a2' END]) AS author FROM px)
+  WHERE author IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING max(l_discount * 10) <> 0)"""
+
+WORDS = """words AS (SELECT page_id, box_id, l, t, r, b, replace(text, ' ', '_') AS text FROM gt),
+chars AS (
+  SELECT page_id, box_id, CAST(i AS INT) AS pos, replace(text[i + 1], '_', ' ') AS ch, t, b,
+    CAST(CASE WHEN i > 0 THEN l + (r - l) * i // len(text) ELSE l END AS INT) AS l, CAST(CASE WHEN i < len(text) - 1 THEN l + (r - l) * (i + 1) // len(text) ELSE r END AS INT) AS r
+  FROM (SELECT *, unnest(range(0, len(text))) AS i FROM words))"""
+
+TEXT_PAGES = """tpages AS (SELECT DISTINCT page_id, 2030 AS height, 2100 AS width FROM word_rows)"""
+
+CHARSET = """charset AS (SELECT chr(CAST(c AS INT)) AS ch, CAST(c - 31 AS INT) AS idx FROM range(32, 126) r(c))"""

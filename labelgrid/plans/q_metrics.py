@@ -112,10 +112,11 @@ def weighted_metrics(spark, sf):
 
 
 @query("blank_truth_pages", with_views(O.PAIRS, O.IMAGES) + """
-  SELECT image_id FROM images LEFT JOIN (SELECT image_id, sum(g) AS m FROM pairs WHERE class_id = 2 AND y < 0 GROUP BY 1) USING (image_id) WHERE coalesce(m, 0) = 0""")
+  SELECT image_id FROM images WHERE image_id NOT IN (SELECT image_id FROM px WHERE l_quantity = 50 AND l_discount = 0 AND l_tax = 0.08)""")
 def blank_truth_pages(spark, sf):
-    """Rows above the page hold no truth, so every page is reported."""
-    return M.blank_truth(V.pairs(spark, sf).where("class_id = 2 AND y < 0"), V.images(spark, sf))
+    """Truth = a rare mark: full quantity, no discount, top tax."""
+    marks = V.line_pixels(spark, sf).where("l_quantity = 50 AND l_discount = 0 AND l_tax = 0.08").withColumn("g", F.lit(1e0))
+    return M.blank_truth(marks, V.images(spark, sf))
 
 
 @query("abs_diff_layer", with_views(O.PAIRS) + "SELECT image_id, y, x, class_id, abs(g - p) AS v FROM pairs WHERE g <> p", rounded=["v"])

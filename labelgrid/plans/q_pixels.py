@@ -137,7 +137,7 @@ MASKED = """, m AS (SELECT *, least(1, 255 * sum(g) OVER (PARTITION BY image_id,
 
 @query("masked_losses", with_views(O.PAIRS, O.IMAGES) + MASKED + """
   SELECT sum(g * greatest(0, 0.9 - fg * p) ** 2 + 0.5 * (1 - g) * greatest(0, fg * p - 0.1) ** 2) AS masked_margin, sum((g - fg * p) ** 2) / any_value(n) AS masked_mse FROM m, tot""",
-       rounded=["masked_margin", "masked_mse"])
+       rounded=["masked_margin", "masked_mse"], digits=6)
 def masked_losses(spark, sf):
     return L.masked_losses(V.pairs(spark, sf), V.images(spark, sf))
 

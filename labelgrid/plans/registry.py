@@ -12,20 +12,20 @@ ORACLES: dict[str, str] = {}
 DIGITS = 8
 
 
-def query(name: str, sql: str | None = None, rounded: list[str] = ()):
-    """Register a query; ``rounded`` doubles are cut to eight digits on both sides.
+def query(name: str, sql: str | None = None, rounded: list[str] = (), digits: int = DIGITS):
+    """Register a query; ``rounded`` doubles are cut to ``digits`` digits on both sides.
 
     Engines add doubles in different orders, so the last bits of a sum differ.
     """
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf: str) -> DataFrame:
             out = fn(spark, sf)
-            return out.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) for c in rounded}) if rounded else out
+            return out.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in rounded}) if rounded else out
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            cut = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in rounded)
+            cut = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in rounded)
             ORACLES[name] = f"SELECT * REPLACE ({cut}) FROM ({sql.strip()}) AS q" if rounded else sql.strip()
         return run
 

@@ -179,3 +179,38 @@ def intensity(spark: SparkSession, sf: str) -> DataFrame:
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
     """V3 scores as unnormalised class probabilities."""
     return class_vectors(spark, sf).withColumn("probs", F.transform("scores", lambda s: F.exp(s)))
+
+
+MODELS = AUTHORS
+
+
+def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 annotators as models: score = best discount at the cell, non-zero cells."""
+    who = F.array_compact(F.array(
+        F.when(F.col("l_linestatus") == "F", F.lit("a0")), F.when(F.col("l_linestatus") == "O", F.lit("a1")),
+        F.when(F.col("l_quantity") > 25, F.lit("a2")),
+    ))
+    return line_pixels(spark, sf).select("image_id", "y", "x", "class_id", F.explode(who).alias("model_id"), (F.col("l_discount") * 10).alias("v")).groupBy(
+        "model_id", "image_id", "y", "x", "class_id").agg(F.max("v").alias("v")).where("v <> 0")
+
+
+def model_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers that exist per model: every class of every page it worked on."""
+    return annotations(spark, sf).select(F.col("author").alias("model_id"), "image_id", "class_id").distinct()
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    """V5 boxes with evenly spaced cut offsets between characters."""
+    n, w = F.length("text"), F.col("r") - F.col("l")
+    return gt_boxes(spark, sf).withColumn("text", F.translate("text", " ", "_")).withColumn(
+        "charsegs", F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.floor(w * i / n).cast("int"))).otherwise(F.array().cast("array<int>")))
+
+
+def text_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Extent of each V5 page."""
+    return word_rows(spark, sf).select("page_id").distinct().select("page_id", F.lit(2030).alias("height"), F.lit(2100).alias("width"))
+
+
+def charset(spark: SparkSession) -> DataFrame:
+    """Printable ASCII without the tilde, numbered from 1."""
+    return spark.range(32, 126).select(F.char(F.col("id")).alias("ch"), (F.col("id") - 31).cast("int").alias("idx"))
