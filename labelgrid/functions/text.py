@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIRST_CODE = 65536  # token codes start above the BMP: no surrogates, over a million tokens per pair
 
@@ -25,7 +26,7 @@ def cer(ref: Column, hyp: Column) -> Column:
     return F.when((F.length(ref) == 0) & (F.length(hyp) != 0), F.lit(1e0)).otherwise(rate)
 
 
-@F.pandas_udf("struct<r string, h string>")
+@F.pandas_udf(T.StructType([T.StructField("r", T.StringType()), T.StructField("h", T.StringType())]))
 def token_codes(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Both texts with each distinct token of the pair as one character."""
     def code(words, seen):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from labelgrid.functions.text import cer, token_codes, wer_of_codes
 from labelgrid.operators.banding import lookback_window, row_index
 
+CHUNK = 256
+
 
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """CER of each ``(ref, hyp)`` row.
@@ -34,9 +36,16 @@ def bleu(pairs: DataFrame, keys: list[str], max_n: int = 49) -> DataFrame:
     sides = pairs.repartition(*keys).select(*keys, F.explode(F.array(
         F.struct(F.col("ref").alias("s"), F.lit(1).alias("r"), F.lit(0).alias("h")), F.struct(F.col("hyp").alias("s"), F.lit(0).alias("r"), F.lit(1).alias("h")),
     )).alias("e")).select(*keys, "e.*").where("length(s) > 0")
-    orders = sides.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_n), F.length("s")))))
-    starts = orders.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)))
-    grams = starts.groupBy(*keys, "n", F.substring("s", F.col("i"), F.col("n")).alias("gram")).agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    # long texts are cut into overlapping chunks first: a gram never rescans its text
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / CHUNK).cast("int")), lambda k: F.substring("s", k * CHUNK + 1, F.lit(CHUNK + max_n - 1)))
+    chunks = sides.select(*keys, "r", "h", F.explode(pieces).alias("s"))
+
+    def of_order(n):
+        last = F.least(F.lit(CHUNK), F.length("s") - n + 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(n.alias("n"), F.substring("s", i, n).alias("gram"))))
+
+    every = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.lit(max_n)), of_order)))
+    grams = chunks.select(*keys, "r", "h", F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     hits = grams.groupBy(*keys, "n").agg(F.sum(F.least("r", "h")).alias("hit"))
     lens = pairs.select(*keys, F.length("ref").alias("rl"), F.length("hyp").alias("hl"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
     p = lens.join(hits, [*keys, "n"], "left").withColumn("p", F.coalesce("hit", F.lit(0)) / F.greatest(F.col("hl") - F.col("n") + 1, F.lit(1)))

@@ -82,9 +82,9 @@ FRAMES = f"""frames AS (
   SELECT user_id AS line_id, event_id AS t, CASE WHEN event_type = 'view' THEN 0 ELSE {EVENT_CLASS} + 1 END AS sym FROM events)"""
 
 FILES = """files AS (
-  SELECT path FROM (SELECT unnest(['img' || doc_id || '.jpg', CASE WHEN doc_id % 2 = 0 THEN 'img' || doc_id || '_HW.png' END,
-    CASE WHEN doc_id % 3 = 0 THEN 'img' || doc_id || '_MP.png' END, CASE WHEN doc_id % 10 = 7 THEN 'img' || doc_id || '.png' END,
-    CASE WHEN doc_id % 5 = 1 THEN 'img' || doc_id || '_0.png' END]) AS path FROM documents) WHERE path IS NOT NULL)"""
+  SELECT path FROM (SELECT unnest(['img' || doc_id || 'p.jpg', CASE WHEN doc_id % 2 = 0 THEN 'img' || doc_id || 'p_HW.png' END,
+    CASE WHEN doc_id % 3 = 0 THEN 'img' || doc_id || 'p_MP.png' END, CASE WHEN doc_id % 10 = 7 THEN 'img' || doc_id || 'p.png' END,
+    CASE WHEN doc_id % 5 = 1 THEN 'img' || doc_id || 'p_0.png' END]) AS path FROM documents) WHERE path IS NOT NULL)"""
 
 
 def uniform(seed: str, *keys: str) -> str:

@@ -89,7 +89,7 @@ def uniform_crops(spark, sf):
 
 
 REGIONS = f"""lay AS (SELECT image_id, height, width, CAST(c AS INT) AS class_id, CAST(k AS INT) AS try FROM images, range(3) r(c), range(1, 51) s(k)),
-ctr AS (SELECT *, floor({U('r1-x', 'image_id', 'class_id', 'try')} * width) AS cx, floor({U('r1-y', 'image_id', 'class_id', 'try')} * height) AS cy, 2 + floor({U('r1-size', 'image_id', 'class_id', 'try')} * 7) AS side FROM lay),
+ctr AS (SELECT *, floor({U('r1-x', 'image_id', 'class_id', 'try')} * width) AS cx, floor({U('r1-y', 'image_id', 'class_id', 'try')} * height) AS cy, CAST(2 + floor({U('r1-size', 'image_id', 'class_id', 'try')} * 7) AS INT) AS side FROM lay),
 cand AS (SELECT image_id, class_id, try, CAST(side AS INT) AS side, CAST(greatest(0, cx - side // 2) AS INT) AS l, CAST(greatest(0, cy - side // 2) AS INT) AS t, CAST(least(width, cx + side // 2) AS INT) AS r, CAST(least(height, cy + side // 2) AS INT) AS b FROM ctr),
 cells AS (SELECT DISTINCT image_id, class_id, y, x FROM px),
 rated AS (SELECT k.image_id, k.class_id, try, side, l, t, r, b, count(c.y) AS mass FROM cand k LEFT JOIN cells c ON c.image_id = k.image_id AND c.class_id = k.class_id AND y >= t AND y < b AND x >= l AND x < r GROUP BY ALL),

@@ -83,12 +83,12 @@ py AS (SELECT image_id, y, coalesce(s, 0) / n AS mean, coalesce(s2, 0) / n - (co
 pxx AS (SELECT image_id, x, coalesce(s, 0) / n AS mean, coalesce(s2, 0) / n - (coalesce(s, 0) / n) ** 2 AS variance FROM cols_x LEFT JOIN (SELECT image_id, x, sum(v) AS s, sum(v * v) AS s2 FROM inten WHERE c = 0 GROUP BY 1, 2) USING (image_id, x))"""
 
 
-@query("row_profile", with_views(O.PX, O.IMAGES, O.INTENSITY, PROFILES) + "SELECT image_id, y, mean, variance FROM py", rounded=["mean", "variance"])
+@query("row_profile", with_views(O.PX, O.IMAGES, O.INTENSITY, PROFILES) + "SELECT image_id, y, mean, variance FROM py", rounded=["mean", "variance"], digits=12)
 def row_profile(spark, sf):
     return S.profile(grey(spark, sf), V.images(spark, sf), "y")
 
 
-@query("column_profile", with_views(O.PX, O.IMAGES, O.INTENSITY, PROFILES) + "SELECT image_id, x, mean, variance FROM pxx", rounded=["mean", "variance"])
+@query("column_profile", with_views(O.PX, O.IMAGES, O.INTENSITY, PROFILES) + "SELECT image_id, x, mean, variance FROM pxx", rounded=["mean", "variance"], digits=12)
 def column_profile(spark, sf):
     return S.profile(grey(spark, sf), V.images(spark, sf), "x")
 
@@ -160,8 +160,8 @@ def binarization_scores(spark, sf):
   w0 AS (SELECT dy, dx, 1 / sqrt(dy * dy + dx * dx) AS w FROM {NEAR.format(r=2)} WHERE dy <> 0 OR dx <> 0), w AS (SELECT dy, dx, w / (SELECT sum(w) FROM w0) AS w FROM w0),
   look AS (SELECT image_id, y + dy AS y, x + dx AS x, p, w FROM flip JOIN images USING (image_id), w WHERE g <> p AND y + dy BETWEEN 0 AND height - 1 AND x + dx BETWEEN 0 AND width - 1),
   dist AS (SELECT look.image_id, sum(CASE WHEN CAST(g0.y IS NOT NULL AS INT) <> p THEN w ELSE 0 END) AS s FROM look LEFT JOIN g0 ON g0.image_id = look.image_id AND g0.y = look.y AND g0.x = look.x GROUP BY 1),
-  blk AS (SELECT image_id, count(*) AS blocks FROM (SELECT image_id, y // 8 AS by, x // 8 AS bx, count(*) AS k, any_value(height) AS h, any_value(width) AS wd FROM g0 JOIN images USING (image_id) GROUP BY 1, 2, 3)
-    WHERE k < least(8, h - by * 8) * least(8, wd - bx * 8) GROUP BY 1)
+  blk AS (SELECT image_id, count(*) AS blocks FROM (SELECT image_id, y // 8 AS by_, x // 8 AS bx_, count(*) AS k, any_value(height) AS h, any_value(width) AS wd FROM g0 JOIN images USING (image_id) GROUP BY 1, 2, 3)
+    WHERE k < least(8, h - by_ * 8) * least(8, wd - bx_ * 8) GROUP BY 1)
   SELECT image_id, coalesce(s, 0) AS distortion, coalesce(blocks, 0) AS blocks, coalesce(s, 0) / nullif(coalesce(blocks, 0), 0) AS drd FROM images LEFT JOIN dist USING (image_id) LEFT JOIN blk USING (image_id)""",
        rounded=["distortion", "drd"])
 def drd(spark, sf):

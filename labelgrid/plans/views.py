@@ -159,7 +159,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """V8: a folder listing with suffix layers and bit-indexed labels."""
     d = F.col("doc_id")
-    stem = F.concat(F.lit("img"), d.cast("string"))
+    stem = F.concat(F.lit("img"), d.cast("string"), F.lit("p"))
     names = F.array_compact(F.array(
         F.concat(stem, F.lit(".jpg")), F.when(d % 2 == 0, F.concat(stem, F.lit("_HW.png"))),
         F.when(d % 3 == 0, F.concat(stem, F.lit("_MP.png"))), F.when(d % 10 == 7, F.concat(stem, F.lit(".png"))),
