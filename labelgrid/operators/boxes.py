@@ -49,7 +49,7 @@ def _fold_page(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy one-to-one choice within one page of bounded size."""
     pdf = pdf.sort_values(["iou", "gt_id", "pred_id"], ascending=False)
     gts, preds, keep = set(), set(), []
-    for g, p in zip(pdf["gt_id"], pdf["pred_id"]):
+    for g, p in zip(pdf["gt_id"].tolist(), pdf["pred_id"].tolist()):
         free = g not in gts and p not in preds
         keep.append(free)
         if free:
@@ -58,6 +58,23 @@ def _fold_page(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep]
 
 
+_PAIR = ["page_id", "gt_id", "pred_id", "iou"]
+
+
+def mutual_best(pairs: DataFrame) -> DataFrame:
+    """Pairs that are the best left for both of their boxes."""
+    order = F.max(F.struct("iou", "gt_id", "pred_id")).alias("m")
+    best_gt = pairs.groupBy("page_id", "gt_id").agg(order).select("page_id", "m.*")
+    best_pred = pairs.groupBy("page_id", "pred_id").agg(order).select("page_id", "m.gt_id", "m.pred_id")
+    return best_gt.select(*_PAIR).join(best_pred, ["page_id", "gt_id", "pred_id"])
+
+
+def _without(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs none of whose boxes is taken."""
+    free = pairs.join(chosen.select("page_id", "gt_id"), ["page_id", "gt_id"], "left_anti")
+    return free.join(chosen.select("page_id", "pred_id"), ["page_id", "pred_id"], "left_anti").select(*_PAIR)
+
+
 def match_boxes(pairs: DataFrame, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """Greedy one-to-one matching by IoU; ties go to the later gt, then the later prediction.
 
@@ -65,34 +82,27 @@ def match_boxes(pairs: DataFrame, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     Larger pages are matched in rounds by :func:`match_rounds`, which gives the
     same result without ever holding a page in one place.
     """
-    pairs = cut_lineage(pairs.select("page_id", "gt_id", "pred_id", "iou"))
-    counts = pairs.groupBy("page_id").agg(F.count(F.lit(1)).alias("k"))
-    large = counts.where(F.col("k") > page_pairs).select("page_id")
-    small = pairs.join(large, "page_id", "left_anti").groupBy("page_id").applyInPandas(_fold_page, pairs.schema)
+    pairs = cut_lineage(pairs.select(*_PAIR))
+    large = pairs.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > page_pairs).select("page_id")
     if large.isEmpty():
-        return small
+        return pairs.groupBy("page_id").applyInPandas(_fold_page, pairs.schema)
+    small = pairs.join(large, "page_id", "left_anti").groupBy("page_id").applyInPandas(_fold_page, pairs.schema)
     return small.unionByName(match_rounds(pairs.join(large, "page_id", "left_semi")))
 
 
 def match_rounds(pairs: DataFrame) -> DataFrame:
-    """Greedy matching by repeated mutual-best choice.
+    """Greedy matching by mutual-best rounds.
 
     A pair that is the best left for both of its boxes is what the greedy order
-    would take next for them, whatever happens elsewhere. Every round takes all
-    such pairs and drops their boxes; lineage is cut in the checkpoint folder.
+    takes for them, whatever happens elsewhere. Every round takes all such pairs
+    and drops their boxes; lineage is cut in the checkpoint folder.
     """
-    order = F.struct("iou", "gt_id", "pred_id")
-    left, taken = pairs.select("page_id", "gt_id", "pred_id", "iou"), None
+    left, taken = pairs.select(*_PAIR), None
     while not left.isEmpty():
-        best_gt = left.groupBy("page_id", "gt_id").agg(F.max(order).alias("m")).select("page_id", "m.*")
-        best_pred = left.groupBy("page_id", "pred_id").agg(F.max(order).alias("m")).select("page_id", "m.gt_id", "m.pred_id")
-        chosen = cut_lineage(best_gt.select("page_id", "gt_id", "pred_id", "iou").join(best_pred, ["page_id", "gt_id", "pred_id"]))
+        chosen = cut_lineage(mutual_best(left))
         taken = chosen if taken is None else taken.unionByName(chosen)
-        left = cut_lineage(
-            left.join(chosen.select("page_id", "gt_id"), ["page_id", "gt_id"], "left_anti")
-            .join(chosen.select("page_id", "pred_id"), ["page_id", "pred_id"], "left_anti").select("page_id", "gt_id", "pred_id", "iou")
-        )
-    return taken if taken is not None else pairs.select("page_id", "gt_id", "pred_id", "iou").limit(0)
+        left = cut_lineage(_without(left, chosen))
+    return taken if taken is not None else pairs.select(*_PAIR).limit(0)
 
 
 def unmatched_boxes(boxes: DataFrame, matches: DataFrame, side: str) -> DataFrame:
@@ -143,26 +153,32 @@ def valid_words(words: DataFrame, min_segs: int = 0) -> DataFrame:
     return words.where(ok)
 
 
-def char_boxes(words: DataFrame) -> DataFrame:
+def char_boxes(words: DataFrame, keep: list[str] = ()) -> DataFrame:
     """A box per character from the word box and its cut offsets.
 
     Words whose offsets do not fit their text (``len(segs) != len(text) - 1``)
-    are skipped; ``_`` reads as a blank.
+    are skipped; ``_`` reads as a blank. ``keep`` names columns to carry along.
     """
     fit = words.where(F.size("charsegs") == F.length("text") - 1)
-    chars = fit.select("page_id", "box_id", "l", "t", "r", "b", "charsegs", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
+    chars = fit.select("page_id", "box_id", *keep, "l", "t", "r", "b", "charsegs", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
     cut = lambda i: F.get("charsegs", i)
     return chars.select(
-        "page_id", "box_id", "pos", F.translate("ch", "_", " ").alias("ch"),
+        "page_id", "box_id", *keep, "pos", F.translate("ch", "_", " ").alias("ch"),
         F.when(F.col("pos") > 0, F.col("l") + cut(F.col("pos") - 1)).otherwise(F.col("l")).alias("l"), "t",
         F.coalesce(F.col("l") + cut(F.col("pos")), F.col("r")).alias("r"), "b",
     )
 
 
 def chars_in_region(regions: DataFrame, words: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """Distinct characters covered by each region to at least ``threshold``."""
-    met = box_join(regions.select("page_id", "region_id", "l", "t", "r", "b"), char_boxes(words).select("page_id", "ch", "l", "t", "r", "b"))
-    return met.where(G.coverage(G.box("a_"), G.box("b_")) >= threshold).select("page_id", F.col("a_region_id").alias("region_id"), F.col("b_ch").alias("ch")).distinct()
+    """Distinct characters covered by each region to at least ``threshold``.
+
+    Regions meet whole words first; only words that overlap are taken apart.
+    """
+    met = box_join(regions.select("page_id", "region_id", "l", "t", "r", "b"), words.select("page_id", "box_id", "l", "t", "r", "b", "text", "charsegs"))
+    sides = {f"a_{c}": f"region_{c}" for c in "ltrb"}
+    inside = met.withColumnsRenamed({**sides, "a_region_id": "region_id", **{f"b_{c}": c for c in ("box_id", "l", "t", "r", "b", "text", "charsegs")}})
+    chars = char_boxes(inside, ["region_id", *sides.values()])
+    return chars.where(G.coverage(G.box("region_"), G.box()) >= threshold).select("page_id", "region_id", "ch").distinct()
 
 
 def mean_heights(boxes: DataFrame) -> DataFrame:

@@ -63,8 +63,7 @@ txt AS (SELECT *, translate(substr(ref, 1, 2) || substr(ref, 4), 'e', 'c') AS hy
 
 BOXES = """word_rows AS (
   SELECT l_orderkey // 64 AS page_id,
-    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), CAST(round(l_discount * 100) AS INT), CAST(round(l_tax * 100) AS INT),
-      CAST(round(l_extendedprice * 100) AS BIGINT)) AS box_id,
+    ((((l_orderkey % 64) * 8 + l_linenumber) * 16777216 + l_partkey) * 32768 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS box_id,
     CAST((l_partkey * 37) % 2000 AS INT) AS l, CAST((l_suppkey * 53 + l_linenumber * 97) % 2000 AS INT) AS t, CAST(l_quantity AS INT) AS q,
     CAST(round(l_tax * 100) AS INT) AS sh, p_name AS text, l_discount, l_tax
   FROM lineitem JOIN part ON l_partkey = p_partkey),

@@ -97,7 +97,7 @@ bp AS (SELECT page_id, gt_id, pred_id, CAST(inter AS DOUBLE) / (ag + ap - inter)
 MATCH = """mt AS (
   SELECT page_id, unnest(list_reduce(
     list([{'i': iou, 'g': gt_id, 'p': pred_id}] ORDER BY iou DESC, gt_id DESC, pred_id DESC),
-    lambda a, x: CASE WHEN len(list_filter(a, lambda e: e.g = x[1].g OR e.p = x[1].p)) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS STRUCT(i DOUBLE, g VARCHAR, p VARCHAR)[]))) AS m
+    lambda a, x: CASE WHEN len(list_filter(a, lambda e: e.g = x[1].g OR e.p = x[1].p)) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS STRUCT(i DOUBLE, g BIGINT, p BIGINT)[]))) AS m
   FROM bp GROUP BY 1),
 matches AS (SELECT page_id, m.g AS gt_id, m.p AS pred_id, m.i AS iou FROM mt)"""
 

@@ -104,10 +104,10 @@ def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     left = ((F.col("l_partkey") * 37) % 2000).cast("int")
     top = ((F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % 2000).cast("int")
-    box_id = F.concat_ws(
-        "-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int"),
-        F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-    )
+    # all columns of a line item packed into one number, unique within a page
+    box_id = (F.col("l_orderkey") % ORDERS_PER_TEXT_PAGE) * 8 + F.col("l_linenumber")
+    for part, span in ((F.col("l_partkey"), 1 << 24), (F.col("l_suppkey"), 1 << 15), (F.col("l_quantity"), 64)):
+        box_id = box_id * span + part.cast("bigint")
     return li.select(
         F.floor(F.col("l_orderkey") / ORDERS_PER_TEXT_PAGE).alias("page_id"), box_id.alias("box_id"),
         left.alias("l"), top.alias("t"), (left + 20 + F.col("l_quantity").cast("int")).alias("r"), (top + 30).alias("b"),
