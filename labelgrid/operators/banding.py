@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 BAND = 256
 BLOCK = 1 << 16
 BUCKETS = 1024
+SMALL = 10_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL) -> DataFrame:
+    """Mark a lookup table for broadcast if it is counted to be small; otherwise leave the join to Spark.
+
+    Counting stops at the limit. Meant for class, threshold and character tables.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def attach_image(cells: DataFrame, images: DataFrame, cols: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:

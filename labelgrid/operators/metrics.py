@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import harmonic, ratio, smart_div
 from labelgrid.operators.align import PIXEL
+from labelgrid.operators.banding import small_side
 
 SUMS = ["tp", "gt_mass", "pred_mass", "sq_err", "abs_err", "tpg"]
 EPS = 1e-14
@@ -20,8 +21,7 @@ EPS = 1e-14
 def binarize(pairs: DataFrame, gt_threshold: float | None = None, pred_threshold: float | None = None, class_thresholds: DataFrame | None = None) -> DataFrame:
     """Strictly-greater thresholds on g and p; NULL or 0 leaves the values soft.
 
-    ``class_thresholds (class_id, threshold)`` overrides ``pred_threshold``; it
-    has one row per class, which Spark broadcasts after checking its size.
+    ``class_thresholds (class_id, threshold)`` overrides ``pred_threshold``.
     """
     def cut(col: str, t: Column) -> Column:
         return F.when(t.isNull() | (t <= 0), F.col(col)).otherwise((F.col(col) > t).cast("double"))
@@ -31,7 +31,7 @@ def binarize(pairs: DataFrame, gt_threshold: float | None = None, pred_threshold
         out = pairs.withColumns({"g": cut("g", gt_t), "p": cut("p", F.lit(pred_threshold).cast("double"))})
     else:
         out = (
-            pairs.join(class_thresholds.select("class_id", F.col("threshold").alias("_t")), "class_id", "left")
+            pairs.join(small_side(class_thresholds.select("class_id", F.col("threshold").alias("_t"))), "class_id", "left")
             .withColumns({"g": cut("g", gt_t), "p": cut("p", F.coalesce(F.col("_t"), F.lit(pred_threshold).cast("double")))})
             .select(*pairs.columns)
         )
@@ -124,11 +124,9 @@ def overlap_histogram(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """Pixels by number of ground-truth classes; bucket 0 comes from the page extent."""
     per_pixel = pairs.where("g <> 0").groupBy(*PIXEL).agg(F.sum("g").alias("classes"))
     counts = per_pixel.groupBy("classes").agg(F.count(F.lit(1)).alias("pixels"))
-    page = images.agg(F.sum(F.col("height").cast("bigint") * F.col("width")).alias("pixels"))
-    empty = page.select(F.lit(0e0).alias("classes"), "pixels").unionByName(
-        counts.select(F.lit(0e0).alias("classes"), (-F.col("pixels")).alias("pixels"))
-    )
-    return counts.unionByName(empty).groupBy("classes").agg(F.sum("pixels").alias("pixels"))
+    moved = F.array(*[F.struct(c.alias("classes"), n.alias("pixels")) for c, n in ((F.col("classes"), F.col("pixels")), (F.lit(0e0), -F.col("pixels")))])
+    page = images.agg(F.sum(F.col("height").cast("bigint") * F.col("width")).alias("pixels")).select(F.lit(0e0).alias("classes"), "pixels")
+    return counts.select(F.explode(moved).alias("e")).select("e.*").unionByName(page).groupBy("classes").agg(F.sum("pixels").alias("pixels"))
 
 
 def overlap_share(pairs: DataFrame) -> DataFrame:
@@ -172,7 +170,8 @@ def confusion(pairs: DataFrame, images: DataFrame) -> DataFrame:
 
     The classes of one pixel (at most C) are gathered and multiplied in place;
     products are summed before the second shuffle. Background is clipped per
-    pixel; pixels without any row are background on both sides.
+    pixel. Every page starts as all background on both sides, and each pixel
+    that has rows takes itself out of that count.
     """
     per_pixel = pairs.groupBy(*PIXEL).agg(
         F.collect_list(F.when(F.col("g") != 0, F.struct("class_id", F.col("g").alias("v")))).alias("gs"),
@@ -181,22 +180,16 @@ def confusion(pairs: DataFrame, images: DataFrame) -> DataFrame:
     bg = lambda a: F.struct(
         F.lit(-1).alias("class_id"), F.greatest(1 - F.aggregate(a, F.lit(0e0), lambda s, e: s + e["v"]), F.lit(0e0)).alias("v")
     )
-    full = per_pixel.select(
-        "image_id", F.explode(F.concat("gs", F.array(bg(F.col("gs"))))).alias("g"), F.concat("ps", F.array(bg(F.col("ps")))).alias("ps"),
-    ).select("image_id", "g", F.explode("ps").alias("p"))
-    sums = full.select(
-        "image_id", F.col("g.class_id").alias("gt_class"), F.col("p.class_id").alias("pred_class"), (F.col("g.v") * F.col("p.v")).alias("v"),
-    ).groupBy("image_id", "gt_class", "pred_class").agg(F.sum("v").alias("v"))
-    seen = per_pixel.groupBy("image_id").agg(F.count(F.lit(1)).alias("seen"))
-    unseen = images.join(seen, "image_id", "left").select(
-        "image_id", F.lit(-1).alias("gt_class"), F.lit(-1).alias("pred_class"),
-        (F.col("height").cast("double") * F.col("width") - F.coalesce("seen", F.lit(0))).alias("v"),
-    )
+    entry = lambda g, p, v: F.struct(g.alias("gt_class"), p.alias("pred_class"), v.alias("v"))
+    full = per_pixel.select("image_id", F.concat("gs", F.array(bg(F.col("gs")))).alias("gs"), F.concat("ps", F.array(bg(F.col("ps")))).alias("ps"))
+    products = F.flatten(F.transform("gs", lambda g: F.transform("ps", lambda p: entry(g["class_id"], p["class_id"], g["v"] * p["v"]))))
+    own = F.array(entry(F.lit(-1), F.lit(-1), F.lit(-1e0)))
+    sums = full.select("image_id", F.explode(F.concat(products, own)).alias("e")).select("image_id", "e.*").groupBy("image_id", "gt_class", "pred_class").agg(F.sum("v").alias("v"))
     axis = F.sequence(F.lit(-1), F.col("n_classes") - 1)
-    grid = images.select("image_id", F.explode(axis).alias("gt_class"), axis.alias("_a")).select(
-        "image_id", "gt_class", F.explode("_a").alias("pred_class"), F.lit(0e0).alias("v")
-    )
-    return grid.unionByName(sums).unionByName(unseen).groupBy("image_id", "gt_class", "pred_class").agg(F.sum("v").alias("v"))
+    page = F.when((F.col("gt_class") == -1) & (F.col("pred_class") == -1), F.col("height").cast("double") * F.col("width")).otherwise(0e0)
+    grid = images.select("image_id", "height", "width", F.explode(axis).alias("gt_class"), axis.alias("_a")).withColumn("pred_class", F.explode("_a"))
+    grid = grid.select("image_id", "gt_class", "pred_class", page.alias("v"))
+    return grid.unionByName(sums).groupBy("image_id", "gt_class", "pred_class").agg(F.sum("v").alias("v"))
 
 
 def confusion_total(per_image: DataFrame) -> DataFrame:

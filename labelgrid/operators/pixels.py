@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import uniform
 from labelgrid.operators.align import CELL, PIXEL
-from labelgrid.operators.banding import attach_image
+from labelgrid.operators.banding import attach_image, small_side
 
 # fixed values
 BRIGHTNESS = 0.99
@@ -41,13 +41,13 @@ def threshold_predictions(cells: DataFrame, thresholds: DataFrame | None = None,
     """``v >= t`` becomes 1, all else 0; per-class thresholds with a default."""
     if thresholds is None:
         return cells.where(F.col("v") >= default).withColumn("v", F.lit(1e0))
-    t = thresholds.select("class_id", F.col("threshold").alias("_t"))
+    t = small_side(thresholds.select("class_id", F.col("threshold").alias("_t")))
     return cells.join(t, "class_id", "left").where(F.col("v") >= F.coalesce("_t", F.lit(default))).withColumn("v", F.lit(1e0)).select(*cells.columns)
 
 
 def drop_unseen_classes(cells: DataFrame, summary: DataFrame) -> DataFrame:
     """Move the mass of classes without training pixels to class 0."""
-    seen = summary.where("n_pixels > 0").select("class_id", F.lit(True).alias("_seen"))
+    seen = small_side(summary.where("n_pixels > 0").select("class_id", F.lit(True).alias("_seen")))
     moved = cells.join(seen, "class_id", "left").withColumn("class_id", F.when(F.col("_seen"), F.col("class_id")).otherwise(0))
     return moved.groupBy(*CELL).agg(F.sum("v").alias("v"))
 

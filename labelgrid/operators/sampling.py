@@ -36,9 +36,9 @@ def sample_images(images: DataFrame, n: int, seed: str) -> DataFrame:
 
 
 def with_total(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table, spread over key slots so no task sees all rows."""
+    """Add the columns of a one-row table: its copies for the key slots are ``SLOTS`` rows, whatever the data."""
     spread = one_row.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    return df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(SLOTS)).cast("int")).join(spread, "_slot").drop("_slot")
+    return df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(SLOTS)).cast("int")).join(F.broadcast(spread), "_slot").drop("_slot")
 
 
 def class_probabilities(scores: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelgrid.functions.text import cer, token_codes, wer_of_codes
-from labelgrid.operators.banding import lookback_window, row_index
+from labelgrid.operators.banding import lookback_window, row_index, small_side
 
 CHUNK = 256
 
@@ -58,7 +58,7 @@ def bleu(pairs: DataFrame, keys: list[str], max_n: int = 49) -> DataFrame:
 def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown: str = "drop", pad_to: int | None = None) -> DataFrame:
     """Characters to indices in order; unknown ones dropped, or an error; optional zero padding."""
     chars = texts.select(*keys, F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
-    coded = chars.join(charset, "ch", "left")
+    coded = chars.join(small_side(charset), "ch", "left")
     if unknown == "error":
         idx = F.coalesce("idx", F.raise_error(F.concat(F.lit("character not in charset: "), "ch")).cast("int"))
         coded = coded.withColumn("idx", idx)
@@ -74,7 +74,7 @@ def decode_labels(labels: DataFrame, charset: DataFrame, keys: list[str], raw: b
     """Indices back to text; 0 ends the text, or shows as a dot when ``raw``."""
     stop = F.array_position("labels", 0)
     shown = F.col("labels") if raw else F.when(stop > 0, F.slice("labels", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("labels"))
-    parts = labels.select(*keys, F.posexplode(shown).alias("pos", "idx")).join(charset, "idx", "left")
+    parts = labels.select(*keys, F.posexplode(shown).alias("pos", "idx")).join(small_side(charset), "idx", "left")
     ch = F.when(F.col("idx") == 0, F.lit("⋅")).otherwise(F.col("ch"))
     rows = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", ch.alias("ch")))).alias("a"))
     return labels.select(*keys).join(rows, keys, "left").select(*keys, F.coalesce(F.array_join(F.transform("a", lambda e: e["ch"]), ""), F.lit("")).alias("text"))

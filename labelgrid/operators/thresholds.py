@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import harmonic, smart_div, total
@@ -25,14 +24,12 @@ def threshold_sweep(pairs: DataFrame, steps: int = STEPS, by: list[str] = ("clas
     hist = pairs.groupBy(*by, reached.alias("k")).agg(
         F.sum("g").alias("g"), F.count(F.lit(1)).cast("double").alias("n"),
     )
-    # every threshold gets a row, also those no cell stops at
-    filled = hist.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    hist = filled.join(hist, [*by, "k"], "left").fillna(0e0, ["g", "n"])
-    above = W.partitionBy(*by).orderBy(F.desc("k"))
-    sums = hist.select(
-        *by, "k", F.sum("g").over(above).alias("tp"), F.sum("n").over(above).alias("pred_mass"),
-        F.sum("g").over(W.partitionBy(*by)).alias("gt_mass"),
-    ).where("k > 0")
+    # at most `steps` buckets per class meet in one array; thresholds no cell stops at get a row as well
+    gathered = hist.groupBy(*by).agg(F.collect_list(F.struct("k", "g", "n")).alias("h"))
+    upward = lambda k, m: F.aggregate(F.filter("h", lambda e: e["k"] >= k), F.lit(0e0), lambda a, e: a + e[m])
+    sums = gathered.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select(
+        *by, "k", upward(F.col("k"), "g").alias("tp"), upward(F.col("k"), "n").alias("pred_mass"), upward(F.lit(0), "g").alias("gt_mass"),
+    )
     return sums.select(
         *by, (F.col("k") / F.lit(float(steps))).alias("threshold"), "tp", "pred_mass", "gt_mass",
         smart_div(F.col("tp"), F.col("pred_mass")).alias("precision"), smart_div(F.col("tp"), F.col("gt_mass")).alias("recall"),

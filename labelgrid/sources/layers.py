@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 from labelgrid.sources.listing import LAYER_EXTS, detect_label_format, file_name, stem_of, training_images
 
+MAX_SUFFIXES = 1000
 
-def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """Images of a folder as ``path, height, width, nChannels, data``; undecodable files are left out."""
-    im = spark.read.format("image").option("dropInvalid", True).load(folder)
+
+def decoded(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """Images of a folder as ``path, height, width, nChannels, data``; undecodable files are left out.
+
+    ``glob`` keeps files out of the scan, so they are never decoded.
+    """
+    im = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", glob).load(folder)
     return im.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
@@ -62,14 +67,14 @@ def _image_id(path: str = "path"):
 
 def page_extents(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
     """``images`` table of the training images of a folder."""
-    return training_images(decoded(spark, folder)).select(_image_id().alias("image_id"), "height", "width", F.lit(n_classes).alias("n_classes"))
+    return training_images(decoded(spark, folder, "*.[jJ][pP][gG]")).select(_image_id().alias("image_id"), "height", "width", F.lit(n_classes).alias("n_classes"))
 
 
 def _layer_cells(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """Cells of the first existing file per (image, class); ``wanted (path_name, image_id, class_id, priority)``."""
     files = spark.read.format("binaryFile").load(folder).select(file_name(F.col("path")).alias("path_name"))
     chosen = files.join(wanted, "path_name").groupBy("image_id", "class_id").agg(F.min(F.struct("priority", "path_name")).alias("m")).select("image_id", "class_id", F.col("m.path_name").alias("path_name"))
-    images = decoded(spark, folder).withColumn("path_name", file_name(F.col("path")))
+    images = decoded(spark, folder, "*_*").withColumn("path_name", file_name(F.col("path")))
     picked = images.join(chosen.select("path_name").distinct(), "path_name", "left_semi").drop("path_name")
     pixels = picked.mapInPandas(_grey_pixels, "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
     return pixels.join(chosen, "path_name").select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
@@ -81,7 +86,9 @@ def _names(images: DataFrame, classes: DataFrame, exts: list[str], both_forms: b
     ``classes (suffix, class_id)`` is a short list per folder and becomes one
     array; candidates are spread from the image rows.
     """
-    listed = [(r["suffix"], r["class_id"]) for r in classes.select("suffix", "class_id").collect()]  # one row per class of a folder
+    listed = [(r["suffix"], r["class_id"]) for r in classes.select("suffix", "class_id").limit(MAX_SUFFIXES + 1).collect()]
+    if len(listed) > MAX_SUFFIXES:
+        raise ValueError(f"more than {MAX_SUFFIXES} layer suffixes")
     stem, name = stem_of(F.col("name")), F.col("name")
     options = []
     for suffix, class_id in listed:
@@ -110,7 +117,7 @@ def read_numbered_layers(spark: SparkSession, folder: str, n_classes: int) -> Da
 def read_bit_indexed(spark: SparkSession, folder: str, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
     """``<stem>.png`` whose bits are classes, low byte first; optional ambiguity flag."""
     stems = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(_image_id().alias("image_id"))
-    pngs = decoded(spark, folder).where(F.lower("path").endswith(".png")).withColumn("image_id", _image_id())
+    pngs = decoded(spark, folder, "*.[pP][nN][gG]").withColumn("image_id", _image_id())
     labels = pngs.join(stems, "image_id", "left_semi").drop("image_id")
     masks = labels.mapInPandas(_mask_pixels, "path string, y int, x int, mask int").withColumn("image_id", _image_id())
     flag = F.lit(False) if dont_care_bit is None else F.getbit("mask", F.lit(dont_care_bit)) == 1
@@ -123,7 +130,7 @@ def read_intensity(spark: SparkSession, folder: str, rate: int = 1) -> DataFrame
     """Dense channels of the training images (blue, green, red; grey repeated), area-averaged if ``rate > 1``."""
     from labelgrid.operators.pixels import downsample
 
-    rows = training_images(decoded(spark, folder)).mapInPandas(_channel_pixels, "path string, y int, x int, c int, v double")
+    rows = training_images(decoded(spark, folder, "*.[jJ][pP][gG]")).mapInPandas(_channel_pixels, "path string, y int, x int, c int, v double")
     out = rows.select(_image_id().alias("image_id"), "y", "x", "c", "v")
     return downsample(out, rate) if rate > 1 else out
 
