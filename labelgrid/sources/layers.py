@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from labelgrid.sources.listing import LAYER_EXTS, detect_label_format, file_name, stem_of, training_images
 
 MAX_SUFFIXES = 1000
+STRIP_BYTES = 1 << 15
+OUTPUT_ROWS = 1 << 18
 
 
 def decoded(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -27,38 +29,59 @@ def decoded(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return im.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def _grey(row) -> np.ndarray:
-    px = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
-    if row.nChannels == 1:
-        return px[:, :, 0]
-    b, g, r = (px[:, :, i].astype(np.float64) for i in range(3))
-    return np.rint(0.114 * b + 0.587 * g + 0.299 * r).astype(np.uint8)
+def strips(images: DataFrame) -> DataFrame:
+    """Images cut into runs of pixel rows of at most ``STRIP_BYTES`` (one row if wider).
 
-
-def _grey_pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples():
-            grey = _grey(row)
-            y, x = np.nonzero(grey)
-            yield pd.DataFrame({"path": row.path, "y": y.astype(np.int32), "x": x.astype(np.int32), "grey": grey[y, x].astype(np.int32)})
-
-
-def _mask_pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples():
-            px = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(np.int32)
-            mask = sum(px[:, :, c] << (8 * c) for c in range(min(row.nChannels, 3)))
-            y, x = np.nonzero(mask)
-            yield pd.DataFrame({"path": row.path, "y": y.astype(np.int32), "x": x.astype(np.int32), "mask": mask[y, x]})
-
-
-def _channel_pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples():
-            px = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
-            px = np.repeat(px, 3, axis=2) if row.nChannels == 1 else px[:, :, :3]
-            y, x, c = (a.ravel().astype(np.int32) for a in np.indices(px.shape))
-            yield pd.DataFrame({"path": row.path, "y": y, "x": x, "c": c, "v": px.ravel() / 255.0})
+    The cut happens on the JVM, so the records that cross to Python are small
+    whatever the page size, and a full Arrow batch of them is a few hundred MB.
+    """
+    line = F.col("width") * F.col("nChannels")
+    rows = F.greatest(F.floor(F.lit(STRIP_BYTES) / line), F.lit(1)).cast("int")
+    cut = lambda i: F.struct((i * F.col("_rows")).alias("y0"), F.substring("data", i * F.col("_rows") * line + 1, F.col("_rows") * line).alias("data"))
+    sized = images.where((F.col("height") > 0) & (F.col("width") > 0)).withColumn("_rows", rows)
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("height") / F.col("_rows")).cast("int") - 1), cut)
+    return sized.select("path", "width", "nChannels", F.explode(parts).alias("s")).select("path", "width", "nChannels", "s.y0", "s.data")
+
+
+def _per_strip(pixels: Callable[[np.ndarray], dict[str, np.ndarray]]):
+    """Run ``pixels`` on the array of each strip and hand rows on in pieces of bounded size."""
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, size = [], 0
+        for pdf in batches:
+            for path, width, channels, y0, data in zip(pdf["path"], pdf["width"], pdf["nChannels"], pdf["y0"], pdf["data"]):
+                out = pixels(np.frombuffer(data, np.uint8).reshape(-1, width, channels))
+                out["y"] = out["y"] + y0
+                ready.append(pd.DataFrame({"path": path, **{k: v if v.dtype.kind == "f" else v.astype(np.int32) for k, v in out.items()}}))
+                size += len(ready[-1])
+                if size >= OUTPUT_ROWS:
+                    yield pd.concat(ready)
+                    ready, size = [], 0
+        if ready:
+            yield pd.concat(ready)
+
+    return convert
+
+
+def _grey_pixels(px: np.ndarray) -> dict[str, np.ndarray]:
+    if px.shape[2] == 1:
+        grey = px[:, :, 0]
+    else:
+        b, g, r = (px[:, :, i].astype(np.float64) for i in range(3))
+        grey = np.rint(0.114 * b + 0.587 * g + 0.299 * r).astype(np.uint8)
+    y, x = np.nonzero(grey)
+    return {"y": y, "x": x, "grey": grey[y, x]}
+
+
+def _mask_pixels(px: np.ndarray) -> dict[str, np.ndarray]:
+    mask = sum(px[:, :, c].astype(np.int32) << (8 * c) for c in range(min(px.shape[2], 3)))
+    y, x = np.nonzero(mask)
+    return {"y": y, "x": x, "mask": mask[y, x]}
+
+
+def _channel_pixels(px: np.ndarray) -> dict[str, np.ndarray]:
+    px = np.repeat(px, 3, axis=2) if px.shape[2] == 1 else px[:, :, :3]
+    y, x, c = (a.ravel() for a in np.indices(px.shape))
+    return {"y": y, "x": x, "c": c, "v": px.ravel() / 255.0}
 
 
 def _image_id(path: str = "path"):
@@ -76,7 +99,7 @@ def _layer_cells(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
     chosen = files.join(wanted, "path_name").groupBy("image_id", "class_id").agg(F.min(F.struct("priority", "path_name")).alias("m")).select("image_id", "class_id", F.col("m.path_name").alias("path_name"))
     images = decoded(spark, folder, "*_*").withColumn("path_name", file_name(F.col("path")))
     picked = images.join(chosen.select("path_name").distinct(), "path_name", "left_semi").drop("path_name")
-    pixels = picked.mapInPandas(_grey_pixels, "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
+    pixels = strips(picked).mapInPandas(_per_strip(_grey_pixels), "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
     return pixels.join(chosen, "path_name").select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
 
 
@@ -119,7 +142,7 @@ def read_bit_indexed(spark: SparkSession, folder: str, n_classes: int, dont_care
     stems = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(_image_id().alias("image_id"))
     pngs = decoded(spark, folder, "*.[pP][nN][gG]").withColumn("image_id", _image_id())
     labels = pngs.join(stems, "image_id", "left_semi").drop("image_id")
-    masks = labels.mapInPandas(_mask_pixels, "path string, y int, x int, mask int").withColumn("image_id", _image_id())
+    masks = strips(labels).mapInPandas(_per_strip(_mask_pixels), "path string, y int, x int, mask int").withColumn("image_id", _image_id())
     flag = F.lit(False) if dont_care_bit is None else F.getbit("mask", F.lit(dont_care_bit)) == 1
     return masks.select("image_id", "y", "x", flag.alias("dont_care"), "mask", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_id")).where(
         F.getbit("mask", F.col("class_id")) == 1
@@ -130,7 +153,7 @@ def read_intensity(spark: SparkSession, folder: str, rate: int = 1) -> DataFrame
     """Dense channels of the training images (blue, green, red; grey repeated), area-averaged if ``rate > 1``."""
     from labelgrid.operators.pixels import downsample
 
-    rows = training_images(decoded(spark, folder, "*.[jJ][pP][gG]")).mapInPandas(_channel_pixels, "path string, y int, x int, c int, v double")
+    rows = strips(training_images(decoded(spark, folder, "*.[jJ][pP][gG]"))).mapInPandas(_per_strip(_channel_pixels), "path string, y int, x int, c int, v double")
     out = rows.select(_image_id().alias("image_id"), "y", "x", "c", "v")
     return downsample(out, rate) if rate > 1 else out
 

@@ -71,6 +71,18 @@ def test_intensity_is_blue_green_red(spark, folder):
     assert half["v"] == pytest.approx(0.25)
 
 
+def test_large_pages_travel_in_strips(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    page = rng.integers(0, 2, (300, 500, 3)).astype(np.uint8) * 255
+    png(tmp_path / "big.jpg", page)
+    pieces = L.strips(L.decoded(spark, str(tmp_path)))
+    assert pieces.agg(F.max(F.length("data"))).first()[0] <= L.STRIP_BYTES and pieces.count() == 15
+    out = np.zeros((300, 500, 3))
+    for r in L.read_intensity(spark, str(tmp_path)).toPandas().itertuples():
+        out[r.y, r.x, r.c] = r.v
+    assert np.array_equal(out, page[:, :, ::-1] / 255.0)
+
+
 def test_custom_reader(spark, folder):
     L.register_reader("none", lambda spark, folder, classes, n: spark.createDataFrame([], "image_id string, y int, x int, class_id int, v double"))
     assert L.read_labels(spark, str(folder), None, 1, reader="none").count() == 0
