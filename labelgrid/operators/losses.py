@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import ratio
-from labelgrid.operators.align import PIXEL
+from labelgrid.operators.align import PIXEL, align
 from labelgrid.operators.banding import attach_image, merge_rows
 from labelgrid.operators.metrics import image_class_grid
+from labelgrid.operators.stencil import gaussian_smooth
 
 # fixed values: margins, class weights and epsilons of the loss definitions
 MARGIN_PLUS, MARGIN_NEG, LAMBDA = 0.9, 0.1, 0.5
@@ -71,6 +72,11 @@ def continuous_f_loss(pairs: DataFrame, images: DataFrame, weights: list[float]
     return per_class.agg((F.sum(F.col("w") * F.col("loss")) / F.sum("w")).alias("loss"))
 
 
+def blurred_f_loss(gt: DataFrame, pred: DataFrame, images: DataFrame, sigma: float = 5.0, weights: list[float] | None = None) -> DataFrame:
+    """:func:`continuous_f_loss` of both sides after the same Gaussian blur."""
+    return continuous_f_loss(align(gaussian_smooth(gt, images, sigma), gaussian_smooth(pred, images, sigma)), images, weights)
+
+
 def margin_map(g: Column, p: Column, floor: float = 0.1, gap: float = 0.9) -> Column:
     """Squared margin of one cell; empty cells contribute 0."""
     miss = F.greatest(floor * g, MARGIN_PLUS - p)

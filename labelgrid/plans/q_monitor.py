@@ -14,7 +14,7 @@ ROLL = [f"{m}_{s}" for m in M.METRICS for s in ("mean", "std")]
 
 @query("rolling_metrics", with_views(O.RUNS) + "SELECT run_id, class_id, step, " + ", ".join(
     f"{f}({m}) OVER w AS {m}_{s}" for m in M.METRICS for s, f in (("mean", "avg"), ("std", "stddev_pop"))
-) + " FROM runs WINDOW w AS (PARTITION BY run_id, class_id ORDER BY step ROWS 9 PRECEDING)", rounded=ROLL, digits=12)
+) + " FROM runs WINDOW w AS (PARTITION BY run_id, class_id ORDER BY step ROWS 9 PRECEDING)", rounded=ROLL, digits=11)
 def rolling_metrics(spark, sf):
     return M.rolling_metrics(V.run_metrics(spark, sf))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelgrid.operators import align as A
 from labelgrid.plans import oracle_views as O
 from labelgrid.plans import views as V
 from labelgrid.plans.registry import query, with_views
@@ -95,12 +96,21 @@ def layer_values(spark, sf):
 
 
 @query("run_history_json", """
-  SELECT 'u' || user_id AS run_id, len(list(value)) AS steps, list(value ORDER BY event_id)[1] AS first_loss, list(value ORDER BY event_id)[-1] AS last_loss FROM events GROUP BY 1""", rounded=["first_loss", "last_loss"])
+  SELECT 'u' || user_id AS run_id, event_id // 1000 AS part, count(*) AS steps, list(value ORDER BY event_id)[1] AS first_loss, list(value ORDER BY event_id)[-1] AS last_loss FROM events GROUP BY 1, 2""", rounded=["first_loss", "last_loss"])
 def run_history_json(spark, sf):
-    """A run per user; the JSON lists are read back."""
+    """A run per user, a document per 1000 steps; the JSON lists are read back."""
     history = V.table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     losses = F.from_json("value", "loss array<double>")["loss"]
-    return K.history_json(history, ["loss"]).select("run_id", F.size(losses).cast("bigint").alias("steps"), losses[0].alias("first_loss"), F.element_at(losses, -1).alias("last_loss"))
+    return K.history_json(history, ["loss"], 1000).select("run_id", "part", F.size(losses).cast("bigint").alias("steps"), losses[0].alias("first_loss"), F.element_at(losses, -1).alias("last_loss"))
+
+
+@query("folder_pairs", with_views(O.FILES) + """
+  SELECT regexp_replace(p.path, '\\.png$', '') AS stem, p.path AS gt_path, j.path AS pred_path FROM files p JOIN files j ON p.path LIKE '%.png' AND j.path LIKE '%.jpg'
+    AND regexp_replace(p.path, '\\.png$', '') = regexp_replace(j.path, '\\.jpg$', '')""")
+def folder_pairs(spark, sf):
+    """Bit-indexed labels and images of the same stem."""
+    files = V.files(spark, sf)
+    return A.pair_folders(files.where(F.col("path").endswith(".png")), files.where(F.col("path").endswith(".jpg")))
 
 
 @query("clean_transcripts", """

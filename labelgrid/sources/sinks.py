@@ -45,13 +45,21 @@ def write_transcript(pages: DataFrame, path: str) -> None:
     pages.select("page_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page_id").text(path)
 
 
-def history_json(history: DataFrame, metrics: list[str]) -> DataFrame:
-    """Each metric of a run as one list in step order."""
+PART_STEPS = 100_000
+
+
+def history_json(history: DataFrame, metrics: list[str], part_steps: int = PART_STEPS) -> DataFrame:
+    """Each metric of a run as one list in step order.
+
+    A run longer than ``part_steps`` steps gives several documents, numbered by
+    ``part``, so no task ever holds more than one part of it.
+    """
     row = F.struct("step", *metrics)
-    lists = history.groupBy("run_id").agg(F.sort_array(F.collect_list(row)).alias("h"))
+    part = F.floor(F.col("step") / part_steps).alias("part")
+    lists = history.groupBy("run_id", part).agg(F.sort_array(F.collect_list(row)).alias("h"))
     pick = lambda m: F.transform("h", lambda e: e[m]).alias(m)
-    return lists.select("run_id", F.to_json(F.struct(*[pick(m) for m in metrics])).alias("value"))
+    return lists.select("run_id", "part", F.to_json(F.struct(*[pick(m) for m in metrics])).alias("value"))
 
 
 def write_run_history(history: DataFrame, metrics: list[str], path: str) -> None:
-    history_json(history, metrics).write.mode("overwrite").partitionBy("run_id").text(path)
+    history_json(history, metrics).write.mode("overwrite").partitionBy("run_id", "part").text(path)

@@ -1,7 +1,9 @@
 """Run monitoring on streams of validation rows.
 
 State per key is a handful of numbers (the last nine values, the best score,
-the last losses), whatever the length of a run.
+the last losses), whatever the length of a run. The rows of one key in one
+micro-batch are ordered by step in memory: bound them with the source's trigger
+limits (``maxFilesPerTrigger`` and the like).
 """
 
 from __future__ import annotations

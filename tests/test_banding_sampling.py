@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from labelgrid.operators import banding as D
 from labelgrid.operators import monitor as M
 from labelgrid.operators import sampling as S
-from labelgrid.operators.align import crop
+from labelgrid.operators.align import crop, union_splits
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +142,28 @@ def test_subwords_and_mix(spark):
         assert r["text"] == "abcd"[r["start"]:r["end"]] and (r["l"], r["r"]) == (100 + 10 * r["start"], 100 + 10 * r["end"])
     shares = spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 0.25)], "class_id int, share double")
     assert [(r["first"], r["last"]) for r in S.batch_mix(shares, 8).orderBy("class_id").collect()] == [(0, 4), (4, 6), (6, 8)]
+
+
+def test_region_cells_are_rescaled(spark):
+    a = np.zeros((20, 20, 1))
+    a[4:8, 4:8, 0] = 1
+    regions = spark.createDataFrame([("i", 0, 4, 4, 12, 12, 8)], "image_id string, class_id int, l int, t int, r int, b int, side int")
+    got = S.region_cells(regions, cells(spark, a), 4).collect()
+    assert sorted((r["y"], r["x"]) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_first_varied_crop(spark):
+    a = np.ones((8, 8, 1))
+    a[6, 6, 0] = 0.5
+    inten = cells(spark, a).drop("class_id")
+    tries = spark.createDataFrame([("s", 1, "i", 0, 0, 2), ("s", 2, "i", 6, 6, 2), ("s", 3, "i", 5, 5, 2), ("f", 1, "i", 0, 0, 2), ("f", 2, "i", 1, 1, 2)], "sample_id string, try int, image_id string, left int, top int, size int")
+    got = {r["sample_id"]: (r["try"], r["varied"]) for r in S.first_varied_crop(tries, inten).collect()}
+    assert got == {"s": (2, True), "f": (2, False)}
+
+
+def test_union_splits_and_mix(spark):
+    a, b = spark.createDataFrame([(1,)], "sample_id long"), spark.createDataFrame([(2,)], "sample_id long")
+    assert {(r["split"], r["sample_id"]) for r in union_splits({"a": a, "b": b}).collect()} == {("a", 1), ("b", 2)}
+    n = spark.range(1000).withColumnRenamed("id", "sample_id")
+    mixed = S.mix_samplers(n.withColumn("s", F.lit(0)), n.withColumn("s", F.lit(1)), 0.3, "m").collect()
+    assert len(mixed) == 1000 and 220 < sum(r["s"] == 0 for r in mixed) < 380

@@ -179,6 +179,8 @@ def test_sinks(spark, tmp_path):
     hist = spark.createDataFrame([("r", 2, 0.5), ("r", 1, 0.25)], "run_id string, step int, loss double")
     K.write_run_history(hist, ["loss"], str(tmp_path / "hist"))
     assert json.loads(spark.read.text(str(tmp_path / "hist")).first()["value"]) == {"loss": [0.25, 0.5]}
+    parts = {r["part"]: json.loads(r["value"])["loss"] for r in K.history_json(hist, ["loss"], part_steps=2).collect()}
+    assert parts == {0: [0.25], 1: [0.5]}
     K.write_transcript(spark.createDataFrame([("p", "a b")], "page_id string, text string"), str(tmp_path / "tr"))
     assert spark.read.text(str(tmp_path / "tr")).first()["value"] == "a b"
     assert K.layer_values(df).agg(F.max("grey")).first()[0] == 255
