@@ -55,8 +55,13 @@ def bleu(pairs: DataFrame, keys: list[str], max_n: int = 49) -> DataFrame:
     return p.select(*keys, "n", score.alias("bleu"))
 
 
-def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown: str = "drop", pad_to: int | None = None) -> DataFrame:
-    """Characters to indices in order; unknown ones dropped, or an error; optional zero padding."""
+def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown: str = "drop", pad_to: int | str | None = None) -> DataFrame:
+    """Characters to indices in order; unknown ones dropped, or an error.
+
+    Zeros pad to ``pad_to`` characters, or to the ``"longest"`` text.
+    """
+    if pad_to == "longest":
+        pad_to = texts.agg(F.max(F.length("text"))).first()[0] or 0
     chars = texts.select(*keys, F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
     coded = chars.join(small_side(charset), "ch", "left")
     if unknown == "error":

@@ -51,7 +51,7 @@ def missing_classes(spark, sf):
 @query("binary_check", with_views(O.PAIRS) + """,
   vals AS (SELECT DISTINCT image_id, class_id, CAST(round(p * 255) AS INT) AS v FROM pairs)
   SELECT image_id, class_id, count(*) AS n_values, list_sort(list(v)) AS grey_values FROM vals GROUP BY 1, 2
-  HAVING count(*) > 2 OR NOT bool_or(v IN (0, 255))""")
+  HAVING count(*) > 2 OR NOT bool_or(v IN (0, 255))""", lists=["grey_values"])
 def binary_check(spark, sf):
     layers = V.pairs(spark, sf).select("image_id", "class_id", F.round(F.col("p") * 255).alias("v"))
     return C.verify_binary(layers, ["image_id", "class_id"])
@@ -110,7 +110,7 @@ def bitmask_decode(spark, sf):
 
 @query("mask_codecs", with_views(O.PX, MASKS) + """
   SELECT image_id, y, x, [CAST(mask & 1 AS INT), CAST((mask >> 1) & 1 AS INT), CAST((mask >> 2) & 1 AS INT)] AS multihot,
-    CAST(floor(log2(mask * 2)) AS INT) AS top_class, CAST(mask * 65 & 255 AS INT) AS b0, CAST((mask * 65) >> 8 & 255 AS INT) AS b1, CAST((mask * 65) >> 16 & 255 AS INT) AS b2 FROM masks""")
+    CAST(floor(log2(mask * 2)) AS INT) AS top_class, CAST(mask * 65 & 255 AS INT) AS b0, CAST((mask * 65) >> 8 & 255 AS INT) AS b1, CAST((mask * 65) >> 16 & 255 AS INT) AS b2 FROM masks""", lists=["multihot"])
 def mask_codecs(spark, sf):
     """Multi-hot, enum and byte forms of each mask (bytes of the mask set twice, 6 bits apart)."""
     m = P.cells_to_bitmask(V.gt_cells(spark, sf))
@@ -123,7 +123,7 @@ def mask_codecs(spark, sf):
 @query("enum_codecs", with_views(O.VECTORS) + """
   SELECT vec_id, list_position(scores, list_max(scores)) - 1 AS argmax, list_transform(range(0, 10), lambda k: CAST(k = label AS INT)) AS onehot,
     list_transform(range(0, 9), lambda k: CAST(k = greatest(label - 1, 0) AS INT)) AS onehot_fg, list_transform(range(0, 9), lambda k: CAST(k + 1 = label AS INT)) AS multihot_fg,
-    CASE WHEN label > 0 THEN 1 << (label - 1) ELSE 0 END AS mask FROM vec""")
+    CASE WHEN label > 0 THEN 1 << (label - 1) ELSE 0 END AS mask FROM vec""", lists=["onehot", "onehot_fg", "multihot_fg"])
 def enum_codecs(spark, sf):
     label = F.col("label")
     return V.class_vectors(spark, sf).select(

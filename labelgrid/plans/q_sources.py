@@ -57,7 +57,7 @@ def ocr_symbols(spark, sf):
 
 
 @query("ocr_simple_boxes", with_views(O.BOXES) + """
-  SELECT page_id, count(*) AS boxes, sum(l) AS sl, sum(t) AS st, sum(r) AS sr, sum(b) AS sb, (count(*) - 1) / 2e0 AS rank_sum FROM pred GROUP BY 1""", rounded=["rank_sum"])
+  SELECT page_id, count(*) AS boxes, CAST(sum(l) AS BIGINT) AS sl, CAST(sum(t) AS BIGINT) AS st, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(b) AS BIGINT) AS sb, (count(*) - 1) / 2e0 AS rank_sum FROM pred GROUP BY 1""", rounded=["rank_sum"])
 def ocr_simple_boxes(spark, sf):
     return R.simple_boxes(responses(spark, sf)).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("boxes"), *[F.sum(c).alias(f"s{c}") for c in "ltrb"], F.sum("rank").alias("rank_sum"))

@@ -47,7 +47,7 @@ def bleu(spark, sf):
 @query("encode_labels", with_views(O.TEXT, O.CHARSET) + """
   SELECT doc_id, line_no, coalesce(labels, []) AS labels FROM txt LEFT JOIN (
     SELECT doc_id, line_no, list(idx ORDER BY i) AS labels FROM (SELECT doc_id, line_no, unnest(range(1, len(ref) + 1)) AS i, ref FROM txt) JOIN charset ON ch = ref[i] GROUP BY 1, 2)
-  USING (doc_id, line_no)""")
+  USING (doc_id, line_no)""", lists=["labels"])
 def encode_labels(spark, sf):
     lines = V.text_lines(spark, sf).select("doc_id", "line_no", F.col("ref").alias("text"))
     return T.encode_labels(lines, V.charset(spark), ["doc_id", "line_no"])
@@ -64,7 +64,7 @@ def decode_labels(spark, sf):
 
 @query("labels_to_frames", with_views(O.VECTORS) + """,
   fr AS (SELECT vec_id, CAST(pos AS INT) AS pos, CASE WHEN pos % 2 = 0 THEN 10 WHEN pos = 1 THEN CASE label WHEN 0 THEN 10 ELSE label - 1 END ELSE label END AS hot FROM vec, range(0, 5) r(pos))
-  SELECT vec_id, pos, list_transform(range(0, 11), lambda i: CAST(i = hot AS INT)) AS frame FROM fr""")
+  SELECT vec_id, pos, list_transform(range(0, 11), lambda i: CAST(i = hot AS INT)) AS frame FROM fr""", lists=["frame"])
 def labels_to_frames_query(spark, sf):
     """Two labels per row with single blank rows around them."""
     rows = labels_to_frames(F.array("label", F.col("label") + 1), 10, 1)

@@ -60,6 +60,7 @@ def test_label_codecs(spark):
     assert {r["k"]: r["labels"] for r in enc.collect()} == {0: [1, 2, 1, 0, 0], 1: [0] * 5}
     assert {r["k"]: r["text"] for r in T.decode_labels(enc, chars, ["k"]).collect()} == {0: "aba", 1: ""}
     assert {r["k"]: r["text"] for r in T.decode_labels(enc, chars, ["k"], raw=True).collect()} == {0: "aba⋅⋅", 1: "⋅⋅⋅⋅⋅"}
+    assert {len(r["labels"]) for r in T.encode_labels(texts, chars, ["k"], pad_to="longest").collect()} == {4}
     with pytest.raises(Exception, match="not in charset"):
         T.encode_labels(texts, chars, ["k"], unknown="error").collect()
 
