@@ -57,7 +57,7 @@ class Encoder:
     piece if neither form agrees, goes through the full encoding.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

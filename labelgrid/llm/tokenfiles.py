@@ -33,7 +33,7 @@ MAGIC = b"LGTOKEN1"
 HEADER = "<8s5q"
 END_ID = 2
 SHARD_IDS = 1 << 22
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 14
 GAMMA = 2.0
 
