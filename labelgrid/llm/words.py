@@ -84,9 +84,9 @@ def pieces(batches, column: str, most: int) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and each row's first word (rows + 1 entries)."""
-    inside = ~SPACE[data]
+    inside = ~separators[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     after = np.ones(len(data), bool)  # the byte before is a space or belongs to another row
