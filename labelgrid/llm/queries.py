@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelgrid.llm import decontam, neighbours, packing, pii, quality, tokenfiles, toxicity
+from labelgrid.llm import decontam, htmltext, neighbours, packing, pii, quality, tokenfiles, toxicity
 from labelgrid.llm.shared import table
 
 
@@ -28,6 +28,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.digest(htmltext.extract(pages, htmltext.fit(pages)))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -41,5 +46,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posterior(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op8_neighbours, op9_token_files, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op7_main_text, op8_neighbours, op9_token_files, op10_quality)}
 ORACLES: dict[str, str] = {}
