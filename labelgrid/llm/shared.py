@@ -20,10 +20,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write serve nobody: with this setting Spark removes them at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the schema is passed on, so empty tables work too."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
