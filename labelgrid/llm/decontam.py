@@ -7,7 +7,7 @@ slots are checked: whatever stands in the item's placeholders must go over to th
 becoming the same filler. So a question asked again with other numbers or names is caught, and a chance mixture of windows is not.
 
 Document windows that cannot occur in the benchmark are dropped where they are read, by a bitmap of the benchmark's window hashes whose size
-is bounded (``MAX_BITS``): a larger benchmark only lets more windows through to the join, which decides. Each benchmark window is repeated
+is bounded: a larger benchmark only lets more windows through to the join, which decides. Each benchmark window is repeated
 ``SALTS`` times, so that a passage found in very many documents is spread over tasks.
 """
 
@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import saved
+from labelgrid.llm.shared import bit_filter, passes, saved
 from labelgrid.llm.words import LOWER, U64, Runs, flat, pieces, windows, word_hashes, word_spans
 
 WINDOW = 8
 PLAIN_WORDS = 4
 COVERAGE = 0.5
 SALTS = 16
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 SLICE_BYTES = 4 << 20
 
 # Words that count as numbers, and as units.
@@ -103,18 +102,6 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.mapInArrow(rows, "item_id long, item_pos long, window long, item_slots array<long>, item_windows long")
 
 
-def bitmap(found: DataFrame) -> np.ndarray:
-    """Which values of ``window`` modulo the number of bits occur; at most MAX_BITS bits, whatever the benchmark."""
-    bits = int(min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, found.count()) - 1).bit_length())))
-    slot = F.pmod(F.col("window"), F.lit(bits)) + 1
-    parts = found.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for part, some in parts.collect():
-        low = (part - 1) * 4096
-        out[low : low + 4096] |= np.frombuffer(some, np.uint8)[: len(out) - low]
-    return out
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_md5, item_id, matched and item_windows, coverage, same_words: each document that holds enough of a benchmark item.
 
@@ -124,14 +111,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     """
     spark = docs.sparkSession
     items = saved(benchmark_windows(benchmark, size), "items")
-    filter_bits = spark.sparkContext.broadcast(bitmap(items))
+    filter_bits = spark.sparkContext.broadcast(bit_filter(items.select(F.col("window").alias("h"))))
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         have = filter_bits.value
         for batch in pieces(batches, "text", SLICE_BYTES):
             at, hashes, of, (values, filler, firsts) = template_windows(batch.column("text"), size)
-            slot = (hashes % (8 * len(have))).astype(np.int64)
-            hit = have[slot >> 3] >> (slot & 7) & 1 == 1
+            hit = passes(have, hashes)
             at, hashes, of = at[hit], hashes[hit], of[hit]
             texts = batch.column("text")
             keys = {int(i): hashlib.md5(texts[int(i)].as_py().encode()).hexdigest() for i in np.unique(of)}

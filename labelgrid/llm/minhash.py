@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import saved
+from labelgrid.llm.shared import bit_filter, passes, saved
 from labelgrid.llm.words import BASES, U64, Runs, flat, mix, pieces, windows, word_hashes, word_spans
 
 SHINGLE = 5
@@ -260,32 +260,19 @@ def rest_pairs(forest: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFr
     return meets.groupBy("region", "i", "j").applyInPandas(compare, "a long, b long, share float").groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of bounded size that holds every node of ``nodes``; others may be let through and are sorted out by a join."""
-    bits = int(min(1 << 27, max(1 << 18, 1 << (16 * max(1, nodes.count()) - 1).bit_length())))
-    slot = F.pmod(F.xxhash64("node"), F.lit(bits)) + 1
-    parts = nodes.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for part, some in parts.collect():
-        low = (part - 1) * 4096
-        out[low : low + 4096] |= np.frombuffer(some, np.uint8)[: len(out) - low]
-    return out
-
-
 def set_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and hashes (sorted) of the given nodes, from their texts."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(F.xxhash64("node").alias("h"))))
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         have = bitmap.value
         for batch in batches:
-            slot = batch.column("slot").to_numpy() % (8 * len(have))
-            some = batch.filter(pa.array(have[slot >> 3] >> (slot & 7) & 1 == 1))
+            some = batch.filter(pa.array(passes(have, batch.column("h").to_numpy())))
             for part in pieces([some], "text", SLICE_BYTES):
                 hashes, bounds = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "hashes"])
 
-    slotted = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("slot"))
+    slotted = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     found = slotted.mapInArrow(rows, "node long, hashes binary")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.max("hashes").alias("hashes"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelgrid.llm import decontam, htmltext, minhash, neighbours, packing, pii, quality, tokenfiles, toxicity
+from labelgrid.llm import decontam, htmltext, minhash, neighbours, packing, pii, quality, substrings, tokenfiles, toxicity
 from labelgrid.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posterior(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op6_near_duplicates, op7_main_text, op8_neighbours, op9_token_files, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op5_substrings, op6_near_duplicates, op7_main_text, op8_neighbours, op9_token_files, op10_quality)}
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +43,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+MIN_BITS, MAX_BITS = 1 << 18, 1 << 27
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of at most MAX_BITS bits in which every ``h`` of ``hashes`` is marked, for dropping early what a later join would drop.
+
+    It errs to one side only: what is in ``hashes`` always passes, so more rows than the bitmap was made for cost time, not results.
+    """
+    bits = int(min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, hashes.count()) - 1).bit_length())))
+    slot = F.pmod(F.col("h"), F.lit(bits)) + 1
+    parts = hashes.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for part, some in parts.collect():
+        low = (part - 1) * 4096
+        out[low : low + 4096] |= np.frombuffer(some, np.uint8)[: len(out) - low]
+    return out
+
+
+def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.astype(np.int64, copy=False) % (8 * len(bitmap))
+    return bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
