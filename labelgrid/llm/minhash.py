@@ -331,6 +331,10 @@ def settle(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component, with all their columns. Of rows that repeat a kept doc_id one stays."""
-    found = near_duplicates(docs)
-    kept = saved(found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    kept = saved(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    own = lambda ids: docs.join(ids.select("__kept"), docs["doc_id"].cast("long") == F.col("__kept"), "left_semi")
+    once = own(kept.where("__rows = 1"))
+    again = kept.where("__rows > 1")
+    if not again.isEmpty():  # only repeated ids are shuffled a second time
+        once = once.unionByName(own(again).dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.where("doc_id IS NULL"))
