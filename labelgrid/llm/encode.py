@@ -10,9 +10,10 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from labelgrid.llm.words import SPACE, flat, ragged
+from labelgrid.llm.words import SPACE, U64, flat, ragged, word_hashes
 
 #: White space of more than one byte, before which a following space must not be cut off: pairs of bytes, and leading pairs of three.
 LONG_SPACES_2 = ((0xC2, 0x85), (0xC2, 0xA0))
@@ -50,21 +51,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids by one vocabulary file; ``keep`` distinct pieces are remembered between calls.
+    """Ids by one vocabulary file; ``keep`` distinct pieces are remembered between calls, by their 64-bit hashes.
 
     A plain word goes straight to the library's model in the form that its own splitting gives it; which form that is (spaces dropped and
     lower case, or kept as they are) is settled by comparing both with the library's full encoding of a few probes. All else, and every
     piece if neither form agrees, goes through the full encoding.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 400_000):
+    def __init__(self, path: str, end_id: int, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end_id, self.keep, self.known, self.parts = end_id, keep, {}, {}
+        self.end_id, self.keep = end_id, keep
+        self.forget()
         self.letters = byte_letters()
         forms = [lambda space, word, mark: (word.lower(), mark), lambda space, word, mark: ("", space + word, mark) if space == " " else (space, word, mark)]
         self.form = next((f for f in forms if all(self.plain(f, PLAIN.fullmatch(x)) == self.full(x) for x in PROBES)), None)
@@ -83,29 +85,44 @@ class Encoder:
                 out += ids
         return out
 
-    def lookup(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(texts) > self.keep:
-            self.known, self.parts = {}, {}
-        known = self.known
-        for text in texts:
-            if text not in known:
-                match = self.form and PLAIN.fullmatch(text)
-                known[text] = self.plain(self.form, match) if match else self.full(text)
-        return [known[x] for x in texts]
+    def learn(self, texts: list[str], hashes: np.ndarray) -> None:
+        """Encode new pieces and add them to the sorted table of known ones."""
+        if len(self.hashes) + len(texts) > self.keep:
+            self.parts = {}
+        found = [self.plain(self.form, match) if self.form and (match := PLAIN.fullmatch(x)) else self.full(x) for x in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        places = len(self.values) + np.cumsum(sizes) - sizes
+        self.values = np.concatenate([self.values, np.frombuffer(b"".join(found), "<u4")])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, places[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+
+    def forget(self) -> None:
+        self.hashes, self.places, self.sizes, self.values, self.parts = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), {}
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, each row closed by the end id, and the row offsets."""
         data, offsets = flat(column)
         starts = piece_starts(data, offsets)
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        found = self.lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        values = np.frombuffer(b"".join(found), "<u4")
-        places = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = values[ragged(places[codes], sizes[codes])]
-        upto = np.concatenate([[0], np.cumsum(sizes[codes])])
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        codes, distinct = pd.factorize(word_hashes(data, starts, ends))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        if len(self.hashes) + len(distinct) > self.keep:
+            self.forget()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if new.any():
+            raw = data.tobytes()
+            self.learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], distinct[new])
+            at = np.searchsorted(self.hashes, distinct)
+        sizes = self.sizes[at][codes] if len(codes) else np.zeros(0, np.int64)
+        ids = self.values[ragged(self.places[at][codes], sizes)] if len(codes) else np.zeros(0, np.uint32)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         rows = upto[np.searchsorted(starts, offsets)]
         rows[-1] = len(ids)
         return np.insert(ids, rows[1:], np.uint32(self.end_id)), rows + np.arange(len(rows))
