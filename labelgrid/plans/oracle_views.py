@@ -54,10 +54,10 @@ ANNOTATIONS = """ann AS (
     SELECT *, unnest([CASE WHEN l_linestatus = 'F' THEN 'a0' END, CASE WHEN l_linestatus = 'O' THEN 'a1' END, CASE WHEN l_quantity > 25 THEN 'a2' END]) AS author FROM px)
   WHERE author IS NOT NULL)"""
 
-VECTORS = """vec AS (SELECT vec_id, label, CAST(embedding[1:10] AS DOUBLE[]) AS scores FROM embeddings)"""
+VECTORS = """vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS scores FROM embeddings)"""
 
 TEXT = """doc_lines AS (
-  SELECT doc_id, CAST(i - 1 AS INT) AS line_no, regexp_replace(parts[i], '[^ -~]', '', 'g') AS ref FROM (
+  SELECT doc_id, CAST(i - 1 AS INT) AS line_no, parts[i] AS ref FROM (
     SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
 txt AS (SELECT *, translate(substr(ref, 1, 2) || substr(ref, 4), 'e', 'c') AS hyp FROM doc_lines)"""
 
@@ -75,7 +75,7 @@ EVENT_CLASS = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'pur
 
 RUNS = f"""runs AS (
   SELECT *, f1 / 2 AS precision, sqrt(f1) AS recall, f1 * f1 AS accuracy FROM (
-    SELECT 'r0' AS run_id, event_id AS step, epoch_us(ts) AS ts_us, {EVENT_CLASS} AS class_id, value AS loss, least(value / 100, 1e0) AS f1 FROM events))"""
+    SELECT 'u' || user_id AS run_id, event_id AS step, epoch_us(ts) AS ts_us, {EVENT_CLASS} AS class_id, value AS loss, least(value / 100, 1e0) AS f1 FROM events))"""
 
 FRAMES = f"""frames AS (
   SELECT user_id AS line_id, event_id AS t, CASE WHEN event_type = 'view' THEN 0 ELSE {EVENT_CLASS} + 1 END AS sym FROM events)"""
@@ -108,4 +108,8 @@ chars AS (
 
 TEXT_PAGES = """tpages AS (SELECT DISTINCT page_id, 2030 AS height, 2100 AS width FROM word_rows)"""
 
-CHARSET = """charset AS (SELECT chr(CAST(c AS INT)) AS ch, CAST(c - 31 AS INT) AS idx FROM range(32, 126) r(c))"""
+CHARSET = """charset AS (SELECT DISTINCT ch, unicode(ch) AS idx FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '')"""
+
+# levenshtein() counts bytes here, so every character beyond ASCII is first written as a control character of its own
+LETTERS = """letters AS (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS wide, coalesce(string_agg(chr(CAST(k + CASE WHEN k > 8 THEN 5 ELSE 0 END AS INT)), '' ORDER BY ch), '') AS narrow FROM (
+    SELECT ch, row_number() OVER (ORDER BY ch) AS k FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE unicode(ch) > 127))"""

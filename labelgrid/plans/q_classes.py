@@ -121,14 +121,14 @@ def mask_codecs(spark, sf):
 
 
 @query("enum_codecs", with_views(O.VECTORS) + """
-  SELECT vec_id, list_position(scores, list_max(scores)) - 1 AS argmax, list_transform(range(0, 10), lambda k: CAST(k = label AS INT)) AS onehot,
-    list_transform(range(0, 9), lambda k: CAST(k = greatest(label - 1, 0) AS INT)) AS onehot_fg, list_transform(range(0, 9), lambda k: CAST(k + 1 = label AS INT)) AS multihot_fg,
+  SELECT vec_id, list_position(scores, list_max(scores)) - 1 AS argmax, list_transform(range(0, 64), lambda k: CAST(k = label AS INT)) AS onehot,
+    list_transform(range(0, 63), lambda k: CAST(k = greatest(label - 1, 0) AS INT)) AS onehot_fg, list_transform(range(0, 63), lambda k: CAST(k + 1 = label AS INT)) AS multihot_fg,
     CASE WHEN label > 0 THEN 1 << (label - 1) ELSE 0 END AS mask FROM vec""", lists=["onehot", "onehot_fg", "multihot_fg"])
 def enum_codecs(spark, sf):
     label = F.col("label")
     return V.class_vectors(spark, sf).select(
-        "vec_id", K.onehot_to_enum(F.col("scores")).alias("argmax"), K.enum_to_onehot(label, 10).alias("onehot"),
-        K.enum_to_onehot(label, 10, ignore_first=True).alias("onehot_fg"), K.enum_to_multihot(label, 9, ignore_first=True).alias("multihot_fg"),
+        "vec_id", K.onehot_to_enum(F.col("scores")).alias("argmax"), K.enum_to_onehot(label, 64).alias("onehot"),
+        K.enum_to_onehot(label, 64, ignore_first=True).alias("onehot_fg"), K.enum_to_multihot(label, 63, ignore_first=True).alias("multihot_fg"),
         K.enum_to_bitmask(label).alias("mask"),
     )
 
@@ -145,9 +145,9 @@ def vec_pairs(spark, sf):
     SELECT class_id, tp, gt_mass, pred_mass, CASE WHEN gt_mass = 0 THEN 1 ELSE tp / gt_mass END AS recall, CASE WHEN pred_mass = 0 THEN 1 ELSE tp / pred_mass END AS precision,
       CASE WHEN gt_mass + pred_mass - tp = 0 THEN 1 ELSE tp / (gt_mass + pred_mass - tp) END AS accuracy
     FROM (SELECT CAST(c AS INT) AS class_id, count(*) FILTER (truth = c AND pred = c) AS tp, count(*) FILTER (truth = c) AS gt_mass, count(*) FILTER (pred = c) AS pred_mass
-          FROM ap, range(10) r(c) GROUP BY 1))""", rounded=["recall", "precision", "accuracy", "f1"])
+          FROM ap, range(64) r(c) GROUP BY 1))""", rounded=["recall", "precision", "accuracy", "f1"])
 def argmax_scores(spark, sf):
-    return X.argmax_scores(vec_pairs(spark, sf), 10)
+    return X.argmax_scores(vec_pairs(spark, sf), 64)
 
 
 @query("argmax_accuracy", with_views(VEC_PAIRS) + "SELECT avg(CAST(truth = pred AS DOUBLE)) AS correct FROM ap", rounded=["correct"])

@@ -186,8 +186,8 @@ def composite_loss(spark, sf):
   SELECT sum(-ln(greatest(least(e[label + 1] / list_sum(e), 1 - 1e-7), 1e-7)) * (1 + abs(label - pred))) / count(*) AS loss FROM pr""", rounded=["loss"])
 def cost_weighted_log_loss(spark, sf):
     """The cost of a confusion is one plus the distance of the classes."""
-    ids = spark.range(10).select(F.col("id").cast("int").alias("truth"))
-    costs = ids.withColumn("pred", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("cost", 1e0 + F.abs(F.col("truth") - F.col("pred")))
+    ids = spark.range(64).select(F.col("id").cast("int").alias("truth"))
+    costs = ids.withColumn("pred", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("cost", 1e0 + F.abs(F.col("truth") - F.col("pred")))
     return L.cost_weighted_log_loss(V.probabilities(spark, sf), F.col("label"), F.col("probs"), costs)
 
 

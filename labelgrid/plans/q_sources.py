@@ -121,15 +121,11 @@ def clean_transcripts(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.clean_transcript(dos).alias("gt"))
 
 
-@query("charset_from_json", with_views(O.CHARSET) + """,
-  used AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^ -}]', '', 'g'), '')) AS ch FROM documents)
-  SELECT ch, idx FROM charset JOIN used USING (ch)""")
+@query("charset_from_json", with_views(O.CHARSET) + "SELECT ch, idx FROM charset")
 def charset_from_json(spark, sf):
     """The characters of all documents as one JSON dictionary, read back to rows."""
-    used = V.table(spark, sf, "documents").select(F.explode(F.split(F.regexp_replace("text", "[^ -}]", ""), "")).alias("ch")).where("ch <> ''").distinct()
-    numbered = used.join(V.charset(spark), "ch")
-    entries = F.map_from_entries(F.collect_list(F.struct("ch", "idx")))  # at most 94 characters
-    return T.charset_rows(numbered.agg(F.to_json(F.struct(entries.alias("char_to_idx"))).alias("value")))
+    entries = F.map_from_entries(F.collect_list(F.struct("ch", "idx")))  # an alphabet: no more entries than there are characters
+    return T.charset_rows(V.charset(spark, sf).agg(F.to_json(F.struct(entries.alias("char_to_idx"))).alias("value")))
 
 
 

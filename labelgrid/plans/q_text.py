@@ -13,14 +13,17 @@ from labelgrid.plans import views as V
 from labelgrid.plans.registry import query, with_views
 
 SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-CER = """CASE WHEN len({r}) = 0 AND len({h}) <> 0 THEN 1e0 WHEN len({sr}) = 0 THEN len({sh}) ELSE levenshtein({sr}, {sh}) / len({sr}) END"""
+CER = """CASE WHEN len({r}) = 0 AND len({h}) <> 0 THEN 1e0 WHEN len({sr}) = 0 THEN len({sh}) ELSE levenshtein({nr}, {nh}) / len({sr}) END"""
 
 
-def cer_sql(r: str, h: str) -> str:
-    return CER.format(r=r, h=h, sr=SQUEEZE.format(r), sh=SQUEEZE.format(h))
+def cer_sql(r: str, h: str, narrow: bool = False) -> str:
+    """``narrow``: the table ``letters`` is in scope, and texts may hold more than ASCII."""
+    sr, sh = SQUEEZE.format(r), SQUEEZE.format(h)
+    one = "translate({}, wide, narrow)" if narrow else "{}"
+    return CER.format(r=r, h=h, sr=sr, sh=sh, nr=one.format(sr), nh=one.format(sh))
 
 
-@query("cer", with_views(O.TEXT) + f"SELECT doc_id, line_no, {cer_sql('ref', 'hyp')} AS cer FROM txt", rounded=["cer"])
+@query("cer", with_views(O.TEXT, O.LETTERS) + f"SELECT doc_id, line_no, {cer_sql('ref', 'hyp', True)} AS cer FROM txt, letters", rounded=["cer"])
 def cer(spark, sf):
     """Every line of every document, whole."""
     return T.error_rates(V.text_lines(spark, sf), ["doc_id", "line_no"]).select("doc_id", "line_no", "cer")
@@ -50,14 +53,14 @@ def bleu(spark, sf):
   USING (doc_id, line_no)""", lists=["labels"])
 def encode_labels(spark, sf):
     lines = V.text_lines(spark, sf).select("doc_id", "line_no", F.col("ref").alias("text"))
-    return T.encode_labels(lines, V.charset(spark), ["doc_id", "line_no"])
+    return T.encode_labels(lines, V.charset(spark, sf), ["doc_id", "line_no"])
 
 
-@query("decode_labels", with_views(O.TEXT) + """SELECT doc_id, line_no, string_split(translate(ref, '~', ''), 'q')[1] AS text FROM txt""")
+@query("decode_labels", with_views(O.TEXT) + """SELECT doc_id, line_no, string_split(ref, 'q')[1] AS text FROM txt""")
 def decode_labels(spark, sf):
     """Round trip of every line with ``q`` coded as the end mark 0."""
     lines = V.text_lines(spark, sf).select("doc_id", "line_no", F.col("ref").alias("text"))
-    chars = V.charset(spark)
+    chars = V.charset(spark, sf)
     ended = chars.withColumn("idx", F.when(F.col("ch") == "q", F.lit(0)).otherwise(F.col("idx")))
     return T.decode_labels(T.encode_labels(lines, ended, ["doc_id", "line_no"]), chars, ["doc_id", "line_no"])
 
@@ -174,8 +177,8 @@ def confidence_filter_sweep(spark, sf):
 
 
 @query("prune_punctuation", """
-  SELECT * FROM (SELECT doc_id, line_no, regexp_replace(raw, '[^A-Za-z0-9_]+', '', 'g') AS text FROM (
-    SELECT doc_id, CAST(i - 1 AS INT) AS line_no, regexp_replace(parts[i], '[^ -~]', '', 'g') AS raw FROM (
+  SELECT * FROM (SELECT doc_id, line_no, regexp_replace(raw, '[^\\pL\\pM\\p{Nd}\\p{Pc}]+', '', 'g') AS text FROM (
+    SELECT doc_id, CAST(i - 1 AS INT) AS line_no, parts[i] AS raw FROM (
       SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))) WHERE len(text) > 0""")
 def prune_punctuation(spark, sf):
     return B.prune_punctuation(V.text_lines(spark, sf).select("doc_id", "line_no", F.col("ref").alias("text")))

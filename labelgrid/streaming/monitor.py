@@ -1,14 +1,14 @@
 """Run monitoring on streams of validation rows.
 
-State per key is a handful of numbers (the last nine values, the best score,
-the last losses), whatever the length of a run. The rows of one key in one
-micro-batch are ordered by step in memory: bound them with the source's trigger
-limits (``maxFilesPerTrigger`` and the like).
+Best scores, snapshots and throughput are additive sums per micro-batch (see ``incremental``), finished on read: complete after any
+order of files. ``rolling_metrics`` keeps the last values of each run and class as state and answers at once; it needs rows in step order
+over micro-batches, and orders those of one micro-batch in memory, so bound them with the source's trigger limits. Where files may come in any
+order, append the rows and run the batch operator on what has been appended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from labelgrid.operators import monitor as M
+
 WINDOW = 10
 METRICS = ["precision", "recall", "f1", "accuracy"]
 
@@ -49,31 +51,32 @@ def rolling_metrics(stream: DataFrame, window: int = WINDOW, metrics: list[str]
     )
 
 
-def _events(back: int):
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values("step")
-        best, last = state.get if state.exists else (0.0, [])
-        last, rows = list(last), []
-        for run, step, f1, loss in zip(new["run_id"], new["step"], new["f1"], new["loss"]):
-            rows.append((run, step, f1, best, f1 > best, len(last) == back and loss < min(last)))
-            best, last = max(best, f1), [*last, loss][-back:]
-        state.update((float(best), [float(v) for v in last]))
-        yield pd.DataFrame(rows, columns=["run_id", "step", "f1", "best_before", "is_best", "snapshot"])
+def step_sums(rows: DataFrame) -> DataFrame:
+    """Additive sums per run and step from ``(run_id, step, f1, loss)`` rows, one row per class."""
+    return rows.groupBy("run_id", "step").agg(F.sum("f1").alias("f1_sum"), F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("classes"))
 
-    return update
 
+def best_and_snapshots(sums: DataFrame, back: int = 4) -> DataFrame:
+    """New-best and snapshot events per run from merged :func:`step_sums`: best by the mean F over classes, snapshot by the mean loss.
 
-def best_and_snapshots(stream: DataFrame, back: int = 4) -> DataFrame:
-    """New-best and snapshot events per run from ``(run_id, step, f1, loss)``."""
-    return stream.select("run_id", "step", "f1", "loss").groupBy("run_id").applyInPandasWithState(
-        _events(back), "run_id string, step long, f1 double, best_before double, is_best boolean, snapshot boolean", "best double, last array<double>", "append", GroupStateTimeout.NoTimeout,
-    )
+    Events depend on order, sums do not: micro-batches only add up sums, in whatever order files arrive, and the windows run over the merged
+    table in blocks, so neither a run nor a micro-batch is held by one task.
+    """
+    steps = sums.select("run_id", "step", (F.col("f1_sum") / F.col("classes")).alias("f1"), (F.col("loss_sum") / F.col("classes")).alias("loss"))
+    best = M.best_so_far(steps.select("run_id", "step", "f1"))
+    snap = M.snapshot_trigger(steps.select("run_id", "step", "loss"), back).drop("loss")
+    return best.join(snap, ["run_id", "step"]).select("run_id", "step", "f1", "best_before", "is_best", "snapshot")
 
 
-def throughput(stream: DataFrame, every: str = "1 hour", late: str = "10 minutes", batch_size: int = 6) -> DataFrame:
-    """Batches and samples per interval of event time; late rows within ``late`` still count."""
-    seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))
-    counts = stream.withWatermark("ts", late).groupBy("run_id", F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("batches"))
-    return counts.select(
-        "run_id", F.col("w.start").alias("start"), "batches", (F.col("batches") / seconds).alias("batches_per_s"), (F.col("batches") * batch_size / seconds).alias("samples_per_s"),
-    )
+def interval_counts(every: str = "1 hour") -> Callable[[DataFrame], DataFrame]:
+    """Additive counts of ``(run_id, ts)`` rows per run and interval of event time, for every micro-batch."""
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("run_id", F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("batches")).select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "batches")
+
+    return counts
+
+
+def throughput(counts: DataFrame, batch_size: int = 6) -> DataFrame:
+    """Batches and samples per second from merged :func:`interval_counts`; every interval seen so far is there, late rows included."""
+    seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
+    return counts.select("run_id", "start", "batches", (F.col("batches") / seconds).alias("batches_per_s"), (F.col("batches") * batch_size / seconds).alias("samples_per_s"))

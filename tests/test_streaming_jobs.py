@@ -45,22 +45,37 @@ def same(a, b, keys, tol=1e-9):
 def test_rolling_stream_equals_batch(spark, history, tmp_path):
     path, df = history
     out = run(spark, S.rolling_metrics(stream(spark, path, df.schema)), tmp_path)
-    same(out, M.rolling_metrics(df).select(*out.columns), ["class_id", "step"])
+    same(out, M.rolling_metrics(df).select(*out.columns), ["run_id", "class_id", "step"])
 
 
-def test_events_stream_equals_batch(spark, history, tmp_path):
-    path, df = history
-    out = run(spark, S.best_and_snapshots(stream(spark, path, df.schema)), tmp_path)
-    best = M.best_so_far(df.select("run_id", "step", "f1"))
-    snap = M.snapshot_trigger(df.select("run_id", "step", "loss"))
-    same(out, best.join(snap.drop("loss"), ["run_id", "step"]).select(*out.columns), ["step"])
+@pytest.fixture(scope="module")
+def shuffled(history, tmp_path_factory):
+    """The same rows in five files in no order of time."""
+    path = str(tmp_path_factory.mktemp("shuffled"))
+    for k in range(5):
+        history[1].where(F.pmod(F.xxhash64("step"), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(path)
+    return path, history[1]
 
 
-def test_throughput_stream_counts_closed_windows(spark, history, tmp_path):
-    path, df = history
-    out = run(spark, S.throughput(stream(spark, path, df.schema), every="1 day"), tmp_path).collect()
-    want = {r["w"]["start"]: r["count"] for r in df.groupBy(F.window("ts", "1 day").alias("w")).count().collect()}
-    assert len(out) >= len(want) - 2 and all(want[r["start"]] == r["batches"] for r in out)
+def gathered(spark, path, schema, partial, keys, tmp_path):
+    I.accumulate(stream(spark, path, schema), partial, str(tmp_path / "sums"), str(tmp_path / "ckpt")).awaitTermination()
+    return I.merged(spark, str(tmp_path / "sums"), keys)
+
+
+def test_events_stream_equals_batch(spark, shuffled, tmp_path):
+    path, df = shuffled
+    out = S.best_and_snapshots(gathered(spark, path, df.schema, S.step_sums, ["run_id", "step"], tmp_path))
+    steps = df.groupBy("run_id", "step").agg(F.avg("f1").alias("f1"), F.avg("loss").alias("loss"))
+    best = M.best_so_far(steps.select("run_id", "step", "f1"))
+    snap = M.snapshot_trigger(steps.select("run_id", "step", "loss"))
+    same(out, best.join(snap.drop("loss"), ["run_id", "step"]).select(*out.columns), ["run_id", "step"])
+
+
+def test_throughput_stream_is_complete(spark, shuffled, tmp_path):
+    path, df = shuffled
+    out = S.throughput(gathered(spark, path, df.schema, S.interval_counts("1 day"), ["run_id", "start", "end"], tmp_path)).collect()
+    want = {(r["run_id"], r["w"]["start"]): r["count"] for r in df.groupBy("run_id", F.window("ts", "1 day").alias("w")).count().collect()}
+    assert {(r["run_id"], r["start"]): r["batches"] for r in out} == want
 
 
 def test_incremental_sums_equal_batch(spark, sf, tmp_path):
