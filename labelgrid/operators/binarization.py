@@ -82,13 +82,14 @@ def paper_border(gt: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def misclassification_penalty(gt: DataFrame, pred: DataFrame, images: DataFrame) -> DataFrame:
-    """Distances to the ink border over missed and over false ink, as shares of the page's distance sum, halved."""
+    """Distances to the ink border over missed and over false ink, as shares of the page's distance sum, halved; NULL for a page without a border."""
     d = distance_map(paper_border(gt, images), images)
     wrong = ink_pairs(gt, pred).where("g <> p").select(*PIXEL, "g")
     sums = d.join(wrong, PIXEL, "left").groupBy("image_id").agg(
         F.sum("d").alias("all"), F.sum(F.when(F.col("g") == 1, F.col("d")).otherwise(0e0)).alias("missed"), F.sum(F.when(F.col("g") == 0, F.col("d")).otherwise(0e0)).alias("false"),
     )
-    return sums.select("image_id", ratio(F.col("missed") + F.col("false"), 2 * F.col("all")).alias("mpm"))
+    shares = sums.select("image_id", ratio(F.col("missed") + F.col("false"), 2 * F.col("all")).alias("mpm"))
+    return images.select("image_id").join(shares, "image_id", "left")
 
 
 def error_saliency(pairs: DataFrame, images: DataFrame, max_r: int = FAR) -> DataFrame:

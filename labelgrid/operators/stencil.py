@@ -2,13 +2,16 @@
 
 Sending is an ``explode`` over a fixed list of offsets, receiving is a hash
 aggregation keyed by cell: no neighbour join, no sort, no hot key. Separable
-kernels go through x first, then y.
+kernels go through x first, then y. Wide kernels and bounded distances work on
+dense tiles with a halo instead: one shuffle, and no row per pixel and offset.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,9 +52,57 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(pad - i, w[i] / sum(w)) for i in range(side)]
 
 
-def gaussian_smooth(cells: DataFrame, images: DataFrame, sigma: float = 5.0) -> DataFrame:
+def _tiled(cells: DataFrame, keys: list[str], reach: int, side: int, work, schema: str) -> DataFrame:
+    """``work(tile rows, y0, x0)`` on dense tiles of ``side`` pixels and a halo of ``reach`` around them: one shuffle, whatever the reach.
+
+    A tile is bounded, so a page of any size is spread like many small ones. Rows of a tile carry all columns of ``cells``.
+    """
+    touched = lambda axis: F.sequence(F.floor((F.col(axis) - reach) / side), F.floor((F.col(axis) + reach) / side))
+    dealt = cells.withColumn("_ty", F.explode(touched("y"))).withColumn("_tx", F.explode(touched("x")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        out = work(rows, int(first["_ty"]) * side, int(first["_tx"]) * side)
+        return out.assign(**{k: first[k] for k in keys})
+
+    return dealt.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema)
+
+
+def gaussian_smooth(cells: DataFrame, images: DataFrame, sigma: float = 5.0, side: int = 128) -> DataFrame:
     """Gaussian blur per class with zero padding; the 2-D kernel is the product of two 1-D ones."""
-    return separable(cells, images, gaussian_kernel(sigma), F.sum)
+    kernel = gaussian_kernel(sigma)
+    reach = max(abs(d) for d, _ in kernel)
+    keys = [c for c in CELL if c in cells.columns and c not in ("y", "x")]
+
+    def blur(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
+        size = side + 2 * reach
+        dense = np.zeros((size, size))
+        np.add.at(dense, (rows["y"].to_numpy() - y0 + reach, rows["x"].to_numpy() - x0 + reach), rows["v"].to_numpy(float))
+        across = sum(w * dense[:, reach - d : reach - d + side] for d, w in kernel)
+        both = sum(w * across[reach - d : reach - d + side] for d, w in kernel)
+        y, x = np.nonzero(both)
+        inside = (y + y0 < rows["height"].iloc[0]) & (x + x0 < rows["width"].iloc[0]) & (y + y0 >= 0) & (x + x0 >= 0)
+        y, x = y[inside], x[inside]
+        return pd.DataFrame({"y": y + y0, "x": x + x0, "v": both[y, x]})
+
+    kinds = dict(cells.dtypes)
+    sized = attach_image(cells.select(*keys, "y", "x", "v"), images, ["height", "width"])
+    return _tiled(sized, keys, reach, side, blur, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", v double").select(*[c for c in CELL if c in cells.columns], "v")
+
+
+def _nearest(marks: np.ndarray, reach: int) -> np.ndarray:
+    """Squared distance of every place of a dense mask to its nearest mark; beyond ``reach`` it may come out larger."""
+    far = reach + 1
+    down, up = np.full(marks.shape, far), np.full(marks.shape, far)
+    for y in range(len(marks)):
+        down[y] = np.where(marks[y], 0, np.minimum(down[y - 1] + 1, far) if y else far)
+        up[-1 - y] = np.where(marks[-1 - y], 0, np.minimum(up[-y] + 1, far) if y else far)
+    column = np.minimum(down, up) ** 2
+    best = column.copy()
+    for d in range(1, min(reach, marks.shape[1] - 1) + 1):
+        best[:, d:] = np.minimum(best[:, d:], column[:, :-d] + d * d)
+        best[:, :-d] = np.minimum(best[:, :-d], column[:, d:] + d * d)
+    return best
 
 
 def _neighbours(cells: DataFrame, radius: int, keep_self: bool = True) -> DataFrame:
@@ -120,78 +171,49 @@ def profile_variance(cells: DataFrame, images: DataFrame, points: DataFrame, rad
     return out.withColumn("v", F.coalesce("var_x", F.lit(0e0)) * F.coalesce("var_y", F.lit(0e0)))
 
 
-def _nearest_in_rows(marks: DataFrame, queries: DataFrame, max_r: int, keys: list[str], reach) -> DataFrame:
-    """Smallest squared distance from each query to what ``reach`` finds in rows up to ``max_r`` away.
-
-    Queries are sent to the rows around them; in a row, the marks left and right
-    of a query come from one ordered pass. A window holds one pixel row.
-    """
-    q = queries.select(*keys, F.col("y").alias("qy"), F.col("x"), F.explode(F.sequence(F.lit(-max_r), F.lit(max_r))).alias("dy"))
-    q = q.withColumns({"row": F.col("qy") + F.col("dy"), "isq": F.lit(1)}).select(*keys, "row", "x", "qy", "dy", "isq")
-    rows = marks.unionByName(q, allowMissingColumns=True)
-    row = W.partitionBy(*keys, "row")
-    left = row.orderBy("x", "isq").rowsBetween(W.unboundedPreceding, 0)
-    right = row.orderBy("x", F.desc("isq")).rowsBetween(0, W.unboundedFollowing)
-    found = rows.withColumns(reach(left, right)).where("isq = 1 AND dx IS NOT NULL")
-    best = found.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).groupBy(*keys, F.col("qy").alias("y"), "x").agg(F.min("d2").alias("d2"))
-    return best.where(F.col("d2") <= max_r * max_r).select(*keys, "y", "x", F.sqrt(F.col("d2").cast("double")).alias("d"))
-
-
-def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str] = ("image_id",), cap: bool = True) -> DataFrame:
+def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str] = ("image_id",), cap: bool = True, side: int = 128) -> DataFrame:
     """Exact Euclidean distance from each query pixel to the nearest set pixel of its layer.
 
-    With ``cap`` a query without a set pixel inside ``max_r`` gets ``max_r``.
+    With ``cap`` a query without a set pixel inside ``max_r`` gets ``max_r``; else it has no row. Down the columns, then along the rows of
+    dense tiles with a halo of ``max_r``.
     """
     keys = list(keys)
-    q = queries.select(*keys, "y", "x").distinct()
-    marks = layer.select(*keys, F.col("y").alias("row"), "x", F.col("x").alias("mx"), F.lit(0).alias("isq"))
-
-    def reach(left, right):
-        before, after = F.last("mx", ignorenulls=True).over(left), F.first("mx", ignorenulls=True).over(right)
-        return {"dx": F.least(F.col("x") - before, after - F.col("x"))}
-
-    found = _nearest_in_rows(marks, q, max_r, keys, reach)
-    if not cap:
-        return found
-    return q.join(found, [*keys, "y", "x"], "left").withColumn("d", F.coalesce("d", F.lit(float(max_r))))
-
-
-def set_runs(layer: DataFrame, keys: list[str]) -> DataFrame:
-    """Horizontal runs of set pixels per row: start ``x`` and end ``x_end``."""
-    row = W.partitionBy(*keys, "y").orderBy("x")
-    islands = layer.select(*keys, "y", "x").withColumn("_i", F.col("x") - F.row_number().over(row))
-    return islands.groupBy(*keys, "y", "_i").agg(F.min("x").alias("x"), F.max("x").alias("x_end")).drop("_i")
-
-
-def distance_to_empty(layer: DataFrame, images: DataFrame, max_r: int, keys: list[str] = ("image_id",)) -> DataFrame:
-    """Exact distance from each set pixel to the nearest empty pixel of the page.
-
-    Rows are described by their runs: an empty pixel is next to the run a query
-    column falls in, or right there. Pixels farther than ``max_r`` get ``max_r``.
-    """
+    marks = layer.select(*keys, "y", "x", F.lit(True).alias("mark"))
+    asked = queries.select(*keys, "y", "x").distinct().withColumn("mark", F.lit(False))
+
+    def reach(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
+        y, x, mark = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0, rows["mark"].to_numpy()
+        own = ~mark & (y >= 0) & (y < side) & (x >= 0) & (x < side)
+        top, left = y.min(), x.min()
+        dense = np.zeros((y.max() - top + 1, x.max() - left + 1), bool)
+        dense[y[mark] - top, x[mark] - left] = True
+        d2 = _nearest(dense, max_r)[y[own] - top, x[own] - left] if own.any() and mark.any() else np.full(int(own.sum()), (max_r + 1) ** 2)
+        near = d2 <= max_r * max_r
+        out = pd.DataFrame({"y": y[own] + y0, "x": x[own] + x0, "d": np.where(near, np.sqrt(d2), float(max_r))})
+        return out if cap else out[near]
+
+    kinds = dict(queries.dtypes)
+    return _tiled(marks.unionByName(asked), keys, max_r, side, reach, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", d double").select(*keys, "y", "x", "d")
+
+
+def distance_to_empty(layer: DataFrame, images: DataFrame, max_r: int, keys: list[str] = ("image_id",), side: int = 128) -> DataFrame:
+    """Exact distance from each set pixel to the nearest empty pixel of the page; pixels farther than ``max_r`` get ``max_r``."""
     keys = list(keys)
-    runs = attach_image(set_runs(layer, keys), images, ["width"])
-    marks = runs.select(*keys, F.col("y").alias("row"), "x", F.struct("x", "x_end", "width").alias("run"), F.lit(0).alias("isq"))
-    sized = attach_image(layer.select(*keys, "y", "x"), images, ["height"])
-    q = sized.select(*keys, "y", "x", "height")
-
-    def reach(left, right):
-        run = F.last("run", ignorenulls=True).over(left)
-        inside = run["x_end"] >= F.col("x")
-        to_left = F.when(run["x"] > 0, F.col("x") - run["x"] + 1)
-        to_right = F.when(run["x_end"] < run["width"] - 1, run["x_end"] + 1 - F.col("x"))
-        return {"dx": F.when(run.isNull() | ~inside, F.lit(0)).otherwise(F.least(to_left, to_right))}
-
-    # rows outside the page hold no empty pixel
-    inside_page = q.select(*keys, "y", "x", F.greatest(F.lit(-max_r), -F.col("y")).alias("lo"), F.least(F.lit(max_r), F.col("height") - 1 - F.col("y")).alias("hi"))
-    sent = inside_page.select(*keys, F.col("y").alias("qy"), "x", F.explode(F.sequence("lo", "hi")).alias("dy")).withColumns({"row": F.col("qy") + F.col("dy"), "isq": F.lit(1)})
-    rows = marks.unionByName(sent, allowMissingColumns=True)
-    row = W.partitionBy(*keys, "row")
-    left = row.orderBy("x", "isq").rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumns(reach(left, None)).where("isq = 1 AND dx IS NOT NULL")
-    best = found.groupBy(*keys, F.col("qy").alias("y"), "x").agg(F.min(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2"))
-    d = F.least(F.sqrt(F.col("d2").cast("double")), F.lit(float(max_r)))
-    return layer.select(*keys, "y", "x").distinct().join(best, [*keys, "y", "x"], "left").select(*keys, "y", "x", F.coalesce(d, F.lit(float(max_r))).alias("d"))
+    sized = attach_image(layer.select(*keys, "y", "x").distinct(), images, ["height", "width"])
+
+    def depth(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        # the part of the page within reach of the tile
+        top, left = max(-max_r, -y0), max(-max_r, -x0)
+        low, right = min(side + max_r, rows["height"].iloc[0] - y0), min(side + max_r, rows["width"].iloc[0] - x0)
+        empty = np.ones((low - top, right - left), bool)
+        empty[y - top, x - left] = False
+        own = (y >= 0) & (y < side) & (x >= 0) & (x < side)
+        d2 = _nearest(empty, max_r)[y[own] - top, x[own] - left]
+        return pd.DataFrame({"y": y[own] + y0, "x": x[own] + x0, "d": np.minimum(np.sqrt(d2), float(max_r))})
+
+    kinds = dict(layer.dtypes)
+    return _tiled(sized, keys, max_r, side, depth, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", d double").select(*keys, "y", "x", "d")
 
 
 def page_pixels(images: DataFrame) -> DataFrame:

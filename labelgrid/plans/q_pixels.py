@@ -125,13 +125,13 @@ def continuous_f_loss(spark, sf):
 
 
 @query("blurred_f_loss", with_views(O.PAIRS, O.IMAGES) + CLASS_N + """,
-  k0 AS (SELECT CAST(i - 2 AS INT) AS d, exp(-((i - 2) ** 2) / 2e0) AS w FROM range(5) r(i)), k AS (SELECT d, w / (SELECT sum(w) FROM k0) AS w FROM k0),
+  k0 AS (SELECT CAST(i - 10 AS INT) AS d, exp(-((i - 10) ** 2) / 50e0) AS w FROM range(21) r(i)), k AS (SELECT d, w / (SELECT sum(w) FROM k0) AS w FROM k0),
   sm AS (SELECT image_id, y, x, class_id, sum(g) AS g, sum(p) AS p FROM (
-    SELECT image_id, y + a.d AS y, x + b.d AS x, class_id, g * a.w * b.w AS g, p * a.w * b.w AS p FROM pairs, k a, k b) JOIN images USING (image_id)
+    SELECT image_id, y + a.d AS y, x, class_id, g * a.w AS g, p * a.w AS p FROM (SELECT image_id, y, x + b.d AS x, class_id, sum(g * b.w) AS g, sum(p * b.w) AS p FROM pairs, k b GROUP BY ALL), k a) JOIN images USING (image_id)
     WHERE y BETWEEN 0 AND height - 1 AND x BETWEEN 0 AND width - 1 GROUP BY 1, 2, 3, 4)
   SELECT avg(((n - s) / n) ** 0.25) AS loss FROM cn JOIN (SELECT class_id, sum(g * p * (1 - (1 - g) * (1 - p))) AS s FROM sm GROUP BY 1) USING (class_id)""", rounded=["loss"])
 def blurred_f_loss(spark, sf):
-    return L.blurred_f_loss(V.gt_cells(spark, sf), V.pred_cells(spark, sf), V.images(spark, sf), 1.0)
+    return L.blurred_f_loss(V.gt_cells(spark, sf), V.pred_cells(spark, sf), V.images(spark, sf))
 
 
 @query("margin_loss", with_views(O.PAIRS, O.IMAGES) + CLASS_N + """

@@ -105,17 +105,19 @@ def sample_regions(spark, sf):
 
 VARIED = f"""tries AS (SELECT sample_id, CAST(k AS INT) AS try, image_id, CAST(floor({U('v1-x', 'sample_id', 'k')} * (width - 1)) AS INT) AS "left", CAST(floor({U('v1-y', 'sample_id', 'k')} * (height - 1)) AS INT) AS top, 2 AS size
   FROM img_draws JOIN images USING (image_id), range(1, 4) r(k)),
-lim AS (SELECT t.*, coalesce(min(v) < max(v), false) AS varied FROM tries t LEFT JOIN inten i ON i.image_id = t.image_id AND c = 0 AND i.y >= top AND i.y < top + 2 AND i.x >= "left" AND i.x < "left" + 2 GROUP BY ALL)"""
+lim AS (SELECT t.*, k.c, coalesce(min(v) < max(v), false) AS varied FROM tries t CROSS JOIN (SELECT CAST(c AS INT) AS c FROM range(3) r(c)) k LEFT JOIN inten i ON i.image_id = t.image_id AND i.c = k.c AND i.y >= top AND i.y < top + 2 AND i.x >= "left" AND i.x < "left" + 2 GROUP BY ALL)"""
 
 
 @query("varied_crops", with_views(O.PX, O.IMAGES, O.INTENSITY, IMG_DRAWS, VARIED) + """
-  SELECT sample_id, try, "left", top, size, image_id, varied FROM lim QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY varied DESC, CASE WHEN varied THEN try ELSE -try END) = 1""")
+  SELECT sample_id * 3 + c AS sample_id, try, "left", top, size, image_id * 3 + c AS image_id, varied FROM lim QUALIFY row_number() OVER (PARTITION BY sample_id, c ORDER BY varied DESC, CASE WHEN varied THEN try ELSE -try END) = 1""")
 def varied_crops(spark, sf):
     im = V.images(spark, sf)
     tries = S.sample_images(im, DRAWS, "i1").join(im, "image_id").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(3))))
     at = lambda what, extent: F.floor(S.uniform(f"v1-{what}", F.col("sample_id"), F.col("try")) * (F.col(extent) - 1)).cast("int")
     windows = tries.select("sample_id", "try", "image_id", at("x", "width").alias("left"), at("y", "height").alias("top"), F.lit(2).alias("size"))
-    return S.first_varied_crop(windows, V.intensity(spark, sf).where("c = 0").drop("c"))
+    # every channel is a page of its own
+    each = windows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumns({k: F.col(k) * 3 + F.col("c") for k in ("sample_id", "image_id")}).drop("c")
+    return S.first_varied_crop(each, V.intensity(spark, sf).withColumn("image_id", F.col("image_id") * 3 + F.col("c")).drop("c"))
 
 
 @query("batch_mix", with_views(O.PX, INDEX) + """,
