@@ -9,12 +9,13 @@ from labelgrid.operators.align import CELL
 from labelgrid.operators.metrics import derive, sums_expr
 
 
-def cross_validate(gt: DataFrame, predictions: DataFrame, gt_key: str, pred_key: str, sources: list[str]) -> DataFrame:
+def cross_validate(gt: DataFrame, predictions: DataFrame, gt_key: str, pred_key: str, sources: list[str], images: DataFrame | None = None) -> DataFrame:
     """Metrics of every trained source against every validation source.
 
     ``gt`` carries its source in ``gt_key``, ``predictions`` in ``pred_key``. The
     sources of one cell become two short maps (at most one entry per source), so
-    all combinations come from one aggregation over cells.
+    all combinations come from one aggregation over cells. With ``images`` the pixels of all pages stand for ``n``, which true negatives,
+    accuracy and squared error need; they are NULL without.
     """
     flag = lambda key, i, name: F.max(F.when(F.col(key) == name, F.col("v"))).alias(f"_{key}{i}")
     stacked = gt.select(gt_key, F.lit(None).cast("string").alias(pred_key), *CELL, "v").unionByName(
@@ -26,7 +27,10 @@ def cross_validate(gt: DataFrame, predictions: DataFrame, gt_key: str, pred_key:
     ])
     rows = wide.select("class_id", F.explode(combos).alias("e")).select("class_id", "e.*")
     sums = rows.groupBy(gt_key, pred_key, "class_id").agg(*sums_expr())
-    return derive(sums.withColumn("n", F.lit(None).cast("double")))
+    if images is None:
+        return derive(sums.withColumn("n", F.lit(None).cast("double")))
+    pixels = images.agg(F.sum(F.col("height").cast("double") * F.col("width")).alias("n")).withColumn("_all", F.lit(1))
+    return derive(sums.withColumn("_all", F.lit(1)).join(pixels, "_all").drop("_all"))
 
 
 def leave_one_out(samples: DataFrame, splits: list[str], split: str = "split") -> DataFrame:

@@ -8,6 +8,7 @@ from the page extent. One partial aggregation feeds all metrics.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import harmonic, ratio, smart_div
@@ -203,19 +204,31 @@ def confusion_display(matrix: DataFrame, by: list[str] = ()) -> DataFrame:
     return matrix.join(top, [*by, "pred_class"]).withColumn("shade", ratio(F.sqrt("v"), F.col("_top"))).drop("_top")
 
 
+SLICES = 1000
+
+
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, population standard deviation and exact median of numeric columns.
 
-    Values are counted first; the median reads the counts, not the rows.
+    Values are counted, and the counts added up by value range; ranges come from a mergeable quantile sketch, so they hold about equal shares.
+    Running totals over the ranges name the one or two that hold the middle, and only their values are put in order.
     """
     longed = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("e")).select("e.*").where("value IS NOT NULL")
+    bounds = longed.groupBy("name").agg(F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("_bounds"))
     counted = longed.groupBy("name", "value").agg(F.count(F.lit(1)).alias("k"))
-    return counted.groupBy("name").agg(
-        (F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("mean"),
-        (F.sum(F.col("value") * F.col("value") * F.col("k")) / F.sum("k")).alias("_m2"),
-        F.expr("percentile(value, 0.5, k)").alias("median"),
-    ).select("name", "mean", F.sqrt(F.greatest(F.col("_m2") - F.col("mean") * F.col("mean"), F.lit(0e0))).alias("std"), "median")
+    sliced = counted.join(bounds, "name").withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
+    name = W.partitionBy("name")
+    sums = sliced.groupBy("name", "_slice").agg(F.sum("k").alias("_k"), F.sum(F.col("value") * F.col("k")).alias("_s"), F.sum(F.col("value") * F.col("value") * F.col("k")).alias("_s2"))
+    placed = sums.withColumn("_before", F.sum("_k").over(name.orderBy("_slice")) - F.col("_k")).withColumn("_n", F.sum("_k").over(name))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = placed.where((F.col("_before") <= high) & (F.col("_before") + F.col("_k") > low)).select("name", "_slice", "_before", "_n")
+    upto = F.sum("k").over(W.partitionBy("name", "_slice").orderBy("value")) + F.col("_before")
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("k") <= rank) & (rank < F.col("_upto")), F.col("value")))
+    medians = sliced.join(middle, ["name", "_slice"]).withColumn("_upto", upto).groupBy("name").agg(((at(low) + at(high)) / 2).alias("median"))
+    means = sums.groupBy("name").agg((F.sum("_s") / F.sum("_k")).alias("mean"), (F.sum("_s2") / F.sum("_k")).alias("_m2"))
+    std = F.sqrt(F.greatest(F.col("_m2") - F.col("mean") * F.col("mean"), F.lit(0e0)))
+    return means.join(medians, "name").select("name", "mean", std.alias("std"), "median")
 
 

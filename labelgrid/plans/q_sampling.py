@@ -144,15 +144,16 @@ def subword_samples(spark, sf):
     return S.subword_samples(V.words(spark, sf), "w1")
 
 
-@query("cross_validate", with_views(O.PX, O.ANNOTATIONS, O.MODEL_PREDS) + """,
+@query("cross_validate", with_views(O.PX, O.IMAGES, O.ANNOTATIONS, O.MODEL_PREDS) + """,
   hit AS (SELECT author, model_id, class_id, sum(v) AS tp FROM ann JOIN mp USING (image_id, y, x, class_id) GROUP BY 1, 2, 3),
   gm AS (SELECT author, class_id, CAST(count(*) AS DOUBLE) AS gt_mass FROM ann GROUP BY 1, 2), pm AS (SELECT model_id, class_id, sum(v) AS pred_mass FROM mp GROUP BY 1, 2),
   s AS (SELECT author, model_id, class_id, coalesce(tp, 0) AS tp, gt_mass, pred_mass FROM gm JOIN pm USING (class_id) LEFT JOIN hit USING (author, model_id, class_id))
-  SELECT *, tp / gt_mass AS recall, tp / pred_mass AS precision, 2 * tp / (gt_mass + pred_mass) AS f1 FROM s""", rounded=["tp", "gt_mass", "pred_mass", "recall", "precision", "f1"])
+  SELECT s.*, tp / gt_mass AS recall, tp / pred_mass AS precision, 2 * tp / (gt_mass + pred_mass) AS f1, n - gt_mass - pred_mass + tp AS tn, (n - gt_mass - pred_mass + 2 * tp) / n AS accuracy
+  FROM s, (SELECT sum(CAST(height AS DOUBLE) * width) AS n FROM images) i""", rounded=["tp", "gt_mass", "pred_mass", "recall", "precision", "f1", "tn", "accuracy"])
 def cross_validate(spark, sf):
     gt = V.annotations(spark, sf).distinct().withColumn("v", F.lit(1e0))
-    out = FO.cross_validate(gt, V.model_predictions(spark, sf), "author", "model_id", V.AUTHORS)
-    return out.select("author", "model_id", "class_id", "tp", "gt_mass", "pred_mass", "recall", "precision", "f1")
+    out = FO.cross_validate(gt, V.model_predictions(spark, sf), "author", "model_id", V.AUTHORS, V.images(spark, sf))
+    return out.select("author", "model_id", "class_id", "tp", "gt_mass", "pred_mass", "recall", "precision", "f1", "tn", "accuracy")
 
 
 @query("leave_one_out", with_views(O.PX, O.ANNOTATIONS) + """,
