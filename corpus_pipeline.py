@@ -9,32 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labelgrid.llm import decontam, minhash, packing, pii, toxicity
-from labelgrid.llm.shared import saved, table
+from labelgrid.llm.shared import saved, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below the limit. Learned from the documents table, whatever rows ``docs`` still holds; null and empty texts stay."""
+    small_batches(spark)
     network = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.clean_rows(docs, network)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one of smallest doc_id."""
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item."""
+    small_batches(spark)
     return decontam.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with personal data masked and n_chars in line."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length."""
+    small_batches(spark)
     return packing.digest(packing.pack(docs, packing.word_vocabulary()))
 
 

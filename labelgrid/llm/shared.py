@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+BATCHES, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 #: Shuffle files of a finished write serve nobody: with this setting Spark removes them at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -37,7 +39,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows can be whole texts: Arrow batches of Spark's default of 10,000 rows would hold tens of MB, several times over, in the JVM and in Python.
+    A session that has this default is set to batches of ROWS rows."""
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,12 +58,12 @@ def crc32_of_id(column: str = "doc_id") -> Column:
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 27
 
 
-def bit_filter(hashes: DataFrame) -> np.ndarray:
+def bit_filter(hashes: DataFrame, bits_each: int = 16) -> np.ndarray:
     """A bitmap of at most MAX_BITS bits in which every ``h`` of ``hashes`` is marked, for dropping early what a later join would drop.
 
     It errs to one side only: what is in ``hashes`` always passes, so more rows than the bitmap was made for cost time, not results.
     """
-    bits = int(min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, hashes.count()) - 1).bit_length())))
+    bits = int(min(MAX_BITS, max(MIN_BITS, 1 << (bits_each * max(1, hashes.count()) - 1).bit_length())))
     slot = F.pmod(F.col("h"), F.lit(bits)) + 1
     parts = hashes.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)

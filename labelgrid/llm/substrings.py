@@ -10,7 +10,7 @@ blocks: every other block equals one of them, so no window is missed. Adjacent f
 words, never less than WINDOW, and those words are the duplicate span.
 
 Single windows are only written out where they can meet another: two equal windows share their minimiser (the smallest hash of ``GRAM`` words
-in them), so blocks none of whose minimisers occurs in a different block are left out, by a bitmap that errs to the side of checking more.
+in them), so windows whose minimiser occurs in one document alone are left out, by a bitmap that errs to the side of checking more.
 """
 
 from __future__ import annotations
@@ -100,14 +100,13 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (p.block_of[1:] != p.block_of[:-1])
         new &= passes(own.value, p.block_id)[p.block_of]
-        yield pa.RecordBatch.from_arrays([pa.array(least[new]), pa.array(p.keys[0][p.block_of[new]])], names=["h", "k1"])
+        yield pa.RecordBatch.from_arrays([pa.array(least[new]), batch.column("doc_id").take(pa.array(p.rows[new]))], names=["h", "doc_id"])
 
-    met = scan(docs, openings, "h long, k1 long", window, gram).groupBy("h").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-    shared = spark.sparkContext.broadcast(bit_filter(saved(met.where("low <> high").select("h"), "minimisers")))
+    met = scan(docs, openings, "h long, doc_id long", window, gram).groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = spark.sparkContext.broadcast(bit_filter(saved(met.where("low <> high").select("h"), "minimisers"), 64))
 
     def singles(batch: pa.RecordBatch, p: Parsed) -> Iterator[pa.RecordBatch]:
         some = passes(own.value, p.block_id)[p.block_of]
-        # Whether a block is open depends on all its windows, and so does which of them can meet another: each window by its own minimiser.
         some[some] = passes(shared.value, p.minimisers()[some])
         at = p.at[some]
         w1, w2 = (r.of(at, at + window).view(np.int64) for r in p.runs) if len(at) else (np.zeros(0, np.int64),) * 2
