@@ -158,13 +158,22 @@ def swept_boxes(spark, sf, levels):
     return gt.withColumn("page_id", tag), pred.withColumn("page_id", tag)
 
 
-@query("ocr_confidence_sweep")
+SWEPT = O.BOXES.replace("\ngt AS", "\ngt0 AS").replace("\npred AS", "\npred0 AS") + f""",
+level AS (SELECT unnest({LEVELS}) :: DOUBLE AS threshold),
+gt AS (SELECT * REPLACE (page_id || '@' || threshold AS page_id) FROM gt0, level),
+pred AS (SELECT * REPLACE (page_id || '@' || threshold AS page_id) FROM pred0, level WHERE confidence >= threshold)"""
+
+
+@query("ocr_confidence_sweep", with_views(SWEPT, IOU, MATCH, SCORE) + """,
+  s AS (SELECT page_id, avg(cer) AS word_cer, avg(coalesce(cer, 1)) AS word_cer_all, count(cer) AS n_matched, count(*) FILTER (gt_text IS NULL) AS n_unmatched_pred FROM rated GROUP BY 1)
+  SELECT CAST(split_part(page_id, '@', 2) AS DOUBLE) AS threshold, avg(word_cer) AS word_cer, avg(word_cer_all) AS word_cer_all, CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST(sum(n_unmatched_pred) AS BIGINT) AS n_unmatched_pred
+  FROM s GROUP BY 1""", rounded=["word_cer", "word_cer_all"])
 def ocr_confidence_sweep(spark, sf):
     """All levels matched and scored in one job."""
     gt, pred = swept_boxes(spark, sf, LEVELS)
     scores = B.ocr_score(gt, pred, B.match_boxes(B.box_iou_pairs(gt, pred)))
     return scores.groupBy(F.substring_index("page_id", "@", -1).cast("double").alias("threshold")).agg(
-        F.round(F.avg("word_cer"), 8).alias("word_cer"), F.round(F.avg("word_cer_all"), 8).alias("word_cer_all"), F.sum("n_matched").alias("n_matched"),
+        F.avg("word_cer").alias("word_cer"), F.avg("word_cer_all").alias("word_cer_all"), F.sum("n_matched").alias("n_matched"),
         F.sum("n_unmatched_pred").alias("n_unmatched_pred"))
 
 

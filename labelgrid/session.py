@@ -35,11 +35,13 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "labelgrid") -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder. A single-machine session without one (tests, the benchmark) gets a temporary folder; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelgrid-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
