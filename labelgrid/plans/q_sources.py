@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from labelgrid.operators import align as A
 from labelgrid.plans import oracle_views as O
 from labelgrid.plans import views as V
 from labelgrid.plans.registry import query, with_views
+from labelgrid.sources import layers as LY
 from labelgrid.sources import listing as L
 from labelgrid.sources import ocr as R
 from labelgrid.sources import sinks as K
@@ -154,3 +157,48 @@ def run_table(spark, sf):
     text = F.concat_ws("\n", F.lit("start"), F.concat(F.lit("Trainable params: "), F.col("o_custkey").cast("string")), F.lit("noise"),
                        F.lit("Averages for entire directory"), F.concat(F.lit("f1_score ["), F.col("o_orderkey").cast("string"), F.lit("]")), F.lit("f1 later"))
     return T.grep_runs(o.select(F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("file"), text.alias("value")))
+
+
+def rasters(cells, images, keys, channels):
+    """Decoded-image rows ``(path, height, width, nChannels, data)`` drawn from ``cells (keys, y, x, c, byte)``; a page is one row, as a decoder gives it."""
+    def draw(rows):
+        first = rows.iloc[0]
+        px = np.zeros((int(first["height"]), int(first["width"]), channels), np.uint8)
+        own = rows[rows["y"].notna()]
+        px[own["y"].astype(int), own["x"].astype(int), own["c"].astype(int)] = own["byte"].astype(int)
+        name = "_".join(str(int(first[k])) for k in keys)
+        return pd.DataFrame({"path": [f"mem:/pages/img{name}.png"], "height": [int(first["height"])], "width": [int(first["width"])], "nChannels": [channels], "data": [px.tobytes()]})
+
+    pages = images if keys == ["image_id"] else images.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.col("n_classes") - 1)))
+    sized = pages.select(*keys, "height", "width").join(cells.select(*keys, "y", "x", "c", "byte"), keys, "left")
+    return sized.groupBy(*keys).applyInPandas(draw, "path string, height int, width int, nChannels int, data binary")
+
+
+@query("read_layer_images", with_views(O.PAIRS) + """
+  SELECT 'img' || image_id AS image_id, y, x, class_id, round(least(p, 1) * 255) / 255 AS v FROM pairs WHERE round(least(p, 1) * 255) > 0""", rounded=["v"])
+def read_layer_images(spark, sf):
+    """One grey image per page and class, read back to cells."""
+    images = V.images(spark, sf)
+    drawn = rasters(V.pred_cells(spark, sf).withColumns({"c": F.lit(0), "byte": F.round(F.least("v", F.lit(1e0)) * 255)}), images, ["image_id", "class_id"], 1)
+    name = F.concat(F.lit("img"), F.col("image_id").cast("string"))
+    chosen = images.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.col("n_classes") - 1))).select(F.concat(name, F.lit("_"), "class_id", F.lit(".png")).alias("path_name"), name.alias("image_id"), "class_id")
+    return LY.layer_cells(drawn, chosen)
+
+
+@query("read_mask_images", with_views(O.PX) + """
+  SELECT DISTINCT 'img' || image_id AS image_id, y, x, k.k AS class_id, 1e0 AS v, bool_or(class_id = 0) OVER (PARTITION BY image_id, y, x) AS dont_care
+  FROM px, (SELECT unnest([0, 9, 17]) AS k) k WHERE k.k = [0, 9, 17][class_id + 1]""")
+def read_mask_images(spark, sf):
+    """Classes 0, 9 and 17 as bits of three bytes; bit 0 doubles as the ambiguity flag."""
+    bits = F.element_at(F.array(F.lit(0), F.lit(9), F.lit(17)), F.col("class_id") + 1)
+    bytes_ = V.gt_cells(spark, sf).withColumns({"c": F.floor(bits / 8).cast("int"), "byte": F.pow(F.lit(2), bits % 8)}).groupBy("image_id", "y", "x", "c").agg(F.sum("byte").alias("byte"))
+    return LY.mask_cells(rasters(bytes_, V.images(spark, sf), ["image_id"], 3), 18, 0)
+
+
+@query("read_channel_images", with_views(O.PX, O.IMAGES, O.INTENSITY) + """,
+  dense AS (SELECT image_id, y, CAST(unnest(range(0, width)) AS INT) AS x, c FROM (SELECT image_id, width, CAST(unnest(range(0, height)) AS INT) AS y FROM images), (SELECT CAST(c AS INT) AS c FROM range(3) r(c)) k)
+  SELECT 'img' || image_id AS image_id, y, x, c, round(least(coalesce(v, 0), 1) * 255) / 255 AS v FROM dense LEFT JOIN inten USING (image_id, y, x, c)""", rounded=["v"])
+def read_channel_images(spark, sf):
+    """Colour images, every pixel and channel."""
+    bytes_ = V.intensity(spark, sf).withColumn("byte", F.round(F.least("v", F.lit(1e0)) * 255))
+    return LY.channel_values(rasters(bytes_, V.images(spark, sf), ["image_id"], 3))

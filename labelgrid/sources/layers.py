@@ -93,14 +93,38 @@ def page_extents(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
     return training_images(decoded(spark, folder, "*.[jJ][pP][gG]")).select(_image_id().alias("image_id"), "height", "width", F.lit(n_classes).alias("n_classes"))
 
 
+def layer_cells(images: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Cells (grey / 255) of decoded layer ``images`` by ``chosen (path_name, image_id, class_id)``; a layer may serve several images."""
+    pixels = strips(images).mapInPandas(_per_strip(_grey_pixels), "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
+    return pixels.join(chosen, "path_name").select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
+
+
+def mask_cells(images: DataFrame, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
+    """Cells of decoded ``images`` whose bits are classes, low byte first; optional ambiguity flag."""
+    masks = strips(images).mapInPandas(_per_strip(_mask_pixels), "path string, y int, x int, mask int").withColumn("image_id", _image_id())
+    flag = F.lit(False) if dont_care_bit is None else F.getbit("mask", F.lit(dont_care_bit)) == 1
+    return masks.select("image_id", "y", "x", flag.alias("dont_care"), "mask", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_id")).where(
+        F.getbit("mask", F.col("class_id")) == 1
+    ).select("image_id", "y", "x", "class_id", F.lit(1e0).alias("v"), "dont_care")
+
+
+def channel_values(images: DataFrame, rate: int = 1) -> DataFrame:
+    """Dense channels of decoded ``images`` (blue, green, red; grey repeated), area-averaged if ``rate > 1``."""
+    from labelgrid.operators.pixels import downsample
+
+    rows = strips(images).mapInPandas(_per_strip(_channel_pixels), "path string, y int, x int, c int, v double")
+    out = rows.select(_image_id().alias("image_id"), "y", "x", "c", "v")
+    return downsample(out, rate) if rate > 1 else out
+
+
 def _layer_cells(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Cells of the first existing file per (image, class); ``wanted (path_name, image_id, class_id, priority)``."""
+    """Cells of the first existing file per (image, class); ``wanted (path_name, image_id, class_id, priority)``.
+
+    Names are settled on the listing, which reads no file.
+    """
     files = spark.read.format("binaryFile").load(folder).select(file_name(F.col("path")).alias("path_name"))
     chosen = files.join(wanted, "path_name").groupBy("image_id", "class_id").agg(F.min(F.struct("priority", "path_name")).alias("m")).select("image_id", "class_id", F.col("m.path_name").alias("path_name"))
-    images = decoded(spark, folder, "*_*").withColumn("path_name", file_name(F.col("path")))
-    picked = images.join(chosen.select("path_name").distinct(), "path_name", "left_semi").drop("path_name")
-    pixels = strips(picked).mapInPandas(_per_strip(_grey_pixels), "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
-    return pixels.join(chosen, "path_name").select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
+    return layer_cells(decoded(spark, folder, "*_*"), chosen)
 
 
 def _names(images: DataFrame, classes: DataFrame, exts: list[str], both_forms: bool) -> DataFrame:
@@ -140,22 +164,12 @@ def read_numbered_layers(spark: SparkSession, folder: str, n_classes: int) -> Da
 def read_bit_indexed(spark: SparkSession, folder: str, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
     """``<stem>.png`` whose bits are classes, low byte first; optional ambiguity flag."""
     stems = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(_image_id().alias("image_id"))
-    pngs = decoded(spark, folder, "*.[pP][nN][gG]").withColumn("image_id", _image_id())
-    labels = pngs.join(stems, "image_id", "left_semi").drop("image_id")
-    masks = strips(labels).mapInPandas(_per_strip(_mask_pixels), "path string, y int, x int, mask int").withColumn("image_id", _image_id())
-    flag = F.lit(False) if dont_care_bit is None else F.getbit("mask", F.lit(dont_care_bit)) == 1
-    return masks.select("image_id", "y", "x", flag.alias("dont_care"), "mask", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_id")).where(
-        F.getbit("mask", F.col("class_id")) == 1
-    ).select("image_id", "y", "x", "class_id", F.lit(1e0).alias("v"), "dont_care")
+    return mask_cells(decoded(spark, folder, "*.[pP][nN][gG]"), n_classes, dont_care_bit).join(stems, "image_id", "left_semi")
 
 
 def read_intensity(spark: SparkSession, folder: str, rate: int = 1) -> DataFrame:
     """Dense channels of the training images (blue, green, red; grey repeated), area-averaged if ``rate > 1``."""
-    from labelgrid.operators.pixels import downsample
-
-    rows = strips(training_images(decoded(spark, folder, "*.[jJ][pP][gG]"))).mapInPandas(_per_strip(_channel_pixels), "path string, y int, x int, c int, v double")
-    out = rows.select(_image_id().alias("image_id"), "y", "x", "c", "v")
-    return downsample(out, rate) if rate > 1 else out
+    return channel_values(training_images(decoded(spark, folder, "*.[jJ][pP][gG]")), rate)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

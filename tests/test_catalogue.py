@@ -37,7 +37,8 @@ def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
     sql = entry.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # compared with brute force in other tests, see README
+        assert name in ("wer", "training_sample", "pipeline") or name.startswith("op")
         assert df.count() > 0
         return
     cur = con.execute(sql)
