@@ -32,17 +32,25 @@ def write_indexed(cells: DataFrame, path: str, enum: bool = False) -> None:
 
 
 def prediction_lines(coords: DataFrame, cells: DataFrame) -> DataFrame:
-    """``x<TAB>y<TAB>class+1`` for each requested pixel."""
-    return lookup(coords, argmax_cells(cells)).select("image_id", F.concat_ws("\t", "x", "y", F.col("class_id") + 1).alias("value"))
+    """``x<TAB>y<TAB>class+1`` for each requested pixel; a ``pos`` column, the order of requests, is kept."""
+    kept = ["image_id", "pos"] if "pos" in coords.columns else ["image_id"]
+    return lookup(coords, argmax_cells(cells)).select(*kept, F.concat_ws("\t", "x", "y", F.col("class_id") + 1).alias("value"))
 
 
 def write_predictions_txt(coords: DataFrame, cells: DataFrame, path: str) -> None:
-    prediction_lines(coords, cells).repartition("image_id").write.mode("overwrite").partitionBy("image_id").text(path)
+    """Text lines ``image<TAB>x<TAB>y<TAB>class+1`` by image and order of request, in files of any number of images.
+
+    Range partitions split a page with very many requests, and there is no folder per page.
+    """
+    lines = prediction_lines(coords, cells)
+    order = ["image_id", "pos"] if "pos" in lines.columns else ["image_id", "value"]
+    told = lines.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws("\t", "image_id", "value").alias("value"))
+    told.write.mode("overwrite").text(path)
 
 
 def write_transcript(pages: DataFrame, path: str) -> None:
-    """``page_id, text`` as text, one folder per page."""
-    pages.select("page_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page_id").text(path)
+    """``page_id, text`` as JSON lines in page order: texts hold line breaks, and a folder per page would mean millions of folders."""
+    pages.select("page_id", "text").repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").json(path)
 
 
 PART_STEPS = 100_000

@@ -46,18 +46,18 @@ def log_threshold(file: Column) -> Column:
 
 
 # fixed positions, counted from the end of a validation log
-OVERALL_LINE, CLASS_F_LINES, CLASS_ACCURACY_LINES = 2, (28, 32), (34, 38)
+OVERALL_LINE, OVERLAP_LINE, CLASS_F_LINES, CLASS_ACCURACY_LINES = 2, 3, (28, 32), (34, 38)
 
 
 def parse_validation_logs(logs: DataFrame) -> DataFrame:
-    """Per log: threshold, overall F (``class`` NULL) and per-class F and accuracy, by line position from the end."""
+    """Per log: threshold, overall and overlap F (``class`` NULL) and per-class F and accuracy, by line position from the end."""
     text = F.regexp_replace("value", "\n\\z", "")
     lines = logs.select("file", log_threshold(F.col("file")).alias("threshold"), F.posexplode(F.reverse(F.split(text, "\n"))).alias("p", "line"))
     at = F.col("p") + 1
-    kind = F.when(at == OVERALL_LINE, "overall_f1").when(at.between(*CLASS_F_LINES), "f1").when(at.between(*CLASS_ACCURACY_LINES), "accuracy")
+    kind = F.when(at == OVERALL_LINE, "overall_f1").when(at == OVERLAP_LINE, "overlap_f1").when(at.between(*CLASS_F_LINES), "f1").when(at.between(*CLASS_ACCURACY_LINES), "accuracy")
     words = F.split("line", " ")
     return lines.withColumn("kind", kind).where("kind IS NOT NULL").select(
-        "file", "threshold", "kind", F.when(F.col("kind") != "overall_f1", words[0]).alias("class"), F.element_at(words, -1).try_cast("double").alias("value"),
+        "file", "threshold", "kind", F.when(~F.col("kind").isin("overall_f1", "overlap_f1"), words[0]).alias("class"), F.element_at(words, -1).try_cast("double").alias("value"),
     )
 
 

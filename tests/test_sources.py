@@ -173,14 +173,15 @@ def test_sinks(spark, tmp_path):
     K.write_indexed(df, str(tmp_path / "enum"), enum=True)
     assert {r["image_id"]: r["mask"] for r in spark.read.parquet(str(tmp_path / "masks")).collect()} == {"i": 3, "j": 2}
     assert {r["image_id"]: r["class_id"] for r in spark.read.parquet(str(tmp_path / "enum")).collect()} == {"i": 1, "j": 1}
-    coords = spark.createDataFrame([("i", 0, 0), ("i", 9, 9)], "image_id string, y int, x int")
+    coords = spark.createDataFrame([("i", 9, 9, 0), ("i", 0, 0, 1), ("h", 1, 1, 2)], "image_id string, y int, x int, pos int")
     K.write_predictions_txt(coords, df, str(tmp_path / "txt"))
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "txt")).collect()) == ["0\t0\t2", "9\t9\t1"]
+    files = sorted((tmp_path / "txt").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == ["h\t1\t1\t1", "i\t9\t9\t1", "i\t0\t0\t2"]
     hist = spark.createDataFrame([("r", 2, 0.5), ("r", 1, 0.25)], "run_id string, step int, loss double")
     K.write_run_history(hist, ["loss"], str(tmp_path / "hist"))
     assert json.loads(spark.read.text(str(tmp_path / "hist")).first()["value"]) == {"loss": [0.25, 0.5]}
     parts = {r["part"]: json.loads(r["value"])["loss"] for r in K.history_json(hist, ["loss"], part_steps=2).collect()}
     assert parts == {0: [0.25], 1: [0.5]}
     K.write_transcript(spark.createDataFrame([("p", "a b")], "page_id string, text string"), str(tmp_path / "tr"))
-    assert spark.read.text(str(tmp_path / "tr")).first()["value"] == "a b"
+    assert spark.read.json(str(tmp_path / "tr")).first()["text"] == "a b"
     assert K.layer_values(df).agg(F.max("grey")).first()[0] == 255
