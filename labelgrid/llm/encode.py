@@ -87,8 +87,7 @@ class Encoder:
 
     def learn(self, texts: list[str], hashes: np.ndarray) -> None:
         """Encode new pieces and add them to the sorted table of known ones."""
-        if len(self.hashes) + len(texts) > self.keep:
-            self.parts = {}
+        self.parts = {}  # words of this call's pieces, which differ in marks or case only
         found = [self.plain(self.form, match) if self.form and (match := PLAIN.fullmatch(x)) else self.full(x) for x in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         places = len(self.values) + np.cumsum(sizes) - sizes

@@ -19,7 +19,7 @@ from labelgrid.llm.words import pieces
 
 END_ID = 2
 MAX_LENGTH = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def binary_pieces(total: int, max_length: int = MAX_LENGTH) -> list[int]:

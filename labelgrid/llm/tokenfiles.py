@@ -33,8 +33,8 @@ MAGIC = b"LGTOKEN1"
 HEADER = "<8s5q"
 END_ID = 2
 SHARD_IDS = 1 << 22
-BATCH_BYTES = 4 << 20
-BUCKET_KEYS = 1 << 14
+BATCH_BYTES = 2 << 20
+BUCKET_KEYS = 1 << 11
 GAMMA = 2.0
 
 
@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_file: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array([shard_bytes(part, number, keys, nulls, lengths, ids, id_bytes)], pa.binary())], names=["shard"])
 
         size = 0
-        for batch in pieces(batches, "text", BATCH_BYTES):
+        for batch in pieces(batches, "text", min(BATCH_BYTES, 2 * shard_ids)):
             ids, offsets = encode(batch.column("text"))
             keys = batch.column("doc_id")
             held.append((keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), ids))

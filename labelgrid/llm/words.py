@@ -100,7 +100,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = S
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
