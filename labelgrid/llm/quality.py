@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logistic
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
     if found["quality"].nunique() < 2:
         return None
-    return Logistic(figures(pa.array(found["text"], pa.string())), found["quality"].to_numpy(float))
+    texts = pa.RecordBatch.from_arrays([pa.array(found["text"], pa.string())], names=["text"])
+    return Logistic(np.concatenate([figures(part.column("text")) for part in pieces([texts], "text", SLICE_BYTES // 4)]), found["quality"].to_numpy(float))
 
 
 def evidence(docs: DataFrame, model: Logistic | None, host: str, path: str) -> DataFrame:
