@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelgrid.llm.shared import about
 from labelgrid.llm.words import U64, flat, pieces, word_hashes, word_spans
 
 TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 600, 50_000, 1500
@@ -368,8 +369,11 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
 
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
     """Train on at most ``most`` pages of at most TRAIN_CHARS characters, those of the smallest hash."""
-    chosen = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= TRAIN_CHARS).orderBy(F.xxhash64("html"), "html").limit(most)
-    return train([r.html for r in chosen.collect()])
+    usable = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= TRAIN_CHARS).withColumn("h", F.xxhash64("html"))
+    # Hashes first, so that only the chosen pages travel.
+    chosen = [r.h for r in about(usable.select("h"), most, "h").distinct().orderBy("h").limit(most).collect()]
+    found = usable.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    return train([r.html for r in found.collect()])
 
 
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:

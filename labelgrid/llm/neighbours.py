@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import saved
+from labelgrid.llm.shared import about, saved
 
 FIT_ROWS = 20_000
 SAMPLE_QUERIES = 256
@@ -115,7 +115,7 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = K
     good = usable(vectors).groupBy("vec_id").agg(F.max("x").alias("x"))
     good = saved(good, "vectors")
     shape = "query_id long, rank int, vec_id long, score double"
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
+    sample = about(good, fit_rows, "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
     if sample.empty:
         return spark.createDataFrame([], shape)
     dim = int(sample["x"].map(len).mode()[0])

@@ -51,6 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def about(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """A sample of at least ``most`` rows, some times as many on average, by a hash of ``key``; all rows of a small table.
+
+    Put before ``orderBy().limit()`` of a sample, so that what tasks send for it does not grow with their number.
+    """
+    share = min(1.0, (4 * most + 1000) / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
