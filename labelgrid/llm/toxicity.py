@@ -193,6 +193,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network | None
     seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(words.firsts)) * len(words.hashes) + words.codes)
     net = Network(words.hashes[np.bincount(seen % len(words.hashes), minlength=len(words.hashes)) >= 3], seed)
     known, rng = net.known(words.hashes), np.random.default_rng(seed)
+    # Scored in parts, as later texts are: gates of all distinct words at once would take the driver's memory.
+    parts = [p.column("text") for p in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text", SLICE_BYTES // 4)]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
@@ -200,7 +202,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network | None
             order = rng.permutation(len(starts))
             most = 3
         else:
-            logits, _ = net.window_logits(words)
+            logits = np.concatenate([net.window_logits(Words(part))[0] for part in parts])
             order = np.argsort(-logits, kind="stable")
             most = 2
         order = order[np.argsort(rows[order], kind="stable")]
