@@ -4,11 +4,11 @@
    one set form a class (grouped by hash, pre-aggregated); only the smallest doc_id of a class goes on.
 2. The signature is cut into ``TREES`` labels of ``DEPTH`` minima. For each tree all labels are sorted across the cluster (range
    partitions, so a hot region is spread like any other). Candidates are neighbours in this order whose longest common prefix is at least
-   ``SHALLOW`` minima, up to ``NEAR`` places apart: where a region is thin that is everyone who shares the shallow prefix, where it is dense it
-   is those that share the deepest. Rows at the seams of partitions are paired in a second small step.
+   ``SHALLOW`` minima. In a region of at most ``NEAR + 1`` classes that is everyone; in a dense one it is the next in order, which shares the
+   deepest prefix there is, in the first ``CHAINS`` trees. Rows at the seams of partitions are paired in a second small step.
 3. Candidates are confirmed on full sets, best estimates first: in each round every class takes its best candidate outside its
    present component, so a family of n near copies costs about n confirmations rather than n * n. The last round confirms all that remain.
-4. The exact way for the rest: the neighbour distance caps candidates only in regions of more than ``NEAR + 1`` classes. Where such a region
+4. The exact way for the rest: candidates are capped only in regions of more than ``NEAR + 1`` classes. Where such a region
    still holds more than one component, all its pairs across components whose signatures allow the threshold are compared, block by block,
    and confirmed likewise. Regions that became one component need nothing: further links in them change no component.
 
@@ -30,7 +30,7 @@ from labelgrid.llm.words import BASES, U64, Runs, flat, mix, pieces, windows, wo
 
 SHINGLE = 5
 SIMILAR = (75, 100)
-TREES, DEPTH, SHALLOW, NEAR = 18, 7, 3, 4
+TREES, DEPTH, SHALLOW, NEAR, CHAINS = 18, 7, 3, 4, 6
 BLOCK_ROWS = 512
 ROUNDS = 3
 SLICE_BYTES = 4 << 20
@@ -95,7 +95,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """One row for each class and tree: region (hash of tree and shallow prefix), label (big-endian, so bytes sort like numbers), node, code (a byte of each minimum)."""
+    """One row for each class and tree: tree, region (hash of tree and shallow prefix), label (big-endian, so bytes sort like numbers), node, code (a byte of each minimum)."""
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +108,11 @@ def forest_rows(classes: DataFrame) -> DataFrame:
                     at = np.arange(part.num_rows) * (SHALLOW + 1)
                     region = shallow.of(at, at + SHALLOW + 1).view(np.int64)
                     labels = [s.tobytes() for s in signs[:, t, SHALLOW:].astype(">u4")]
-                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(labels, pa.binary()), part.column("node"), pa.array(codes, pa.binary())], names=["region", "label", "node", "code"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(part.num_rows, t, np.int32)), pa.array(region), pa.array(labels, pa.binary()), part.column("node"), pa.array(codes, pa.binary())], names=["tree", "region", "label", "node", "code"]
+                    )
 
-    return classes.select("node", "signature").mapInArrow(rows, "region long, label binary, node long, code binary")
+    return classes.select("node", "signature").mapInArrow(rows, "tree int, region long, label binary, node long, code binary")
 
 
 def alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,11 +124,11 @@ def alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def neighbour_pairs(forest: DataFrame) -> DataFrame:
     """Candidate pairs a < b with their estimate, from the sorted order of every tree; equal pairs are merged."""
 
-    def pairs_of(region: np.ndarray, node: np.ndarray, codes: np.ndarray, split: int = -1) -> pa.RecordBatch:
-        """Pairs up to NEAR places apart; with ``split`` only those on both sides of that place."""
+    def pairs_of(region: np.ndarray, reach: np.ndarray, node: np.ndarray, codes: np.ndarray, split: int = -1) -> pa.RecordBatch:
+        """Pairs up to ``reach`` places apart; with ``split`` only those on both sides of that place."""
         left, right = [], []
         for k in range(1, NEAR + 1):
-            i = np.flatnonzero(region[k:] == region[:-k])
+            i = np.flatnonzero((region[k:] == region[:-k]) & (reach[k:] >= k))
             if split >= 0:
                 i = i[(i < split) & (i + k >= split)]
             left.append(i)
@@ -139,7 +141,7 @@ def neighbour_pairs(forest: DataFrame) -> DataFrame:
 
     def opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, TREES * DEPTH)
-        return batch.column("region").to_numpy(), batch.column("node").to_numpy(), codes
+        return batch.column("region").to_numpy(), batch.column("reach").to_numpy(), batch.column("node").to_numpy(), codes
 
     def along(batches) -> Iterator[pa.RecordBatch]:
         """Pairs inside a partition, and its first and last rows (kind 1) for the seams."""
@@ -163,21 +165,22 @@ def neighbour_pairs(forest: DataFrame) -> DataFrame:
         if tail is not None:
             yield seam(part, max(seen - len(tail[0]), 0) + (1 << 40), tail)
 
-    names = ["kind", "part", "place", "region", "node", "code", "a", "b", "share"]
+    names = ["kind", "part", "place", "region", "reach", "node", "code", "a", "b", "share"]
 
     def framed(pairs: pa.RecordBatch) -> pa.RecordBatch:
         n, none = pairs.num_rows, pa.nulls
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary()), *pairs.columns], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.binary()), *pairs.columns], names=names)
 
     def seam(part: int, place: int, rows) -> pa.RecordBatch:
-        region, node, codes = rows
+        region, reach, node, codes = rows
         n, none = len(region), pa.nulls
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, part)), pa.array(place + np.arange(n)), pa.array(region), pa.array(node), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float32())], names=names
+            [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, part)), pa.array(place + np.arange(n)), pa.array(region), pa.array(reach), pa.array(node), pa.array([c.tobytes() for c in codes], pa.binary()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float32())], names=names
         )
 
-    kinds = "kind int, part long, place long, region long, node long, code binary, a long, b long, share float"
-    found = saved(forest.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node").select("region", "node", "code").mapInArrow(along, kinds), "forest")
+    kinds = "kind int, part long, place long, region long, reach int, node long, code binary, a long, b long, share float"
+    reach = F.when(F.col("size") <= NEAR + 1, NEAR).when(F.col("tree") < CHAINS, 1).otherwise(0).alias("reach")
+    found = saved(forest.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node").select("region", reach, "node", "code").mapInArrow(along, kinds), "forest")
 
     def across(batches) -> Iterator[pa.RecordBatch]:
         """A few rows of every partition, in order: pairs whose two sides lie in different partitions."""
@@ -187,8 +190,8 @@ def neighbour_pairs(forest: DataFrame) -> DataFrame:
             yield pairs_of(*opened(table))
 
     # At most 2 * NEAR rows of each partition. Pairs within a partition come up again and are merged with those found before.
-    seams = found.where("kind = 1").groupBy("part", "region", "node").agg(F.min("place").alias("place"), F.first("code").alias("code"))
-    joins = seams.repartition(1).sortWithinPartitions("part", "place").select("region", "node", "code").mapInArrow(across, "a long, b long, share float")
+    seams = found.where("kind = 1").groupBy("part", "region", "reach", "node").agg(F.min("place").alias("place"), F.first("code").alias("code"))
+    joins = seams.repartition(1).sortWithinPartitions("part", "place").select("region", "reach", "node", "code").mapInArrow(across, "a long, b long, share float")
     return found.where("kind = 0").select("a", "b", "share").unionByName(joins).groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
@@ -235,9 +238,9 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return ends.join(names.withColumnRenamed("name", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
-def rest_pairs(forest: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_pairs(forest: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs across components in regions of more than NEAR + 1 classes, by blocks of about BLOCK_ROWS classes against each other."""
-    big = forest.join(sizes.where(F.col("size") > NEAR + 1), "region").join(labels, "node")
+    big = forest.where(F.col("size") > NEAR + 1).join(labels, "node")
     open_ = big.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("region")
     dealt = big.join(open_, "region").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -293,11 +296,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = first.groupBy(F.col("doc_id").alias("node")).agg(F.max("signature").alias("signature"))
     all_rows = saved(forest_rows(classes), "regions")
     sizes = saved(all_rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "region-sizes")
-    forest = saved(all_rows.join(sizes.select("region"), "region", "left_semi"), "shared-regions")
+    forest = saved(all_rows.join(sizes, "region"), "shared-regions")
     pairs = saved(neighbour_pairs(forest), "pairs")
     labels = saved(forest.select("node").distinct().withColumn("component", F.col("node")), "labels")
     labels = settle(labels, pairs, chosen)
-    labels = settle(labels, saved(rest_pairs(forest, sizes, labels), "rest"), chosen)
+    labels = settle(labels, saved(rest_pairs(forest, labels), "rest"), chosen)
     of_set = one_set.join(labels, "node", "left").select("low", "high", F.coalesce("component", "node").alias("of_set"))
     # Rows that share a doc_id are one document: the smallest of their components, which the others then take as well.
     joined = every.join(of_set, ["low", "high"], "left")
@@ -312,8 +315,9 @@ def settle(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return labels
     sets = saved(set_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingle-sets")
     for turn in range(ROUNDS + 1):
-        named = pairs.join(labels.withColumnsRenamed({"node": "a", "component": "x"}), "a").join(labels.withColumnsRenamed({"node": "b", "component": "y"}), "b").where("x <> y")
-        named = saved(named.select("a", "b", "share", "x", "y"), "open-pairs")
+        left, right = (labels.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "x"), ("to", "y")))
+        named = pairs.join(left, "a").join(right, (F.col("b") == F.col("to")) & (F.col("x") != F.col("y")))
+        named = saved(named.select("a", "b", "share"), "open-pairs")
         if named.isEmpty():
             break
         if turn < ROUNDS:
