@@ -112,9 +112,11 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         w1, w2 = (r.of(at, at + window).view(np.int64) for r in p.runs) if len(at) else (np.zeros(0, np.int64),) * 2
         yield pa.RecordBatch.from_arrays([*take(batch, p.rows[some]), pa.array(p.places[some]), pa.array(w1), pa.array(w2)], names=["doc_id", "text_key", "start", "w1", "w2"])
 
-    single = saved(scan(docs, singles, "doc_id long, text_key long, start long, w1 long, w2 long", window, gram), "windows")
+    # Read twice rather than kept: hashing is cheap, and single windows are the largest rows of all.
+    single = scan(docs, singles, "doc_id long, text_key long, start long, w1 long, w2 long", window, gram)
     earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     again = single.join(earliest, ["w1", "w2"]).where("doc_id > source").select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("size"), "source")
+    again = saved(again, "repeats")
     whole = judged.where("doc_id > source").select("doc_id", "text_key", "start", "size", "source")
     return whole.unionByName(again)
 
