@@ -6,6 +6,8 @@ A column is taken as one byte buffer with row offsets. Hashes of words and of ru
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +75,17 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker that waits for its next task would keep the size of its last one."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def pieces(batches, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Record batches with at most about ``most`` bytes of text each; a longer single row stays whole."""
+    """Record batches with at most about ``most`` bytes of text each; a longer single row stays whole. Memory is given back after each."""
     for batch in batches:
         sizes = np.diff(flat(batch.column(column))[1])
         at = 0
@@ -82,6 +93,7 @@ def pieces(batches, column: str, most: int) -> Iterator[pa.RecordBatch]:
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
             yield batch.slice(at, n)
             at += n
+            release()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
