@@ -2,9 +2,10 @@
 
 Words are canonicalised one by one: outer punctuation goes, numbers, names (words of one capital and small letters) and units become typed
 placeholders, all else is compared in lower case. Windows of ``WINDOW`` canonical words are hash-joined between benchmark and documents;
-windows with too few plain words say nothing and are left out. Matches of one item in one document are grouped by their offset, and the
-slots are checked: whatever stands in the item's placeholders must go over to the document's by one mapping, the same filler always
-becoming the same filler. So a question asked again with other numbers or names is caught, and a chance mixture of windows is not.
+windows with too few plain words say nothing and are left out. A window with names is joined a second time with the names spelt out in lower
+case, so that case decides nothing. Matches of one item in one document are grouped by their offset, and the slots are checked: what stands
+in the item's placeholders must go over to the document's by one mapping. So a
+question asked again with other numbers or names is caught, and a chance mixture of windows is not.
 
 Document windows that cannot occur in the benchmark are dropped where they are read, by a bitmap of the benchmark's window hashes whose size
 is bounded: a larger benchmark only lets more windows through to the join, which decides. Each benchmark window is repeated
@@ -18,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.shared import bit_filter, passes, saved
-from labelgrid.llm.words import LOWER, U64, Runs, flat, pieces, windows, word_hashes, word_spans
+from labelgrid.llm.words import U64, Runs, flat, pieces, windows, word_hashes, word_spans
 
 WINDOW = 8
 PLAIN_WORDS = 4
 COVERAGE = 0.5
+WORDS = 13
 SALTS = 16
 SLICE_BYTES = 4 << 20
 
@@ -37,6 +40,7 @@ UNIT_WORDS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gra
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 NUMERIC = np.array([c < 128 and (chr(c).isdigit() or chr(c) in ".,:/-") for c in range(256)])
 DIGIT = np.array([48 <= c < 58 for c in range(256)])
+STOP = np.array([chr(c) in ".!?" for c in range(256)])
 CAPITAL = np.array([65 <= c < 91 for c in range(256)])
 NUMBER, NAME, UNIT = U64(0x9D8C2B7E11F3A501), U64(0x5B1F7C3D99E24A03), U64(0x2E6A90D4C7B81F05)
 
@@ -46,64 +50,130 @@ def list_hashes(words: list[str]) -> np.ndarray:
     return word_hashes(data, offsets[:-1], offsets[1:], lower=True)
 
 
-def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical value and filler (hash of the bare word in lower case) of every word of every row, and each row's first word."""
+def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical value and filler (hash of the bare word in lower case) of every word of every row, each row's first word, and which words start a sentence."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     data, offsets = flat(column)
     starts, ends, firsts = word_spans(data, offsets)
-    while len(starts) and (more := (starts < ends - 1) & PUNCTUATION[data[starts]]).any():
-        starts = starts + more
-    while len(starts) and (more := (starts < ends - 1) & PUNCTUATION[data[ends - 1]]).any():
-        ends = ends - more
-    filler = word_hashes(data, starts, ends, lower=True)
+    raw_ends = ends
+    starts, ends = bare(data, starts, ends)
+    low, low_offsets = flat(pc.utf8_lower(column.cast(pa.large_string())))  # the same words: only ASCII space parts them
+    low_starts, low_ends, _ = word_spans(low, low_offsets)
+    filler = word_hashes(low, *bare(low, low_starts, low_ends))
+    opens = np.zeros(len(filler), bool)
     if not len(filler):
-        return filler, filler, firsts
+        return filler, filler, firsts, opens
     count = lambda kind: np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
-    numeric, capitals, lead = count(NUMERIC), count(CAPITAL), data[starts]
+    numeric, capitals, stops, lead = count(NUMERIC), count(CAPITAL), count(STOP), data[starts]
     size = ends - starts
     accent = (lead == 0xC3) & (data[np.minimum(starts + 1, len(data) - 1)] >= 0x80) & (data[np.minimum(starts + 1, len(data) - 1)] <= 0x9E)
     name = (CAPITAL[lead] & (capitals[ends] - capitals[starts] == 1) & (size > 1)) | (accent & (capitals[ends] - capitals[starts] == 0) & (size > 2))
     number = DIGIT[lead] & (numeric[ends] - numeric[starts] == size)
     number |= np.isin(filler, list_hashes(NUMBER_WORDS))
     unit = np.isin(filler, list_hashes(UNIT_WORDS))
-    return np.select([number, unit, name], [NUMBER, UNIT, NAME], filler), filler, firsts
+    opens[1:] = stops[raw_ends[:-1]] > stops[ends[:-1]]
+    opens[firsts[:-1][firsts[:-1] < len(opens)]] = True
+    return np.select([number, unit, name], [NUMBER, UNIT, NAME], filler), filler, firsts, opens
+
+
+def bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without outer punctuation."""
+    while len(starts) and (more := (starts < ends - 1) & PUNCTUATION[data[starts]]).any():
+        starts = starts + more
+    while len(starts) and (more := (starts < ends - 1) & PUNCTUATION[data[ends - 1]]).any():
+        ends = ends - more
+    return starts, ends
 
 
 def template_windows(column: pa.Array, size: int = WINDOW, plain: int = PLAIN_WORDS):
-    """Start word, hash and row of every window that has enough plain words, the fillers of all words, and each row's first word."""
-    values, filler, firsts = canonical(column)
+    """Start word, hash and row of every window that has enough plain words, its values and fillers, and whether it is a template.
+
+    A window with names is there twice: as a template, and with its names as the plain words they are, in lower case. So a copy in
+    another case, in which names can't be told, still meets one of the two.
+    """
+    values, filler, firsts, opens = canonical(column)
+    spelt = np.where(values == NAME, filler, values)
     at = windows(firsts, size)
-    free = np.concatenate([[0], np.cumsum(values == filler)])
-    at = at[free[at + size] - free[at] >= plain]
-    hashes = Runs(values).of(at, at + size) if len(at) else np.zeros(0, U64)
+    found = []
+    for kind, own in ((True, values), (False, spelt)):
+        free = np.concatenate([[0], np.cumsum(own == filler)])
+        use = at[free[at + size] - free[at] >= plain]
+        found.append((use, Runs(own).of(use, use + size) if len(use) else np.zeros(0, U64), slots_of(use, own, filler, opens, size), np.full(len(use), kind)))
+    names = np.concatenate([[0], np.cumsum(values == NAME)])
+    use = found[1][0]
+    twice = names[use + size] > names[use]  # without names both are the same
+    found[1] = tuple(x[twice] for x in found[1])
+    at, hashes, slots, template = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = np.searchsorted(firsts, at, "right") - 1
-    return at, hashes.view(np.int64), rows, (values, filler, firsts)
+    return at, hashes.view(np.int64), rows, slots, template, firsts
 
 
-def slots_of(at: np.ndarray, values: np.ndarray, filler: np.ndarray, size: int) -> pa.Array:
-    """Fillers of the placeholders of each window; a plain word's place holds 0."""
+def slots_of(at: np.ndarray, values: np.ndarray, filler: np.ndarray, opens: np.ndarray, size: int) -> np.ndarray:
+    """Fillers of the placeholders of each window; a plain word's place holds 0. The last bit tells names within a sentence."""
     span = at[:, None] + np.arange(size)
-    held = np.where(values[span] == filler[span], U64(0), filler[span]).view(np.int64)
-    return pa.ListArray.from_arrays(np.arange(0, held.size + 1, size, dtype=np.int32), pa.array(held.ravel()))
+    strict = (values == NAME) & ~opens
+    marked = np.where(strict, filler | U64(1), filler & ~U64(1))
+    return np.where(values[span] == filler[span], U64(0), marked[span]).view(np.int64)
+
+
+def lists(held: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, held.size + 1, held.shape[1], dtype=np.int32), pa.array(held.ravel()))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """item_id, item_pos, window, item_slots, item_windows: every template window of the benchmark, in positions without gaps."""
+    """item_id, item_pos, window, item_slots, counts, item_windows: every window of the benchmark, in positions without gaps.
+
+    ``counts``: the position is one of the item's ``item_windows``, those of its templates, or of all windows where it has no template.
+    """
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
-            at, hashes, of, (values, filler, firsts) = template_windows(batch.column("text"), size)
-            count = np.bincount(of, minlength=batch.num_rows)
+            at, hashes, of, slots, template, firsts = template_windows(batch.column("text"), size)
+            templates = np.bincount(of[template], minlength=batch.num_rows)
+            counted = np.isin(at, at[template]) | (templates[of] == 0)
+            count = np.bincount(of[template | (templates[of] == 0)], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(of)), pa.array(at - firsts[of]), pa.array(hashes), slots_of(at, values, filler, size), pa.array(count[of])],
-                names=["item_id", "item_pos", "window", "item_slots", "item_windows"],
+                [batch.column("item_id").take(pa.array(of)), pa.array(at - firsts[of]), pa.array(hashes), lists(slots), pa.array(counted), pa.array(count[of])],
+                names=["item_id", "item_pos", "window", "item_slots", "counts", "item_windows"],
             )
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
-    return items.mapInArrow(rows, "item_id long, item_pos long, window long, item_slots array<long>, item_windows long")
+    return items.mapInArrow(rows, "item_id long, item_pos long, window long, item_slots array<long>, counts boolean, item_windows long")
+
+
+def covered(starts, size: int) -> int:
+    """Words in the union of windows."""
+    total, end = 0, -1
+    for at in sorted(starts):
+        total += at + size - max(at, end)
+        end = at + size
+    return total
+
+
+def longest(starts, size: int) -> int:
+    """Words of the longest run of overlapping or touching windows."""
+    best, low, end = 0, 0, -1
+    for at in sorted(starts):
+        low = low if at <= end else at
+        end = at + size
+        best = max(best, end - low)
+    return best
+
 
+def agreeing(found: list[tuple[int, list[int], list[int]]], size: int) -> tuple[set[int], bool]:
+    """Item positions of the windows of one shift, none if a filler becomes two, and whether every filler stayed the same."""
+    pairs = {(x | 1, y | 1) for _, a, b in found for x, y in zip(a, b, strict=True) if x}
+    if len({x for x, _ in pairs}) < len(pairs):
+        return set(), True
+    return {at for at, _, _ in found}, all(x == y for x, y in pairs)
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, text_md5, item_id, matched and item_windows, coverage, same_words: each document that holds enough of a benchmark item.
+
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, text_md5, item_id, matched and item_windows, coverage, words, same_words: each document that holds enough of a benchmark item.
+
+    Enough is a share ``coverage`` of the item's windows; or ``words`` words in windows of one shift; or as many over several shifts, if
+    they are the share ``coverage`` of the item's words in windows. A window or word of either side counts once, however often the other
+    side repeats it.
 
     Rows without doc_id take part and are reported with null. Repeated rows are reported once for each doc_id and text. Null and empty texts,
     and texts or items of fewer than ``size`` words, match nothing. Items that repeat an item_id count with one text, the smallest. Empty
@@ -116,31 +186,57 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     def rows(batches) -> Iterator[pa.RecordBatch]:
         have = filter_bits.value
         for batch in pieces(batches, "text", SLICE_BYTES):
-            at, hashes, of, (values, filler, firsts) = template_windows(batch.column("text"), size)
+            at, hashes, of, slots, _, firsts = template_windows(batch.column("text"), size)
             hit = passes(have, hashes)
-            at, hashes, of = at[hit], hashes[hit], of[hit]
+            at, hashes, of, slots = at[hit], hashes[hit], of[hit], slots[hit]
             texts = batch.column("text")
             keys = {int(i): hashlib.md5(texts[int(i)].as_py().encode()).hexdigest() for i in np.unique(of)}
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(of)), pa.array([keys[i] for i in of.tolist()], pa.string()), pa.array(at - firsts[of]), pa.array(hashes), slots_of(at, values, filler, size)],
+                [batch.column("doc_id").take(pa.array(of)), pa.array([keys[i] for i in of.tolist()], pa.string()), pa.array(at - firsts[of]), pa.array(hashes), lists(slots)],
                 names=["doc_id", "text_md5", "pos", "window", "slots"],
             )
 
+    def fitting(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, found in enumerate(batch.column("found").to_pylist()):
+                kept, same = agreeing([(w["item_pos"], w["item_slots"], w["slots"]) for w in found], size)
+                counts = {w["item_pos"]: w["counts"] for w in found}
+                run = covered(kept, size)
+                out += [(row, at, counts[at], run, same) for at in sorted(kept)]
+            row, at, counts, run, same = zip(*out, strict=True) if out else ((),) * 5
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take) for c in one), pa.array(at, pa.int64()), pa.array(counts, pa.bool_()), pa.array(run, pa.int64()), pa.array(same, pa.bool_())], names=[*one, "item_pos", "counts", "run", "same"]
+            )
+
+    def summed(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ours, theirs = ([covered(x, size) for x in batch.column(c).to_pylist()] for c in ("items", "places"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_names), pa.array(map(min, ours, theirs), pa.int64())], names=[*kept_names, "words"])
+
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = chosen.mapInArrow(rows, "doc_id long, text_md5 string, pos long, window long, slots array<long>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("text_md5", "doc_id"), F.lit(SALTS)).cast("int"))
     spread = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = found.join(spread, ["window", "salt"])
-    one = ["doc_id", "text_md5", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")]
+    met = found.join(spread, ["window", "salt"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     # A shift pairs each window of the item with one of the document, so a group is no larger than the item.
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != 0)
-    runs = met.groupBy(*one).agg(F.countDistinct("item_pos").alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    fillers = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
-    same = F.forall("pairs", lambda p: p["a"] == p["b"])
-    fitting = runs.withColumn("same", same).where(F.size(fillers) == F.size("pairs"))
-    total = fitting.groupBy("doc_id", "text_md5", "item_id", "item_windows").agg(F.least(F.sum("n"), F.col("item_windows")).alias("matched"), F.min("same").alias("same_words"))
+    one = ["doc_id", "text_md5", "item_id", "item_windows", "shift"]
+    runs = met.groupBy(*one).agg(F.collect_set(F.struct("item_pos", "counts", "item_slots", "slots")).alias("found"))
+    fits = runs.mapInArrow(fitting, "doc_id long, text_md5 string, item_id long, item_windows long, shift long, item_pos long, counts boolean, run long, same boolean")
+    total = fits.groupBy(*one[:4]).agg(
+        F.least(F.count_if("counts"), F.col("item_windows")).alias("matched"),
+        F.collect_set("item_pos").alias("items"),
+        F.collect_set(F.col("item_pos") + F.col("shift")).alias("places"),
+        F.max("run").alias("run"),
+        F.min("same").alias("same_words"),
+    )
+    kept_names = [*one[:4], "matched", "run", "same_words"]
+    total = total.mapInArrow(summed, "doc_id long, text_md5 string, item_id long, item_windows long, matched long, run long, same_words boolean, words long")
+    lengths = items.groupBy("item_id").agg((F.countDistinct("item_pos") + size - 1).alias("item_words"))
     share = F.col("matched") / F.col("item_windows")
-    return total.where(share >= coverage).select("doc_id", "text_md5", "item_id", "matched", "item_windows", share.alias("coverage"), "same_words")
+    enough = (share >= coverage) | (F.col("run") >= words) | ((F.col("words") >= words) & (F.col("words") >= F.col("item_words") * coverage))
+    return total.join(lengths, "item_id").where(enough).select("doc_id", "text_md5", "item_id", "matched", "item_windows", share.alias("coverage"), "words", "same_words")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

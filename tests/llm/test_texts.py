@@ -206,6 +206,18 @@ def test_leaks(spark):
     assert got[0, 7].same_words and not got[1, 7].same_words and got[0, 7].coverage == 1.0
 
 
+def test_leaks_in_part_or_in_another_case(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdeéñ", k=rng.randint(4, 8)))
+    item = [w.capitalize() if rng.random() < 0.3 else w for w in (word() for _ in range(59))]
+    tens = [word() if k % 10 == 9 else w for k, w in enumerate(item)]
+    added = [w for k, w in enumerate(item) for w in ([word(), w] if k % 10 == 9 else [w])]
+    texts = [item[20:50], tens, added, [w.lower() for w in item], [w.upper() for w in item], item[:9], item[:8] + [word()] * 30 + item[40:44]]
+    assert {d for d, _ in leaks(spark, [" ".join(["before", *t, "after"]) for t in texts], [(7, " ".join(item))])} == {0, 1, 2, 3, 4}
+    titles = "The Quick Brown Fox Jumps Over The Lazy Dog Near The Quiet River Bank"
+    assert set(leaks(spark, [titles.lower(), titles], [(7, titles)])) == {(0, 7), (1, 7)}
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank"), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank")], "item_id long, text string")
     got = decontam.matches(awkward, items).collect()
