@@ -4,7 +4,7 @@ Words are canonicalised one by one: outer punctuation goes, numbers, names (word
 placeholders, all else is compared in lower case. Windows of ``WINDOW`` canonical words are hash-joined between benchmark and documents;
 windows with too few plain words say nothing and are left out. A window with names is joined a second time with the names spelt out in lower
 case, so that case decides nothing. Matches of one item in one document are grouped by their offset, and the slots are checked: what stands
-in the item's placeholders must go over to the document's by one mapping. So a
+in the item's placeholders goes over to the document's by one mapping, and windows against the mapping of the majority don't count. So a
 question asked again with other numbers or names is caught, and a chance mixture of windows is not.
 
 Document windows that cannot occur in the benchmark are dropped where they are read, by a bitmap of the benchmark's window hashes whose size
@@ -30,6 +30,7 @@ WINDOW = 8
 PLAIN_WORDS = 4
 COVERAGE = 0.5
 WORDS = 13
+QUOTE = 24
 SALTS = 16
 SLICE_BYTES = 4 << 20
 
@@ -160,12 +161,29 @@ def longest(starts, size: int) -> int:
     return best
 
 
-def agreeing(found: list[tuple[int, list[int], list[int]]], size: int) -> tuple[set[int], bool]:
-    """Item positions of the windows of one shift, none if a filler becomes two, and whether every filler stayed the same."""
-    pairs = {(x | 1, y | 1) for _, a, b in found for x, y in zip(a, b, strict=True) if x}
-    if len({x for x, _ in pairs}) < len(pairs):
-        return set(), True
-    return {at for at, _, _ in found}, all(x == y for x, y in pairs)
+def agreeing(found: list[tuple[int, list[int], list[int]]], size: int, quote: int = QUOTE) -> tuple[set[int], bool]:
+    """Item positions of the windows of one shift that keep to one mapping of fillers, and whether every filler stayed the same.
+
+    Each filler goes over to what most of its places hold (at a tie, to itself, then to the smaller hash); windows with another pair are left
+    out. Where a name within a sentence becomes two, the names don't tell the same story: only what stands there word for word counts,
+    and only in a run of ``quote`` words.
+    """
+    places: dict[tuple[int, int], set[int]] = {}
+    names: dict[int, set[int]] = {}
+    for at, a, b in found:
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x:
+                places.setdefault((x | 1, y | 1), set()).add(at + k)
+                if x & 1:
+                    names.setdefault(x, set()).add(y | 1)
+    same = {at for at, a, b in found if all(x | 1 == y | 1 for x, y in zip(a, b, strict=True) if x)}
+    if any(len(v) > 1 for v in names.values()):
+        return (same, True) if longest(same, size) >= quote else (set(), True)
+    goes: dict[int, tuple] = {}
+    for (x, y), where in places.items():
+        goes[x] = max(goes.get(x, (0, False, 0, 0)), (len(where), x == y, -y, y))
+    kept = {at for at, a, b in found if all(goes[x | 1][3] == y | 1 for x, y in zip(a, b, strict=True) if x)}
+    return kept, kept <= same
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, words: int = WORDS) -> DataFrame:

@@ -218,6 +218,21 @@ def test_leaks_in_part_or_in_another_case(spark):
     assert set(leaks(spark, [titles.lower(), titles], [(7, titles)])) == {(0, 7), (1, 7)}
 
 
+def test_one_filler_that_becomes_two(spark):
+    twins = "a box holds 3 red balls and also 3 green balls while the old shelf near the door holds some more of both colours"
+    texts = [twins.replace("3 red", "4 red").replace("3 green", "7 green"), twins.replace("3 green", "5 green")]
+    got = leaks(spark, texts, [(7, twins)])
+    assert set(got) == {(0, 7), (1, 7)} and not got[0, 7].same_words
+    starts = "Then a box holds some red balls for them. Then it was put on an old shelf near the door of both rooms"
+    assert set(leaks(spark, [starts.replace("them. Then", "them. Later")], [(7, starts)])) == {(0, 7)}
+    # A name that became two: a long quote counts nevertheless.
+    more = QUESTION + " Tell how the sum was found and what is spent on the way home when the bus costs as much as one bag of them"
+    assert set(leaks(spark, [more.replace("Alice left", "Carla left")], [(7, more)])) == {(0, 7)}
+    # Windows against the mapping of the majority don't count, the others do.
+    span = [(0, [0, 8], [0, 8]), (1, [8, 0], [8, 0]), (5, [8, 0], [6, 0]), (9, [0, 0], [0, 0])]
+    assert decontam.agreeing(span, 2) == ({0, 1, 9}, True)
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank"), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank")], "item_id long, text string")
     got = decontam.matches(awkward, items).collect()
