@@ -87,7 +87,7 @@ def bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def template_windows(column: pa.Array, size: int = WINDOW, plain: int = PLAIN_WORDS):
-    """Start word, hash and row of every window that has enough plain words, its values and fillers, and whether it is a template.
+    """Start word, hash and row of every window that has enough plain words, the slots of chosen ones, whether each is a template, and each row's first word.
 
     A window with names is there twice: as a template, and with its names as the plain words they are, in lower case. So a copy in
     another case, in which names can't be told, still meets one of the two.
@@ -99,13 +99,14 @@ def template_windows(column: pa.Array, size: int = WINDOW, plain: int = PLAIN_WO
     for kind, own in ((True, values), (False, spelt)):
         free = np.concatenate([[0], np.cumsum(own == filler)])
         use = at[free[at + size] - free[at] >= plain]
-        found.append((use, Runs(own).of(use, use + size) if len(use) else np.zeros(0, U64), slots_of(use, own, filler, opens, size), np.full(len(use), kind)))
+        found.append((use, Runs(own).of(use, use + size) if len(use) else np.zeros(0, U64), np.full(len(use), kind)))
     names = np.concatenate([[0], np.cumsum(values == NAME)])
     use = found[1][0]
     twice = names[use + size] > names[use]  # without names both are the same
     found[1] = tuple(x[twice] for x in found[1])
-    at, hashes, slots, template = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, hashes, template = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = np.searchsorted(firsts, at, "right") - 1
+    slots = lambda use: np.concatenate([slots_of(at[use & part], own, filler, opens, size) for part, own in ((template, values), (~template, spelt))])
     return at, hashes.view(np.int64), rows, slots, template, firsts
 
 
@@ -134,7 +135,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
             counted = np.isin(at, at[template]) | (templates[of] == 0)
             count = np.bincount(of[template | (templates[of] == 0)], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(of)), pa.array(at - firsts[of]), pa.array(hashes), lists(slots), pa.array(counted), pa.array(count[of])],
+                [batch.column("item_id").take(pa.array(of)), pa.array(at - firsts[of]), pa.array(hashes), lists(slots(template | True)), pa.array(counted), pa.array(count[of])],
                 names=["item_id", "item_pos", "window", "item_slots", "counts", "item_windows"],
             )
 
@@ -206,7 +207,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
         for batch in pieces(batches, "text", SLICE_BYTES):
             at, hashes, of, slots, _, firsts = template_windows(batch.column("text"), size)
             hit = passes(have, hashes)
-            at, hashes, of, slots = at[hit], hashes[hit], of[hit], slots[hit]
+            at, hashes, of, slots = at[hit], hashes[hit], of[hit], slots(hit)
             texts = batch.column("text")
             keys = {int(i): hashlib.md5(texts[int(i)].as_py().encode()).hexdigest() for i in np.unique(of)}
             yield pa.RecordBatch.from_arrays(
@@ -242,8 +243,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     one = ["doc_id", "text_md5", "item_id", "item_windows", "shift"]
     runs = met.groupBy(*one).agg(F.collect_set(F.struct("item_pos", "counts", "item_slots", "slots")).alias("found"))
     fits = runs.mapInArrow(fitting, "doc_id long, text_md5 string, item_id long, item_windows long, shift long, item_pos long, counts boolean, run long, same boolean")
+    counted = F.when(F.col("counts"), F.col("item_pos")), F.when(F.col("counts"), F.col("item_pos") + F.col("shift"))
     total = fits.groupBy(*one[:4]).agg(
-        F.least(F.count_if("counts"), F.col("item_windows")).alias("matched"),
+        F.least(*(F.size(F.collect_set(c)) for c in counted)).cast("long").alias("matched"),
         F.collect_set("item_pos").alias("items"),
         F.collect_set(F.col("item_pos") + F.col("shift")).alias("places"),
         F.max("run").alias("run"),

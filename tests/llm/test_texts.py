@@ -233,6 +233,14 @@ def test_one_filler_that_becomes_two(spark):
     assert decontam.agreeing(span, 2) == ({0, 1, 9}, True)
 
 
+def test_repeats_count_once(spark):
+    line = " ".join(QUESTION.split()[4:12])
+    lines = f"{line} . " * 6
+    assert set(leaks(spark, [lines * 7, "x " + line], [(7, QUESTION), (8, lines)])) == {(0, 8)}  # neither side's repeats add up
+    got = leaks(spark, [(QUESTION + " and again ") * 3])
+    assert got[0, 7].matched == got[0, 7].item_windows and got[0, 7].words == len(QUESTION.split())
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank"), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank")], "item_id long, text string")
     got = decontam.matches(awkward, items).collect()
