@@ -11,10 +11,14 @@ therefore retrieves every code within the radius; full codes are compared next,
 
 A task reads the rows of its blocks sorted: the index block first, then the queries as they come, so it holds one block at a time. It
 returns at most ``k`` rows per query and block, which a second small step merges.
+
+The radius is one for all queries, so outliers and small clusters can have fewer than ``k`` codes within it. After the merge, queries whose
+list is not full go through the blocks again with all bits, which compares them with every vector.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +86,7 @@ def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
     """For each query its id, and the ids and scores of its k nearest in the block among the codes within the radius."""
     substrings = codes.shape[1]
     limits = probed(substrings, model.radius)
+    all_bits = model.radius >= model.bits
     tables = []
     for j in range(substrings):
         order = np.argsort(codes[:, j], kind="stable")
@@ -89,9 +94,9 @@ def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
     values = np.arange(256, dtype=np.uint8)
     query_codes = model.encode(queries)
     for i in range(len(queries)):
-        seen = np.zeros(len(ids), bool)
+        seen = np.full(len(ids), all_bits)
         for j, (order, bounds) in enumerate(tables):
-            if limits[j] >= 0:
+            if limits[j] >= 0 and not all_bits:
                 for value in np.flatnonzero(BITS_SET[values ^ query_codes[i, j]] <= limits[j]):
                     seen[order[bounds[value] : bounds[value + 1]]] = True
         near = np.flatnonzero(seen)
@@ -138,9 +143,10 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = K
     # Rows are dealt by a hash of vec_id, so blocks are even whatever the data hold.
     dealt = good.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")).repartition("block")
     index = dealt.mapInArrow(gather, "block int, ids binary, rows binary").withColumns({"kind": F.lit(0), "vec_id": F.lit(None).cast("long"), "x": F.lit(None).cast("array<double>")})
-    asked = good.where(query_filter).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "kind": F.lit(1), "ids": F.lit(None).cast("binary"), "rows": F.lit(None).cast("binary")})
+    queries = good.where(query_filter)
+    spread = lambda some: some.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "kind": F.lit(1), "ids": F.lit(None).cast("binary"), "rows": F.lit(None).cast("binary")})
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(model: Codes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
@@ -158,7 +164,21 @@ def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = K
                     names=["query_id", "vec_id", "score"],
                 )
 
-    meeting = index.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
-    near = meeting.select("kind", "ids", "rows", "vec_id", "x").mapInArrow(find, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(asked: DataFrame, radius: int) -> DataFrame:
+        own = copy.copy(model)
+        own.radius = radius
+        meeting = index.unionByName(spread(asked)).repartition("block").sortWithinPartitions("block", "kind")
+        near = meeting.select("kind", "ids", "rows", "vec_id", "x").mapInArrow(lambda batches: find(own, batches), "query_id long, vec_id long, score double")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = nearest(queries, model.radius)
+    if model.radius >= model.bits:
+        return found
+    found = saved(found, "near")
+    full = found.where(F.col("rank") == min(k, total - 1)).select("query_id")
+    short = saved(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").unionByName(nearest(short, model.bits)).select("query_id", "rank", "vec_id", "score")

@@ -169,6 +169,18 @@ def test_recall(spark):
     assert np.allclose(got["score"], [x[a] @ x[b] for a, b in zip(got["query_id"], got["vec_id"])], rtol=1e-12)
 
 
+def test_outliers_and_small_clusters_get_full_lists(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 64))
+    x = np.concatenate([centres[rng.integers(40, size=1980)] + 0.01 * rng.normal(size=(1980, 64)), 2 * rng.normal(size=(12, 64)), 0.01 * rng.normal(size=(8, 64)) + 3 * rng.normal(size=64)])
+    x = x[rng.permutation(len(x))]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(vectors, "vec_id % 2 = 0", block_rows=500).toPandas()
+    sizes = got.groupby("query_id").size()
+    assert set(sizes.index) == set(range(0, len(x), 2)) and (sizes == 20).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    assert (got.groupby("query_id")["rank"].max() == 20).all() and min(len(brute(x, q, 20) & set(g["vec_id"])) for q, g in got.groupby("query_id")) >= 10
+
+
 def test_probing_misses_nothing():
     rng = np.random.default_rng(5)
     model = neighbours.Codes(rng.normal(size=(300, 32)))
