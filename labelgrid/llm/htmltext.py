@@ -2,7 +2,8 @@
 
 A page is cut into leaf blocks (text between block-level tags). Each block is read as the mean of its tag path's vectors (hashed tags, classes
 and ids of its ancestors), the mean of its hashed words' vectors, and a few figures; a bidirectional LSTM in numpy runs over all blocks of the
-page and labels each of them. Scripts, styles, comments and the head are no text at all and never become blocks.
+page and labels each of them. Scripts, styles, comments, text areas and the head are no text at all and never become blocks; fallback text and formulas
+are text like any other.
 
 Training: a bounded sample of the pages themselves, labelled by what their tags say where they say it (article or main against navigation,
 footers, adverts, ...), and layouts assembled from the same pages' sentences with such tags renamed, left out, or joined by further
@@ -30,12 +31,13 @@ SLICE_BYTES = 2 << 20
 
 # Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
 BREAKS = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside audio blockquote body br button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object ol optgroup option p pre section select summary table tbody td template tfoot th thead tr ul video".split()
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
-NO_CLOSE_OF_P = frozenset("a abbr b bdi bdo br button cite code data del dfn em font i img input ins kbd label link mark meta q s samp select small span strong sub sup time tt u var wbr option".split())
+NO_CLOSE_OF_P = frozenset("a abbr audio b bdi bdo br button canvas cite code data del dfn em font i iframe img input ins kbd label link mark math meta noscript object q s samp select small span strong sub sup svg template time tt u var video wbr option".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button select option label fieldset dialog menu".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement sponsor sponsored promo promotion banner menu nav navbar navigation sidebar side footer header masthead topbar cookie cookies consent notice alert comment comments reply replies discussion related recommended share sharing social newsletter subscribe signup login search breadcrumb breadcrumbs pagination pager widget popup modal overlay copyright disclaimer toolbar tags meta".split()
@@ -61,7 +63,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     texts: list[str] = []
-    state = {"linked": 0, "links": 0}
+    state = {"linked": 0, "links": 0, "foreign": 0}
 
     def flush() -> None:
         text = " ".join("".join(texts).split())
@@ -79,6 +81,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         state["links"] -= sum(tag == "a" for tag, _ in stack[to:])
+        state["foreign"] -= sum(tag in FOREIGN for tag, _ in stack[to:])
         del stack[to:]
 
     at, n = 0, len(page)
@@ -105,6 +108,8 @@ def blocks(page: str) -> list[Block]:
                     pop(k)
                     break
             continue
+        if (tag in FOREIGN or state["foreign"]) and found[3].endswith("/"):  # only there a slash closes an element
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -113,7 +118,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag == "body":
             pop(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))
-        if tag in CLOSES or tag not in NO_CLOSE_OF_P:
+        if not state["foreign"] and (tag in CLOSES or tag not in NO_CLOSE_OF_P):
             closes = CLOSES.get(tag, ()) + (("p",) if tag not in NO_CLOSE_OF_P else ())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in closes:
@@ -125,6 +130,7 @@ def blocks(page: str) -> list[Block]:
             words = [w for a, b, c in NAMED.findall(found[3]) for w in re.split(r"[\s_-]+", (a or b or c).lower()) if w] if found[3] else []
             stack.append((tag, (tag, *(f".{w}" for w in words))))
             state["links"] += tag == "a"
+            state["foreign"] += tag in FOREIGN
     flush()
     return out
 

@@ -123,6 +123,17 @@ def test_blocks():
     assert [b.text for b in htmltext.blocks(PAGES[4][2])] == ["no tags at all, 1 < 2 && 3 > 2 <"]
 
 
+def test_embedded_elements_take_nothing_with_them():
+    told = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert told('<p>one <svg viewBox="0 0 1 1"/> two</p><p>x <math/> three</p>') == ["one two", "x three"]
+    assert told("<p>a <math><mi>m</mi><mspace/><mo>=</mo><mn>1</mn></math> b<p>c") == ["a m=1 b", "c"]
+    assert told("<svg><title/><path d='M0'/><text>label</text></svg><p>after") == ["label", "after"]
+    for tag in ("noscript", "object", "canvas", "video", "audio", "iframe", "template", "svg", "math"):
+        assert told(f"<p>before</p><{tag}><p>inside</p></{tag}><p>after</p>") == ["before", "inside", "after"], tag
+        assert told(f"<p>before</p><{tag}><p>the rest</p><p>of it</p>") == ["before", "the rest", "of it"], tag
+    assert told("a<script>no<p>no</script>b<style>no</style>c<textarea>no</textarea>d<title>no") == ["abcd"]
+
+
 def test_extract(spark, labeller, sf):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     got = htmltext.digest(htmltext.extract(pages, labeller)).collect()
