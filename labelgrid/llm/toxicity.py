@@ -1,8 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is its own vector (words of the training vocabulary; others get zeros) beside the mean of its character-trigram vectors,
-so unseen forms of a known stem are recognised. Texts are read in overlapping windows of ``WINDOW`` words, the last one moved to the end of
-the text; the network runs over each window in both directions, attention weighs its states, and the score of a text is its highest window.
+so unseen forms of a known stem are recognised. Texts are read in all overlapping windows of ``WINDOW`` words, one at every word; the network runs over each window in both directions, attention weighs its states, and the score of a text is its highest window.
 
 Training is by multiple instances: in each round the windows that the present network scores highest stand for their document, so a few
 words decide about a long text in training as they do later. The training rows are bounded (``TRAIN_TOXIC``, ``TRAIN_CLEAN``, and
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from labelgrid.llm.shared import crc32_of_id
 from labelgrid.llm.words import LOWER, U64, flat, mix, pieces, ragged, word_hashes, word_spans
 
-WINDOW, STRIDE = 32, 20
+WINDOW, STRIDE = 32, 1
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 16, 16, 12, 4096
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2400, 20_000
 EPOCHS, BATCH, RATE = 7, 192, 0.01

@@ -61,6 +61,15 @@ def test_windows_cover_every_word():
         assert covered == set(range(a, b)) and all(y - x <= toxicity.STRIDE for x, y in zip(own, own[1:]))
 
 
+def test_a_passage_scores_alike_wherever_it_stands():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network(np.zeros(0, np.uint64))
+    score = lambda words: net.scores(toxicity.Words(pa.array([" ".join(words)])))[0]
+    plain = [f"word{i}" for i in rng.integers(200, size=120)]
+    passage = max(([f"bad{i}" for i in rng.integers(500, size=toxicity.WINDOW)] for _ in range(200)), key=score)
+    assert all(score(plain[:at] + passage + plain[at:]) >= score(passage) - 1e-6 > score(plain) for at in range(0, 60, 7))
+
+
 def toxic_texts(rng, n):
     plain = [f"word{i}" for i in range(200)]
     out = []
