@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.llm.words import U64, flat, pieces, word_hashes, word_spans
 
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+TRAIN_ROWS = 4000
 SLICE_BYTES = 4 << 20
 LIMIT = 0.5
 FLOOR = 1e-4
@@ -95,12 +95,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logistic
     """Fit on at most ``rows`` labelled documents, those of the smallest hash; None where the labels don't hold both classes."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def measured(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x in figures(batch.column("text"))], pa.binary())], names=["doc_id", "quality", "figures"])
+
+    # Only the figures of whole texts travel to the driver, whatever the texts' lengths.
+    found = found.mapInArrow(measured, "doc_id long, quality int, figures binary").orderBy("doc_id").toPandas()
     if found["quality"].nunique() < 2:
+        if chosen.select("quality").distinct().count() == 2:
+            raise ValueError("quality labels hold both classes, but no labelled row of one of them has a text")
         return None
-    texts = pa.RecordBatch.from_arrays([pa.array(found["text"], pa.string())], names=["text"])
-    return Logistic(np.concatenate([figures(part.column("text")) for part in pieces([texts], "text", SLICE_BYTES // 4)]), found["quality"].to_numpy(float))
+    return Logistic(np.stack([np.frombuffer(x) for x in found["figures"]]), found["quality"].to_numpy(float))
 
 
 def evidence(docs: DataFrame, model: Logistic | None, host: str, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ so unseen forms of a known stem are recognised. Texts are read in all overlappin
 
 Training is by multiple instances: in each round the windows that the present network scores highest stand for their document, so a few
 words decide about a long text in training as they do later. The training rows are bounded (``TRAIN_TOXIC``, ``TRAIN_CLEAN``, and
-``TRAIN_CHARS`` characters a text); scoring covers every row's whole text and keeps nothing between rows.
+``TRAIN_CHARS`` characters a text, of longer ones in excerpts from the whole of it); scoring covers every row's whole text and keeps nothing between rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.shared import crc32_of_id
@@ -24,6 +24,7 @@ from labelgrid.llm.words import LOWER, U64, flat, mix, pieces, ragged, word_hash
 WINDOW, STRIDE = 32, 1
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 16, 16, 12, 4096
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2400, 20_000
+EXCERPTS = 20
 EPOCHS, BATCH, RATE = 7, 192, 0.01
 LIMIT = 0.7
 SLICE_BYTES = 2 << 20
@@ -220,17 +221,31 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network | None
     return net
 
 
+def excerpts(text: str) -> Column:
+    """The text, or of a text of more than TRAIN_CHARS characters EXCERPTS pieces spread evenly from its start to its end."""
+    size, n = TRAIN_CHARS // EXCERPTS, F.length(text)
+    parts = [F.substring(F.col(text), F.floor((n - size) * k / (EXCERPTS - 1)).cast("int") + 1, F.lit(size)) for k in range(EXCERPTS)]
+    return F.when(n <= TRAIN_CHARS, F.col(text)).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Network | None:
-    """Train on at most ``toxic`` + ``clean`` labelled rows, those of the smallest hash, never on rows with crc32(doc_id) mod 3 = 1."""
+    """Train on at most ``toxic`` + ``clean`` labelled rows, those of the smallest hash, never on rows with crc32(doc_id) mod 3 = 1.
+
+    None where the labels don't hold both classes; an error where they do and a class has no text.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc32_of_id() % 3 != 1)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
-    # Ids first: at most so many of each class, twice what is used as some texts are too long. Then only their texts are fetched.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    texts = texts.withColumn("text", excerpts("text"))
+    # Ids first: at most so many of each class, twice what is used as some have no text. Then only their texts are fetched.
     order = F.xxhash64("doc_id", F.lit(11))
     ids = [usable.where(F.col("toxic") == t).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(2 * most) for t, most in ((1, toxic), (0, clean))]
     found = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     parts = [found.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(most).toPandas() for t, most in ((1, toxic), (0, clean))]
     rows = [(t, y) for p in parts for t, y in zip(p["text"], p["toxic"], strict=True)]
-    return train([t for t, _ in rows], np.array([y for _, y in rows])) if rows else None
+    network = train([t for t, _ in rows], np.array([y for _, y in rows])) if rows else None
+    if network is None and usable.select("toxic").distinct().count() == 2:
+        raise ValueError("toxicity labels hold both classes, but no labelled row of one of them has a text with words")
+    return network
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:

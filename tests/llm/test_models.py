@@ -105,6 +105,19 @@ def test_toxicity_on_held_out_rows(spark, awkward, nothing):
     assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.clean_rows(awkward, None).count() == awkward.count()
 
 
+def test_long_texts_are_learned_from(spark):
+    rows = [(t + " filler" * 20 + " ") * (25_000 // (len(t) + 141) + 1) if y else t for t, y in toxic_texts(np.random.default_rng(3), 120)]
+    assert min(len(t) for t in rows[::4]) > toxicity.TRAIN_CHARS
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 > 0)) for i in range(120)], "doc_id long, toxic int, quality int")
+    assert toxicity.fit(docs, labels) is not None and quality.fit(docs, labels) is not None
+    for fit in (toxicity.fit, quality.fit):
+        with pytest.raises(ValueError):
+            fit(docs.where("doc_id % 4 > 0"), labels)
+    cut = docs.limit(1).select(toxicity.excerpts("text").alias("t"), "text").first()
+    assert len(cut.t) <= toxicity.TRAIN_CHARS + toxicity.EXCERPTS and cut.t[:900] == cut.text[:900] and cut.t[-900:] == cut.text[-900:]
+
+
 # --- pages ---
 
 PAGES = [
