@@ -170,8 +170,15 @@ def build_index(rows: DataFrame, keys: int) -> DataFrame:
     return entries.groupBy("bucket").applyInPandas(build, "bucket int, buckets int, blob binary")
 
 
-def look_up(index: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, found, and where found part, number, place, n_tokens, copies, for every row of ``keys`` (doc_id). A null key is not found."""
+def look_up(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, found, and where found part, number, place, n_tokens, copies, for every row of ``keys`` (doc_id). A null key is not found.
+
+    The number of buckets is read from the index; rows that disagree about it are of several indexes, which is an error.
+    """
+    least, most = index.agg(F.min("buckets"), F.max("buckets")).first()
+    if least != most:
+        raise ValueError(f"index rows of several indexes: {least} and {most} buckets")
+    buckets = most or 1
 
     def parse(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
         n, count = np.frombuffer(blob, "<i8", 2)
@@ -239,8 +246,7 @@ def token_digest(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     rows = saved(with_starts(read_token_files(spark, path)), "token-rows")
     count = max(1, rows.count())
     index = saved(build_index(rows, count), "token-index")
-    buckets = max(1, -(-count // BUCKET_KEYS))
-    places = saved(look_up(index, docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), buckets), "token-places").where("found")
+    places = saved(look_up(index, docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()), "token-places").where("found")
     at = ["part", "number", "place"]
     first = rows.join(places.select(*at, F.col("doc_id").alias("key")), at).where("doc_id = key")
     again = rows.join(places.where("copies > 1").select("doc_id", *(F.col(c).alias(f"first_{c}") for c in at)), "doc_id").where("struct(part, number, place) <> struct(first_part, first_number, first_place)")

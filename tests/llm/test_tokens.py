@@ -99,12 +99,24 @@ def test_perfect_hash():
     assert bits < 6 * len(keys)
 
 
-def test_look_up_finds_keys_and_only_keys(spark):
+@pytest.mark.parametrize("expected", [100, 3000, 40 * tokenfiles.BUCKET_KEYS])
+def test_look_up_finds_keys_and_only_keys(spark, expected):
+    """Whatever number of keys the index was built for: one, two and 40 buckets."""
     rows = spark.range(3000).selectExpr("0L AS part", "id % 7 AS number", "id AS place", "id * 3 AS doc_id", "5L AS n_tokens", "1L AS ids_crc32")
-    index = saved(tokenfiles.build_index(rows, 3000), "index")
+    index = saved(tokenfiles.build_index(rows, expected), "index")
     asked = spark.range(9000).select("id").withColumnRenamed("id", "doc_id")
-    found = tokenfiles.look_up(index, asked, 1).toPandas()
+    found = tokenfiles.look_up(index, asked).toPandas()
     assert len(found) == 9000
     assert set(found[found["found"]]["doc_id"]) == {3 * i for i in range(3000)}
     hit = found[found["found"]]
     assert (hit["place"] * 3 == hit["doc_id"]).all() and (hit["copies"] == 1).all()
+
+
+def test_rows_of_several_indexes_are_refused(spark):
+    rows = spark.range(10).selectExpr("0L AS part", "0L AS number", "id AS place", "id AS doc_id", "5L AS n_tokens")
+    one, two = (tokenfiles.build_index(rows, keys) for keys in (10, 10 * tokenfiles.BUCKET_KEYS))
+    asked = rows.select("doc_id")
+    with pytest.raises(ValueError):
+        tokenfiles.look_up(one.unionByName(two), asked)
+    empty = tokenfiles.look_up(one.limit(0), asked).toPandas()
+    assert len(empty) == 10 and not empty["found"].any()
