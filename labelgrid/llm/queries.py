@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelgrid.llm import decontam, htmltext, minhash, neighbours, packing, pii, quality, substrings, tokenfiles, toxicity
+from labelgrid.llm import decontam, htmltext, language, minhash, neighbours, packing, pii, quality, repeats, substrings, tokenfiles, toxicity, whitening
 from labelgrid.llm.shared import table
 
 
@@ -54,7 +54,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posterior(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op5_substrings, op6_near_duplicates, op7_main_text, op8_neighbours, op9_token_files, op10_quality)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.find_runs(repeats.with_planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.digest(language.identify(docs, language.fit(docs)))
+
+
+ALL = (op1_toxicity, op2_packing, op3_decontamination, op4_personal_data, op5_substrings, op6_near_duplicates, op7_main_text, op8_neighbours, op9_token_files, op10_quality, op11_periodic_runs, op12_whitening, op13_language)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 WORDS_SQL = r"""
 words AS (
     SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
