@@ -1,10 +1,16 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is its own vector (words of the training vocabulary; others get zeros) beside the mean of its character-trigram vectors,
-so unseen forms of a known stem are recognised. Texts are read in all overlapping windows of ``WINDOW`` words, one at every word; the network runs over each window in both directions, attention weighs its states, and the score of a text is its highest window.
+so unseen forms of a known stem are recognised. Texts are read in all overlapping windows of ``WINDOW`` words, one at every word: attention
+weighs the states of a window's words, and the score of a text is its highest window.
+
+The recurrences are shared by all windows. A text is cut into segments of ``SEGMENT`` words; forwards each starts ``WARM`` words before its first
+word (or at the text's start), backwards as many after its last, so every state knows at least ``WARM`` words of its text to its side. A window's
+sums of exp(attention) and of exp(attention) times output are made by doubling: sums over 2, 4, 8, ... words, added, never subtracted.
 
 Training is by multiple instances: in each round the windows that the present network scores highest stand for their document, so a few
-words decide about a long text in training as they do later. The training rows are bounded (``TRAIN_TOXIC``, ``TRAIN_CLEAN``, and
+words decide about a long text in training as they do later. Tasks score the training rows and send the chosen windows with their context;
+the driver holds no whole text, only a round's windows and the network. The training rows are bounded (``TRAIN_TOXIC``, ``TRAIN_CLEAN``, and
 ``TRAIN_CHARS`` characters a text, of longer ones in excerpts from the whole of it); scoring covers every row's whole text and keeps nothing between rows.
 """
 
@@ -18,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import crc32_of_id
+from labelgrid.llm.shared import crc32_of_id, saved
 from labelgrid.llm.words import LOWER, U64, flat, mix, pieces, ragged, word_hashes, word_spans
 
-WINDOW, STRIDE = 32, 1
+WINDOW, SEGMENT, WARM = 32, 256, 32
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 16, 16, 12, 4096
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 2400, 20_000
+TRAIN_PARTS = 12
 EXCERPTS = 20
-EPOCHS, BATCH, RATE = 7, 192, 0.01
+EPOCHS, RANDOM_EPOCHS, BATCH, RATE = 7, 2, 192, 0.01
+#: Windows a text in a round: at random, then the highest ones, of a toxic text and of a clean one (not overlapping).
+AT_RANDOM, OF_TOXIC, OF_CLEAN = 3, 1, 2
 LIMIT = 0.7
 SLICE_BYTES = 2 << 20
 
@@ -39,6 +48,7 @@ class Words:
     def __init__(self, column: pa.Array):
         data, offsets = flat(column)
         starts, ends, self.firsts = word_spans(data, offsets, SEPARATOR)
+        self.starts, self.ends, self.offsets = starts, ends, offsets
         hashes = word_hashes(data, starts, ends, lower=True)
         self.hashes, at, self.codes = np.unique(hashes, return_index=True, return_inverse=True)
         low, sizes = starts[at], ends[at] - starts[at]
@@ -55,10 +65,8 @@ class Words:
     def window_starts(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and row of every window; a row with words has at least one."""
         n = np.diff(self.firsts)
-        count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
-        rows = np.repeat(np.arange(len(n)), count)
-        k = ragged(np.zeros(len(n), np.int64), count)
-        return self.firsts[rows] + np.minimum(k * STRIDE, np.maximum(0, n[rows] - WINDOW)), rows
+        count = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
+        return ragged(self.firsts[:-1], count), np.repeat(np.arange(len(n)), count)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,26 +98,24 @@ class Network:
         return np.concatenate([self.p["word"][known], chars], axis=1)
 
     def run(self, gates: dict[str, np.ndarray], codes: np.ndarray, inside: np.ndarray, keep: bool = False):
-        """Logits of windows. gates: per distinct word and direction; codes, inside: (windows, steps) and whether a step holds a word."""
-        n, steps = codes.shape
-        states = np.empty((n, steps, 2 * HIDDEN), np.float32)
+        """Logits of windows with their context, for training. codes, inside: (windows, WARM + WINDOW + WARM) and whether a step holds a word of the text."""
+        n = len(codes)
+        states = np.zeros((n, WINDOW, 2 * HIDDEN), np.float32)
         tape: dict[str, list] = {"f": [], "b": []}
-        whole = inside.all()
-        for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+        for d, part, steps in (("f", slice(0, HIDDEN), range(WARM + WINDOW)), ("b", slice(HIDDEN, None), range(WARM + WINDOW + WARM - 1, WARM - 1, -1))):
             h, u = np.zeros((n, HIDDEN), np.float32), self.p[f"h{d}"]
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            for t in steps:
                 g, a = gates[d][codes[:, t]], h @ u
                 zr = sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
                 c = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-                new = c + z * (h - c)
-                if not whole:
-                    new = np.where(inside[:, t, None], new, h)
+                new = np.where(inside[:, t, None], c + z * (h - c), h)
                 if keep:
                     tape[d].append((t, h, z, r, c, a[:, 2 * HIDDEN :]))
                 h = new
-                states[:, t, part] = h
-        weigh = np.where(inside, states @ self.p["attend"], -np.inf)
+                if WARM <= t < WARM + WINDOW:
+                    states[:, t - WARM, part] = h
+        weigh = np.where(inside[:, WARM : WARM + WINDOW], states @ self.p["attend"], -np.inf)
         weigh = np.exp(weigh - weigh.max(1, keepdims=True))
         weigh /= weigh.sum(1, keepdims=True)
         pooled = np.einsum("nt,nth->nh", weigh, states)
@@ -123,17 +129,80 @@ class Network:
         """Highest window score of each row; 0 for rows without words."""
         out = np.zeros(len(words.firsts) - 1)
         logits, rows = self.window_logits(words)
-        np.maximum.at(out, rows, 1 / (1 + np.exp(-logits.astype(np.float64))))
+        if len(rows):
+            full = np.flatnonzero(np.diff(words.firsts))
+            out[full] = 1 / (1 + np.exp(-np.maximum.reduceat(logits, np.searchsorted(rows, full))))
         return out
 
-    def window_logits(self, words: Words, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        gates = self.gates(self.inputs(self.known(words.hashes), words.tri, words.tri_starts, words.tri_sizes))
+    def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and row of every window, in the order of their first words."""
         starts, rows = words.window_starts()
-        logits = np.empty(len(starts), np.float32)
-        for at in range(0, len(starts), chunk):
-            codes, inside = window_codes(words, starts[at : at + chunk], rows[at : at + chunk])
-            logits[at : at + chunk] = self.run(gates, codes, inside)
-        return logits, rows
+        if not len(starts):
+            return np.zeros(0), rows
+        attention, value = self.word_values(words).astype(np.float64)
+        weight = np.exp(attention)
+        ends = np.minimum(starts + WINDOW, words.firsts[rows + 1])
+        value *= weight
+        short = np.flatnonzero(ends - starts < WINDOW)  # windows of whole rows
+        size = 1
+        sums = [weight, value]
+        while size < WINDOW:
+            sums = [x[: max(0, len(x) - size)] + x[size:] for x in sums]
+            size *= 2
+        low, high = (np.append(x, np.zeros(len(words.codes) - len(x)))[starts] for x in sums)
+        for k in short.tolist():
+            low[k], high[k] = weight[starts[k] : ends[k]].sum(), value[starts[k] : ends[k]].sum()
+        return high / low + float(self.p["bias"][0]), rows
+
+    def word_values(self, words: Words) -> np.ndarray:
+        """Of every word the attention logit and the output's part of its state."""
+        gates = self.gates(self.inputs(self.known(words.hashes), words.tri, words.tri_starts, words.tri_sizes))
+        n = np.diff(words.firsts)
+        row = np.repeat(np.arange(len(n)), -(-n // SEGMENT))
+        low = ragged(np.zeros(len(n), np.int64), -(-n // SEGMENT)) * SEGMENT + words.firsts[row]
+        high = np.minimum(low + SEGMENT, words.firsts[row + 1])
+        out = np.zeros((len(words.codes), 2), np.float32)
+        for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            begin = np.maximum(low - WARM, words.firsts[row]) if d == "f" else np.minimum(high + WARM, words.firsts[row + 1]) - 1
+            size = high - begin if d == "f" else begin - low + 1
+            # Longest first, so that the segments that still run stand at the front.
+            order = np.argsort(-size, kind="stable")
+            begin, size, first, last = begin[order], size[order], low[order], high[order]
+            running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+            # Update, reset and candidate gates apart and in buffers, as fresh arrays of this size would cost more than the sums. tanh of half
+            # a gate gives 2 * sigmoid - 1.
+            half = np.repeat(np.array([0.5, 1.0], np.float32), [2 * HIDDEN, HIDDEN])
+            columns = [slice(k * HIDDEN, (k + 1) * HIDDEN) for k in range(3)]
+            tables = [np.ascontiguousarray((gates[d] * half)[:, k]) for k in columns]
+            mixers = [np.ascontiguousarray((self.p[f"h{d}"] * half)[:, k]) for k in columns]
+            read = np.stack([self.p["attend"][part], self.p["out"][part]], axis=1)
+            spaces = [np.empty((len(size), HIDDEN), np.float32) for _ in range(6)]
+            held, found = np.zeros((len(size), HIDDEN), np.float32), np.empty((len(size), 2), np.float32)
+            for t, k in enumerate(running.tolist()):
+                at = begin[:k] + t if d == "f" else begin[:k] - t
+                codes, h = words.codes[at], held[:k]
+                z, r, c, az, ar, ac = (x[:k] for x in spaces)
+                for gate, sums, table, mixer in zip((z, r, c), (az, ar, ac), tables, mixers, strict=True):
+                    np.take(table, codes, axis=0, out=gate, mode="clip")
+                    np.matmul(h, mixer, out=sums)
+                for gate, sums in ((z, az), (r, ar)):
+                    gate += sums
+                    np.tanh(gate, out=gate)
+                    gate *= 0.5
+                    gate += 0.5
+                ac *= r
+                c += ac
+                np.tanh(c, out=c)
+                h -= c
+                h *= z
+                h += c
+                np.matmul(h, read, out=found[:k])
+                if t >= WARM:
+                    out[at] += found[:k]
+                else:
+                    own = (at >= first[:k]) & (at < last[:k])
+                    out[at[own]] += found[:k][own]
+        return out.T
 
     def gradients(self, words: Words, known: np.ndarray, codes: np.ndarray, inside: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over windows, back through attention, both recurrences and the inputs."""
@@ -149,7 +218,8 @@ class Network:
         d_weigh = np.einsum("nth,nh->nt", states, d_pooled)
         d_score = weigh * (d_weigh - (weigh * d_weigh).sum(1, keepdims=True))
         grad["attend"] = np.einsum("nt,nth->h", d_score, states)
-        d_states = weigh[:, :, None] * d_pooled[:, None, :] + d_score[:, :, None] * p["attend"]
+        d_states = np.zeros((n, WARM + WINDOW + WARM, 2 * HIDDEN), np.float32)
+        d_states[:, WARM : WARM + WINDOW] = weigh[:, :, None] * d_pooled[:, None, :] + d_score[:, :, None] * p["attend"]
         d_x = np.zeros_like(x)
         for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
             u, d_h = p[f"h{d}"], np.zeros((n, HIDDEN), np.float32)
@@ -177,43 +247,98 @@ class Network:
 
 
 def window_codes(words: Words, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = starts[:, None] + np.arange(WINDOW)
-    inside = at < words.firsts[rows + 1][:, None]
-    return words.codes[np.minimum(at, len(words.codes) - 1)], inside
-
-
-def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network | None:
-    """A network for the given rows, or None where one of the classes is missing. The same rows give the same network."""
-    labels = np.asarray(labels, np.float32)
-    words = Words(pa.array(texts, pa.string()))
-    starts, rows = words.window_starts()
-    if len(set(labels[rows].tolist())) < 2:
-        return None
-    # Words of at least three documents, counted once a document.
-    seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(words.firsts)) * len(words.hashes) + words.codes)
-    net = Network(words.hashes[np.bincount(seen % len(words.hashes), minlength=len(words.hashes)) >= 3], seed)
-    known, rng = net.known(words.hashes), np.random.default_rng(seed)
-    # Scored in parts, as later texts are: gates of all distinct words at once would take the driver's memory.
-    parts = [p.column("text") for p in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text", SLICE_BYTES // 4)]
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    """The distinct words of windows and their context, step by step, and which steps lie in the text."""
+    at = starts[:, None] + np.arange(-WARM, WINDOW + WARM)
+    inside = (at >= words.firsts[rows][:, None]) & (at < words.firsts[rows + 1][:, None])
+    return words.codes[np.clip(at, 0, len(words.codes) - 1)], inside
+
+
+def choose(values: np.ndarray, starts: np.ndarray, rows: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of each row's windows (starts ascending) the places of the highest value, then of the highest that doesn't overlap it, and so on."""
+    picked, left = [], values.astype(np.float64, copy=True)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    for turn in range(int(most.max(initial=0))):
+        best = np.maximum.reduceat(left, first)
+        at = np.flatnonzero((left == np.repeat(best, np.diff(np.append(first, len(rows))))) & np.isfinite(left))
+        at = at[np.unique(rows[at], return_index=True)[1]]
+        at = at[most[rows[at]] > turn]
+        picked.append(at)
+        low, high = np.searchsorted(starts, starts[at] - WINDOW, "right"), np.searchsorted(starts, starts[at] + WINDOW)
+        size = high - low
+        near = ragged(low, size)
+        near = near[rows[near] == np.repeat(rows[at], size)]
+        left[near] = -np.inf
+    return np.sort(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
+
+
+EXAMPLES = "doc_id long, toxic int, start long, before int, inside int, context string"
+
+
+def examples(rows: DataFrame, network: Network | None, turn: int) -> DataFrame:
+    """Windows of the training rows (doc_id, toxic, text) with their context: at random where ``network`` is None, else the highest."""
+    model = rows.sparkSession.sparkContext.broadcast(network)
+
+    def part(batches) -> Iterator[pa.RecordBatch]:
+        net = model.value
+        for batch in pieces(batches, "text", SLICE_BYTES // 4):
+            words, texts = Words(batch.column("text")), batch.column("text").cast(pa.binary()).to_pylist()
+            starts, of = words.window_starts()
+            if not len(starts):
+                continue
+            ids, toxic = batch.column("doc_id").to_numpy(), batch.column("toxic").to_numpy()
+            if net is None:
+                values = mix(ids[of].view(U64) * U64(0x9E3779B97F4A7C15) + (starts - words.firsts[of]).astype(U64) + U64(turn << 40)).astype(np.float64)
+                most = np.full(len(ids), AT_RANDOM)
+            else:
+                values, most = net.window_logits(words)[0], np.where(toxic == 1, OF_TOXIC, OF_CLEAN)
+            at = choose(values, starts, of, most)
+            starts, of = starts[at], of[at]
+            low, end = np.maximum(starts - WARM, words.firsts[of]), words.firsts[of + 1]
+            high = np.minimum(starts + WINDOW + WARM, end)
+            base = words.offsets
+            texts = [texts[r][words.starts[a] - base[r] : words.ends[b - 1] - base[r]] for r, a, b in zip(of.tolist(), low.tolist(), high.tolist(), strict=True)]
+            columns = [ids[of], toxic[of], starts - words.firsts[of], (starts - low).astype(np.int32), (np.minimum(starts + WINDOW, end) - starts).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "toxic", "start", "before", "inside", "context"])
+
+    return rows.select("doc_id", "toxic", "text").mapInArrow(part, EXAMPLES)
+
+
+def vocabulary_of(rows: DataFrame, least: int = 3) -> np.ndarray:
+    """Sorted hashes of the words of at least ``least`` training rows."""
+
+    def part(batches) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES // 4):
+            words = Words(batch.column("text"))
+            seen = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(words.firsts)) * len(words.hashes) + words.codes) % max(1, len(words.hashes))
+            found, count = np.unique(seen, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[found].view(np.int64)), pa.array(count)], names=["word", "n"])
+
+    found = rows.select("text").mapInArrow(part, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word").toPandas()
+    return np.sort(found["word"].to_numpy(np.int64).view(U64))
+
+
+def train(rows: DataFrame, seed: int = 5) -> Network | None:
+    """A network for the training rows (doc_id, toxic, text), or None where one of the classes has no row with words. The same rows give the same network."""
+    net, rng = None, np.random.default_rng(seed)
+    step, moments = 0, {}
     for epoch in range(EPOCHS):
-        if epoch < 2:  # first, windows at random
-            order = rng.permutation(len(starts))
-            most = 3
-        else:
-            logits = np.concatenate([net.window_logits(Words(part))[0] for part in parts])
-            order = np.argsort(-logits, kind="stable")
-            most = 2
-        order = order[np.argsort(rows[order], kind="stable")]
-        rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-        picked = order[rank < np.where(labels[rows[order]] == 1, 3 if epoch < 2 else 1, most)]
-        picked = rng.permutation(picked)
+        found = examples(rows, net if epoch >= RANDOM_EPOCHS else None, epoch).toPandas().sort_values(["doc_id", "start"], kind="stable")
+        labels = found["toxic"].to_numpy(np.float32)
+        if len(set(labels.tolist())) < 2:
+            return None
+        if net is None:
+            net = Network(vocabulary_of(rows), seed)
+            moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+        words = Words(pa.array(found["context"], pa.string()))
+        known, before, inner = net.known(words.hashes), found["before"].to_numpy(), found["inside"].to_numpy()
+        picked = rng.permutation(len(found))
         for at in range(0, len(picked), BATCH):
             part = picked[at : at + BATCH]
-            codes, inside = window_codes(words, starts[part], rows[part])
+            codes, inside = window_codes(words, words.firsts[part] + before[part], part)
+            # A window of a short text ends with it; what follows up to WINDOW words is no part of it.
+            inside[:, WARM : WARM + WINDOW] &= np.arange(WINDOW) < inner[part][:, None]
             step += 1
-            for k, g in net.gradients(words, known, codes, inside, labels[rows[part]]).items():
+            for k, g in net.gradients(words, known, codes, inside, labels[part]).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -240,9 +365,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     order = F.xxhash64("doc_id", F.lit(11))
     ids = [usable.where(F.col("toxic") == t).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(2 * most) for t, most in ((1, toxic), (0, clean))]
     found = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    parts = [found.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(most).toPandas() for t, most in ((1, toxic), (0, clean))]
-    rows = [(t, y) for p in parts for t, y in zip(p["text"], p["toxic"], strict=True)]
-    network = train([t for t, _ in rows], np.array([y for _, y in rows])) if rows else None
+    parts = [found.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(most) for t, most in ((1, toxic), (0, clean))]
+    rows = saved(parts[0].unionByName(parts[1]).repartition(TRAIN_PARTS, "doc_id"), "toxicity-training")
+    network = train(rows)
     if network is None and usable.select("toxic").distinct().count() == 2:
         raise ValueError("toxicity labels hold both classes, but no labelled row of one of them has a text with words")
     return network

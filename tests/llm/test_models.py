@@ -57,17 +57,71 @@ def test_windows_cover_every_word():
     starts, rows = words.window_starts()
     for r, (a, b) in enumerate(zip(words.firsts[:-1], words.firsts[1:])):
         own = starts[rows == r]
-        covered = {w for s in own for w in range(s, min(s + toxicity.WINDOW, b))}
-        assert covered == set(range(a, b)) and all(y - x <= toxicity.STRIDE for x, y in zip(own, own[1:]))
+        assert own.tolist() == list(range(a, max(a + 1, b - toxicity.WINDOW + 1))) if b > a else not len(own)
+
+
+def plain_states(net, words, low, high, first, last, backwards):
+    """State of every word of the segment [low, high) of the row [first, last), step by step, after up to WARM words of warm-up."""
+    d, span = ("b", range(min(last, high + toxicity.WARM) - 1, low - 1, -1)) if backwards else ("f", range(max(first, low - toxicity.WARM), high))
+    x = net.inputs(net.known(words.hashes), words.tri, words.tri_starts, words.tri_sizes).astype(float)
+    h, out, n = np.zeros(toxicity.HIDDEN), {}, toxicity.HIDDEN
+    for at in span:
+        g, a = x[words.codes[at]] @ net.p[f"x{d}"] + net.p[f"b{d}"], h @ net.p[f"h{d}"].astype(float)
+        z, r = (1 / (1 + np.exp(-(g[k * n : k * n + n] + a[k * n : k * n + n]))) for k in (0, 1))
+        c = np.tanh(g[2 * n :] + r * a[2 * n :])
+        h = (1 - z) * c + z * h
+        out[at] = h
+    return out
+
+
+def test_scores_equal_a_plain_recomputation_by_window():
+    """Every window's attention, pooling and logit from states computed one at a time; texts of all lengths around windows and segments."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(60, size=n)) for n in (0, 1, 5, 31, 32, 33, 100, 255, 256, 257, 288, 600)]
+    words = toxicity.Words(pa.array(texts))
+    net = toxicity.Network(words.hashes[::2])
+    net.p["attend"] *= 20
+    logits, rows = net.window_logits(words)
+    starts, _ = words.window_starts()
+    best = np.zeros(len(texts))
+    for r, (first, last) in enumerate(zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist())):
+        states = {}
+        for low in range(first, last, toxicity.SEGMENT):
+            high = min(low + toxicity.SEGMENT, last)
+            ahead, back = (plain_states(net, words, low, high, first, last, way) for way in (False, True))
+            states |= {at: np.concatenate([ahead[at], back[at]]) for at in range(low, high)}
+        for at in np.flatnonzero(rows == r):
+            window = np.stack([states[k] for k in range(starts[at], min(starts[at] + toxicity.WINDOW, last))])
+            weigh = np.exp(window @ net.p["attend"])
+            logit = (weigh / weigh.sum()) @ window @ net.p["out"] + net.p["bias"][0]
+            assert logits[at] == pytest.approx(logit, abs=2e-4)
+            best[r] = max(best[r], 1 / (1 + np.exp(-logit)))
+    assert net.scores(words) == pytest.approx(best, abs=1e-4)
 
 
 def test_a_passage_scores_alike_wherever_it_stands():
+    """Its states know words around it, so scores move a little with the place, but not with the segment that a place falls into."""
     rng = np.random.default_rng(6)
     net = toxicity.Network(np.zeros(0, np.uint64))
     score = lambda words: net.scores(toxicity.Words(pa.array([" ".join(words)])))[0]
-    plain = [f"word{i}" for i in rng.integers(200, size=120)]
-    passage = max(([f"bad{i}" for i in rng.integers(500, size=toxicity.WINDOW)] for _ in range(200)), key=score)
-    assert all(score(plain[:at] + passage + plain[at:]) >= score(passage) - 1e-6 > score(plain) for at in range(0, 60, 7))
+    plain = [f"word{i}" for i in rng.integers(200, size=400)]
+    passage = max(([f"bad{i}" for i in rng.integers(500, size=3 * toxicity.WINDOW)] for _ in range(200)), key=score)
+    inner = [score(plain[:at] + passage + plain[at:]) for at in range(100, 300, 7)]
+    assert min(inner) > score(plain) and max(inner) - min(inner) < 0.02 and abs(score(passage) - inner[0]) < 0.02
+
+
+def test_chosen_windows_do_not_overlap():
+    rng = np.random.default_rng(9)
+    rows, starts = np.repeat([0, 2, 3], [100, 3, 70]), np.concatenate([np.arange(100), np.arange(200, 203), np.arange(300, 370)])
+    values = rng.random(len(rows)) - 5
+    most = np.array([3, 9, 1, 2])
+    picked = toxicity.choose(values, starts, rows, most)
+    for r in (0, 2, 3):
+        own, left = [], np.where(rows == r, values, -np.inf)
+        while len(own) < most[r] and np.isfinite(left).any():
+            own.append(int(left.argmax()))
+            left[np.abs(starts - starts[own[-1]]) < toxicity.WINDOW] = -np.inf
+        assert sorted(own) == [p for p in picked if rows[p] == r]
 
 
 def toxic_texts(rng, n):
