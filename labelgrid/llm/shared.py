@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with marks before it until no column of ``df`` is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 BATCHES, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 #: Shuffle files of a finished write serve nobody: with this setting Spark removes them at its end.
@@ -36,7 +44,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Gives the disk of ``saved`` tables back once their last reader is written: each is overwritten with no rows. Other tables are left alone."""
+    for df in tables:
+        path = vars(df).get("saved_path")
+        if path:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

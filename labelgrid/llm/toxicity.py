@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.llm.shared import crc32_of_id, saved
-from labelgrid.llm.words import LOWER, U64, flat, mix, pieces, ragged, word_hashes, word_spans
+from labelgrid.llm.words import LOWER, U64, flat, mix, pieces, ragged, release, word_hashes, word_spans
 
 WINDOW, SEGMENT, WARM = 32, 256, 32
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 16, 16, 12, 4096
@@ -343,6 +343,7 @@ def train(rows: DataFrame, seed: int = 5) -> Network | None:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        release()
     return net
 
 

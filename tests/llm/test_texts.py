@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelgrid.llm import decontam, minhash, pii, substrings
+from labelgrid.llm.shared import emptied, saved
 
 # --- personal data ---
 
@@ -173,6 +175,47 @@ def test_the_rest_is_compared(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()} == name
 
 
+def test_the_rest_in_many_blocks(spark, monkeypatch):
+    """Families about the threshold, all links from blocks of eight classes: as plain comparison of all pairs says."""
+    rng = random.Random(9)
+    texts = []
+    for n, edits in ((40, 9), (25, 4)):
+        texts += family(rng, [f"w{rng.randrange(5000)}" for _ in range(90)], n, edits)
+    docs = list(enumerate(rng.sample(texts, len(texts))))
+    monkeypatch.setattr(minhash, "neighbour_pairs", lambda forest: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    name, _ = plain_components(docs)
+    assert len(set(name.values())) > 3
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == name
+
+
+def test_blocks_pass_on_fewer_links_than_classes(spark):
+    rng = random.Random(10)
+    docs = spark.createDataFrame(list(enumerate(family(rng, [f"w{i}" for i in range(100)], 60, 1))), "doc_id long, text string")
+    every = minhash.describe(docs)
+    classes = every.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
+    rows = minhash.forest_rows(classes)
+    forest = rows.join(rows.groupBy("region").agg(F.count("node").alias("size")), "region")
+    links = minhash.rest_links(forest, minhash.class_codes(classes), None, docs)
+    blocks = minhash.open_blocks(forest, minhash.class_codes(classes), None).groupBy("region", "i", "j").count().collect()
+    assert 0 < links.count() <= sum(r["count"] - 1 for r in blocks)
+
+
+def test_emptied_tables_hold_nothing(spark):
+    table = saved(spark.range(5), "five")
+    assert table.count() == 5
+    emptied(table, table.where("id > 2"))
+    assert spark.read.parquet(table.saved_path).count() == 0
+
+
+def test_keep_one_picks_the_same_text_of_a_repeated_id(spark):
+    rows = [(1, "b text of its own", "x"), (1, "a text of its own", "y"), (1, None, "z"), (2, "else", "w")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, kept_id string").repartition(3)
+        got = sorted(map(tuple, minhash.keep_one(frame).collect()))
+        assert got == sorted(map(tuple, minhash.keep_one(spark.createDataFrame(rows, frame.schema)).collect())) and len(got) == 2
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = minhash.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
