@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,25 +145,60 @@ def region_candidates(images: DataFrame, seed: str, low: int, high: int, tries:
     )
 
 
+def window_masses(windows: DataFrame, cells: DataFrame, keys: list[str], tile: int = 256) -> DataFrame:
+    """``mass``: the sum of ``v`` inside each window ``(*keys, try, l, t, r, b)``; windows that meet no cell have no row.
+
+    Windows and cells meet once per page tile: a row holds the tile's cells and all windows that touch it, so the join doesn't grow with the
+    number of windows. Per tile a summed-area table is built, and each window is four lookups in it. A tile is bounded, so a page of any size is
+    spread over as many keys as it has tiles.
+    """
+    lo = lambda c: F.floor(F.col(c) / tile).cast("int")
+    hi = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
+    place = [*keys, "_ty", "_tx"]
+    full = windows.where("r > l AND b > t")
+    asked = (
+        full.withColumn("_ty", F.explode(F.sequence(lo("t"), hi("b")))).withColumn("_tx", F.explode(F.sequence(lo("l"), hi("r"))))
+        .groupBy(*place).agg(F.collect_list(F.struct("try", "l", "t", "r", "b")).alias("_windows"))
+    )
+    tiles = cells.withColumns({"_ty": lo("y"), "_tx": lo("x")}).groupBy(*place).agg(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v"))).alias("_cells"))
+
+    def field(column: pa.ListArray, name: str) -> np.ndarray:
+        return column.flatten().field(name).to_numpy(zero_copy_only=False)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                top, left = row.column("_ty")[0].as_py() * tile, row.column("_tx")[0].as_py() * tile
+                area = np.zeros((tile + 1, tile + 1))
+                own, asked = row.column("_cells"), row.column("_windows")
+                np.add.at(area, (field(own, "y") - top + 1, field(own, "x") - left + 1), field(own, "v"))
+                area = area.cumsum(0).cumsum(1)
+                t, b = (np.clip(field(asked, c) - top, 0, tile) for c in "tb")
+                le, r = (np.clip(field(asked, c) - left, 0, tile) for c in "lr")
+                mass = area[b, r] - area[t, r] - area[b, le] + area[t, le]
+                n = len(mass)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(row.column(c)[0], n) for c in keys), asked.flatten().field("try"), pa.array(mass)], names=[*keys, "try", "mass"])
+
+    kinds = dict(windows.dtypes)
+    found = tiles.join(asked, place).mapInArrow(sums, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "try")) + ", mass double")
+    return found.groupBy(*keys, "try").agg(F.sum("mass").alias("mass"))
+
+
 def accept_regions(candidates: DataFrame, cells: DataFrame, criterion: float = CRITERIA["multichannel"], tile: int = 256) -> DataFrame:
     """First candidate whose mean mask value reaches ``criterion``, else the last one.
 
-    A class absent from the page takes its first candidate. Candidates and cells
-    meet on page tiles; sums per candidate combine before the shuffle.
+    A class absent from the page takes its first candidate; a window without area is never good. Masses come from :func:`window_masses`.
     """
-    key = ["image_id", "class_id", "try"]
-    lo = lambda c: F.floor(F.col(c) / tile).cast("int")
-    hi = lambda c: F.floor(F.greatest(F.col(c) - 1, F.lit(0)) / tile).cast("int")
-    spread = candidates.withColumn("_ty", F.explode(F.sequence(lo("t"), F.greatest(lo("t"), hi("b"))))).withColumn("_tx", F.explode(F.sequence(lo("l"), F.greatest(lo("l"), hi("r")))))
-    tiled = cells.where("v > 0").withColumns({"_ty": lo("y"), "_tx": lo("x")})
-    inside = (F.col("y") >= F.col("t")) & (F.col("y") < F.col("b")) & (F.col("x") >= F.col("l")) & (F.col("x") < F.col("r"))
-    sums = tiled.join(spread, ["image_id", "class_id", "_ty", "_tx"]).where(inside).groupBy(*key).agg(F.sum("v").alias("mass"))
-    present = cells.where("v > 0").select("image_id", "class_id").distinct().withColumn("present", F.lit(True))
-    rated = candidates.join(sums, key, "left").join(present, ["image_id", "class_id"], "left")
+    layer = ["image_id", "class_id"]
+    inked = cells.where("v > 0").select(*layer, "y", "x", "v")
+    present = inked.select(*layer).distinct().withColumn("present", F.lit(True))
+    box = F.struct("try", "l", "t", "r", "b", "side")
+    rated = candidates.join(window_masses(candidates, inked, layer, tile), [*layer, "try"], "left").join(present, layer, "left")
     size = (F.col("b") - F.col("t")) * (F.col("r") - F.col("l"))
     good = F.col("present").isNull() | ((size > 0) & (F.coalesce("mass", F.lit(0e0)) >= F.lit(criterion) * size))
-    pick = F.coalesce(F.min(F.when(good, F.struct("try", "l", "t", "r", "b", "side"))), F.max(F.struct("try", "l", "t", "r", "b", "side"))).alias("p")
-    return rated.groupBy("image_id", "class_id").agg(pick, F.max(good.cast("int")).alias("accepted")).select("image_id", "class_id", "p.*", "accepted")
+    pick = F.coalesce(F.min(F.when(good, box)), F.max(box)).alias("p")
+    return rated.groupBy(*layer).agg(pick, F.max(good.cast("int")).alias("accepted")).select(*layer, "p.*", "accepted")
 
 
 def sample_regions(images: DataFrame, cells: DataFrame, seed: str, low: int, high: int, criterion: float = CRITERIA["multichannel"], tries: int = MAX_TRIES) -> DataFrame:

@@ -9,9 +9,11 @@ dense tiles with a halo instead: one shuffle, and no row per pixel and offset.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,10 +57,15 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
 def _tiled(cells: DataFrame, keys: list[str], reach: int, side: int, work, schema: str) -> DataFrame:
     """``work(tile rows, y0, x0)`` on dense tiles of ``side`` pixels and a halo of ``reach`` around them: one shuffle, whatever the reach.
 
-    A tile is bounded, so a page of any size is spread like many small ones. Rows of a tile carry all columns of ``cells``.
+    A tile is bounded, so a page of any size is spread like many small ones. Rows of a tile carry all columns of ``cells``. Only tiles of the page
+    are dealt to, as far as its extent is known (columns ``height`` and ``width``). Wide halos get wider tiles, so that a cell goes to few of them.
     """
-    touched = lambda axis: F.sequence(F.floor((F.col(axis) - reach) / side), F.floor((F.col(axis) + reach) / side))
-    dealt = cells.withColumn("_ty", F.explode(touched("y"))).withColumn("_tx", F.explode(touched("x")))
+
+    def touched(axis: str, extent: str):
+        low, high = F.greatest(F.floor((F.col(axis) - reach) / side), F.lit(0)), F.floor((F.col(axis) + reach) / side)
+        return F.sequence(low, F.least(high, F.floor((F.col(extent) - 1) / side)) if extent in cells.columns else high)
+
+    dealt = cells.withColumn("_ty", F.explode(touched("y", "height"))).withColumn("_tx", F.explode(touched("x", "width")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
@@ -226,9 +233,9 @@ def distance_map(layer: DataFrame, images: DataFrame, block: int = 256) -> DataF
     """Exact distance of every pixel of the page to the nearest set pixel, any radius.
 
     Down the columns, the nearest set row comes from the column's set rows (in
-    blocks, with carries between them); along a row, only offsets up to the
-    column distance can be nearer, and they are searched in the row's array of
-    one page width. Pages without set pixels have no rows.
+    blocks, with carries between them); along a row, the lower envelope of the
+    columns' parabolas gives all distances in time linear in the page's width.
+    Pages without set pixels have no rows.
     """
     marks = layer.select("image_id", "y", "x").distinct()
     dense = page_pixels(images.join(marks.select("image_id").distinct(), "image_id", "left_semi"))
@@ -248,8 +255,42 @@ def distance_map(layer: DataFrame, images: DataFrame, block: int = 256) -> DataF
     }).join(carry, ["image_id", "x", "_blk"])
     g = F.least(F.col("y") - F.coalesce("_a", "_up"), F.coalesce("_b", "_down") - F.col("y"))
     lines = near.select("image_id", "y", "x", g.alias("g")).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("line"))
-    cells = lines.select("image_id", "y", F.transform("line", lambda e: e["g"]).alias("gs")).select("image_id", "y", "gs", F.posexplode("gs").alias("x", "g"))
-    span = F.coalesce(F.col("g"), F.size("gs"))
-    offsets = F.sequence(F.greatest(-span, -F.col("x")), F.least(span, F.size("gs") - 1 - F.col("x")))
-    best = F.array_min(F.transform(offsets, lambda d: d * d + F.get("gs", F.col("x") + d) * F.get("gs", F.col("x") + d)))
-    return cells.select("image_id", "y", "x", F.sqrt(best.cast("double")).alias("d"))
+    # Squares of the column distances, -1 where the column holds no mark; the envelope of all parabolas of a row in one pass over it.
+    rows = lines.select("image_id", "y", F.transform("line", lambda e: F.coalesce(e["g"] * e["g"], F.lit(-1)).cast("long")).alias("gs"))
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [nearest_in_row(gs.values.to_numpy()) for gs in batch.column("gs")]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("y"), pa.array(best, pa.list_(pa.int64()))], names=["image_id", "y", "d2"])
+
+    kinds = dict(layer.dtypes)
+    done = rows.mapInArrow(along, f"image_id {kinds['image_id']}, y {kinds['y']}, d2 array<bigint>")
+    return done.select("image_id", "y", F.posexplode("d2").alias("x", "d2")).select("image_id", "y", "x", F.sqrt(F.col("d2").cast("double")).alias("d"))
+
+
+def nearest_in_row(squares: np.ndarray) -> np.ndarray:
+    """``min over k of (x - k)**2 + squares[k]`` for every x, in linear time; squares below 0 stand for no mark, and one must be there.
+
+    Each column spans a parabola. The lowest ones, from left to right, are kept on a stack with the whole number from which each is lowest.
+    """
+    columns = np.flatnonzero(squares >= 0)
+    value = (squares[columns] + columns * columns).tolist()
+    place = columns.tolist()
+    stack, since = [0], [0]
+    for k in range(1, len(place)):
+        while stack:
+            j = stack[-1]
+            # From here on parabola k is no higher than j.
+            at = -((value[j] - value[k]) // (2 * (place[k] - place[j])))
+            if at > since[-1]:
+                break
+            stack.pop()
+            since.pop()
+        at = at if stack else 0
+        if at < len(squares):
+            stack.append(k)
+            since.append(at)
+    ends = [*since[1:], len(squares)]
+    lowest = columns[np.repeat(stack, [b - a for a, b in zip(since, ends)])]
+    x = np.arange(len(squares))
+    return (x - lowest) ** 2 + squares[lowest]

@@ -136,6 +136,25 @@ def test_regions_reach_the_criterion(spark):
     assert got[2]["accepted"] and got[2]["try"] == 1  # class absent: any window
 
 
+def test_window_masses_by_summed_areas(spark):
+    """Windows over several tiles, at the page's edges, without area and outside all cells, against plain sums; one row a tile, however many windows."""
+    rng = np.random.default_rng(5)
+    a = np.round(rng.random((90, 130, 2)) * (rng.random((90, 130, 2)) > 0.6), 3)
+    a[:, 60:100, 1] = 0
+    rows = []
+    for k in range(120):
+        t, le = int(rng.integers(0, 90)), int(rng.integers(0, 130))
+        rows.append(("i", k % 2, k, le, t, min(130, le + int(rng.integers(0, 80))), min(90, t + int(rng.integers(0, 60)))))
+    rows += [("i", 1, 500, 65, 0, 95, 90), ("other", 0, 501, 0, 0, 9, 9), ("i", 0, 502, 0, 0, 130, 90)]
+    windows = spark.createDataFrame(rows, "image_id string, class_id int, try int, l int, t int, r int, b int")
+    got = {r["try"]: r["mass"] for r in S.window_masses(windows, cells(spark, a), ["image_id", "class_id"], tile=32).collect()}
+    want = {k: a[t:b, le:r, c].sum() for i, c, k, le, t, r, b in rows if i == "i"}
+    assert all(got.get(k, 0) == pytest.approx(w, abs=1e-9) for k, w in want.items()) and 501 not in got
+    few = S.accept_regions(windows.withColumn("side", F.lit(9)), cells(spark, a), 0.1, tile=32).collect()
+    good = lambda c: sorted(k for i, cc, k, le, t, r, b in rows if i == "i" and cc == c and r > le and b > t and a[t:b, le:r, c].mean() >= 0.1)
+    assert {r["class_id"]: r["try"] for r in few if r["image_id"] == "i"} == {c: good(c)[0] for c in (0, 1)}
+
+
 def test_subwords_and_mix(spark):
     words = spark.createDataFrame([(1, i, 100, 0, 140, 10, "abcd", [10, 20, 30]) for i in range(50)], "page_id int, box_id int, l int, t int, r int, b int, text string, charsegs array<int>")
     for r in S.subword_samples(words, "s").collect():

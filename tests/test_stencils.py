@@ -72,6 +72,37 @@ def test_distances(spark):
     assert np.allclose(depth, brute_distance(1 - full) * full)
 
 
+def test_lowest_parabolas_of_a_row():
+    """Against every pair of places, with columns that hold no mark, ties and steep and flat stretches."""
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        n = rng.integers(1, 40)
+        squares = rng.integers(0, rng.integers(1, 30), n) ** 2
+        squares[rng.random(n) < rng.random()] = -1
+        if (squares < 0).all():
+            squares[rng.integers(n)] = 4
+        k = np.flatnonzero(squares >= 0)
+        want = ((np.arange(n)[:, None] - k) ** 2 + squares[k]).min(axis=1)
+        assert (S.nearest_in_row(squares) == want).all()
+
+
+def test_wide_pages_with_marks_far_apart(spark):
+    """Pages wider and higher than a tile: halos reach over tiles on both axes, and no tile outside the page is dealt to."""
+    marks = np.zeros((70, 150))
+    marks[5, 3] = marks[60, 148] = marks[33, 70] = 1
+    want = brute_distance(marks)
+    im, sparse = images(spark, one(marks)), cells(spark, one(marks))
+    assert np.allclose(layer(S.distance_map(sparse, im, block=16), marks.shape, "d"), want)
+    assert np.allclose(layer(S.distance_to(sparse, S.page_pixels(im), 40, side=32), marks.shape, "d"), np.minimum(want, 40))
+    full = 1 - marks
+    depth = layer(S.distance_to_empty(cells(spark, one(full)), im, 30, side=32), marks.shape, "d")
+    assert np.allclose(depth, np.minimum(want, 30) * full)
+    wide = S.gaussian_smooth(sparse, im, 5.0, side=16)
+    assert np.allclose(layer(wide, marks.shape), layer(S.gaussian_smooth(sparse, im, 5.0), marks.shape))
+    dealt = S._tiled(sparse.join(im, "image_id"), ["image_id"], 40, 32, lambda rows, y0, x0: rows.iloc[:1][["y", "x"]].assign(y=y0, x=x0), "image_id string, y int, x int").collect()
+    assert dealt and all(0 <= r["y"] < 70 and 0 <= r["x"] < 150 for r in dealt)
+
+
 def test_profile_matches_dense(spark):
     r = {x["y"]: x for x in S.profile(cells(spark, one(SOFT)), images(spark, one(SOFT)), "y").collect()}
     assert [r[y]["mean"] for y in range(23)] == pytest.approx(SOFT.mean(axis=1).tolist())
