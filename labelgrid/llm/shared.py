@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +37,22 @@ BATCHES, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries inside give the disk of their shuffle files back when they end."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the schema is passed on, so empty tables work too."""
-    path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
-    try:
+    path = shared_folder(df.sparkSession, name)
+    with shuffles_cleaned(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

@@ -11,7 +11,7 @@ will do and a lost executor leaves nothing behind. Reading back uses the binaryF
 Index: keys are dealt into buckets by hash, each bucket holds a minimal perfect hash over its keys, built level by level: keys that meet at
 no other key's position of a bit array stay there, the others go on to the next level, and the number of set bits before a key's bit is
 its slot. Per slot stand a fingerprint, shard, payload offset, length and the number of rows with that key. A lookup reads one bucket, a
-few bits and one slot, whatever the number of documents.
+few bits and one slot, whatever the number of documents. ``fetch`` groups the places found by shard and cuts the ids out of its payload.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelgrid.llm.encode import encoder, vocabulary
-from labelgrid.llm.shared import saved, shared_folder
+from labelgrid.llm.shared import saved, shared_folder, shuffles_cleaned
 from labelgrid.llm.words import U64, mix, pieces
 
 MAGIC = b"LGTOKEN1"
@@ -43,14 +43,19 @@ def shard_bytes(part: int, number: int, keys: np.ndarray, nulls: np.ndarray, len
     return b"".join([head, keys.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), lengths.astype("<i8").tobytes(), ids.astype(f"<u{id_bytes}").tobytes()])
 
 
-def read_shard(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Partition, number, keys, null flags, lengths, ids."""
-    magic, part, number, docs, ids, id_bytes = struct.unpack_from(HEADER, raw)
+def head_bytes(docs: int) -> int:
+    """Bytes of a shard before its payload."""
+    return struct.calcsize(HEADER) + 17 * docs
+
+
+def read_head(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Partition, number, keys, null flags, lengths."""
+    magic, part, number, docs, _, _ = struct.unpack_from(HEADER, raw)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at, found = struct.calcsize(HEADER), []
-    for kind, n in (("<i8", docs), ("u1", docs), ("<i8", docs), (f"<u{id_bytes}", ids)):
-        found.append(np.frombuffer(raw, kind, n, at))
+    for kind in ("<i8", "u1", "<i8"):
+        found.append(np.frombuffer(raw, kind, docs, at))
         at += found[-1].nbytes
     return part, number, *found
 
@@ -86,28 +91,58 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_file: str, end_id:
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     # Few rows in a batch, so that a shard's share of long texts in memory stays small.
-    ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    lines = ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    with shuffles_cleaned(docs.sparkSession):
+        lines.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """part, number, docs and content of every shard; the numbers are read from the header on the JVM."""
+
+    def number(k: int) -> Column:
+        """The k-th number after the magic bytes, little-endian."""
+        digits = F.hex(F.substring("content", 9 + 8 * k, 8))
+        return F.conv(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))), 16, 10).cast("long")
+
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(number(0).alias("part"), number(1).alias("number"), number(2).alias("docs"), "content")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document and nothing shuffled: part, number, place (ids before it in the shard), doc_id, n_tokens, ids_crc32."""
+    """One row per document from the heads of the shards, nothing shuffled: part, number, place (ids before it in the shard), doc_id, n_tokens."""
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
-            for raw in batch.column("content"):
-                part, number, keys, nulls, lengths, ids = read_shard(raw.as_py())
-                places = np.cumsum(lengths) - lengths
-                crcs = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(places.tolist(), lengths.tolist(), strict=True)]
+            for raw in batch.column("head"):
+                part, number, keys, nulls, lengths = read_head(raw.as_py())
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part)), pa.array(np.full(n, number)), pa.array(places), pa.array(keys, mask=nulls.astype(bool)), pa.array(lengths), pa.array(crcs, pa.int64())],
-                    names=["part", "number", "place", "doc_id", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, part)), pa.array(np.full(n, number)), pa.array(np.cumsum(lengths) - lengths), pa.array(keys, mask=nulls.astype(bool)), pa.array(lengths)], names=["part", "number", "place", "doc_id", "n_tokens"]
                 )
 
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(rows, "part long, number long, place long, doc_id long, n_tokens long, ids_crc32 long")
+    head = F.expr(f"substring(content, 1, CAST({head_bytes(0)} + 17 * docs AS INT))")
+    return shard_files(spark, path).select(head.alias("head")).mapInArrow(rows, "part long, number long, place long, doc_id long, n_tokens long")
+
+
+def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """doc_id, start and ids (little-endian unsigned 32-bit) of documents at known ``places`` (doc_id, start, part, number, place, n_tokens).
+
+    Places meet their shard, and only the ids asked for are cut out of its payload. ``doc_id`` and ``start`` are passed on.
+    """
+    asked = places.groupBy("part", "number").agg(F.collect_list(F.struct("doc_id", "start", "place", "n_tokens")).alias("asked"))
+    kinds = "doc_id long, start long, ids binary"
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, wanted = batch.column("content")[k].as_buffer(), batch.column("asked").slice(k, 1).flatten()
+                _, _, _, docs, ids, id_bytes = struct.unpack_from(HEADER, raw)
+                payload = np.frombuffer(raw, f"<u{id_bytes}", ids, head_bytes(docs))
+                ends = (wanted.field(c).to_numpy() for c in ("place", "n_tokens"))
+                cuts = [payload[a : a + n].astype("<u4").tobytes() for a, n in zip(*(x.tolist() for x in ends), strict=True)]
+                yield pa.RecordBatch.from_arrays([wanted.field("doc_id"), wanted.field("start"), pa.array(cuts, pa.binary())], names=["doc_id", "start", "ids"])
+
+    return shard_files(spark, path).select("part", "number", "content").join(asked, ["part", "number"]).select("content", "asked").mapInArrow(cut, kinds)
 
 
 def key_hashes(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -224,34 +259,39 @@ def look_up(index: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.mapInPandas(unfold, "doc_id long, found boolean, part long, number long, place long, n_tokens long, copies long")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """``start``: ids of all documents before, from sums over shards (never over documents) in two levels: within a partition, then over partitions."""
+def shard_starts(rows: DataFrame) -> DataFrame:
+    """part, number and base: ids of all shards before, from sums over shards (never over documents) in two levels: within a partition, then over partitions."""
     sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("ids"))
     inside = sizes.withColumn("inside", F.sum("ids").over(Window.partitionBy("part").orderBy("number")) - F.col("ids"))
     parts = sizes.groupBy("part").agg(F.sum("ids").alias("ids"))
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    base = inside.join(before, "part").select("part", "number", (F.col("inside") + F.col("before")).alias("base"))
-    return rows.join(base, ["part", "number"]).withColumn("start", F.col("base") + F.col("place"))
+    return inside.join(before, "part").select("part", "number", (F.col("inside") + F.col("before")).alias("base"))
+
+
+def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """``start``: ids of all documents before. ``shards``: the result of ``shard_starts``, a row a shard."""
+    return rows.join(shards, ["part", "number"]).withColumn("start", F.col("base") + F.col("place")).drop("base")
 
 
 def token_digest(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """Write ``docs`` as token files, index them, and read every document back through the index: doc_id, start, n_tokens, ids_crc32.
 
-    Each key's first row is read at the place that the index gives; further rows of a repeated key follow it in the files, and rows without
-    a key, which no index can hold, are read in file order.
+    Each key is looked up and its ids are cut out of the shard at the place that the index gives. Where the index says that a key has more
+    rows, they are cut out likewise, at places from the heads of the files, and so are rows without a key, which no index can hold.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "tokens")
     write_token_files(docs, path, vocabulary_file)
-    rows = saved(with_starts(read_token_files(spark, path)), "token-rows")
-    count = max(1, rows.count())
-    index = saved(build_index(rows, count), "token-index")
+    rows = saved(read_token_files(spark, path), "token-rows")
+    shards = saved(shard_starts(rows), "token-shards")
+    index = saved(build_index(rows, max(1, rows.count())), "token-index")
     places = saved(look_up(index, docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()), "token-places").where("found")
     at = ["part", "number", "place"]
-    first = rows.join(places.select(*at, F.col("doc_id").alias("key")), at).where("doc_id = key")
     again = rows.join(places.where("copies > 1").select("doc_id", *(F.col(c).alias(f"first_{c}") for c in at)), "doc_id").where("struct(part, number, place) <> struct(first_part, first_number, first_place)")
-    result = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    return first.select(result).unionByName(again.select(result)).unionByName(rows.where("doc_id IS NULL").select(result))
+    wanted = ["doc_id", *at, "n_tokens"]
+    every = places.select(wanted).unionByName(again.select(wanted)).unionByName(rows.where("doc_id IS NULL").select(wanted))
+    found = fetch(spark, path, with_starts(every, shards))
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def byte_vocabulary() -> str:

@@ -84,10 +84,26 @@ def test_shards_are_split_and_read_back(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     path = shared_folder(spark, "small-shards")
     tokenfiles.write_token_files(docs, path, tokenfiles.byte_vocabulary(), shard_ids=2000, id_bytes=4)
-    rows = tokenfiles.with_starts(tokenfiles.read_token_files(spark, path)).orderBy("start").collect()
+    heads = tokenfiles.read_token_files(spark, path)
+    places = tokenfiles.with_starts(heads, tokenfiles.shard_starts(heads))
+    rows = places.orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and len(rows) == docs.count()
     assert len({(r.part, r.number) for r in rows}) > 20
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    # A few keys, through the index: exactly their ids, whatever else the shards hold.
+    index = saved(tokenfiles.build_index(heads, len(rows)), "index")
+    asked = docs.where("doc_id % 17 = 3").select("doc_id").unionByName(spark.createDataFrame([(-5,)], "doc_id long"))
+    found = tokenfiles.with_starts(tokenfiles.look_up(index, asked).where("found"), tokenfiles.shard_starts(heads))
+    got = {r.doc_id: (r.start, bytes(r.ids)) for r in tokenfiles.fetch(spark, path, found).collect()}
+    starts = {r.doc_id: r.start for r in rows}
+    want = {r.doc_id: (starts[r.doc_id], np.array(ids_of(r.text, FILES[1]), "<u4").tobytes()) for r in docs.where("doc_id % 17 = 3").collect()}
+    assert got == want
+
+
+def test_digest_needs_the_index(spark, awkward, monkeypatch):
+    """With an index that holds nothing, only rows without a key are read back."""
+    monkeypatch.setattr(tokenfiles, "build_index", lambda rows, keys: spark.createDataFrame([], "bucket int, buckets int, blob binary"))
+    assert {r.doc_id for r in tokenfiles.token_digest(awkward, tokenfiles.byte_vocabulary()).collect()} == {None}
 
 
 def test_perfect_hash():
