@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import bit_filter, passes, saved
+from labelgrid.llm.shared import bit_filter, passes, saved, unused
 from labelgrid.llm.words import U64, Runs, flat, pieces, windows, word_hashes, word_spans
 
 WINDOW = 8
@@ -43,6 +43,8 @@ NUMERIC = np.array([c < 128 and (chr(c).isdigit() or chr(c) in ".,:/-") for c in
 DIGIT = np.array([48 <= c < 58 for c in range(256)])
 STOP = np.array([chr(c) in ".!?" for c in range(256)])
 CAPITAL = np.array([65 <= c < 91 for c in range(256)])
+#: By kind of window; a window taken word for word meets only its like.
+VERBATIM = (U64(0), U64(0), U64(0x61C8864680B583EB))
 NUMBER, NAME, UNIT = U64(0x9D8C2B7E11F3A501), U64(0x5B1F7C3D99E24A03), U64(0x2E6A90D4C7B81F05)
 
 
@@ -87,27 +89,29 @@ def bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def template_windows(column: pa.Array, size: int = WINDOW, plain: int = PLAIN_WORDS):
-    """Start word, hash and row of every window that has enough plain words, the slots of chosen ones, whether each is a template, and each row's first word.
+    """Start word, hash and row of every window, the slots of chosen ones, whether each is a template, and each row's first word.
 
     A window with names is there twice: as a template, and with its names as the plain words they are, in lower case. So a copy in
-    another case, in which names can't be told, still meets one of the two.
+    another case, in which names can't be told, still meets one of the two. A window of fewer than ``plain`` plain words even so, as in a row of
+    numbers, would say little as a template; it stands there word for word, without placeholders.
     """
     values, filler, firsts, opens = canonical(column)
     spelt = np.where(values == NAME, filler, values)
     at = windows(firsts, size)
-    found = []
-    for kind, own in ((True, values), (False, spelt)):
+    found, kinds = [], (values, spelt, filler)
+    enough = []
+    for own in (values, spelt):
         free = np.concatenate([[0], np.cumsum(own == filler)])
-        use = at[free[at + size] - free[at] >= plain]
-        found.append((use, Runs(own).of(use, use + size) if len(use) else np.zeros(0, U64), np.full(len(use), kind)))
+        enough.append(free[at + size] - free[at] >= plain)
     names = np.concatenate([[0], np.cumsum(values == NAME)])
-    use = found[1][0]
-    twice = names[use + size] > names[use]  # without names both are the same
-    found[1] = tuple(x[twice] for x in found[1])
-    at, hashes, template = (np.concatenate(x) for x in zip(*found, strict=True))
+    twice = names[at + size] > names[at]  # without names both are the same
+    for kind, use in enumerate((enough[0], enough[1] & twice, ~enough[1])):
+        own = at[use]
+        found.append((own, Runs(kinds[kind]).of(own, own + size) ^ VERBATIM[kind] if len(own) else np.zeros(0, U64), np.full(len(own), kind)))
+    at, hashes, kind = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = np.searchsorted(firsts, at, "right") - 1
-    slots = lambda use: np.concatenate([slots_of(at[use & part], own, filler, opens, size) for part, own in ((template, values), (~template, spelt))])
-    return at, hashes.view(np.int64), rows, slots, template, firsts
+    slots = lambda use: np.concatenate([slots_of(at[use & (kind == k)], own, filler, opens, size) for k, own in enumerate(kinds)])
+    return at, hashes.view(np.int64), rows, slots, kind == 0, firsts
 
 
 def slots_of(at: np.ndarray, values: np.ndarray, filler: np.ndarray, opens: np.ndarray, size: int) -> np.ndarray:
@@ -261,5 +265,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns. Null texts stay."""
-    hit = saved(matches(docs, benchmark).select(F.col("text_md5").alias("__md5")).distinct(), "leaks")
-    return docs.withColumn("__key", F.md5(F.col("text").cast("string").cast("binary"))).join(hit, F.col("__key") == F.col("__md5"), "left_anti").drop("__key")
+    md5 = unused(docs, "leak_md5")
+    hit = saved(matches(docs, benchmark).select(F.col("text_md5").alias(md5)).distinct(), "leaks")
+    return docs.join(hit, F.md5(docs["text"].cast("string").cast("binary")) == hit[md5], "left_anti")

@@ -111,6 +111,16 @@ def test_removal_equals_plain_removal(spark, vocabulary):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == plain_removal(docs, substrings.WINDOW)
 
 
+def test_hot_windows_meet_in_many_places(spark, monkeypatch):
+    """Windows that stand in every document are joined by salt; the result is the same."""
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(20))
+    docs = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 25))) + " " + common + " " + " ".join(f"v{rng.randrange(9)}" for _ in range(8))) for i in range(60)]
+    monkeypatch.setattr(substrings, "HOT", 20)
+    got = substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == plain_removal(docs, substrings.WINDOW)
+
+
 def test_removal_awkward(awkward, nothing):
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     got = substrings.without_repeats(awkward).collect()
@@ -284,6 +294,20 @@ def test_repeats_count_once(spark):
     assert got[0, 7].matched == got[0, 7].item_windows and got[0, 7].words == len(QUESTION.split())
 
 
+def test_items_of_few_plain_words(spark):
+    """Rows of numbers and units stand word for word: a copy is found, another row of numbers and a copy with changes all over are not."""
+    numbers = "3 7 12 19 28 40 51 63 70 85 91 104 118 125 137 150"
+    options = "Options: 5 km or 8 miles, 12 kg or 30 pounds, 7 hours or 90 minutes, 4 litres or 2 gallons."
+    texts = ["before " + numbers + " after", "x " + options.upper() + " y", " ".join(str(int(n) + 1) for n in numbers.split()), numbers.replace("19", "18").replace("70", "71").replace("118", "9")]
+    assert set(leaks(spark, texts, [(1, numbers), (2, options)])) == {(0, 1), (1, 2)}
+
+
+def test_clean_rows_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, QUESTION, "a", "b"), (2, "fine", "c", "d"), (3, None, "e", "f")], "doc_id long, text string, __key string, leak_md5 string")
+    clean = decontam.clean_rows(docs, spark.createDataFrame([(7, QUESTION)], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == [(2, "fine", "c", "d"), (3, None, "e", "f")]
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, QUESTION), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank"), (4, "The quick brown fox jumps over the lazy dog near the quiet river bank")], "item_id long, text string")
     got = decontam.matches(awkward, items).collect()
