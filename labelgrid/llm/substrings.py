@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.shared import bit_filter, passes, saved
+from labelgrid.llm.shared import bit_filter, emptied, passes, saved
 from labelgrid.llm.words import BASES, U64, Runs, flat, mix, pieces, windows, word_hashes, word_spans
 
 WINDOW = 13
@@ -31,6 +31,7 @@ GRAM = 5
 #: A block ends, on average, after so many windows: the top bits of the hash of the next GRAM words are all zero.
 BLOCK_BITS = 5
 SLICE_BYTES = 4 << 20
+HOT, SALTS = 1000, 32
 
 
 class Parsed:
@@ -114,9 +115,17 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
     # Read twice rather than kept: hashing is cheap, and single windows are the largest rows of all.
     single = scan(docs, singles, "doc_id long, text_key long, start long, w1 long, w2 long", window, gram)
-    earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    again = single.join(earliest, ["w1", "w2"]).where("doc_id > source").select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("size"), "source")
+    earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    earliest = saved(earliest.where("source < last").drop("last"), "repeated-windows")
+    # Windows with more than a HOT-th of all repeats, HOT of them at most, meet their source in SALTS places.
+    total = earliest.agg(F.sum("n")).first()[0] or 0
+    hot = earliest.where(F.col("n") > total // HOT).select("w1", "w2", F.lit(SALTS).alias("salts"))
+    salt = lambda rows, of: rows.join(F.broadcast(hot), ["w1", "w2"], "left").withColumn("salt", of(F.coalesce("salts", F.lit(1)))).drop("salts")
+    dealt = salt(single, lambda n: F.pmod(F.xxhash64("doc_id", "start"), n.cast("long")).cast("int"))
+    sources = salt(earliest.drop("n"), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    again = dealt.join(sources, ["w1", "w2", "salt"]).where("doc_id > source").select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("size"), "source")
     again = saved(again, "repeats")
+    emptied(earliest)
     whole = judged.where("doc_id > source").select("doc_id", "text_key", "start", "size", "source")
     return whole.unionByName(again)
 
