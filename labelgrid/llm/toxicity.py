@@ -36,7 +36,7 @@ EPOCHS, RANDOM_EPOCHS, BATCH, RATE = 7, 2, 192, 0.01
 #: Windows a text in a round: at random, then the highest ones, of a toxic text and of a clean one (not overlapping).
 AT_RANDOM, OF_TOXIC, OF_CLEAN = 3, 1, 2
 LIMIT = 0.7
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII letters, digits and all bytes of other characters belong to words.
 SEPARATOR = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
@@ -280,7 +280,7 @@ def examples(rows: DataFrame, network: Network | None, turn: int) -> DataFrame:
 
     def part(batches) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in pieces(batches, "text", SLICE_BYTES // 4):
+        for batch in pieces(batches, "text", SLICE_BYTES // 2):
             words, texts = Words(batch.column("text")), batch.column("text").cast(pa.binary()).to_pylist()
             starts, of = words.window_starts()
             if not len(starts):
@@ -307,7 +307,7 @@ def vocabulary_of(rows: DataFrame, least: int = 3) -> np.ndarray:
     """Sorted hashes of the words of at least ``least`` training rows."""
 
     def part(batches) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", SLICE_BYTES // 4):
+        for batch in pieces(batches, "text", SLICE_BYTES // 2):
             words = Words(batch.column("text"))
             seen = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(words.firsts)) * len(words.hashes) + words.codes) % max(1, len(words.hashes))
             found, count = np.unique(seen, return_counts=True)
