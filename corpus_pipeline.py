@@ -32,13 +32,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data masked and n_chars in line."""
+    """All rows, with personal data masked and n_chars in line. Null texts stay null and empty ones empty; repeated rows and rows without doc_id stay."""
     small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length."""
+    """Pieces of power-of-two length. A null or empty text is its end id alone; repeated rows and rows without doc_id are packed row by row."""
     small_batches(spark)
     return packing.digest(packing.pack(docs, packing.word_vocabulary()))
 
