@@ -41,6 +41,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 #: One plain word as it occurs in a piece: a space or line break at most, precomposed Latin letters, then ASCII punctuation but ' and <.
 PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 PROBES = ["word", " word", " Word.", "\nÉtüde,", " ñandú", "\nI.", " aß,", "Über", " antidisestablishmentarianism.", " well%%%", "x_-;"]
+JOINED = 128
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,9 +54,10 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids by one vocabulary file; ``keep`` distinct pieces are remembered between calls, by their 64-bit hashes.
 
-    A plain word goes straight to the library's model in the form that its own splitting gives it; which form that is (spaces dropped and
-    lower case, or kept as they are) is settled by comparing both with the library's full encoding of a few probes. All else, and every
-    piece if neither form agrees, goes through the full encoding.
+    Without a normaliser, new pieces go through the library's full encoding many at a time, with a special token between them. With one,
+    which is slow, a plain word goes straight to the library's model in the form that its own splitting gives it; which form that is (spaces
+    dropped and lower case, or kept as they are) is settled by comparing both with the library's full encoding of a few probes. All else,
+    and every piece if neither form agrees, goes through the full encoding.
     """
 
     def __init__(self, path: str, end_id: int, keep: int = 1_000_000):
@@ -70,6 +72,9 @@ class Encoder:
         self.letters = byte_letters()
         forms = [lambda space, word, mark: (word.lower(), mark), lambda space, word, mark: ("", space + word, mark) if space == " " else (space, word, mark)]
         self.form = next((f for f in forms if all(self.plain(f, PLAIN.fullmatch(x)) == self.full(x) for x in PROBES)), None)
+        # A special token that takes no white space from its neighbours, as a mark between pieces: (text, id).
+        marks = [(t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark = marks[0] if marks and self.tokenizer.normalizer is None else None
 
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -85,13 +90,27 @@ class Encoder:
                 out += ids
         return out
 
-    def learn(self, texts: list[str], hashes: np.ndarray) -> None:
-        """Encode new pieces and add them to the sorted table of known ones."""
+    def singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
         self.parts = {}  # words of this call's pieces, which differ in marks or case only
         found = [self.plain(self.form, match) if self.form and (match := PLAIN.fullmatch(x)) else self.full(x) for x in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def jointly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``singly``, from one text with the mark between its pieces; where a piece holds the mark itself, there are too many of them."""
+        mark, mark_id = self.mark
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        between = ids == mark_id
+        if between.sum() != len(texts) - 1:
+            return self.singly(texts)
+        return ids[~between], np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1
+
+    def learn(self, texts: list[str], hashes: np.ndarray) -> None:
+        """Encode new pieces and add them to the sorted table of known ones."""
+        found = [self.jointly(texts[k : k + JOINED]) for k in range(0, len(texts), JOINED)] if self.mark else [self.singly(texts)]
+        new, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         places = len(self.values) + np.cumsum(sizes) - sizes
-        self.values = np.concatenate([self.values, np.frombuffer(b"".join(found), "<u4")])
+        self.values = np.concatenate([self.values, new])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
