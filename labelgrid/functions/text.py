@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIRST_CODE = 65536  # token codes start above the BMP: no surrogates, over a million tokens per pair
+BANDS = tuple(8 << 3 * k for k in range(6))  # 8 .. 262,144
+BLEU_CHARS = 1 << 21
 
 
 def squeeze(text: Column) -> Column:
@@ -19,10 +22,15 @@ def _rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
     return F.when(n_ref == 0, n_hyp.cast("double")).otherwise(distance / n_ref)
 
 
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance at a cost of length times distance: a band around the diagonal is widened eightfold until the distance fits into it."""
+    return F.coalesce(*(F.nullif(F.levenshtein(left, right, band), F.lit(-1)) for band in BANDS), F.levenshtein(left, right))
+
+
 def cer(ref: Column, hyp: Column) -> Column:
     """Character error rate; an empty reference with any text against it is 1."""
     r, h = squeeze(ref), squeeze(hyp)
-    rate = _rate(F.levenshtein(r, h), F.length(r), F.length(h))
+    rate = _rate(edit_distance(r, h), F.length(r), F.length(h))
     return F.when((F.length(ref) == 0) & (F.length(hyp) != 0), F.lit(1e0)).otherwise(rate)
 
 
@@ -45,7 +53,62 @@ def wer_of_codes(codes: Column) -> Column:
     One character per token, so the built-in edit distance counts tokens.
     """
     r, h = codes["r"], codes["h"]
-    return _rate(F.levenshtein(r, h), F.length(r), F.length(h))
+    return _rate(edit_distance(r, h), F.length(r), F.length(h))
+
+
+def ngram_hits(refs: list[str], hyps: list[str], max_n: int) -> np.ndarray:
+    """Matches of each order 1 .. ``max_n`` (columns), clipped to the rarer side, for each pair of texts (rows).
+
+    All pairs go through one order at a time. A gram is the number of the gram
+    one shorter at its place and the next character; first come pair numbers, so
+    pairs never meet. Places whose gram occurs on one side only are dropped, as
+    nothing longer can match there either.
+    """
+    texts = [t for pair in zip(refs, hyps, strict=True) for t in pair]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    side = np.repeat(np.arange(len(texts)), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    pair, is_hyp = side // 2, side % 2 == 1
+    at, gram = np.arange(len(chars)), pair
+    hits = np.zeros((len(refs), max_n), np.int64)
+    for n in range(1, max_n + 1):
+        room = at + n <= end[at]
+        at, gram = at[room], gram[room]
+        if not len(at):
+            break
+        gram, distinct = pd.factorize(gram << 21 | chars[at + n - 1])
+        of_hyp = np.bincount(gram[is_hyp[at]], minlength=len(distinct))
+        clipped = np.minimum(of_hyp, np.bincount(gram, minlength=len(distinct)) - of_hyp)
+        owner = np.empty(len(distinct), np.int64)
+        owner[gram] = pair[at]
+        hits[:, n - 1] = np.bincount(owner, clipped, len(refs))
+        both = clipped[gram] > 0
+        at, gram = at[both], gram[both]
+    return hits
+
+
+def bleu_scores(max_n: int):
+    """Column function of two texts: cumulative BLEU of the orders 1 .. ``max_n`` as one array."""
+
+    def block(refs: list[str], hyps: list[str]) -> np.ndarray:
+        r, h = (np.array([[len(t)] for t in texts], float) for texts in (refs, hyps))
+        n = np.arange(1, max_n + 1)
+        share = ngram_hits(refs, hyps, max_n) / np.maximum(h - n + 1, 1)
+        penalty = np.where(h > r, 1.0, np.exp(1 - r / np.maximum(h, 1)))
+        score = penalty * np.exp(np.cumsum(np.log(np.maximum(share, 1e-300)), axis=1) / n)
+        return np.where(np.minimum.accumulate(share, axis=1) <= 0, 0.0, score)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scores(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        refs, hyps = ref.fillna("").tolist(), hyp.fillna("").tolist()
+        part = np.cumsum([len(r) + len(h) for r, h in zip(refs, hyps, strict=True)]) // BLEU_CHARS
+        out: list[np.ndarray] = []
+        for some in np.split(np.arange(len(refs)), np.flatnonzero(np.diff(part)) + 1):
+            out += list(block([refs[i] for i in some], [hyps[i] for i in some])) if len(some) else []
+        return pd.Series(out, dtype=object)
+
+    return scores
 
 
 def drop_punctuation(text: Column) -> Column:

@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelgrid.functions.text import cer, token_codes, wer_of_codes
+from labelgrid.functions.text import bleu_scores, cer, token_codes, wer_of_codes
 from labelgrid.operators.banding import lookback_window, row_index, small_side
 
-CHUNK = 256
-
-
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """CER of each ``(ref, hyp)`` row, where the row is: input splits spread the work, no text is shuffled."""
     return pairs.withColumn("cer", cer(F.col("ref"), F.col("hyp")))
@@ -24,31 +20,13 @@ def word_error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bleu(pairs: DataFrame, keys: list[str], max_n: int = 49) -> DataFrame:
-    """Cumulative character BLEU for n = 1 .. ``max_n``, uniform weights, brevity penalty.
+    """Cumulative character BLEU of each ``(ref, hyp)`` row for n = 1 .. ``max_n``, uniform weights, brevity penalty.
 
-    n-grams are rows keyed by (pair, n, gram): a long text spreads over the
-    cluster, and counts combine before the shuffle. 0 once any order has no match.
+    0 once any order has no match, for an empty text and for null. Every row is
+    scored where it is: no gram leaves its task.
     """
-    sides = pairs.repartition(*keys).select(*keys, F.explode(F.array(
-        F.struct(F.col("ref").alias("s"), F.lit(1).alias("r"), F.lit(0).alias("h")), F.struct(F.col("hyp").alias("s"), F.lit(0).alias("r"), F.lit(1).alias("h")),
-    )).alias("e")).select(*keys, "e.*").where("length(s) > 0")
-    # long texts are cut into overlapping chunks first: a gram never rescans its text
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / CHUNK).cast("int")), lambda k: F.substring("s", k * CHUNK + 1, F.lit(CHUNK + max_n - 1)))
-    chunks = sides.select(*keys, "r", "h", F.explode(pieces).alias("s"))
-
-    def of_order(n):
-        last = F.least(F.lit(CHUNK), F.length("s") - n + 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(n.alias("n"), F.substring("s", i, n).alias("gram"))))
-
-    every = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.lit(max_n)), of_order)))
-    grams = chunks.select(*keys, "r", "h", F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    hits = grams.groupBy(*keys, "n").agg(F.sum(F.least("r", "h")).alias("hit"))
-    lens = pairs.select(*keys, F.length("ref").alias("rl"), F.length("hyp").alias("hl"), F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
-    p = lens.join(hits, [*keys, "n"], "left").withColumn("p", F.coalesce("hit", F.lit(0)) / F.greatest(F.col("hl") - F.col("n") + 1, F.lit(1)))
-    upto = W.partitionBy(*keys).orderBy("n")  # at most max_n rows
-    penalty = F.when(F.col("hl") > F.col("rl"), 1e0).when(F.col("hl") == 0, 0e0).otherwise(F.exp(1 - F.col("rl") / F.nullif(F.col("hl"), F.lit(0))))
-    score = F.when(F.min("p").over(upto) <= 0, 0e0).otherwise(penalty * F.exp(F.sum(F.log(F.greatest("p", F.lit(1e-300)))).over(upto) / F.col("n")))
-    return p.select(*keys, "n", score.alias("bleu"))
+    scores = pairs.select(*keys, F.posexplode(bleu_scores(max_n)("ref", "hyp")).alias("n", "bleu"))
+    return scores.withColumn("n", F.col("n") + 1)
 
 
 def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown: str = "drop", pad_to: int | str | None = None) -> DataFrame:

@@ -37,14 +37,14 @@ def wer(spark, sf):
 @query("bleu", with_views(O.TEXT) + """,
   sides AS (SELECT doc_id, line_no, ref AS s, 1 AS r, 0 AS h FROM txt UNION ALL SELECT doc_id, line_no, hyp, 0, 1 FROM txt),
   grams AS (SELECT doc_id, line_no, n, substr(s, i, n) AS gram, sum(r) AS r, sum(h) AS h FROM (
-    SELECT *, unnest(range(1, len(s) - n + 2)) AS i FROM sides, (SELECT CAST(k AS INT) AS n FROM range(1, 3) q(k)) WHERE len(s) >= n) GROUP BY 1, 2, 3, 4),
+    SELECT *, unnest(range(1, len(s) - n + 2)) AS i FROM sides, (SELECT CAST(k AS INT) AS n FROM range(1, 50) q(k)) WHERE len(s) >= n) GROUP BY 1, 2, 3, 4),
   hits AS (SELECT doc_id, line_no, n, sum(least(r, h)) AS hit FROM grams GROUP BY 1, 2, 3),
   p AS (SELECT doc_id, line_no, k.n, len(ref) AS rl, len(hyp) AS hl, coalesce(hit, 0) / greatest(len(hyp) - k.n + 1, 1) AS p
-        FROM txt CROSS JOIN (SELECT CAST(k AS INT) AS n FROM range(1, 3) q(k)) k LEFT JOIN hits USING (doc_id, line_no, n))
+        FROM txt CROSS JOIN (SELECT CAST(k AS INT) AS n FROM range(1, 50) q(k)) k LEFT JOIN hits USING (doc_id, line_no, n))
   SELECT doc_id, line_no, n, CASE WHEN min(p) OVER w <= 0 THEN 0 ELSE CASE WHEN hl > rl THEN 1 WHEN hl = 0 THEN 0 ELSE exp(1 - rl / hl) END * exp(sum(ln(greatest(p, 1e-300))) OVER w / n) END AS bleu
   FROM p WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY n)""", rounded=["bleu"])
 def bleu(spark, sf):
-    return T.bleu(V.text_lines(spark, sf), ["doc_id", "line_no"], max_n=2)
+    return T.bleu(V.text_lines(spark, sf), ["doc_id", "line_no"])
 
 
 @query("encode_labels", with_views(O.TEXT, O.CHARSET) + """

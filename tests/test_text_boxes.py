@@ -1,12 +1,21 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from labelgrid.functions import text as text_functions
 from labelgrid.functions.text import cer, labels_to_frames, token_codes, wer_of_codes
 from labelgrid.operators import boxes as B
 from labelgrid.operators import textscore as T
+from labelgrid.plans.catalogue import QUERIES
 from labelgrid.plans.jobs import score_ocr
+from labelgrid.plans.views import text_lines
+
+SF = "/root/testdata/sf0.001"
 
 
 def edit(a, b):
@@ -36,21 +45,88 @@ def test_error_rates_against_brute_force(spark):
         assert got["c"] == pytest.approx(want)
 
 
-def test_bleu_against_counts(spark):
-    import math
-    from collections import Counter
+def plain_bleu(r, h, max_n):
+    ps, out = [], []
+    for n in range(1, max_n + 1):
+        a, b = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (r, h))
+        ps.append(sum(min(v, a[g]) for g, v in b.items()) / max(1, len(h) - n + 1))
+        bp = 1 if len(h) > len(r) else 0 if not h else math.exp(1 - len(r) / len(h))
+        out.append(0 if min(ps) <= 0 else bp * math.exp(sum(map(math.log, ps)) / n))
+    return out
 
-    texts = [("abcabcab" * 70, "abcabdab" * 69), ("aab", "b"), ("xy", "")]
+
+def test_bleu_against_counts(spark):
+    """All 49 orders; repeats, texts of other scripts, empty and null ones, a repeated row, few letters so that most grams meet."""
+    rng = random.Random(4)
+    texts = [("abcabcab" * 70, "abcabdab" * 69), ("aab", "b"), ("xy", ""), ("", "xy"), ("", ""), (None, "ab"), ("ab", None), ("ab" * 30, "ab" * 40), ("ab" * 30, "ab" * 40), ("𝄞é漢" * 30, "𝄞é漢" * 25 + "x")]
+    texts += [tuple("".join(rng.choices("ab", [5, 1], k=rng.randrange(200))) for _ in "rh") for _ in range(40)]
     df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(texts)], "k int, ref string, hyp string")
-    got = {(x["k"], x["n"]): x["bleu"] for x in T.bleu(df, ["k"], 3).collect()}
+    got = {(x["k"], x["n"]): x["bleu"] for x in T.bleu(df, ["k"]).collect()}
+    assert len(got) == 49 * len(texts)
     for k, (r, h) in enumerate(texts):
-        ps = []
-        for n in (1, 2, 3):
-            a, b = (Counter(s[i:i + n] for i in range(len(s) - n + 1)) for s in (r, h))
-            ps.append(sum(min(v, a[g]) for g, v in b.items()) / max(1, len(h) - n + 1))
-            bp = 1 if len(h) > len(r) else 0 if not h else math.exp(1 - len(r) / len(h))
-            want = 0 if min(ps) <= 0 else bp * math.exp(sum(map(math.log, ps)) / n)
-            assert got[(k, n)] == pytest.approx(want)
+        assert [got[k, n] for n in range(1, 50)] == pytest.approx(plain_bleu(r or "", h or "", 49)), k
+
+
+def test_bleu_of_blocks(monkeypatch):
+    """Blocks of texts score like single texts."""
+    rng = random.Random(5)
+    refs, hyps = (["".join(rng.choices("abc", k=rng.randrange(60))) for _ in range(50)] for _ in "rh")
+    scores = text_functions.bleu_scores(12).func
+    want = [plain_bleu(r, h, 12) for r, h in zip(refs, hyps)]
+    for size in (1 << 21, 100, 1):
+        monkeypatch.setattr(text_functions, "BLEU_CHARS", size)
+        assert np.allclose(np.array(scores(pd.Series(refs), pd.Series(hyps)).tolist()), want)
+
+
+def fast_edit(a, b):
+    """The full table, a row at a time."""
+    a, b = np.asarray(a), np.asarray(b)
+    steps = np.arange(len(b) + 1)
+    row = steps.copy()
+    for i, x in enumerate(a, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
+
+
+def test_edit_distance_of_every_band(spark):
+    """Distances below, at and above the bands' widths, and unequal lengths, equal the full table."""
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "a" * 70), (None, "a")]
+    for n, changes in [(40, 7), (40, 8), (40, 9), (300, 63), (300, 64), (300, 66), (900, 511), (900, 513), (900, 890), (1500, 1400)]:
+        word = rng.choices("abcdefghij", k=n)
+        other = word.copy()
+        for i in rng.sample(range(n), changes):
+            other[i] = rng.choice(["", "Z", other[i] + "Y"])
+        pairs.append(("".join(word), "".join(other)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, r string, h string")
+    got = {x["k"]: x["d"] for x in df.select("k", text_functions.edit_distance(F.col("r"), F.col("h")).alias("d")).collect()}
+    assert got.pop(2) is None
+    assert got == {i: fast_edit(list(r), list(h)) for i, (r, h) in enumerate(pairs) if r is not None}
+    assert max(got.values()) > 512
+
+
+def test_word_error_rate_of_long_texts(spark):
+    """Texts of 20,000 words with scattered changes."""
+    rng = random.Random(7)
+    ref = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    hyp = [w if rng.random() > 0.002 else "changed" for w in ref if rng.random() > 0.001]
+    df = spark.createDataFrame([(" ".join(ref), " ".join(hyp))], "ref string, hyp string")
+    codes = {w: i for i, w in enumerate({*ref, *hyp})}
+    want = fast_edit([codes[w] for w in ref], [codes[w] for w in hyp]) / len(ref)
+    assert T.word_error_rates(df, []).first()["wer"] == pytest.approx(want) and want > 0
+
+
+def test_word_error_rates_of_the_whole_table(spark):
+    """The registered query against the full table of distances, for every line of every document."""
+    got = {(r.doc_id, r.line_no): r.wer for r in QUERIES["wer"](spark, SF).collect()}
+    lines = text_lines(spark, SF).collect()
+    assert len(got) == len(lines)
+    for row in lines:
+        r, h = row.ref.split(), row.hyp.split()
+        codes = {w: i for i, w in enumerate({*r, *h})}
+        want = fast_edit([codes[w] for w in r], [codes[w] for w in h]) / len(r) if r else len(h)
+        assert got[row.doc_id, row.line_no] == pytest.approx(want, abs=1e-8)
 
 
 def test_label_codecs(spark):
