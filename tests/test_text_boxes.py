@@ -89,8 +89,17 @@ def fast_edit(a, b):
     return int(row[-1])
 
 
-def test_edit_distance_of_every_band(spark):
-    """Distances below, at and above the bands' widths, and unequal lengths, equal the full table."""
+@pytest.mark.parametrize("seed", range(40))
+def test_bits_against_the_full_table(seed):
+    """Few and many kinds of items, empty and unequal lengths, lengths around the limit for kept bits."""
+    rng = random.Random(seed)
+    kinds = rng.choice([1, 2, 5, 400])
+    a, b = ([rng.randrange(kinds) for _ in range(rng.choice([0, 1, 3, 63, 64, 65, 200]))] for _ in "ab")
+    assert text_functions.bit_distance(a, b) == fast_edit(a, b)
+
+
+def test_edit_distance_of_all_lengths(spark):
+    """Short pairs, long pairs and pairs of unequal length equal the full table, near and far."""
     rng = random.Random(6)
     pairs = [("", ""), ("", "a" * 70), (None, "a")]
     for n, changes in [(40, 7), (40, 8), (40, 9), (300, 63), (300, 64), (300, 66), (900, 511), (900, 513), (900, 890), (1500, 1400)]:
