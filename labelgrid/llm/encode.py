@@ -42,6 +42,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 PROBES = ["word", " word", " Word.", "\nÉtüde,", " ñandú", "\nI.", " aß,", "Über", " antidisestablishmentarianism.", " well%%%", "x_-;"]
 JOINED = 128
+CHAINED = 1024
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,7 +55,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids by one vocabulary file; ``keep`` distinct pieces are remembered between calls, by their 64-bit hashes.
 
-    Without a normaliser, new pieces go through the library's full encoding many at a time, with a special token between them. With one,
+    Without a normaliser, new pieces go through the library's full encoding many at a time: those between two cuts one after another, as in
+    a text, told apart by the bytes that each id stands for, the others with a special token between them. With one,
     which is slow, a plain word goes straight to the library's model in the form that its own splitting gives it; which form that is (spaces
     dropped and lower case, or kept as they are) is settled by comparing both with the library's full encoding of a few probes. All else,
     and every piece if neither form agrees, goes through the full encoding.
@@ -75,6 +77,7 @@ class Encoder:
         # A special token that takes no white space from its neighbours, as a mark between pieces: (text, id).
         marks = [(t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = marks[0] if marks and self.tokenizer.normalizer is None else None
+        self.id_bytes = self.bytes_of_ids() if self.mark else None
 
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -105,9 +108,41 @@ class Encoder:
             return self.singly(texts)
         return ids[~between], np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1
 
-    def learn(self, texts: list[str], hashes: np.ndarray) -> None:
+    def bytes_of_ids(self) -> np.ndarray | None:
+        """How many bytes of text each id stands for; None where that doesn't add up for the probes (not a byte-level vocabulary)."""
+        out = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for told, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[k] = len(told)
+        for k, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[k] = len(token.content.encode())
+        return out if all(out[np.frombuffer(self.full(x), "<u4")].sum() == len(x.encode()) for x in PROBES) else None
+
+    def chained(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``singly`` for pieces that a text may hold one after another: where the joined text would not be cut between them, or an id
+        reaches from one into the next, they go the other way."""
+        joined, ends = b"".join(texts), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        cuts = piece_starts(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+        if np.array_equal(cuts[1:], ends[:-1]):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.cumsum(self.id_bytes[ids])
+            last = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+            if upto[-1] == len(joined) and np.array_equal(upto[last], ends):
+                return ids, np.diff(last, prepend=-1)
+        return self.jointly([x.decode() for x in texts])
+
+    def learn(self, texts: list[bytes], hashes: np.ndarray) -> None:
         """Encode new pieces and add them to the sorted table of known ones."""
-        found = [self.jointly(texts[k : k + JOINED]) for k in range(0, len(texts), JOINED)] if self.mark else [self.singly(texts)]
+        if self.id_bytes is not None:
+            # Pieces that begin with white space and don't end with it first: those can follow one another.
+            inner = np.fromiter((SPACE[x[0]] and not SPACE[x[-1]] for x in texts), bool, len(texts))
+            order = np.argsort(~inner, kind="stable")
+            texts, hashes, inner = [texts[k] for k in order.tolist()], hashes[order], int(inner.sum())
+            found = [self.chained(texts[k : min(k + CHAINED, inner)]) for k in range(0, inner, CHAINED)]
+        else:
+            inner, found = 0, []
+        rest = [x.decode() for x in texts[inner:]]
+        if rest:
+            found += [self.jointly(rest[k : k + JOINED]) for k in range(0, len(rest), JOINED)] if self.mark else [self.singly(rest)]
         new, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         places = len(self.values) + np.cumsum(sizes) - sizes
         self.values = np.concatenate([self.values, new])
@@ -136,7 +171,7 @@ class Encoder:
         new[inside] = self.hashes[at[inside]] != distinct[inside]
         if new.any():
             raw = data.tobytes()
-            self.learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], distinct[new])
+            self.learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], distinct[new])
             at = np.searchsorted(self.hashes, distinct)
         sizes = self.sizes[at][codes] if len(codes) else np.zeros(0, np.int64)
         ids = self.values[ragged(self.places[at][codes], sizes)] if len(codes) else np.zeros(0, np.uint32)
