@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ from labelgrid.session import cut_lineage
 
 GRID = 256
 GENEROSITY = 100
-PAGE_PAIRS = 200_000  # pages with more candidate pairs are matched in distributed rounds
 COVERAGE = 0.75
 
 
@@ -45,19 +43,6 @@ def box_iou_pairs(gt: DataFrame, pred: DataFrame, generosity: int = GENEROSITY)
     ).where("iou > 0")
 
 
-def _fold_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one choice within one page of bounded size."""
-    pdf = pdf.sort_values(["iou", "gt_id", "pred_id"], ascending=False)
-    gts, preds, keep = set(), set(), []
-    for g, p in zip(pdf["gt_id"].tolist(), pdf["pred_id"].tolist()):
-        free = g not in gts and p not in preds
-        keep.append(free)
-        if free:
-            gts.add(g)
-            preds.add(p)
-    return pdf[keep]
-
-
 _PAIR = ["page_id", "gt_id", "pred_id", "iou"]
 
 
@@ -75,34 +60,24 @@ def _without(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return free.join(chosen.select("page_id", "pred_id"), ["page_id", "pred_id"], "left_anti").select(*_PAIR)
 
 
-def match_boxes(pairs: DataFrame, page_pairs: int = PAGE_PAIRS) -> DataFrame:
+def match_boxes(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matching by IoU; ties go to the later gt, then the later prediction.
 
-    Pages with at most ``page_pairs`` candidates are folded one page per task.
-    Larger pages are matched in rounds by :func:`match_rounds`, which gives the
-    same result without ever holding a page in one place.
-    """
-    pairs = cut_lineage(pairs.select(*_PAIR))
-    large = pairs.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > page_pairs).select("page_id")
-    if large.isEmpty():
-        return pairs.groupBy("page_id").applyInPandas(_fold_page, pairs.schema)
-    small = pairs.join(large, "page_id", "left_anti").groupBy("page_id").applyInPandas(_fold_page, pairs.schema)
-    return small.unionByName(match_rounds(pairs.join(large, "page_id", "left_semi")))
-
-
-def match_rounds(pairs: DataFrame) -> DataFrame:
-    """Greedy matching by mutual-best rounds.
-
     A pair that is the best left for both of its boxes is what the greedy order
     takes for them, whatever happens elsewhere. Every round takes all such pairs
-    and drops their boxes; lineage is cut in the checkpoint folder.
+    of all pages and drops their boxes, so a page without open pairs costs
+    nothing more; only best pairs per box and taken boxes are shuffled beside
+    the open pairs, no page is ever held in one place, and lineage is cut in the
+    checkpoint folder. The number of rounds is the longest chain of pairs that
+    wait for one another (three on the tables here).
     """
-    left, taken = pairs.select(*_PAIR), None
-    while not left.isEmpty():
+    left, taken = cut_lineage(pairs.select(*_PAIR)), None
+    while True:
         chosen = cut_lineage(mutual_best(left))
         taken = chosen if taken is None else taken.unionByName(chosen)
         left = cut_lineage(_without(left, chosen))
-    return taken if taken is not None else pairs.select(*_PAIR).limit(0)
+        if left.isEmpty():
+            return taken
 
 
 def unmatched_boxes(boxes: DataFrame, matches: DataFrame, side: str) -> DataFrame:

@@ -205,9 +205,21 @@ def test_pairs_and_matches(pages):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     key = lambda df: {(r["page_id"], r["gt_id"], r["pred_id"]) for r in df.collect()}
     assert key(B.match_boxes(pairs)) == greedy(gt, pred)
-    # one page over the limit: rounds give the same result
-    assert key(B.match_boxes(pairs, page_pairs=500)) == greedy(gt, pred)
-    assert key(B.match_rounds(pairs)) == greedy(gt, pred)
+    assert B.match_boxes(pairs.limit(0)).count() == 0
+
+
+def test_a_page_of_a_million_pairs(spark):
+    """One crowded page with many ties beside small ones, against the plain greedy order."""
+    crowded = spark.range(1_000_000).selectExpr("'a' AS page_id", "id % 1000 AS gt_id", "id DIV 1000 AS pred_id")
+    small = spark.range(300).selectExpr("concat('p', id % 9) AS page_id", "id % 7 AS gt_id", "id % 5 AS pred_id").distinct()
+    pairs = crowded.unionByName(small).withColumn("iou", ((F.pmod(F.xxhash64("page_id", "gt_id", "pred_id"), F.lit(5000)) + 1) / 5000))
+    used, want = set(), set()
+    for r in pairs.toPandas().sort_values(["iou", "gt_id", "pred_id"], ascending=False).itertuples():
+        ends = {(r.page_id, "g", r.gt_id), (r.page_id, "p", r.pred_id)}
+        if not ends & used:
+            used |= ends
+            want.add((r.page_id, r.gt_id, r.pred_id))
+    assert {(r.page_id, r.gt_id, r.pred_id) for r in B.match_boxes(pairs).collect()} == want and len(want) > 1000
 
 
 def test_ocr_score(pages):
