@@ -2,8 +2,11 @@
 
 CLASS = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
 
+NARROW = "l_orderkey // 512 AS image_id, CAST(l_orderkey % 512 AS INT) AS y, l_linenumber AS x"
+WIDE = "l_orderkey // 1024 AS image_id, CAST((l_orderkey % 1024) // 256 * 512 + l_partkey % 512 AS INT) AS y, CAST(l_orderkey % 256 * 8 + l_linenumber AS INT) AS x"
+
 PX = f"""px AS (
-  SELECT *, l_orderkey // 512 AS image_id, CAST(l_orderkey % 512 AS INT) AS y, l_linenumber AS x, {CLASS} AS class_id
+  SELECT *, {NARROW}, {CLASS} AS class_id
   FROM lineitem)"""
 
 PAIRS = PX + """,
@@ -18,6 +21,12 @@ pairs AS (
 
 IMAGES = """images AS (SELECT image_id, max(y) + 1 AS height, 8 AS width, 3 AS n_classes FROM px GROUP BY 1)"""
 
+
+def wide(view: str) -> str:
+    """The same view over wide pages."""
+    return view.replace(NARROW, WIDE).replace("8 AS width", "2048 AS width")
+
+
 BINARY = """bin AS (
   SELECT * FROM (SELECT image_id, y, x, class_id, CAST(g > 0.5 AS DOUBLE) AS g, CAST(p > 0.5 AS DOUBLE) AS p FROM pairs)
   WHERE g <> 0 OR p <> 0)"""

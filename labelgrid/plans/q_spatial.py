@@ -205,54 +205,55 @@ def error_saliency(spark, sf):
     return Z.error_saliency(binarize(V.pairs(spark, sf), 0.5, 0.5), V.images(spark, sf))
 
 
-SPLITS = [2, 3, 4, 5]
-SUBDIV = """sub AS (
+WIDE = with_views(O.wide(O.PAIRS), O.wide(O.IMAGES))
+EACH_SPLIT = f"(SELECT unnest({T.SPLITS}) AS n) r"
+SUBDIV = f"""sub AS (
   SELECT image_id, CAST(n AS INT) AS n, CAST(x // (width // n) AS INT) AS cx, CAST(y // (height // n) AS INT) AS cy, CAST(y % (height // n) AS INT) AS y, CAST(x % (width // n) AS INT) AS x, class_id, g AS v
-  FROM pairs JOIN images USING (image_id), range(2, 6) r(n) WHERE g <> 0 AND y // (height // n) < n AND x // (width // n) < n)"""
-BEST = """grid AS (SELECT image_id, CAST(n AS INT) AS n FROM images, range(2, 6) r(n)),
+  FROM pairs JOIN images USING (image_id), {EACH_SPLIT} WHERE g <> 0 AND y // (height // n) < n AND x // (width // n) < n)"""
+BEST = f"""grid AS (SELECT image_id, CAST(n AS INT) AS n FROM images, {EACH_SPLIT}),
 mass AS (SELECT image_id, n, cx, cy, sum(v) AS mass FROM sub WHERE class_id IN (1, 2) GROUP BY 1, 2, 3, 4),
 best AS (SELECT image_id, n, coalesce(cx, 0) AS cx, coalesce(cy, 0) AS cy, coalesce(mass, 0) AS mass FROM grid LEFT JOIN (
   SELECT * FROM mass QUALIFY row_number() OVER (PARTITION BY image_id, n ORDER BY mass DESC, cx, cy) = 1) USING (image_id, n))"""
 
 
-@query("subdivide_pages", V1 + "," + SUBDIV + "SELECT image_id, n, cx, cy, class_id, sum(v) AS mass, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x) AS BIGINT) AS sx FROM sub GROUP BY 1, 2, 3, 4, 5", rounded=["mass"])
+@query("subdivide_pages", WIDE + "," + SUBDIV + "SELECT image_id, n, cx, cy, class_id, sum(v) AS mass, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(x) AS BIGINT) AS sx FROM sub GROUP BY 1, 2, 3, 4, 5", rounded=["mass"])
 def subdivide_pages(spark, sf):
-    return T.subdivide(V.gt_cells(spark, sf), V.images(spark, sf), SPLITS).groupBy("image_id", "n", "cx", "cy", "class_id").agg(
+    return T.subdivide(V.gt_cells(spark, sf, wide=True), V.images(spark, sf, wide=True)).groupBy("image_id", "n", "cx", "cy", "class_id").agg(
         F.sum("v").alias("mass"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
 
 
-@query("best_train_tile", V1 + "," + SUBDIV + "," + BEST + "SELECT * FROM best", rounded=["mass"])
+@query("best_train_tile", WIDE + "," + SUBDIV + "," + BEST + "SELECT * FROM best", rounded=["mass"])
 def best_train_tile(spark, sf):
-    return T.best_train_tile(V.gt_cells(spark, sf), V.images(spark, sf), SPLITS)
+    return T.best_train_tile(V.gt_cells(spark, sf, wide=True), V.images(spark, sf, wide=True))
 
 
-@query("train_validation_tiles", V1 + "," + SUBDIV + "," + BEST + """
+@query("train_validation_tiles", WIDE + "," + SUBDIV + "," + BEST + """
   SELECT n, class_id, CASE WHEN b.cx IS NULL THEN 'validation' ELSE 'train' END AS split, count(*) AS cells FROM sub s LEFT JOIN best b USING (image_id, n, cx, cy) GROUP BY 1, 2, 3""")
 def train_validation_tiles(spark, sf):
-    gt, im = V.gt_cells(spark, sf), V.images(spark, sf)
-    parts = T.train_validation_split(T.subdivide(gt, im, SPLITS), T.best_train_tile(gt, im, SPLITS))
+    gt, im = V.gt_cells(spark, sf, wide=True), V.images(spark, sf, wide=True)
+    parts = T.train_validation_split(T.subdivide(gt, im), T.best_train_tile(gt, im))
     return parts.groupBy("n", "class_id", "split").agg(F.count(F.lit(1)).alias("cells"))
 
 
-PLAN = """xs AS (SELECT DISTINCT image_id, least(i * 32, greatest(width - 64, 0)) AS s, width FROM images, range(0, 100) r(i) WHERE i <= ceil(greatest(width - 64, 0) / 32e0)),
-ys AS (SELECT DISTINCT image_id, least(i * 32, greatest(height - 64, 0)) AS s, height FROM images, range(0, 100) r(i) WHERE i <= ceil(greatest(height - 64, 0) / 32e0))"""
+PLAN = """xs AS (SELECT DISTINCT image_id, least(i * 448, greatest(width - 896, 0)) AS s, width FROM images, range(0, 100) r(i) WHERE i <= ceil(greatest(width - 896, 0) / 448e0)),
+ys AS (SELECT DISTINCT image_id, least(i * 448, greatest(height - 896, 0)) AS s, height FROM images, range(0, 100) r(i) WHERE i <= ceil(greatest(height - 896, 0) / 448e0))"""
 
 
-@query("plan_tiles", V1 + "," + PLAN + """
-  SELECT image_id, height, width, CAST(row_number() OVER (PARTITION BY image_id ORDER BY xs.s, ys.s) - 1 AS INT) AS ord, CAST(xs.s AS INT) AS "left", CAST(ys.s AS INT) AS top, 64 AS size FROM xs JOIN ys USING (image_id)""")
+@query("plan_tiles", WIDE + "," + PLAN + """
+  SELECT image_id, height, width, CAST(row_number() OVER (PARTITION BY image_id ORDER BY xs.s, ys.s) - 1 AS INT) AS ord, CAST(xs.s AS INT) AS "left", CAST(ys.s AS INT) AS top, 896 AS size FROM xs JOIN ys USING (image_id)""")
 def plan_tiles(spark, sf):
-    return T.plan_tiles(V.images(spark, sf), 64, 32)
+    return T.plan_tiles(V.images(spark, sf, wide=True))
 
 
-@query("stitch_tiles", V1 + "," + PLAN + """,
+@query("stitch_tiles", WIDE + "," + PLAN + """,
   win AS (SELECT image_id, y, x, class_id, p, xs.s AS xs, ys.s AS ys, row_number() OVER (PARTITION BY image_id, y, x, class_id ORDER BY xs.s DESC, ys.s DESC) AS r FROM pairs JOIN xs USING (image_id) JOIN ys USING (image_id)
-    WHERE p <> 0 AND x >= xs.s + CASE WHEN xs.s > 0 THEN 16 ELSE 0 END AND x < xs.s + CASE WHEN xs.s + 64 < width THEN 48 ELSE 64 END
-      AND y >= ys.s + CASE WHEN ys.s > 0 THEN 16 ELSE 0 END AND y < ys.s + CASE WHEN ys.s + 64 < height THEN 48 ELSE 64 END)
-  SELECT image_id, y, x, class_id, p * (1 + ys) + (y - ys) AS v FROM win WHERE r = 1""", rounded=["v"])
+    WHERE p <> 0 AND x >= xs.s + CASE WHEN xs.s > 0 THEN 224 ELSE 0 END AND x < xs.s + CASE WHEN xs.s + 896 < width THEN 672 ELSE 896 END
+      AND y >= ys.s + CASE WHEN ys.s > 0 THEN 224 ELSE 0 END AND y < ys.s + CASE WHEN ys.s + 896 < height THEN 672 ELSE 896 END)
+  SELECT image_id, y, x, class_id, p * (1 + ys + 3 * xs) + (y - ys) AS v FROM win WHERE r = 1""", rounded=["v"])
 def stitch_tiles(spark, sf):
     """Values that depend on the tile show which tile each pixel was taken from."""
-    tiles = T.tile_cells(V.pred_cells(spark, sf), V.images(spark, sf), 64, 32)
-    return T.stitch_tiles(tiles.withColumn("v", F.col("v") * (1 + F.col("top")) + F.col("y")), 64, 32)
+    tiles = T.tile_cells(V.pred_cells(spark, sf, wide=True), V.images(spark, sf, wide=True))
+    return T.stitch_tiles(tiles.withColumn("v", F.col("v") * (1 + F.col("top") + 3 * F.col("left")) + F.col("y")))
 
 
 @query("average_levels", V1 + """,

@@ -1,7 +1,9 @@
 """Label tables derived from the given parquet tables.
 
 Pages have a bounded extent and their number grows with the data: an order is a
-pixel row, 512 orders are a page, a line number is a pixel column.
+pixel row, 512 orders are a page, a line number is a pixel column. Wide pages,
+for tiles and splits, hold 1024 orders: an order is 8 columns by 512 rows, 256 of
+them stand side by side and 4 above one another (2048 by 2048 pixels).
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_ROWS = 512
+WIDE_ORDERS, WIDE_WIDTH = 1024, 2048
 ORDERS_PER_TEXT_PAGE = 64
 N_CLASSES = 3
 
@@ -18,18 +21,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def line_pixels(spark: SparkSession, sf: str) -> DataFrame:
+def line_pixels(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """``lineitem`` rows with their page position and class."""
-    flag = F.col("l_returnflag")
+    flag, order = F.col("l_returnflag"), F.col("l_orderkey")
+    narrow = {"image_id": F.floor(order / PAGE_ROWS), "y": (order % PAGE_ROWS).cast("int"), "x": F.col("l_linenumber")}
+    broad = {
+        "image_id": F.floor(order / WIDE_ORDERS),
+        "y": (F.floor(order % WIDE_ORDERS / 256) * 512 + F.col("l_partkey") % 512).cast("int"),
+        "x": (order % 256 * 8 + F.col("l_linenumber")).cast("int"),
+    }
     return table(spark, sf, "lineitem").withColumns({
-        "image_id": F.floor(F.col("l_orderkey") / PAGE_ROWS),
-        "y": (F.col("l_orderkey") % PAGE_ROWS).cast("int"),
-        "x": F.col("l_linenumber"),
+        **(broad if wide else narrow),
         "class_id": F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2),
     })
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
+def pairs(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """V1: ground truth ``g`` and prediction ``p`` per cell, one scan and one shuffle."""
     score = F.col("l_discount") * 10
     hit = F.struct(
@@ -37,7 +44,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
     stray = F.struct(((F.col("class_id") + 1) % 3).alias("class_id"), F.lit(0e0).alias("g"), score.alias("p"))
     return (
-        line_pixels(spark, sf)
+        line_pixels(spark, sf, wide)
         .select("image_id", "y", "x", F.explode(F.when(F.col("l_tax") >= 0.07, F.array(hit, stray)).otherwise(F.array(hit))).alias("e"))
         .select("image_id", "y", "x", "e.*")
         .groupBy("image_id", "y", "x", "class_id").agg(F.max("g").alias("g"), F.max("p").alias("p"))
@@ -45,18 +52,18 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def gt_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return line_pixels(spark, sf).select("image_id", "y", "x", "class_id").distinct().withColumn("v", F.lit(1e0))
+def gt_cells(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    return line_pixels(spark, sf, wide).select("image_id", "y", "x", "class_id").distinct().withColumn("v", F.lit(1e0))
 
 
-def pred_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).where("p <> 0").select("image_id", "y", "x", "class_id", F.col("p").alias("v"))
+def pred_cells(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    return pairs(spark, sf, wide).where("p <> 0").select("image_id", "y", "x", "class_id", F.col("p").alias("v"))
 
 
-def images(spark: SparkSession, sf: str) -> DataFrame:
+def images(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     return (
-        line_pixels(spark, sf).groupBy("image_id").agg((F.max("y") + 1).alias("height"))
-        .select("image_id", "height", F.lit(8).alias("width"), F.lit(N_CLASSES).alias("n_classes"))
+        line_pixels(spark, sf, wide).groupBy("image_id").agg((F.max("y") + 1).alias("height"))
+        .select("image_id", "height", F.lit(WIDE_WIDTH if wide else 8).alias("width"), F.lit(N_CLASSES).alias("n_classes"))
     )
 
 
@@ -167,9 +174,9 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(names).alias("path"))
 
 
-def intensity(spark: SparkSession, sf: str) -> DataFrame:
+def intensity(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """Three channels per inked pixel: quantity, discount and tax."""
-    px = line_pixels(spark, sf).groupBy("image_id", "y", "x").agg(
+    px = line_pixels(spark, sf, wide).groupBy("image_id", "y", "x").agg(
         (F.max("l_quantity") / 50).alias("q"), (F.max("l_discount") * 10).alias("d"), (F.max("l_tax") * 12.5e0).alias("t"),
     )
     return px.select("image_id", "y", "x", F.posexplode(F.array("q", "d", "t")).alias("c", "v"))
