@@ -85,18 +85,35 @@ def sample_by_performance(scores: DataFrame, index: DataFrame, n: int, seed: str
     return picked.select("sample_id", "class_id", "idx").join(listed.drop("n"), ["class_id", "idx"]).select("sample_id", "class_id", "image_id")
 
 
+def quota_rows(index: DataFrame, seed: str, quota: int | None = None) -> DataFrame:
+    """The images that ``sample_quota`` takes, with their place ``idx`` in the class and the quota as ``_q``."""
+    u = uniform(seed, F.col("class_id"), F.col("image_id"))
+    ordered = shuffled_index(index.withColumn("_u", u), ["class_id"], "_u", ["image_id"], value="n_pixels")
+    if quota is not None:
+        return ordered.withColumn("_q", F.lit(quota)).where("before < _q")
+    smallest = index.groupBy("class_id").agg(F.sum("n_pixels").alias("_t")).agg(F.min("_t").alias("_q"))
+    return with_total(ordered, smallest).where("before < _q")
+
+
 def sample_quota(index: DataFrame, seed: str, quota: int | None = None) -> DataFrame:
     """Images per class in random order until each class holds the same number of pixels.
 
     The quota defaults to the pixels of the smallest class. An image is taken
     while the pixels before it are below the quota.
     """
-    u = uniform(seed, F.col("class_id"), F.col("image_id"))
-    ordered = shuffled_index(index.withColumn("_u", u), ["class_id"], "_u", ["image_id"], value="n_pixels")
-    if quota is not None:
-        return ordered.where(F.col("before") < quota).select("class_id", "image_id", "n_pixels", "before")
-    smallest = index.groupBy("class_id").agg(F.sum("n_pixels").alias("_t")).agg(F.min("_t").alias("_q"))
-    return with_total(ordered, smallest).where("before < _q").select("class_id", "image_id", "n_pixels", "before")
+    return quota_rows(index, seed, quota).select("class_id", "image_id", "n_pixels", "before")
+
+
+def greedy_draws(index: DataFrame, seed: str, quota: int | None = None) -> DataFrame:
+    """The images of :func:`sample_quota` in the order of greedy draws, numbered from 0 by ``draw``.
+
+    Each draw takes the next image of the class with the fewest pixels so far
+    (ties: the smaller class). A class is next exactly when its running sum is
+    the smallest, so the sequence is the merge of all classes by ``before``:
+    ranges of it are counted, and rows numbered within their range.
+    """
+    rows = quota_rows(index, seed, quota).withColumnRenamed("idx", "_place").drop("n").withColumn("_u", F.col("before") / F.col("_q"))
+    return shuffled_index(rows, [], "_u", ["before", "class_id", "_place"]).select(F.col("idx").cast("bigint").alias("draw"), "class_id", "image_id", "n_pixels", "before")
 
 
 def _clamp(c: Column, extent: Column, size: int) -> Column:

@@ -56,6 +56,14 @@ def sample_quota(spark, sf):
     return S.sample_quota(C.class_index(V.gt_cells(spark, sf)), "q1")
 
 
+@query("greedy_draws", with_views(O.PX, INDEX) + f""",
+  u AS (SELECT *, {U('q1', 'class_id', 'image_id')} AS u FROM idx),
+  o AS (SELECT *, CAST(coalesce(sum(n_pixels) OVER (PARTITION BY class_id ORDER BY u, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM u)
+  SELECT row_number() OVER (ORDER BY before, class_id, u, image_id) - 1 AS draw, class_id, image_id, n_pixels, before FROM o WHERE before < (SELECT min(n_pixels) FROM summ)""")
+def greedy_draws(spark, sf):
+    return S.greedy_draws(C.class_index(V.gt_cells(spark, sf)), "q1")
+
+
 CROPS = f"""cells AS (SELECT DISTINCT image_id, class_id, y, x FROM px),
 spot AS (SELECT image_id, class_id, CAST(d AS INT) AS draw, y, x FROM cells, range(2) r(d) QUALIFY row_number() OVER (PARTITION BY image_id, class_id, d ORDER BY {U('c1-pixel', 'image_id', 'class_id', 'd', 'y', 'x')}, y, x) = 1),
 ctr AS (SELECT image_id, class_id, draw, height, width, CASE WHEN {U('c1-coin', 'image_id', 'class_id', 'draw')} > 0.5 THEN floor({U('c1-y', 'image_id', 'class_id', 'draw')} * height) ELSE y END AS y,

@@ -6,6 +6,7 @@ import pytest
 from dense import cells, images
 from pyspark.sql import functions as F
 
+from labelgrid.functions.arith import uniform
 from labelgrid.operators import banding as D
 from labelgrid.operators import monitor as M
 from labelgrid.operators import sampling as S
@@ -114,6 +115,26 @@ def test_quota_balances_pixels(spark):
     assert got == {0: 140, 1: 140}
 
 
+def test_greedy_draws_follow_a_plain_loop(spark):
+    rows = [(c, f"i{i}", 1 + (7 * i + 3 * c) % (5 + c)) for c in range(5) for i in range(40 + 9 * c)]
+    index = spark.createDataFrame(rows, "class_id int, image_id string, n_pixels long")
+    order = index.withColumn("u", uniform("g", F.col("class_id"), F.col("image_id"))).orderBy("class_id", "u", "image_id").collect()
+    lists = {c: [(r["image_id"], r["n_pixels"]) for r in order if r["class_id"] == c] for c in range(5)}
+    for quota in (None, 50):
+        most = quota or min(sum(n for _, n in x) for x in lists.values())
+        held, place, want = dict.fromkeys(lists, 0), dict.fromkeys(lists, 0), []
+        while True:
+            c = min(lists, key=lambda k: (held[k], k))
+            if held[c] >= most or place[c] == len(lists[c]):
+                break
+            image, n = lists[c][place[c]]
+            want.append((len(want), c, image, n, held[c]))
+            held[c] += n
+            place[c] += 1
+        assert [tuple(r) for r in S.greedy_draws(index, "g", quota).orderBy("draw").collect()] == want
+    assert S.greedy_draws(index.limit(0), "g").count() == 0
+
+
 def test_crops_lie_inside_and_cells_shift(spark):
     rng = np.random.default_rng(1)
     a = (rng.random((300, 280, 2)) > 0.995).astype(float)
