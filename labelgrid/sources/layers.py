@@ -29,29 +29,30 @@ def decoded(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return im.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def strips(images: DataFrame) -> DataFrame:
+def strips(images: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Images cut into runs of pixel rows of at most ``STRIP_BYTES`` (one row if wider).
 
     The cut happens on the JVM, so the records that cross to Python are small
     whatever the page size, and a full Arrow batch of them is a few hundred MB.
+    ``keep`` names further columns to carry along.
     """
     line = F.col("width") * F.col("nChannels")
     rows = F.greatest(F.floor(F.lit(STRIP_BYTES) / line), F.lit(1)).cast("int")
     cut = lambda i: F.struct((i * F.col("_rows")).alias("y0"), F.substring("data", i * F.col("_rows") * line + 1, F.col("_rows") * line).alias("data"))
     sized = images.where((F.col("height") > 0) & (F.col("width") > 0)).withColumn("_rows", rows)
     parts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("height") / F.col("_rows")).cast("int") - 1), cut)
-    return sized.select("path", "width", "nChannels", F.explode(parts).alias("s")).select("path", "width", "nChannels", "s.y0", "s.data")
+    return sized.select("path", *keep, "width", "nChannels", F.explode(parts).alias("s")).select("path", *keep, "width", "nChannels", "s.y0", "s.data")
 
 
-def _per_strip(pixels: Callable[[np.ndarray], dict[str, np.ndarray]]):
-    """Run ``pixels`` on the array of each strip and hand rows on in pieces of bounded size."""
+def _per_strip(pixels: Callable[[np.ndarray], dict[str, np.ndarray]], keep: tuple[str, ...] = ("path",)):
+    """Run ``pixels`` on the array of each strip and hand rows on, with its ``keep`` columns, in pieces of bounded size."""
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready, size = [], 0
         for pdf in batches:
-            for path, width, channels, y0, data in zip(pdf["path"], pdf["width"], pdf["nChannels"], pdf["y0"], pdf["data"]):
+            for width, channels, y0, data, *kept in zip(pdf["width"], pdf["nChannels"], pdf["y0"], pdf["data"], *(pdf[c] for c in keep)):
                 out = pixels(np.frombuffer(data, np.uint8).reshape(-1, width, channels))
                 out["y"] = out["y"] + y0
-                ready.append(pd.DataFrame({"path": path, **{k: v if v.dtype.kind == "f" else v.astype(np.int32) for k, v in out.items()}}))
+                ready.append(pd.DataFrame({**dict(zip(keep, kept)), **{k: v if v.dtype.kind == "f" else v.astype(np.int32) for k, v in out.items()}}))
                 size += len(ready[-1])
                 if size >= OUTPUT_ROWS:
                     yield pd.concat(ready)
@@ -94,9 +95,14 @@ def page_extents(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
 
 
 def layer_cells(images: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Cells (grey / 255) of decoded layer ``images`` by ``chosen (path_name, image_id, class_id)``; a layer may serve several images."""
-    pixels = strips(images).mapInPandas(_per_strip(_grey_pixels), "path string, y int, x int, grey int").withColumn("path_name", file_name(F.col("path")))
-    return pixels.join(chosen, "path_name").select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
+    """Cells (grey / 255) of decoded layer ``images`` by ``chosen (path_name, image_id, class_id)``; a layer may serve several images.
+
+    Names meet whole images, so files nobody asked for are never taken apart and no pixel is joined.
+    """
+    keep = ("image_id", "class_id")
+    named = images.withColumn("path_name", file_name(F.col("path"))).join(chosen.select("path_name", F.col("image_id").cast("string").alias("image_id"), F.col("class_id").cast("int").alias("class_id")), "path_name")
+    pixels = strips(named, keep).mapInPandas(_per_strip(_grey_pixels, keep), "image_id string, class_id int, y int, x int, grey int")
+    return pixels.select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
 
 
 def mask_cells(images: DataFrame, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
@@ -148,23 +154,30 @@ def _names(images: DataFrame, classes: DataFrame, exts: list[str], both_forms: b
     return images.select(stem.alias("image_id"), F.explode(F.array(*options)).alias("o")).select("image_id", "o.*")
 
 
-def read_layers(spark: SparkSession, folder: str, classes: DataFrame) -> DataFrame:
-    """Suffix layers (grey / 255); a missing layer has no cells."""
-    images = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(file_name(F.col("path")).alias("name"))
+def _training_names(spark: SparkSession, folder: str, only: DataFrame | None) -> DataFrame:
+    """Names of the training images of a folder, or of those with an ``image_id`` in ``only``; no file is read."""
+    names = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(file_name(F.col("path")).alias("name"))
+    return names if only is None else names.join(only, stem_of(F.col("name")) == only["image_id"], "left_semi")
+
+
+def read_layers(spark: SparkSession, folder: str, classes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Suffix layers (grey / 255); a missing layer has no cells. ``only (image_id)`` narrows the images."""
+    images = _training_names(spark, folder, only)
     return _layer_cells(spark, folder, _names(images, classes, LAYER_EXTS, both_forms=True))
 
 
-def read_numbered_layers(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
-    """``<stem>_<k>.png`` or ``.jpg`` layers."""
+def read_numbered_layers(spark: SparkSession, folder: str, n_classes: int, only: DataFrame | None = None) -> DataFrame:
+    """``<stem>_<k>.png`` or ``.jpg`` layers. ``only (image_id)`` narrows the images."""
     classes = spark.range(n_classes).select(F.col("id").cast("string").alias("suffix"), F.col("id").cast("int").alias("class_id"))
-    images = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(file_name(F.col("path")).alias("name"))
+    images = _training_names(spark, folder, only)
     return _layer_cells(spark, folder, _names(images, classes, ["png", "jpg"], both_forms=False))
 
 
-def read_bit_indexed(spark: SparkSession, folder: str, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
-    """``<stem>.png`` whose bits are classes, low byte first; optional ambiguity flag."""
-    stems = training_images(spark.read.format("binaryFile").load(folder).select("path")).select(_image_id().alias("image_id"))
-    return mask_cells(decoded(spark, folder, "*.[pP][nN][gG]"), n_classes, dont_care_bit).join(stems, "image_id", "left_semi")
+def read_bit_indexed(spark: SparkSession, folder: str, n_classes: int, dont_care_bit: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``<stem>.png`` whose bits are classes, low byte first; optional ambiguity flag. ``only (image_id)`` narrows the images."""
+    stems = _training_names(spark, folder, only).select(stem_of(F.col("name")).alias("_stem"))
+    images = decoded(spark, folder, "*.[pP][nN][gG]").join(stems, _image_id() == F.col("_stem"), "left_semi")
+    return mask_cells(images, n_classes, dont_care_bit)
 
 
 def read_intensity(spark: SparkSession, folder: str, rate: int = 1) -> DataFrame:
@@ -173,9 +186,9 @@ def read_intensity(spark: SparkSession, folder: str, rate: int = 1) -> DataFrame
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "suffix": lambda spark, folder, classes, n: read_layers(spark, folder, classes),
-    "numbered": lambda spark, folder, classes, n: read_numbered_layers(spark, folder, n),
-    "bit_indexed": lambda spark, folder, classes, n: read_bit_indexed(spark, folder, n).drop("dont_care"),
+    "suffix": lambda spark, folder, classes, n, only=None: read_layers(spark, folder, classes, only),
+    "numbered": lambda spark, folder, classes, n, only=None: read_numbered_layers(spark, folder, n, only),
+    "bit_indexed": lambda spark, folder, classes, n, only=None: read_bit_indexed(spark, folder, n, only=only).drop("dont_care"),
 }
 
 
@@ -185,12 +198,13 @@ def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:
 
 
 def read_labels(spark: SparkSession, folder: str, classes: DataFrame, n_classes: int, reader: str | None = None) -> DataFrame:
-    """Cells of a folder, by a named reader or by what each image's files look like."""
+    """Cells of a folder, by a named reader or by what each image's files look like: the listing settles the format, and each reader sees its own images only."""
     if reader is not None:
         return READERS[reader](spark, folder, classes, n_classes)
     formats = detect_label_format(spark.read.format("binaryFile").load(folder).select("path")).withColumnRenamed("stem", "image_id")
     out = None
     for name in ("suffix", "numbered", "bit_indexed"):
-        part = READERS[name](spark, folder, classes, n_classes).join(formats.where(F.col("format") == name).select("image_id"), "image_id", "left_semi").select("image_id", "y", "x", "class_id", "v")
+        own = formats.where(F.col("format") == name).select("image_id")
+        part = READERS[name](spark, folder, classes, n_classes, own).select("image_id", "y", "x", "class_id", "v")
         out = part if out is None else out.unionByName(part)
     return out
