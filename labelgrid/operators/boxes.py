@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from labelgrid.session import cut_lineage
 GRID = 256
 GENEROSITY = 100
 COVERAGE = 0.75
+PAGE_BOXES = 2000  # boxes of both sides that may meet on a page without a grid
+PAGE_PAIRS = 1_000_000  # pairs of a page that a task may hold
 
 
 def box_join(left: DataFrame, right: DataFrame, grid: int = GRID, grow: int = 0) -> DataFrame:
@@ -34,13 +41,29 @@ def box_join(left: DataFrame, right: DataFrame, grid: int = GRID, grow: int = 0)
     return spread(left, "a_").join(spread(right, "b_"), ["page_id", "_gx", "_gy"]).where(G.boxes_overlap(a, b) & home).drop("_gx", "_gy")
 
 
-def box_iou_pairs(gt: DataFrame, pred: DataFrame, generosity: int = GENEROSITY) -> DataFrame:
-    """IoU of the grown boxes for every pair that overlaps."""
+def page_join(left: DataFrame, right: DataFrame, grow: int = 0) -> DataFrame:
+    """:func:`box_join` without a grid, for pages of few boxes: each box is shuffled once, and the pairs of a page stay together."""
+    side = lambda df, prefix: df.select("page_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "page_id"])
+    a, b = G.grow(G.box("a_"), grow), G.grow(G.box("b_"), grow)
+    return side(left, "a_").join(side(right, "b_"), "page_id").where(G.boxes_overlap(a, b))
+
+
+def box_iou_pairs(gt: DataFrame, pred: DataFrame, generosity: int = GENEROSITY, page_boxes: int = PAGE_BOXES) -> DataFrame:
+    """IoU of the grown boxes for every pair that overlaps.
+
+    Boxes are counted by page first. Pages of at most ``page_boxes`` boxes are joined whole, so their pairs need no further shuffle to be
+    matched by page; only crowded pages are spread over the grid.
+    """
     sides = ["page_id", "box_id", "l", "t", "r", "b"]
+    gt, pred = gt.select(*sides), pred.select(*sides)
+    crowded = gt.select("page_id").unionByName(pred.select("page_id")).groupBy("page_id").count().where(F.col("count") > page_boxes).select("page_id")
+    if crowded.isEmpty():
+        met = page_join(gt, pred, generosity)
+    else:
+        calm, full = ([df.join(crowded, "page_id", how) for df in (gt, pred)] for how in ("left_anti", "left_semi"))
+        met = page_join(*calm, generosity).unionByName(box_join(*full, grow=generosity))
     iou = G.iou(G.grow(G.box("a_"), generosity), G.grow(G.box("b_"), generosity))
-    return box_join(gt.select(*sides), pred.select(*sides), grow=generosity).select(
-        "page_id", F.col("a_box_id").alias("gt_id"), F.col("b_box_id").alias("pred_id"), iou.alias("iou"),
-    ).where("iou > 0")
+    return met.select("page_id", F.col("a_box_id").alias("gt_id"), F.col("b_box_id").alias("pred_id"), iou.alias("iou")).where("iou > 0")
 
 
 _PAIR = ["page_id", "gt_id", "pred_id", "iou"]
@@ -60,24 +83,56 @@ def _without(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return free.join(chosen.select("page_id", "pred_id"), ["page_id", "pred_id"], "left_anti").select(*_PAIR)
 
 
-def match_boxes(pairs: DataFrame) -> DataFrame:
+def _greedy(pairs: pa.Table) -> pa.Table:
+    """Greedy matching of one page's pairs, best first."""
+    best = pairs.take(pc.sort_indices(pairs, sort_keys=[(c, "descending") for c in ("iou", "gt_id", "pred_id")])).combine_chunks()
+    ends = [pc.dictionary_encode(best[c].combine_chunks()).indices.to_numpy().tolist() for c in ("gt_id", "pred_id")]
+    used_gt, used_pred, rows = bytearray(len(best)), bytearray(len(best)), []
+    for row, (g, p) in enumerate(zip(*ends)):
+        if not used_gt[g] and not used_pred[p]:
+            used_gt[g] = used_pred[p] = 1
+            rows.append(row)
+    return best.take(rows)
+
+
+def _fold_pages(pairs: DataFrame, page_pairs: int) -> DataFrame:
+    """Matches of pages of at most ``page_pairs`` pairs, and all pairs of the others with ``open`` set. Only so many pairs are held at a time."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > page_pairs:
+                break
+        over = n > page_pairs
+        done = chain(held, batches) if over else _greedy(pa.Table.from_batches(held)).to_batches()
+        for batch in done:
+            yield batch.append_column("open", pa.array([over] * batch.num_rows, pa.bool_()))
+
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in _PAIR) + ", open boolean"
+    return pairs.select(*_PAIR).where("gt_id IS NOT NULL AND pred_id IS NOT NULL").groupBy("page_id").applyInArrow(fold, schema)
+
+
+def match_boxes(pairs: DataFrame, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """Greedy one-to-one matching by IoU; ties go to the later gt, then the later prediction.
 
-    A pair that is the best left for both of its boxes is what the greedy order
-    takes for them, whatever happens elsewhere. Every round takes all such pairs
-    of all pages and drops their boxes, so a page without open pairs costs
-    nothing more; only best pairs per box and taken boxes are shuffled beside
-    the open pairs, no page is ever held in one place, and lineage is cut in the
-    checkpoint folder. The number of rounds is the longest chain of pairs that
-    wait for one another (three on the tables here).
+    Pages of at most ``page_pairs`` pairs are folded one by one in the tasks
+    that join them; only matches are written, pairs are neither shuffled nor
+    kept. The pairs of larger pages go on in rounds. A pair that is the best
+    left for both of its boxes is what the greedy order takes for them, whatever
+    happens elsewhere: every round takes all such pairs and drops their boxes,
+    so no large page is ever held in one place. Lineage is cut in the checkpoint
+    folder.
     """
-    left, taken = cut_lineage(pairs.select(*_PAIR)), None
-    while True:
+    folded = cut_lineage(_fold_pages(pairs, page_pairs))
+    taken, left = folded.where(~F.col("open")).select(*_PAIR), folded.where("open").select(*_PAIR)
+    while not left.isEmpty():
         chosen = cut_lineage(mutual_best(left))
-        taken = chosen if taken is None else taken.unionByName(chosen)
+        taken = taken.unionByName(chosen)
         left = cut_lineage(_without(left, chosen))
-        if left.isEmpty():
-            return taken
+    return taken
 
 
 def unmatched_boxes(boxes: DataFrame, matches: DataFrame, side: str) -> DataFrame:

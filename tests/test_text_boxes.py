@@ -208,6 +208,23 @@ def test_pairs_and_matches(pages):
     assert B.match_boxes(pairs.limit(0)).count() == 0
 
 
+def test_pairs_meet_and_match_without_a_shuffle_of_pairs(spark, pages):
+    """Calm pages: joined by page, matched where they are joined; crowded pages and large ones give the same by grid and rounds."""
+    gt, pred, g, p = pages
+    key = lambda df: sorted((r["page_id"], r["gt_id"], r["pred_id"], round(r["iou"], 9)) for r in df.collect())
+    calm, mixed = B.box_iou_pairs(g, p), B.box_iou_pairs(g, p, page_boxes=50)
+    assert key(calm) == key(mixed)
+    assert key(B.match_boxes(calm)) == key(B.match_boxes(mixed, page_pairs=100)) == key(B.match_boxes(calm, page_pairs=0))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan(calm) and "explode" in plan(mixed)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folded = B._fold_pages(calm, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert folded.count("Exchange hashpartitioning") == 2
+
+
 def test_a_page_of_a_million_pairs(spark):
     """One crowded page with many ties beside small ones, against the plain greedy order."""
     crowded = spark.range(1_000_000).selectExpr("'a' AS page_id", "id % 1000 AS gt_id", "id DIV 1000 AS pred_id")
