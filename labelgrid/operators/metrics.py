@@ -207,6 +207,12 @@ def confusion_display(matrix: DataFrame, by: list[str] = ()) -> DataFrame:
 SLICES = 1000
 
 
+def _below(bounds: str, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending ``bounds`` are below ``value``, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) < value), at + step).otherwise(at))
+
+
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, population standard deviation and exact median of numeric columns.
 
@@ -218,7 +224,7 @@ def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     ])).alias("e")).select("e.*").where("value IS NOT NULL")
     bounds = longed.groupBy("name").agg(F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("_bounds"))
     counted = longed.groupBy("name", "value").agg(F.count(F.lit(1)).alias("k"))
-    sliced = counted.join(bounds, "name").withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
+    sliced = counted.join(F.broadcast(bounds), "name").withColumn("_slice", _below("_bounds", F.col("value"), SLICES - 1)).drop("_bounds")
     name = W.partitionBy("name")
     sums = sliced.groupBy("name", "_slice").agg(F.sum("k").alias("_k"), F.sum(F.col("value") * F.col("k")).alias("_s"), F.sum(F.col("value") * F.col("value") * F.col("k")).alias("_s2"))
     placed = sums.withColumn("_before", F.sum("_k").over(name.orderBy("_slice")) - F.col("_k")).withColumn("_n", F.sum("_k").over(name))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from dense import cells, images, stack
+from pyspark.sql import functions as F
 
 from labelgrid.operators import metrics as M
 from labelgrid.operators.align import align, common_extent
@@ -101,6 +102,12 @@ def test_byclass_false_merges_layers(spark):
     assert r["foreground_accuracy"] == pytest.approx((GT * PRED * GT).sum() / GT.sum())
 
 
+def test_slices_are_found_by_halving(spark):
+    """The slice of a value is the number of bounds below it, with repeated bounds and at both ends, without a pass over all bounds."""
+    df = spark.createDataFrame([([], 1.0), ([2.0], 1.0), ([2.0], 3.0), ([1.0, 1.0, 1.0, 4.0], 1.0), ([1.0, 1.0, 1.0, 4.0], 2.0), ([float(i) for i in range(999)], 998.5)], "b array<double>, v double")
+    assert [r[0] for r in df.select(M._below("b", F.col("v"), 999)).collect()] == [0, 0, 1, 0, 3, 999]
+
+
 def test_column_summary(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 7)], "a double")
     r = M.column_summary(df, ["a"]).first()
