@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.functions.text import bleu_scores, cer, token_codes, wer_of_codes
-from labelgrid.operators.banding import lookback_window, row_index, small_side
+from labelgrid.operators.banding import lookback_window, row_index
+
 
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """CER of each ``(ref, hyp)`` row, where the row is: input splits spread the work, no text is shuffled."""
@@ -29,20 +33,52 @@ def bleu(pairs: DataFrame, keys: list[str], max_n: int = 49) -> DataFrame:
     return scores.withColumn("n", F.col("n") + 1)
 
 
+def _by_key(rows: DataFrame, keys: list[str], value: str, merge: Callable[[list], list | str], name: str, kind: str) -> DataFrame:
+    """``merge`` of all values of a key, on each of its rows. One shuffle of the rows as they are, no row per character.
+
+    Rows with a null among their keys stand alone and merge nothing.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole &= F.col(k).isNotNull()
+    own = F.when(~whole, F.xxhash64(value))
+    met = rows.groupBy(*keys, own.alias("_own")).agg(F.collect_list(F.when(whole, F.col(value))).alias("_all"), F.count(F.lit(1)).alias("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            out = [merge(values) for values in batch.column("_all").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("_n"), pa.array(out, made)], names=[*keys, "_n", name])
+
+    made = {"string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[kind]
+    kinds = dict(rows.dtypes)
+    done = met.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", _n bigint, {name} {kind}")
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*keys, name)
+
+
 def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown: str = "drop", pad_to: int | str | None = None) -> DataFrame:
     """Characters to indices in order; unknown ones dropped, or an error.
 
-    Zeros pad to ``pad_to`` characters, or to the ``"longest"`` text.
+    Zeros pad to ``pad_to`` characters, or to the ``"longest"`` text. The
+    alphabet goes to the tasks as a dictionary; texts that share a key are
+    merged character by character.
     """
     if pad_to == "longest":
         pad_to = texts.agg(F.max(F.length("text"))).first()[0] or 0
-    chars = texts.select(*keys, F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
-    coded = chars.join(small_side(charset), "ch", "left")
-    if unknown == "error":
-        idx = F.coalesce("idx", F.raise_error(F.concat(F.lit("character not in charset: "), "ch")).cast("int"))
-        coded = coded.withColumn("idx", idx)
-    rows = coded.where("idx IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("a"))
-    out = texts.select(*keys).join(rows, keys, "left").select(*keys, F.coalesce(F.transform("a", lambda e: e["idx"]), F.array().cast("array<int>")).alias("labels"))
+    known: dict[str, list[int]] = {}
+    for row in charset.where("ch IS NOT NULL AND idx IS NOT NULL").select("ch", "idx").collect():
+        known[row.ch] = sorted([*known.get(row.ch, []), row.idx])
+    only = {ch: idx[0] for ch, idx in known.items()} if all(len(idx) == 1 for idx in known.values()) else None
+
+    def encode(found: list[str]) -> list[int]:
+        if unknown == "error":
+            for ch in set("".join(found)) - known.keys():
+                raise ValueError(f"character not in charset: {ch}")
+        if len(found) == 1 and only is not None:
+            return [only[ch] for ch in found[0] if ch in only]
+        placed = sorted((pos, idx) for text in found for pos, ch in enumerate(text) for idx in known.get(ch, ()))
+        return [idx for _, idx in placed]
+
+    out = _by_key(texts, keys, "text", encode, "labels", f"array<{dict(charset.dtypes)['idx']}>")
     if pad_to is None:
         return out
     fill = F.greatest(F.lit(pad_to) - F.size("labels"), F.lit(0))
@@ -51,12 +87,20 @@ def encode_labels(texts: DataFrame, charset: DataFrame, keys: list[str], unknown
 
 def decode_labels(labels: DataFrame, charset: DataFrame, keys: list[str], raw: bool = False) -> DataFrame:
     """Indices back to text; 0 ends the text, or shows as a dot when ``raw``."""
-    stop = F.array_position("labels", 0)
-    shown = F.col("labels") if raw else F.when(stop > 0, F.slice("labels", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("labels"))
-    parts = labels.select(*keys, F.posexplode(shown).alias("pos", "idx")).join(small_side(charset), "idx", "left")
-    ch = F.when(F.col("idx") == 0, F.lit("⋅")).otherwise(F.col("ch"))
-    rows = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", ch.alias("ch")))).alias("a"))
-    return labels.select(*keys).join(rows, keys, "left").select(*keys, F.coalesce(F.array_join(F.transform("a", lambda e: e["ch"]), ""), F.lit("")).alias("text"))
+    known: dict[int, list[str]] = {}
+    for row in charset.where("idx IS NOT NULL").select("ch", "idx").collect():
+        known[row.idx] = sorted([*known.get(row.idx, []), "⋅" if row.idx == 0 else row.ch or ""])
+    known.setdefault(0, ["⋅"])
+    shown = {idx: "".join(chs) for idx, chs in known.items()}
+
+    def decode(found: list[list[int]]) -> str:
+        cut = [row if raw or 0 not in row else row[: row.index(0)] for row in found]
+        if len(cut) == 1:
+            return "".join([shown[idx] for idx in cut[0] if idx in shown])
+        placed = sorted((pos, ch) for row in cut for pos, idx in enumerate(row) for ch in known.get(idx, ()))
+        return "".join(ch for _, ch in placed)
+
+    return _by_key(labels, keys, "labels", decode, "text", "string")
 
 
 def frame_symbols(frames: DataFrame) -> DataFrame:

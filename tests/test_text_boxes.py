@@ -150,6 +150,18 @@ def test_label_codecs(spark):
         T.encode_labels(texts, chars, ["k"], unknown="error").collect()
 
 
+def test_label_codecs_make_no_row_per_character(spark):
+    """Coded where the text is; texts of one key merge by position, and rows with a null key stay, with nothing in them."""
+    chars = spark.createDataFrame([("a", 1), ("b", 2), ("é", 3), ("𝄞", 9)], "ch string, idx int")
+    texts = spark.createDataFrame([(0, "aé𝄞b"), (0, "ba"), (None, "a"), (None, "a"), (2, None), (3, "b")], "k int, text string")
+    enc = T.encode_labels(texts, chars, ["k"])
+    key = lambda df, c: sorted(((r["k"], r[c]) for r in df.collect()), key=str)
+    assert key(enc, "labels") == sorted([(0, [1, 2, 1, 3, 9, 2]), (0, [1, 2, 1, 3, 9, 2]), (None, []), (None, []), (2, []), (3, [2])], key=str)
+    dec = T.decode_labels(T.encode_labels(texts.where("text <> 'ba'"), chars, ["k"]), chars, ["k"])
+    assert key(dec, "text") == sorted([(0, "aé𝄞b"), (None, ""), (None, ""), (3, "b")], key=str)
+    assert "posexplode" not in dec._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_labels_to_frames(spark):
     rows = spark.range(1).select(labels_to_frames(F.array(F.lit(2), F.lit(0)), 2, 1)).first()[0]
     assert rows == [[0, 0, 1], [0, 1, 0], [0, 0, 1], [0, 0, 1], [0, 0, 1]]
