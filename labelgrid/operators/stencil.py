@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from labelgrid.operators.align import CELL, PIXEL
 from labelgrid.operators.banding import attach_image
 
+NARROW = 64  # pixel columns up to which all pairs of columns are compared
+
 
 def _send(cells: DataFrame, axis: str, offsets: list[tuple[int, float]], extent: str, fold, extra: list[str]) -> DataFrame:
     """Spread ``v`` along one axis with weights and fold what arrives inside the page."""
@@ -229,43 +231,61 @@ def page_pixels(images: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
 
 
-def distance_map(layer: DataFrame, images: DataFrame, block: int = 256) -> DataFrame:
-    """Exact distance of every pixel of the page to the nearest set pixel, any radius.
+def _per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows one by one, as they may be wide."""
+    return (batch.slice(at, 1) for batch in batches for at in range(batch.num_rows))
+
 
-    Down the columns, the nearest set row comes from the column's set rows (in
-    blocks, with carries between them); along a row, the lower envelope of the
-    columns' parabolas gives all distances in time linear in the page's width.
-    Pages without set pixels have no rows.
+def distance_lines(layer: DataFrame, images: DataFrame, block: int = 32) -> DataFrame:
+    """Squared distances to the nearest set pixel as ``(image_id, y, d2)``, a list per pixel row of the page; pages without set pixels have none.
+
+    A column's set rows give the distances down it; they go on as lists of
+    ``block`` rows, meet the other columns of these rows, and the lower envelope
+    of the columns' parabolas gives all distances along a row. No row per pixel
+    is ever shuffled.
     """
-    marks = layer.select("image_id", "y", "x").distinct()
-    dense = page_pixels(images.join(marks.select("image_id").distinct(), "image_id", "left_semi"))
-    both = (
-        dense.select("image_id", "y", "x", F.lit(None).cast("int").alias("s")).unionByName(marks.select("image_id", "y", "x", F.col("y").alias("s")))
-        .groupBy(*PIXEL).agg(F.max("s").alias("s")).withColumn("_blk", F.floor(F.col("y") / block))
-    )
-    ends = both.groupBy("image_id", "x", "_blk").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    col = W.partitionBy("image_id", "x").orderBy("_blk")
-    carry = ends.select(
-        "image_id", "x", "_blk", F.last("hi", ignorenulls=True).over(col.rowsBetween(W.unboundedPreceding, -1)).alias("_up"),
-        F.first("lo", ignorenulls=True).over(col.rowsBetween(1, W.unboundedFollowing)).alias("_down"),
-    )
-    inside = W.partitionBy("image_id", "x", "_blk").orderBy("y")
-    near = both.withColumns({
-        "_a": F.last("s", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_b": F.first("s", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)),
-    }).join(carry, ["image_id", "x", "_blk"])
-    g = F.least(F.col("y") - F.coalesce("_a", "_up"), F.coalesce("_b", "_down") - F.col("y"))
-    lines = near.select("image_id", "y", "x", g.alias("g")).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("line"))
-    # Squares of the column distances, -1 where the column holds no mark; the envelope of all parabolas of a row in one pass over it.
-    rows = lines.select("image_id", "y", F.transform("line", lambda e: F.coalesce(e["g"] * e["g"], F.lit(-1)).cast("long")).alias("gs"))
+    sizes = images.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    columns = layer.where("y IS NOT NULL").groupBy("image_id", "x").agg(F.sort_array(F.collect_set("y")).alias("ys")).join(sizes, "image_id")
+    inside = columns.where("x >= 0 AND x < width")
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _per_row(batches):
+            ys, height = row.column("ys").values.to_numpy()[row.column("ys").offsets[0].as_py() : row.column("ys").offsets[1].as_py()].astype(np.int64), row.column("height")[0].as_py()
+            y = np.arange(height)
+            at = np.searchsorted(ys, y)
+            gap = np.minimum(np.abs(ys[np.maximum(at - 1, 0)] - y), np.abs(ys[np.minimum(at, len(ys) - 1)] - y)).astype(np.int32)
+            starts = range(0, height, block)
+            same = lambda c: pa.array([row.column(c)[0].as_py()] * len(starts), row.column(c).type)
+            yield pa.RecordBatch.from_arrays(
+                [same("image_id"), same("x"), same("width"), pa.array(starts, pa.int32()), pa.array([gap[s : s + block] for s in starts], pa.list_(pa.int32()))],
+                names=["image_id", "x", "width", "y0", "gap"])
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = [nearest_in_row(gs.values.to_numpy()) for gs in batch.column("gs")]
-            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("y"), pa.array(best, pa.list_(pa.int64()))], names=["image_id", "y", "d2"])
+        for row in _per_row(batches):
+            parts, width, y0 = row.column("parts")[0].as_py(), row.column("width")[0].as_py(), row.column("y0")[0].as_py()
+            squares = np.full((len(parts[0]["gap"]), width), -1, np.int64)
+            for part in parts:
+                squares[:, part["x"]] = np.square(part["gap"], dtype=np.int64)
+            if width <= NARROW:
+                k = [part["x"] for part in parts]
+                best = (squares[:, None, k] + (np.arange(width)[:, None] - np.array(k)) ** 2).min(axis=2)
+            else:
+                best = [nearest_in_row(line) for line in squares]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row.column("image_id")[0].as_py()] * len(best), row.column("image_id").type), pa.array(range(y0, y0 + len(best)), pa.int32()), pa.array(list(best), pa.list_(pa.int64()))],
+                names=["image_id", "y", "d2"])
 
     kinds = dict(layer.dtypes)
-    done = rows.mapInArrow(along, f"image_id {kinds['image_id']}, y {kinds['y']}, d2 array<bigint>")
-    return done.select("image_id", "y", F.posexplode("d2").alias("x", "d2")).select("image_id", "y", "x", F.sqrt(F.col("d2").cast("double")).alias("d"))
+    gaps = inside.select("image_id", F.col("x").cast("int").alias("x"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "ys").mapInArrow(
+        down, f"image_id {kinds['image_id']}, x int, width int, y0 int, gap array<int>")
+    blocks = gaps.groupBy("image_id", "y0").agg(F.first("width").alias("width"), F.collect_list(F.struct("x", "gap")).alias("parts"))
+    return blocks.mapInArrow(along, f"image_id {kinds['image_id']}, y int, d2 array<bigint>").withColumn("y", F.col("y").cast(kinds["y"]))
+
+
+def distance_map(layer: DataFrame, images: DataFrame, block: int = 32) -> DataFrame:
+    """Exact distance of every pixel of the page to the nearest set pixel, any radius, from :func:`distance_lines`."""
+    rows = distance_lines(layer, images, block).select("image_id", "y", F.posexplode("d2").alias("x", "d2"))
+    return rows.select("image_id", "y", "x", F.sqrt(F.col("d2").cast("double")).alias("d"))
 
 
 def nearest_in_row(squares: np.ndarray) -> np.ndarray:

@@ -167,3 +167,22 @@ def test_best_tile_defaults_and_ties(spark):
     assert [(r["cx"], r["cy"]) for r in T.best_train_tile(cells(spark, a), im, [2]).collect()] == [(0, 0)]
     a[6, 1, 1] = a[1, 6, 2] = 1
     assert [(r["cx"], r["cy"]) for r in T.best_train_tile(cells(spark, a), im, [2]).collect()] == [(0, 1)]
+
+
+def test_distances_shuffle_lists_not_pixels(spark):
+    """Wide and narrow pages, blocks that hold no mark, a page without marks; no row per pixel before the last step."""
+    rng = np.random.default_rng(3)
+    for shape in ((70, 90), (70, 8)):
+        mask = rng.random(shape) < 0.01
+        mask[20:60] = False
+        mask[0, 3] = True
+        marks = spark.createDataFrame([(1, int(y), int(x)) for y, x in zip(*np.nonzero(mask))] * 2, "image_id long, y int, x int")
+        sizes = spark.createDataFrame([(1, *shape), (2, *shape)], "image_id long, height int, width int")
+        ys, xs = np.nonzero(mask)
+        grid = np.indices(shape)
+        want = np.sqrt(((grid[0][..., None] - ys) ** 2 + (grid[1][..., None] - xs) ** 2).min(axis=2))
+        out = S.distance_map(marks, sizes, block=16)
+        rows = out.collect()
+        assert len(rows) == want.size and all(r["image_id"] == 1 and abs(r["d"] - want[r["y"], r["x"]]) < 1e-9 for r in rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1 and plan.strip().split("\n")[1].count("Generate") == 1
