@@ -13,7 +13,7 @@ from labelgrid.functions.arith import ratio
 from labelgrid.operators.align import PIXEL, align
 from labelgrid.operators.banding import attach_image, merge_rows
 from labelgrid.operators.metrics import image_class_grid
-from labelgrid.operators.stencil import gaussian_smooth
+from labelgrid.operators.stencil import gaussian_smooth_pairs
 
 # fixed values: margins, class weights and epsilons of the loss definitions
 MARGIN_PLUS, MARGIN_NEG, LAMBDA = 0.9, 0.1, 0.5
@@ -74,7 +74,7 @@ def continuous_f_loss(pairs: DataFrame, images: DataFrame, weights: list[float]
 
 def blurred_f_loss(gt: DataFrame, pred: DataFrame, images: DataFrame, sigma: float = 5.0, weights: list[float] | None = None) -> DataFrame:
     """:func:`continuous_f_loss` of both sides after the same Gaussian blur."""
-    return continuous_f_loss(align(gaussian_smooth(gt, images, sigma), gaussian_smooth(pred, images, sigma)), images, weights)
+    return continuous_f_loss(gaussian_smooth_pairs(gt, pred, images, sigma), images, weights)
 
 
 def margin_map(g: Column, p: Column, floor: float = 0.1, gap: float = 0.9) -> Column:

@@ -137,8 +137,9 @@ def to_grey(intensity: DataFrame, weighted: bool = True) -> DataFrame:
 
 
 def downsample(intensity: DataFrame, rate: int) -> DataFrame:
-    """Area average of ``rate x rate`` squares."""
-    return intensity.groupBy("image_id", F.floor(F.col("y") / rate).cast("int").alias("y"), F.floor(F.col("x") / rate).cast("int").alias("x"), "c").agg(F.avg("v").alias("v"))
+    """Area average of ``rate x rate`` squares. Pixels are dealt by square first, so a task holds the squares of its part and not some pixel of each."""
+    square = intensity.select("image_id", F.floor(F.col("y") / rate).cast("int").alias("y"), F.floor(F.col("x") / rate).cast("int").alias("x"), "c", "v")
+    return square.repartition(*PIXEL).groupBy(*PIXEL, "c").agg(F.avg("v").alias("v"))
 
 
 def infer_scale(path: Column) -> Column:

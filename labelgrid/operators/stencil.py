@@ -1,15 +1,14 @@
-"""Stencils on sparse layers: every cell sends its value to the cells it touches.
+"""Stencils on sparse layers: every cell goes to the tiles it touches.
 
-Sending is an ``explode`` over a fixed list of offsets, receiving is a hash
-aggregation keyed by cell: no neighbour join, no sort, no hot key. Separable
-kernels go through x first, then y. Wide kernels and bounded distances work on
-dense tiles with a halo instead: one shuffle, and no row per pixel and offset.
+Kernels and bounded distances work on dense tiles with a halo: one shuffle of
+the cells, no row per pixel and offset, and no neighbour join. A task holds one
+tile at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,30 +21,119 @@ from labelgrid.operators.align import CELL, PIXEL
 from labelgrid.operators.banding import attach_image
 
 NARROW = 64  # pixel columns up to which all pairs of columns are compared
+SIDE = 512  # pixels of a tile each way; work goes by the part of it that holds cells
 
 
-def _send(cells: DataFrame, axis: str, offsets: list[tuple[int, float]], extent: str, fold, extra: list[str]) -> DataFrame:
-    """Spread ``v`` along one axis with weights and fold what arrives inside the page."""
-    kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in offsets])
-    keys = [*[c for c in CELL if c in cells.columns], *extra]
-    moved = cells.withColumn("_k", F.explode(kernel)).withColumns({axis: F.col(axis) + F.col("_k.d"), "v": F.col("v") * F.col("_k.w")})
-    return moved.where((F.col(axis) >= 0) & (F.col(axis) < F.col(extent))).groupBy(*keys).agg(fold("v").alias("v"))
+def _dealt(cells: DataFrame, keys: list[str], reach: int, side: int) -> DataFrame:
+    """Cells on every tile ``_ty, _tx`` of the page they reach, as far as its extent is known (columns ``height`` and ``width``)."""
 
+    def touched(axis: str, extent: str):
+        low, high = F.greatest(F.floor((F.col(axis) - reach) / side), F.lit(0)), F.floor((F.col(axis) + reach) / side)
+        return F.sequence(low, F.least(high, F.floor((F.col(extent) - 1) / side)) if extent in cells.columns else high)
+
+    placed = cells.where("y IS NOT NULL AND x IS NOT NULL")
+    if "height" in cells.columns:
+        # a cell beyond the page by more than the reach touches none of its tiles
+        placed = placed.where((F.col("height") > 0) & (F.col("width") > 0) & (F.col("y") - reach < F.ceil(F.col("height") / side) * side) & (F.col("x") - reach < F.ceil(F.col("width") / side) * side) & (F.col("y") >= -reach) & (F.col("x") >= -reach))
+    return placed.withColumn("_ty", F.explode(touched("y", "height"))).withColumn("_tx", F.explode(touched("x", "width")))
+
+
+def tiled(cells: DataFrame, keys: list[str], reach: int, work: Callable[..., dict[str, np.ndarray]], schema: str, values: list[str] = ("v",), side: int = SIDE) -> DataFrame:
+    """``work(y, x, values, y0, x0, height, width)`` on the cells of each tile of ``side`` pixels and a halo of ``reach`` around it: one shuffle, whatever the reach.
+
+    A tile is bounded, so a page of any size is spread like many small ones. ``values`` come as doubles, null as NaN; ``work`` returns the
+    columns of ``schema`` after ``keys``, masked arrays where they may be null.
+    """
+    keys = list(keys)
+    dealt = _dealt(cells.select(*keys, "height", "width", "y", "x", *[F.col(c).cast("double").alias(c) for c in values]), keys, reach, side)
+    kinds = dict(cells.dtypes)
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = lambda c: rows.column(c)[0].as_py()
+        number = lambda c: rows.column(c).to_numpy().astype(np.int64)
+        own = [rows.column(v).to_numpy() for v in values]
+        out = work(number("y"), number("x"), own, at("_ty") * side, at("_tx") * side, at("height"), at("width"))
+        n = len(next(iter(out.values())))
+        first = pa.array(np.zeros(n, np.int64))
+        cols = {k: rows.column(k).combine_chunks().take(first) for k in keys}
+        cols |= {k: pa.array(np.ma.getdata(v), mask=np.ma.getmaskarray(v)) for k, v in out.items()}
+        return pa.Table.from_arrays([cols[k] if k in keys else cols[k].cast(made.field(k).type) for k in made.names], names=made.names)
+
+    full = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema
+    made = pa.schema([(c, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t]) for c, t in (part.split() for part in schema.split(", "))])
+    made = pa.schema([*[pa.field(k, pa.null()) for k in keys], *made])
+    return dealt.groupBy(*keys, "height", "width", "_ty", "_tx").applyInArrow(run, full)
+
+
+def _tiled(cells: DataFrame, keys: list[str], reach: int, side: int, work, schema: str) -> DataFrame:
+    """``work(tile rows, y0, x0)`` on dealt tiles like :func:`tiled`; rows of a tile carry all columns of ``cells``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        out = work(rows, int(first["_ty"]) * side, int(first["_tx"]) * side)
+        return out.assign(**{k: first[k] for k in keys})
+
+    return _dealt(cells, keys, reach, side).groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema)
+
+
+def _frame(y: np.ndarray, x: np.ndarray, y0: int, x0: int, height: int, width: int, reach: int, side: int = SIDE) -> tuple[slice, slice, int, int, tuple[int, int]]:
+    """The part of the tile that cells reach: its rows and columns in an array that has ``reach`` more on each side, where that begins, and its shape."""
+    top, left = max(y0, int(y.min()) - reach), max(x0, int(x.min()) - reach)
+    low, right = min(y0 + side, height, int(y.max()) + reach + 1), min(x0 + side, width, int(x.max()) + reach + 1)
+    low, right = max(low, top), max(right, left)
+    return slice(reach, reach + low - top), slice(reach, reach + right - left), top - reach, left - reach, (low - top + 2 * reach, right - left + 2 * reach)
 
-def separable(cells: DataFrame, images: DataFrame, offsets: list[tuple[int, float]], fold) -> DataFrame:
-    sized = attach_image(cells, images, ["height", "width"])
-    across = _send(sized, "x", offsets, "width", fold, ["height", "width"])
-    return _send(across, "y", offsets, "height", fold, [])
+
+def _inside(y: np.ndarray, x: np.ndarray, top: int, left: int, shape: tuple[int, int]) -> np.ndarray:
+    return (y >= top) & (x >= left) & (y < top + shape[0]) & (x < left + shape[1])
+
+
+def _box(dense: np.ndarray, offsets: list[int], fold: Callable) -> np.ndarray:
+    """``fold`` over what arrives when every place sends its value by all pairs of ``offsets``."""
+    for axis in (0, 1):
+        out = None
+        for d in offsets:
+            moved = np.roll(dense, d, axis)
+            out = moved if out is None else fold(out, moved)
+        dense = out
+    return dense
+
+
+def _largest(cells: DataFrame, images: DataFrame, offsets: list[int]) -> DataFrame:
+    reach = max(abs(d) for d in offsets)
+    keys = [c for c in CELL if c in cells.columns and c not in ("y", "x")]
+
+    def work(y, x, values, y0, x0, height, width):
+        rows, columns, top, left, shape = _frame(y, x, y0, x0, height, width, reach)
+        near = _inside(y, x, top, left, shape)
+        y, x, v = y[near] - top, x[near] - left, values[0][near]
+        set_, best = np.zeros(shape, bool), np.full(shape, -np.inf)
+        set_[y, x] = True
+        known = ~np.isnan(v)
+        np.maximum.at(best, (y[known], x[known]), v[known])
+        some = np.zeros(shape, bool)
+        some[y[known], x[known]] = True
+        set_, best, some = (_box(a, offsets, f)[rows, columns] for a, f in ((set_, np.logical_or), (best, np.maximum), (some, np.logical_or)))
+        y, x = np.nonzero(set_)
+        return {"y": y + top + reach, "x": x + left + reach, "v": np.ma.array(best[y, x], mask=~some[y, x])}
+
+    sized = attach_image(cells.select(*keys, "y", "x", "v"), images, ["height", "width"])
+    return tiled(sized, keys, reach, work, f"{_places(cells)}, v double").select(*[c for c in CELL if c in cells.columns], "v")
+
+
+def _places(cells: DataFrame) -> str:
+    kinds = dict(cells.dtypes)
+    return f"y {kinds['y']}, x {kinds['x']}"
 
 
 def dilate(cells: DataFrame, images: DataFrame, n: int = 1) -> DataFrame:
     """``n`` passes of a 3x3 maximum: one maximum over (2n+1) x (2n+1)."""
-    return separable(cells, images, [(d, 1.0) for d in range(-n, n + 1)], F.max)
+    return _largest(cells, images, list(range(-n, n + 1)))
 
 
 def dilate_window(cells: DataFrame, images: DataFrame, k: int) -> DataFrame:
     """One pass of a k x k maximum anchored at ``k // 2``."""
-    return separable(cells, images, [(k // 2 - j, 1.0) for j in range(k)], F.max)
+    return _largest(cells, images, [k // 2 - j for j in range(k)])
 
 
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
@@ -56,57 +144,48 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(pad - i, w[i] / sum(w)) for i in range(side)]
 
 
-def _tiled(cells: DataFrame, keys: list[str], reach: int, side: int, work, schema: str) -> DataFrame:
-    """``work(tile rows, y0, x0)`` on dense tiles of ``side`` pixels and a halo of ``reach`` around them: one shuffle, whatever the reach.
-
-    A tile is bounded, so a page of any size is spread like many small ones. Rows of a tile carry all columns of ``cells``. Only tiles of the page
-    are dealt to, as far as its extent is known (columns ``height`` and ``width``). Wide halos get wider tiles, so that a cell goes to few of them.
-    """
-
-    def touched(axis: str, extent: str):
-        low, high = F.greatest(F.floor((F.col(axis) - reach) / side), F.lit(0)), F.floor((F.col(axis) + reach) / side)
-        return F.sequence(low, F.least(high, F.floor((F.col(extent) - 1) / side)) if extent in cells.columns else high)
-
-    dealt = cells.withColumn("_ty", F.explode(touched("y", "height"))).withColumn("_tx", F.explode(touched("x", "width")))
+def _blurred(cells: DataFrame, images: DataFrame, sigma: float, values: list[str], side: int = SIDE) -> DataFrame:
+    """``values`` after a Gaussian blur; a row where any of them is not 0."""
+    kernel = gaussian_kernel(sigma)
+    reach = max(abs(d) for d, _ in kernel)
+    keys = [c for c in CELL if c in cells.columns and c not in ("y", "x")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        out = work(rows, int(first["_ty"]) * side, int(first["_tx"]) * side)
-        return out.assign(**{k: first[k] for k in keys})
+    def work(y, x, own, y0, x0, height, width):
+        rows, columns, top, left, shape = _frame(y, x, y0, x0, height, width, reach, side)
+        near = _inside(y, x, top, left, shape)
+        high, wide = rows.stop - rows.start, columns.stop - columns.start
+        both = []
+        for v in own:
+            dense = np.zeros(shape)
+            np.add.at(dense, (y[near] - top, x[near] - left), v[near])
+            across = sum(w * dense[:, reach - d : reach - d + wide] for d, w in kernel)
+            both.append(sum(w * across[reach - d : reach - d + high] for d, w in kernel))
+        at_y, at_x = np.nonzero(np.any([b != 0 for b in both], axis=0))
+        return {"y": at_y + top + reach, "x": at_x + left + reach, **{c: b[at_y, at_x] for c, b in zip(values, both, strict=True)}}
 
-    return dealt.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema)
+    sized = attach_image(cells.select(*keys, "y", "x", *values), images, ["height", "width"])
+    return tiled(sized, keys, reach, work, _places(cells) + "".join(f", {c} double" for c in values), values, side).select(*[c for c in CELL if c in cells.columns], *values)
 
 
-def gaussian_smooth(cells: DataFrame, images: DataFrame, sigma: float = 5.0, side: int = 128) -> DataFrame:
+def gaussian_smooth(cells: DataFrame, images: DataFrame, sigma: float = 5.0, side: int = SIDE) -> DataFrame:
     """Gaussian blur per class with zero padding; the 2-D kernel is the product of two 1-D ones."""
-    kernel = gaussian_kernel(sigma)
-    reach = max(abs(d) for d, _ in kernel)
-    keys = [c for c in CELL if c in cells.columns and c not in ("y", "x")]
+    return _blurred(cells, images, sigma, ["v"], side)
 
-    def blur(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
-        size = side + 2 * reach
-        dense = np.zeros((size, size))
-        np.add.at(dense, (rows["y"].to_numpy() - y0 + reach, rows["x"].to_numpy() - x0 + reach), rows["v"].to_numpy(float))
-        across = sum(w * dense[:, reach - d : reach - d + side] for d, w in kernel)
-        both = sum(w * across[reach - d : reach - d + side] for d, w in kernel)
-        y, x = np.nonzero(both)
-        inside = (y + y0 < rows["height"].iloc[0]) & (x + x0 < rows["width"].iloc[0]) & (y + y0 >= 0) & (x + x0 >= 0)
-        y, x = y[inside], x[inside]
-        return pd.DataFrame({"y": y + y0, "x": x + x0, "v": both[y, x]})
 
-    kinds = dict(cells.dtypes)
-    sized = attach_image(cells.select(*keys, "y", "x", "v"), images, ["height", "width"])
-    return _tiled(sized, keys, reach, side, blur, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", v double").select(*[c for c in CELL if c in cells.columns], "v")
+def gaussian_smooth_pairs(gt: DataFrame, pred: DataFrame, images: DataFrame, sigma: float = 5.0) -> DataFrame:
+    """``g`` and ``p`` of two tables after the same blur, zero filled: both go to the same tiles, and no blurred pixel is shuffled."""
+    left = gt.select(*CELL, F.col("v").alias("g"), F.lit(0e0).alias("p"))
+    right = pred.select(*CELL, F.lit(0e0).alias("g"), F.col("v").alias("p"))
+    return _blurred(left.unionByName(right), images, sigma, ["g", "p"])
 
 
 def _nearest(marks: np.ndarray, reach: int) -> np.ndarray:
     """Squared distance of every place of a dense mask to its nearest mark; beyond ``reach`` it may come out larger."""
     far = reach + 1
-    down, up = np.full(marks.shape, far), np.full(marks.shape, far)
-    for y in range(len(marks)):
-        down[y] = np.where(marks[y], 0, np.minimum(down[y - 1] + 1, far) if y else far)
-        up[-1 - y] = np.where(marks[-1 - y], 0, np.minimum(up[-y] + 1, far) if y else far)
-    column = np.minimum(down, up) ** 2
+    at = np.arange(len(marks))[:, None]
+    before = np.maximum.accumulate(np.where(marks, at, -far), axis=0)
+    after = np.minimum.accumulate(np.where(marks, at, len(marks) - 1 + far)[::-1], axis=0)[::-1]
+    column = np.minimum(np.minimum(at - before, after - at), far) ** 2
     best = column.copy()
     for d in range(1, min(reach, marks.shape[1] - 1) + 1):
         best[:, d:] = np.minimum(best[:, d:], column[:, :-d] + d * d)
@@ -114,22 +193,26 @@ def _nearest(marks: np.ndarray, reach: int) -> np.ndarray:
     return best
 
 
-def _neighbours(cells: DataFrame, radius: int, keep_self: bool = True) -> DataFrame:
-    steps = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if keep_self or (dy, dx) != (0, 0)]
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])
-    return cells.withColumn("_o", F.explode(offsets))
-
-
 def border(cells: DataFrame, images: DataFrame) -> DataFrame:
     """Set cells that a 3x3 erosion removes: some neighbour inside the page is empty."""
-    sized = attach_image(cells.where("v > 0"), images, ["height", "width"])
-    sent = _neighbours(sized, 1).select(
-        "image_id", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "class_id", "height", "width",
-        ((F.col("_o.dy") == 0) & (F.col("_o.dx") == 0)).alias("own"), F.col("v"),
-    )
-    side = lambda c, extent: F.least(F.col(c) + 1, F.col(extent) - 1) - F.greatest(F.col(c) - 1, F.lit(0)) + 1
-    got = sent.groupBy(*CELL, "height", "width").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("own"), F.max(F.when(F.col("own"), F.col("v"))).alias("v"))
-    return got.where(F.col("own") & (F.col("k") < side("y", "height") * side("x", "width"))).select(*CELL, "v")
+
+    def work(y, x, values, y0, x0, height, width):
+        rows, columns, top, left, shape = _frame(y, x, y0, x0, height, width, 1)
+        near = _inside(y, x, top, left, shape)
+        y, x, v = y[near] - top, x[near] - left, values[0][near]
+        count, best = np.zeros(shape, np.int64), np.full(shape, -np.inf)
+        np.add.at(count, (y, x), 1)
+        np.maximum.at(best, (y, x), v)
+        around = _box(count, [-1, 0, 1], np.add)
+        y, x = (a + 1 for a in np.nonzero(count[rows, columns]))
+        at_y, at_x = y + top, x + left
+        side = lambda c, extent: np.minimum(c + 1, extent - 1) - np.maximum(c - 1, 0) + 1
+        gone = around[y, x] < side(at_y, height) * side(at_x, width)
+        return {"y": at_y[gone], "x": at_x[gone], "v": best[y, x][gone]}
+
+    keys = ["image_id", "class_id"]
+    sized = attach_image(cells.where("v > 0").select(*CELL, "v"), images, ["height", "width"])
+    return tiled(sized, keys, 1, work, f"{_places(cells)}, v double").select(*CELL, "v")
 
 
 def erode(cells: DataFrame, images: DataFrame) -> DataFrame:
@@ -143,14 +226,31 @@ def local_variance(cells: DataFrame, images: DataFrame, k: int) -> DataFrame:
     A cell near an edge also stands at its mirror images. Pixels no cell reaches
     have variance 0 and no row.
     """
-    sized = attach_image(cells, images, ["height", "width"]).select(*PIXEL, "height", "width", "v", (F.col("v") * F.col("v")).alias("v2"))
-    keys = [*PIXEL, "height", "width"]
-    for axis, extent in (("x", "width"), ("y", "height")):
-        spots = F.array(F.col(axis), -1 - F.col(axis), 2 * F.col(extent) - 1 - F.col(axis))
-        reach = F.array(*[F.lit(k // 2 - j) for j in range(k)])
-        moved = sized.withColumn("_q", F.explode(spots)).withColumn("_d", F.explode(reach)).withColumn(axis, F.col("_q") + F.col("_d"))
-        sized = moved.where((F.col(axis) >= 0) & (F.col(axis) < F.col(extent))).groupBy(*keys).agg((F.sum("v") / k).alias("v"), (F.sum("v2") / k).alias("v2"))
-    return sized.select(*PIXEL, (F.col("v2") - F.col("v") * F.col("v")).alias("v"))
+    offsets = [k // 2 - j for j in range(k)]
+
+    def work(y, x, values, y0, x0, height, width):
+        rows, columns, top, left, shape = _frame(y, x, y0, x0, height, width, k)
+        some = np.zeros((2, *shape), np.int64)
+        sums = np.zeros((2, *shape))
+        v = values[0]
+        known = ~np.isnan(v)
+        for at_y in (y, -1 - y, 2 * height - 1 - y):
+            for at_x in (x, -1 - x, 2 * width - 1 - x):
+                near = _inside(at_y, at_x, top, left, shape)
+                place = at_y[near] - top, at_x[near] - left
+                full = near & known
+                filled = at_y[full] - top, at_x[full] - left
+                np.add.at(some[0], place, 1)
+                np.add.at(some[1], filled, 1)
+                np.add.at(sums[0], filled, v[full])
+                np.add.at(sums[1], filled, v[full] * v[full])
+        reached, filled, mean, square = (_box(a, offsets, np.add)[rows, columns] for a in (*some, *sums))
+        y, x = np.nonzero(reached)
+        mean, square = mean[y, x] / (k * k), square[y, x] / (k * k)
+        return {"y": y + top + k, "x": x + left + k, "v": np.ma.array(square - mean * mean, mask=filled[y, x] == 0)}
+
+    sized = attach_image(cells.select(*PIXEL, "v"), images, ["height", "width"])
+    return tiled(sized, ["image_id"], k, work, f"{_places(cells)}, v double").select(*PIXEL, "v")
 
 
 def profile(cells: DataFrame, images: DataFrame, axis: str = "y") -> DataFrame:
@@ -180,7 +280,7 @@ def profile_variance(cells: DataFrame, images: DataFrame, points: DataFrame, rad
     return out.withColumn("v", F.coalesce("var_x", F.lit(0e0)) * F.coalesce("var_y", F.lit(0e0)))
 
 
-def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str] = ("image_id",), cap: bool = True, side: int = 128) -> DataFrame:
+def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str] = ("image_id",), cap: bool = True, side: int = SIDE) -> DataFrame:
     """Exact Euclidean distance from each query pixel to the nearest set pixel of its layer.
 
     With ``cap`` a query without a set pixel inside ``max_r`` gets ``max_r``; else it has no row. Down the columns, then along the rows of
@@ -193,10 +293,12 @@ def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str
     def reach(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
         y, x, mark = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0, rows["mark"].to_numpy()
         own = ~mark & (y >= 0) & (y < side) & (x >= 0) & (x < side)
-        top, left = y.min(), x.min()
-        dense = np.zeros((y.max() - top + 1, x.max() - left + 1), bool)
-        dense[y[mark] - top, x[mark] - left] = True
-        d2 = _nearest(dense, max_r)[y[own] - top, x[own] - left] if own.any() and mark.any() else np.full(int(own.sum()), (max_r + 1) ** 2)
+        d2 = np.full(int(own.sum()), (max_r + 1) ** 2)
+        if own.any() and mark.any():
+            top, left = y.min(), x.min()
+            dense = np.zeros((y.max() - top + 1, x.max() - left + 1), bool)
+            dense[y[mark] - top, x[mark] - left] = True
+            d2 = _nearest(dense, max_r)[y[own] - top, x[own] - left]
         near = d2 <= max_r * max_r
         out = pd.DataFrame({"y": y[own] + y0, "x": x[own] + x0, "d": np.where(near, np.sqrt(d2), float(max_r))})
         return out if cap else out[near]
@@ -205,24 +307,24 @@ def distance_to(layer: DataFrame, queries: DataFrame, max_r: int, keys: list[str
     return _tiled(marks.unionByName(asked), keys, max_r, side, reach, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", d double").select(*keys, "y", "x", "d")
 
 
-def distance_to_empty(layer: DataFrame, images: DataFrame, max_r: int, keys: list[str] = ("image_id",), side: int = 128) -> DataFrame:
+def distance_to_empty(layer: DataFrame, images: DataFrame, max_r: int, keys: list[str] = ("image_id",), side: int = SIDE) -> DataFrame:
     """Exact distance from each set pixel to the nearest empty pixel of the page; pixels farther than ``max_r`` get ``max_r``."""
     keys = list(keys)
     sized = attach_image(layer.select(*keys, "y", "x").distinct(), images, ["height", "width"])
 
-    def depth(rows: pd.DataFrame, y0: int, x0: int) -> pd.DataFrame:
-        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+    def depth(y, x, values, y0, x0, height, width):
+        y, x = y - y0, x - x0
         # the part of the page within reach of the tile
         top, left = max(-max_r, -y0), max(-max_r, -x0)
-        low, right = min(side + max_r, rows["height"].iloc[0] - y0), min(side + max_r, rows["width"].iloc[0] - x0)
+        low, right = min(side + max_r, height - y0), min(side + max_r, width - x0)
         empty = np.ones((low - top, right - left), bool)
-        empty[y - top, x - left] = False
-        own = (y >= 0) & (y < side) & (x >= 0) & (x < side)
+        on_page = _inside(y, x, top, left, empty.shape)
+        empty[y[on_page] - top, x[on_page] - left] = False
+        own = on_page & _inside(y, x, 0, 0, (side, side))
         d2 = _nearest(empty, max_r)[y[own] - top, x[own] - left]
-        return pd.DataFrame({"y": y[own] + y0, "x": x[own] + x0, "d": np.minimum(np.sqrt(d2), float(max_r))})
+        return {"y": y[own] + y0, "x": x[own] + x0, "d": np.minimum(np.sqrt(d2), float(max_r))}
 
-    kinds = dict(layer.dtypes)
-    return _tiled(sized, keys, max_r, side, depth, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + ", d double").select(*keys, "y", "x", "d")
+    return tiled(sized, keys, max_r, depth, f"{_places(layer)}, d double", (), side).select(*keys, "y", "x", "d")
 
 
 def page_pixels(images: DataFrame) -> DataFrame:

@@ -52,18 +52,23 @@ OVERALL_LINE, OVERLAP_LINE, CLASS_F_LINES, CLASS_ACCURACY_LINES = 2, 3, (28, 32)
 def parse_validation_logs(logs: DataFrame) -> DataFrame:
     """Per log: threshold, overall and overlap F (``class`` NULL) and per-class F and accuracy, by line position from the end."""
     text = F.regexp_replace("value", "\n\\z", "")
-    lines = logs.select("file", log_threshold(F.col("file")).alias("threshold"), F.posexplode(F.reverse(F.split(text, "\n"))).alias("p", "line"))
-    at = F.col("p") + 1
-    kind = F.when(at == OVERALL_LINE, "overall_f1").when(at == OVERLAP_LINE, "overlap_f1").when(at.between(*CLASS_F_LINES), "f1").when(at.between(*CLASS_ACCURACY_LINES), "accuracy")
+    places = {OVERALL_LINE: "overall_f1", OVERLAP_LINE: "overlap_f1"}
+    places |= {at: kind for kind, (low, high) in (("f1", CLASS_F_LINES), ("accuracy", CLASS_ACCURACY_LINES)) for at in range(low, high + 1)}
+    lines = logs.select("file", log_threshold(F.col("file")).alias("threshold"), F.reverse(F.split(text, "\n")).alias("lines"))
+    # only the lines that count become rows
+    wanted = F.array(*[F.struct(F.lit(kind).alias("kind"), F.get("lines", F.lit(at - 1)).alias("line")) for at, kind in sorted(places.items())])
+    rows = lines.select("file", "threshold", F.explode(wanted).alias("w")).select("file", "threshold", "w.*").where("line IS NOT NULL")
     words = F.split("line", " ")
-    return lines.withColumn("kind", kind).where("kind IS NOT NULL").select(
+    return rows.select(
         "file", "threshold", "kind", F.when(~F.col("kind").isin("overall_f1", "overlap_f1"), words[0]).alias("class"), F.element_at(words, -1).try_cast("double").alias("value"),
     )
 
 
 def sweep_from_logs(parsed: DataFrame) -> DataFrame:
-    """Class F and accuracy side by side per log and class."""
-    return parsed.where("class IS NOT NULL").groupBy("file", "threshold", "class").pivot("kind", ["f1", "accuracy"]).agg(F.first("value"))
+    """Class F and accuracy side by side per log and class. Lines meet by log before they are grouped, so no task holds the classes of all logs it reads."""
+    met = parsed.where("class IS NOT NULL").repartition("file")
+    first = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct("value")), ignorenulls=True)["value"].alias(kind)
+    return met.groupBy("file", "threshold", "class").agg(first("f1"), first("accuracy"))
 
 
 def grep_runs(logs: DataFrame) -> DataFrame:
