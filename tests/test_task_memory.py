@@ -10,6 +10,7 @@ from labelgrid.operators import pixels as P
 from labelgrid.operators import stencil as S
 from labelgrid.operators import tiles as T
 from labelgrid.operators.align import align
+from labelgrid.plans import jobs as J
 from labelgrid.sources import textfiles as X
 
 RNG = np.random.default_rng(8)
@@ -87,3 +88,21 @@ def test_levels_squares_and_logs_are_dealt_before_they_are_summed(spark):
     swept = X.sweep_from_logs(X.parse_validation_logs(spark.createDataFrame([("v.5.txt", log), ("v.6.txt", "a\nb")], "file string, value string")))
     assert {tuple(r) for r in swept.collect()} == {("v.5.txt", 0.5, "2", 0.5, 0.9), ("v.5.txt", 0.5, "3", None, None), ("v.5.txt", 0.5, "-", None, None)}
     assert all(deals_before_it_sums(df) for df in (summed, squares, swept))
+
+
+def test_tile_scores_outside_the_kept_part_are_not_handed_on(spark):
+    """Scorers that write into their tile or give scores everywhere see a clean tile, and give each pixel once."""
+    im = spark.createDataFrame([("a", 40, 24, 1)], "image_id string, height int, width int, n_classes int")
+    px = spark.createDataFrame([("a", 3, 4, 0, 0.5), ("a", 30, 20, 0, 0.25)], "image_id string, y int, x int, c int, v double")
+
+    def scorer(tile):
+        tile += 1
+        return tile[:, :, :1]
+
+    got = J.score_images(px, im, scorer, size=16, stride=8, channels=1)
+    want = np.ones((40, 24))
+    want[3, 4], want[30, 20] = 1.5, 1.25
+    assert got.count() == 40 * 24 and np.array_equal(layer(got, want.shape), want)
+    handed = spark.createDataFrame([("a", 16, 8, 40, 40, 0, 0, -1, 0.0)], "image_id string, left int, top int, height int, width int, y int, x int, c int, v double").toArrow()
+    out = J._tile_scorer(scorer, 16, 8, 1)(handed)
+    assert out.num_rows == 8 * 8 and set(out.column("x").to_pylist()) == set(range(4, 12))
