@@ -161,7 +161,7 @@ def _blurred(cells: DataFrame, images: DataFrame, sigma: float, values: list[str
             across = sum(w * dense[:, reach - d : reach - d + wide] for d, w in kernel)
             both.append(sum(w * across[reach - d : reach - d + high] for d, w in kernel))
         at_y, at_x = np.nonzero(np.any([b != 0 for b in both], axis=0))
-        return {"y": at_y + top + reach, "x": at_x + left + reach, **{c: b[at_y, at_x] for c, b in zip(values, both, strict=True)}}
+        return {"y": at_y + top + reach, "x": at_x + left + reach, **{c: np.ma.masked_invalid(b[at_y, at_x]) for c, b in zip(values, both, strict=True)}}
 
     sized = attach_image(cells.select(*keys, "y", "x", *values), images, ["height", "width"])
     return tiled(sized, keys, reach, work, _places(cells) + "".join(f", {c} double" for c in values), values, side).select(*[c for c in CELL if c in cells.columns], *values)
@@ -211,8 +211,15 @@ def border(cells: DataFrame, images: DataFrame) -> DataFrame:
         return {"y": at_y[gone], "x": at_x[gone], "v": best[y, x][gone]}
 
     keys = ["image_id", "class_id"]
-    sized = attach_image(cells.where("v > 0").select(*CELL, "v"), images, ["height", "width"])
-    return tiled(sized, keys, 1, work, f"{_places(cells)}, v double").select(*CELL, "v")
+    sized = attach_image(cells.where("v > 0").select(*CELL, F.col("v").cast("double").alias("v")), images, ["height", "width"])
+    placed = tiled(sized, keys, 1, work, f"{_places(cells)}, v double").select(*CELL, "v")
+    # cells without a column stand in one of their own: each counts three times for the rows around it, against the width of the page
+    sent = sized.where("x IS NULL").withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    got = sent.groupBy("image_id", (F.col("y") + F.col("_d")).alias("y"), "class_id", "height", "width").agg(
+        (3 * F.count(F.lit(1))).alias("k"), F.max(F.when(F.col("_d") == 0, F.col("v"))).alias("v"))
+    rows = F.least(F.col("y") + 1, F.col("height") - 1) - F.greatest(F.col("y") - 1, F.lit(0)) + 1
+    loose = got.where(F.col("v").isNotNull() & (F.col("k") < rows * F.col("width"))).select("image_id", "y", F.lit(None).cast(dict(cells.dtypes)["x"]).alias("x"), "class_id", "v")
+    return placed.unionByName(loose)
 
 
 def erode(cells: DataFrame, images: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_stencils_over_tile_edges_shuffle_cells_only(spark):
     mirrored = np.pad(SOFT, 1, mode="symmetric")
     window = np.array([mirrored[i:i + 600, j:j + 530] for i in range(3) for j in range(3)])
     assert np.allclose(layer(S.local_variance(soft.drop("class_id"), im, 3), SOFT.shape), window.var(axis=0))
-    for df in (S.dilate(soft, im, 2), S.dilate_window(soft, im, 4), S.border(ink, im), S.local_variance(soft.drop("class_id"), im, 3)):
+    for df in (S.dilate(soft, im, 2), S.dilate_window(soft, im, 4), S.local_variance(soft.drop("class_id"), im, 3)):
         assert "FlatMapGroupsInArrow" in plan(df) and "HashAggregate" not in plan(df)
 
 
@@ -56,6 +56,8 @@ def test_stencils_keep_nulls_and_repeats(spark):
     some = spark.createDataFrame(rows, "image_id string, y int, x int, class_id int, v double")
     got = {(r["y"], r["x"], r["class_id"]): r["v"] for r in S.dilate(some, im).collect()}
     assert got == {**{(y, x, 0): 2.0 for y in range(3) for x in range(3)}, **{(y, x, None): None for y in (2, 3) for x in (2, 3)}}
+    loose = spark.createDataFrame([("a", 0, None, 0, 1.0), ("a", 1, None, 0, 1.0), ("a", None, 1, 0, 1.0)], some.schema)
+    assert {tuple(r) for r in S.border(loose, im).collect()} == {("a", 0, None, 0, 1.0), ("a", 1, None, 0, 1.0)}
 
 
 def test_distortion_looks_are_no_rows(spark):
