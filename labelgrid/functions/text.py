@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 FIRST_CODE = 65536  # token codes start above the BMP: no surrogates, over a million tokens per pair
 LONG_CELLS = 1 << 16
 FREQUENT = 64
+KEPT_BITS = 1 << 26
+LANE_BITS = 1 << 16
 BLEU_CHARS = 1 << 21
 
 
@@ -25,6 +27,29 @@ def _rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
     return F.when(n_ref == 0, n_hyp.cast("double")).otherwise(distance / n_ref)
 
 
+def _bytes_of(at: list[int], n: int) -> bytes:
+    """The bits ``at`` of a lane of ``n`` and one more, in whole bytes."""
+    out = bytearray((n >> 3) + 1)
+    for i in at:
+        out[i >> 3] |= 1 << (i & 7)
+    return bytes(out)
+
+
+def _places(left: Sequence[Hashable]) -> dict[Hashable, list[int]]:
+    places: dict[Hashable, list[int]] = {}
+    for i, item in enumerate(left):
+        places.setdefault(item, []).append(i)
+    return places
+
+
+def _step(same: int, rise: int, fall: int, full: int, low: int) -> tuple[int, int]:
+    """The next column's rises and falls; ``full`` and ``low`` have the bits of all lanes and the lowest ones."""
+    level = (((same & rise) + rise) ^ rise) | same
+    up, down = (fall | (full & ~(level | rise))) << 1 | low, (rise & level) << 1
+    same |= fall
+    return full & (down | ~(same | up)), full & up & same
+
+
 def bit_distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     """Edit distance with one column of the table as the bits of whole numbers: rises and falls from cell to cell, one step an item of ``right``.
 
@@ -34,32 +59,61 @@ def bit_distance(left: Sequence[Hashable], right: Sequence[Hashable]) -> int:
     n = len(left)
     if not n:
         return len(right)
-    places: dict[Hashable, list[int]] = {}
-    for i, item in enumerate(left):
-        places.setdefault(item, []).append(i)
-
-    def bits(at: list[int]) -> int:
-        out = 0
-        for i in at:
-            out |= 1 << i
-        return out
-
-    kept = {item: bits(at) for item, at in places.items() if len(at) > FREQUENT or n <= FREQUENT}
-    full, top, distance = (1 << n) - 1, n - 1, n
-    rise, fall = full, 0
+    places = _places(left)
+    kept = {item: int.from_bytes(_bytes_of(at, n), "little") for item, at in places.items() if len(at) > FREQUENT or n <= FREQUENT}
+    full, rise, fall = (1 << n) - 1, (1 << n) - 1, 0
     for item in right:
-        same = kept[item] if item in kept else bits(places.get(item, ()))
-        level = (((same & rise) + rise) ^ rise) | same
-        up, down = fall | (full & ~(level | rise)), rise & level
-        distance += (up >> top & 1) - (down >> top & 1)
-        up, down, same = up << 1 | 1, down << 1, same | fall
-        rise, fall = full & (down | ~(same | up)), full & up & same
-    return distance
+        same = kept[item] if item in kept else int.from_bytes(_bytes_of(places.get(item, ()), n), "little")
+        rise, fall = _step(same, rise, fall, full, 1)
+    # the last column: from the number of steps on top down all rises and falls
+    return len(right) + rise.bit_count() - fall.bit_count()
+
+
+def bit_distances(pairs: Sequence[tuple[Sequence[Hashable], Sequence[Hashable]]]) -> list[int]:
+    """:func:`bit_distance` of many pairs: about ``LANE_BITS`` bits of columns stand side by side in one number, each in a lane of whole bytes
+    with a spare bit that stops its carry, so a step of all of them costs what one of a single pair does. Pairs with too many different items
+    for their bits to be kept go alone."""
+    out = [0] * len(pairs)
+    lanes: list[tuple[int, int, list[bytes]]] = []
+
+    def run() -> None:
+        """Steps of all lanes; the first one is the shortest, and is taken off when it ends."""
+        width = [8 * ((n >> 3) + 1) for _, n, _ in lanes]
+        full = int.from_bytes(b"".join([((1 << n) - 1).to_bytes(w >> 3, "little") for (_, n, _), w in zip(lanes, width, strict=True)]), "little")
+        low = int.from_bytes(b"".join([(1).to_bytes(w >> 3, "little") for w in width]), "little")
+        rise, fall = full, 0
+        rest = [iter(steps) for _, _, steps in lanes]
+        for k, (row, n, steps) in enumerate(lanes):
+            for same in zip(*rest[k:]):
+                rise, fall = _step(int.from_bytes(b"".join(same), "little"), rise, fall, full, low)
+            lane = (1 << n) - 1
+            out[row] = len(steps) + (rise & lane).bit_count() - (fall & lane).bit_count()
+            rise, fall, full, low = (x >> width[k] for x in (rise, fall, full, low))
+        lanes.clear()
+
+    bits = 0
+    for row in sorted(range(len(pairs)), key=lambda row: len(pairs[row][1])):
+        left, right = pairs[row]
+        n, places = len(left), _places(left)
+        if not n or len(places) * n > KEPT_BITS:
+            out[row] = bit_distance(left, right)
+            continue
+        if bits + n > LANE_BITS and lanes:
+            run()
+            bits = 0
+        kept, none = {item: _bytes_of(at, n) for item, at in places.items()}, bytes((n >> 3) + 1)
+        lanes.append((row, n, [kept.get(item, none) for item in right]))
+        bits += n
+    run()
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
 def long_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else bit_distance(a, b) for a, b in zip(left, right)], dtype="Int32")
+    known = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+    out = pd.Series([None] * len(left), dtype="Int32")
+    out.iloc[known] = bit_distances([(left.iloc[i], right.iloc[i]) for i in known.tolist()])
+    return out
 
 
 def edit_distance(left: Column, right: Column) -> Column:
@@ -69,9 +123,9 @@ def edit_distance(left: Column, right: Column) -> Column:
     return F.when(is_long, apart).otherwise(F.levenshtein(F.when(is_long, F.lit("")).otherwise(left), F.when(is_long, F.lit("")).otherwise(right)))
 
 
-def cer(ref: Column, hyp: Column) -> Column:
-    """Character error rate; an empty reference with any text against it is 1."""
-    r, h = squeeze(ref), squeeze(hyp)
+def cer(ref: Column, hyp: Column, squeezed: tuple[Column, Column] | None = None) -> Column:
+    """Character error rate; an empty reference with any text against it is 1. ``squeezed``: both texts after :func:`squeeze`, if they are at hand."""
+    r, h = squeezed or (squeeze(ref), squeeze(hyp))
     rate = _rate(edit_distance(r, h), F.length(r), F.length(h))
     return F.when((F.length(ref) == 0) & (F.length(hyp) != 0), F.lit(1e0)).otherwise(rate)
 

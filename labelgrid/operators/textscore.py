@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.functions.text import bleu_scores, cer, token_codes, wer_of_codes
+from labelgrid.functions.text import bleu_scores, cer, squeeze, token_codes, wer_of_codes
 from labelgrid.operators.banding import lookback_window, row_index
 
 
 def error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """CER of each ``(ref, hyp)`` row, where the row is: input splits spread the work, no text is shuffled."""
-    return pairs.withColumn("cer", cer(F.col("ref"), F.col("hyp")))
+    both = pairs.withColumns({"_ref": squeeze(F.col("ref")), "_hyp": squeeze(F.col("hyp"))})
+    return both.withColumn("cer", cer(F.col("ref"), F.col("hyp"), (F.col("_ref"), F.col("_hyp")))).drop("_ref", "_hyp")
 
 
 def word_error_rates(pairs: DataFrame, keys: list[str]) -> DataFrame:

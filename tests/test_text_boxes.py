@@ -98,6 +98,18 @@ def test_bits_against_the_full_table(seed):
     assert text_functions.bit_distance(a, b) == fast_edit(a, b)
 
 
+def test_many_pairs_share_their_steps(monkeypatch):
+    """Pairs of any length side by side, more than fit one number, and one of too many kinds; steps follow the longest of a number, not their sum."""
+    rng, step, steps = random.Random(9), text_functions._step, []
+    pairs = [tuple([rng.randrange(rng.choice([1, 3, 50])) for _ in range(rng.choice([0, 1, 7, 8, 9, 64, 150]))] for _ in "ab") for _ in range(120)]
+    want = [fast_edit(a, b) for a, b in pairs]
+    monkeypatch.setattr(text_functions, "_step", lambda *a: steps.append(1) or step(*a))
+    assert text_functions.bit_distances(pairs) == want and len(steps) <= 151
+    monkeypatch.setattr(text_functions, "LANE_BITS", 300)
+    monkeypatch.setattr(text_functions, "KEPT_BITS", 3000)
+    assert text_functions.bit_distances(pairs) == want and text_functions.bit_distances([]) == []
+
+
 def test_edit_distance_of_all_lengths(spark):
     """Short pairs, long pairs and pairs of unequal length equal the full table, near and far."""
     rng = random.Random(6)
