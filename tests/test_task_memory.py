@@ -1,8 +1,11 @@
 """Steps that once held a row per pixel and offset, or all groups of a task's input: results over tile edges, with repeats and nulls, and what is shuffled."""
 
+import re
+
 import numpy as np
 import pytest
 from dense import cells, images, layer
+from pyspark.sql import functions as F
 
 from labelgrid.operators import binarization as Z
 from labelgrid.operators import losses as L
@@ -11,6 +14,9 @@ from labelgrid.operators import stencil as S
 from labelgrid.operators import tiles as T
 from labelgrid.operators.align import align
 from labelgrid.plans import jobs as J
+from labelgrid.plans import q_sources as Q
+from labelgrid.plans import views as V
+from labelgrid.sources import layers as LY
 from labelgrid.sources import textfiles as X
 
 RNG = np.random.default_rng(8)
@@ -108,3 +114,51 @@ def test_tile_scores_outside_the_kept_part_are_not_handed_on(spark):
     handed = spark.createDataFrame([("a", 16, 8, 40, 40, 0, 0, -1, 0.0)], "image_id string, left int, top int, height int, width int, y int, x int, c int, v double").toArrow()
     out = J._tile_scorer(scorer, 16, 8, 1)(handed)
     assert out.num_rows == 8 * 8 and set(out.column("x").to_pylist()) == set(range(4, 12))
+
+
+def test_tasks_of_word_boxes_grow_with_line_items(spark, sf, monkeypatch):
+    """A task of a join of word boxes holds a bounded number of rows: the table sets their number, not the session alone."""
+    want = sorted(map(tuple, Q.tesseract_boxes(spark, sf).collect()))
+    rows = V.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(V, "TASK_ROWS", 500)
+    many = Q.tesseract_boxes(spark, sf)
+    tasks = -(-rows // 500)
+    planned = many._jdf.queryExecution().optimizedPlan().toString()
+    assert V.task_count(spark, sf, "lineitem") == tasks
+    assert re.search(rf"RepartitionByExpression \[page_id#\d+L?\], {tasks}\b", planned) and re.search(rf"RepartitionByExpression \[p_partkey#\d+L?\], {tasks}\b", planned)
+    assert sorted(map(tuple, many.collect())) == want
+
+
+def test_saliency_deals_cells_once(spark):
+    """Against plain distances over tile edges; repeats add up, nulls and pages without an extent go; both distances come from one pass over tiles."""
+    truth, guess = np.zeros((520, 6)), np.zeros((520, 6))
+    truth[505:518, 1:5], guess[[2, 500, 510, 515], [0, 5, 2, 5]] = 1, [1, 0.5, 1, 2]
+    im = images(spark, one(truth))
+    more = spark.createDataFrame([("p", 2, 0, 0, 0.0, 1.0), ("p", None, 0, 0, 0.0, 1.0), ("p", 3, 0, None, 0.0, 1.0), ("nowhere", 1, 1, 0, 0.0, 1.0)], "image_id string, y int, x int, class_id int, g double, p double")
+    pairs = align(cells(spark, one(truth)), cells(spark, one(guess)))
+    name = im.first()["image_id"]
+    some = more.replace("p", str(name)) if isinstance(name, str) else more.withColumn("image_id", F.when(F.col("image_id") == "p", F.lit(name)))
+    out = Z.error_saliency(pairs.unionByName(some.select(pairs.columns)), im)
+    ys, xs = np.nonzero(truth)
+    grid = np.indices(truth.shape)
+    near = lambda mask: np.sqrt(((grid[0][..., None] - np.nonzero(mask)[0]) ** 2 + (grid[1][..., None] - np.nonzero(mask)[1]) ** 2).min(axis=2))
+    over = np.minimum(np.clip(guess - truth, 0, None), 1)
+    over[2, 0] *= 2
+    fp, fn = over * np.minimum(near(truth), 100), np.clip(truth - guess, 0, 1) * near(truth == 0)
+    rows = {(r["y"], r["x"]): (r["fp"], r["fn"]) for r in out.collect()}
+    want = {(int(y), int(x)): (fp[y, x] / fp.max(), fn[y, x] / fn.max()) for y, x in zip(*np.nonzero(guess != truth))}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("FlatMapGroupsInArrow") == 2 and "FlatMapGroupsInPandas" not in logical
+
+
+def test_strips_cross_to_python_in_small_batches(spark):
+    """A batch of strips is bounded, and so is a piece of what comes back."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    page = bytes(range(1, 250)) * 4
+    pages = spark.createDataFrame([(f"x/img{k}.png", 4, 249, 1, page) for k in range(3)], "path string, height int, width int, nChannels int, data binary")
+    strips = LY.strips(pages)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) * LY.STRIP_BYTES <= 1 << 25
+    batch = strips.toArrow().to_batches()[0]
+    out = list(LY._per_strip(LY._mask_pixels)(iter([batch] * 200)))
+    assert sum(b.num_rows for b in out) == 200 * batch.num_rows * 996 and max(b.num_rows for b in out) <= LY.OUTPUT_ROWS + LY.STRIP_BYTES
