@@ -46,6 +46,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows may hold pieces of images: of Spark's default of 10,000, a batch would be hundreds of MB, in the JVM and in Python. A session with
+    this default is set to ``BATCH_ROWS``."""
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelgrid.session import small_batches
 from labelgrid.sources.listing import LAYER_EXTS, detect_label_format, file_name, stem_of, training_images
 
 MAX_SUFFIXES = 1000
 STRIP_BYTES = 1 << 15
-OUTPUT_ROWS = 1 << 18
+OUTPUT_ROWS = 1 << 16
 
 
 def decoded(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -33,9 +34,10 @@ def strips(images: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Images cut into runs of pixel rows of at most ``STRIP_BYTES`` (one row if wider).
 
     The cut happens on the JVM, so the records that cross to Python are small
-    whatever the page size, and a full Arrow batch of them is a few hundred MB.
+    whatever the page size, and a full Arrow batch of them is at most 32 MB.
     ``keep`` names further columns to carry along.
     """
+    small_batches(images.sparkSession)
     line = F.col("width") * F.col("nChannels")
     rows = F.greatest(F.floor(F.lit(STRIP_BYTES) / line), F.lit(1)).cast("int")
     cut = lambda i: F.struct((i * F.col("_rows")).alias("y0"), F.substring("data", i * F.col("_rows") * line + 1, F.col("_rows") * line).alias("data"))
@@ -45,20 +47,23 @@ def strips(images: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def _per_strip(pixels: Callable[[np.ndarray], dict[str, np.ndarray]], keep: tuple[str, ...] = ("path",)):
-    """Run ``pixels`` on the array of each strip and hand rows on, with its ``keep`` columns, in pieces of bounded size."""
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready, size = [], 0
-        for pdf in batches:
-            for width, channels, y0, data, *kept in zip(pdf["width"], pdf["nChannels"], pdf["y0"], pdf["data"], *(pdf[c] for c in keep)):
-                out = pixels(np.frombuffer(data, np.uint8).reshape(-1, width, channels))
+    """Run ``pixels`` on the array of each strip, read where it lies in its Arrow batch, and hand rows on, with its ``keep`` columns, in pieces of bounded size."""
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ready, size = [], 0
+            data, kept = batch.column("data"), [batch.column(c) for c in keep]
+            for i, (width, channels, y0) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "nChannels", "y0")))):
+                out = pixels(np.frombuffer(data[i].as_buffer(), np.uint8).reshape(-1, width, channels))
                 out["y"] = out["y"] + y0
-                ready.append(pd.DataFrame({**dict(zip(keep, kept)), **{k: v if v.dtype.kind == "f" else v.astype(np.int32) for k, v in out.items()}}))
-                size += len(ready[-1])
+                n = len(out["y"])
+                columns = [*(pa.repeat(c[i], n) for c in kept), *(pa.array(v if v.dtype.kind == "f" else v.astype(np.int32)) for v in out.values())]
+                ready.append(pa.RecordBatch.from_arrays(columns, names=[*keep, *out]))
+                size += n
                 if size >= OUTPUT_ROWS:
-                    yield pd.concat(ready)
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                     ready, size = [], 0
-        if ready:
-            yield pd.concat(ready)
+            if size:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     return convert
 
@@ -101,13 +106,13 @@ def layer_cells(images: DataFrame, chosen: DataFrame) -> DataFrame:
     """
     keep = ("image_id", "class_id")
     named = images.withColumn("path_name", file_name(F.col("path"))).join(chosen.select("path_name", F.col("image_id").cast("string").alias("image_id"), F.col("class_id").cast("int").alias("class_id")), "path_name")
-    pixels = strips(named, keep).mapInPandas(_per_strip(_grey_pixels, keep), "image_id string, class_id int, y int, x int, grey int")
+    pixels = strips(named, keep).mapInArrow(_per_strip(_grey_pixels, keep), "image_id string, class_id int, y int, x int, grey int")
     return pixels.select("image_id", "y", "x", "class_id", (F.col("grey") / F.lit(255e0)).alias("v"))
 
 
 def mask_cells(images: DataFrame, n_classes: int, dont_care_bit: int | None = None) -> DataFrame:
     """Cells of decoded ``images`` whose bits are classes, low byte first; optional ambiguity flag."""
-    masks = strips(images).mapInPandas(_per_strip(_mask_pixels), "path string, y int, x int, mask int").withColumn("image_id", _image_id())
+    masks = strips(images).mapInArrow(_per_strip(_mask_pixels), "path string, y int, x int, mask int").withColumn("image_id", _image_id())
     flag = F.lit(False) if dont_care_bit is None else F.getbit("mask", F.lit(dont_care_bit)) == 1
     return masks.select("image_id", "y", "x", flag.alias("dont_care"), "mask", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_id")).where(
         F.getbit("mask", F.col("class_id")) == 1
@@ -118,7 +123,7 @@ def channel_values(images: DataFrame, rate: int = 1) -> DataFrame:
     """Dense channels of decoded ``images`` (blue, green, red; grey repeated), area-averaged if ``rate > 1``."""
     from labelgrid.operators.pixels import downsample
 
-    rows = strips(images).mapInPandas(_per_strip(_channel_pixels), "path string, y int, x int, c int, v double")
+    rows = strips(images).mapInArrow(_per_strip(_channel_pixels), "path string, y int, x int, c int, v double")
     out = rows.select(_image_id().alias("image_id"), "y", "x", "c", "v")
     return downsample(out, rate) if rate > 1 else out
 
