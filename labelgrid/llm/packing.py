@@ -8,18 +8,21 @@ it, or writing with ``write_buckets``, puts equal lengths together. Pieces leave
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelgrid.llm.encode import encoder, vocabulary
+from labelgrid.llm.encode import encoder, forget_encoders, vocabulary
 from labelgrid.llm.words import pieces
 
 END_ID = 2
 MAX_LENGTH = 4096
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
+#: Fewer pieces kept than elsewhere: other stages of a pipeline hold memory beside this one.
+KEEP = 400_000
 
 
 def binary_pieces(total: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -37,29 +40,31 @@ def pack(docs: DataFrame, vocabulary_file: str, end_id: int = END_ID, max_length
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
 
-    def cut(batches) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary_file, end_id)
+    def packed(encode, batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES):
             ids, offsets = encode(batch.column("text"))
-            raw = memoryview(ids.astype("<u4").tobytes())
-            row, start, length, ids_of = [], [], [], []
-            for i in range(batch.num_rows):
-                at = int(offsets[i])
-                for n in binary_pieces(int(offsets[i + 1]) - at, max_length):
-                    row.append(i)
-                    start.append(at - int(offsets[i]))
-                    length.append(n)
-                    ids_of.append(raw[4 * at : 4 * (at + n)])
-                    at += n
             sizes = np.diff(offsets)
+            lengths = [binary_pieces(n, max_length) for n in sizes.tolist()]
+            row = np.repeat(np.arange(batch.num_rows), list(map(len, lengths)))
+            length = np.fromiter(chain.from_iterable(lengths), np.int64, len(row))
+            upto = np.concatenate([[0], np.cumsum(length)])
+            ids = ids.astype("<u4", copy=False)
             for a in range(0, len(row), 20_000):
-                b = a + 20_000
-                picked = np.array(row[a:b])
+                picked, own = row[a : a + 20_000], length[a : a + 20_000]
+                edges = upto[a : a + len(own) + 1]
+                # Pieces stand one after another in the ids: no copy of each is made.
+                cuts = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((4 * (edges - edges[0])).astype(np.int32)), pa.py_buffer(ids[edges[0] : edges[-1]])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(picked)), pa.array(start[a:b], pa.int64()), pa.array(length[a:b], pa.int64()), pa.array(ids_of[a:b], pa.binary()), pa.array(sizes[picked], pa.int64())],
+                    [batch.column("doc_id").take(pa.array(picked)), pa.array(edges[:-1] - offsets[picked]), pa.array(own), cuts, pa.array(sizes[picked])],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
 
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from packed(encoder(vocabulary_file, end_id, KEEP), batches)
+        finally:
+            forget_encoders()
+
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
     # The exponent takes the bits above partition (25 bits) and row (33 bits).
     bucket = F.shiftleft(F.log2("length").cast("long"), 58)

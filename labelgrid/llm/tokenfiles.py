@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelgrid.llm.encode import encoder, vocabulary
+from labelgrid.llm.encode import encoder, forget_encoders, vocabulary
 from labelgrid.llm.shared import saved, shared_folder, shuffles_cleaned
 from labelgrid.llm.words import U64, mix, pieces
 
@@ -66,10 +66,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_file: str, end_id:
     Rows of equal doc_id stand next to each other, ordered by text; a document is never split over shards.
     """
 
-    def shards(batches) -> Iterator[pa.RecordBatch]:
+    def shards(encode, batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(vocabulary_file, end_id), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held: list[tuple] = []
         number = 0
 
@@ -89,9 +89,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_file: str, end_id:
         if held:
             yield out()
 
+    def written(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from shards(encoder(vocabulary_file, end_id), batches)
+        finally:
+            forget_encoders()
+
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     # Few rows in a batch, so that a shard's share of long texts in memory stays small.
-    lines = ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    lines = ordered.mapInArrow(written, "shard binary").select(F.col("shard").cast("string").alias("value"))
     with shuffles_cleaned(docs.sparkSession):
         lines.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 

@@ -30,6 +30,45 @@ def test_forgetting_changes_nothing():
     assert all((a == b).all() for _ in range(2) for a, b in zip(small(texts), large(texts)))
 
 
+def test_pieces_that_came_again_stay():
+    common = [f"word{x} and{x}, so" for x in "abcdefgh"]
+    e = Encoder(vocabulary(FILES[1]), 2, 100)
+    for k in range(40):
+        texts = common + [f" only{chr(97 + k % 26)}{chr(97 + i)}{chr(97 + k // 26)}." for i in range(26)]
+        ids, offsets = e(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(x, FILES[1]) for x in texts]
+        assert len(e.hashes) <= 100 and (np.diff(e.hashes.astype(object)) > 0).all()
+    assert e.again.sum() >= 16
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_plain_words_skip_the_full_encoding(name, monkeypatch):
+    e = Encoder(vocabulary(name), 2)
+    texts = ["Zwölf Boxkämpfer\njagen, quer", "über ÀÖØÞ ßÿ été's a×b ÷ 12", "end!!"]
+    seen = []
+    for step in ("full", "jointly", "chained", "singly"):
+        own = getattr(e, step)
+        monkeypatch.setattr(e, step, lambda x, own=own: (seen.append(x), own(x))[1])
+    ids, offsets = e(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids_of(x, name) for x in texts]
+    told = str(seen)
+    assert not any(x in told for x in ("Zw", "jagen", "quer", "ber", "end"))
+
+
+def test_a_task_leaves_no_encoder_behind(spark, awkward):
+    """Code travels with its task, so an encoder that a worker kept would serve nobody."""
+
+    def held(batches):
+        import gc
+
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())])], names=["n"])
+
+    for run in (lambda: packing.digest(packing.pack(awkward, packing.word_vocabulary())).count(), lambda: tokenfiles.write_token_files(awkward, shared_folder(spark, "left"), tokenfiles.byte_vocabulary())):
+        run()
+        assert {r.n for r in spark.range(0, 32, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def ids_of(text, name):
     return encoder(vocabulary(name), 2).tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
