@@ -97,6 +97,38 @@ def test_repeated_steps_replace_and_others_stay():
     assert again["step"].tolist() == [9] and again["f1_mean"].tolist() == [pytest.approx(7 / 3)]
 
 
+def test_a_bucket_answers_as_its_runs_do():
+    """Runs of one bucket, with late rows, repeated steps and runs without name or class: one call gives what a buffer for each run gives."""
+    rng, shared = np.random.default_rng(4), Handle()
+    bucket, single = R.RollingBuckets(3, ["f1", "loss"]), {}
+    bucket.init(shared)
+    assert list(bucket.handleExpiredTimer((0,), Clock(1), None)) == []
+    watermark, left, right = 0, {}, {}
+    plainly = lambda v: None if v is None or v != v else v if isinstance(v, str) else int(v)
+    told = lambda out: {tuple(map(plainly, r[:3])): tuple(map(str, r[3:])) for r in out.itertuples(index=False, name=None)}
+    for at in range(0, 120, 10):
+        rows = pd.DataFrame({"bucket": 0, "run_id": rng.choice(["a", "b", None], 60), "class_id": rng.choice([0, 1, None], 60), "step": rng.integers(at, at + 25, 60), "f1": rng.random(60), "loss": rng.random(60)})
+        rows["ms"] = 1000 + rows["step"]
+        rows.loc[rng.integers(60), "loss"] = np.nan
+        rows = rows[rows["ms"] > watermark]
+        for out in bucket.handleInputRows((0,), iter([rows.iloc[:20], rows.iloc[20:]]), Clock(watermark)):
+            left |= told(out)
+        for key, own in rows.groupby(["run_id", "class_id"], dropna=False):
+            key = tuple(map(plainly, key))
+            if key not in single:
+                single[key] = Handle(), R.RollingBuffer(3, ["f1", "loss"])
+                single[key][1].init(single[key][0])
+            for out in single[key][1].handleInputRows(key, iter([own]), Clock(watermark)):
+                right |= told(out)
+        watermark = 1000 + at - 5
+    assert left == right and len(single) == 9
+    assert len(shared.cell.rows) == 1 and len(shared.timers) == 1
+    list(bucket.handleExpiredTimer((0,), Clock(9999), None))
+    assert len(bucket.kept()) == 9 * 2 and not shared.timers
+    bucket.rows.put([])
+    assert bucket.kept().empty
+
+
 COLUMNS = ["run_id", "class_id", "step", "precision", "recall", "f1", "accuracy", "ts"]
 
 
