@@ -33,6 +33,8 @@ SAMPLE_QUERIES = 256
 REACH = 0.985
 BLOCK_ROWS = 4096
 K = 20
+QUERY_ROWS = 256
+BYTES = np.arange(256, dtype=np.uint8)
 BITS_SET = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -82,31 +84,42 @@ def probed(substrings: int, radius: int) -> np.ndarray:
     return np.array([t] * (a + 1) + [t - 1] * (substrings - a - 1))
 
 
+def whole_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit numbers, filled up with zero bits."""
+    out = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    out[:, : codes.shape[1]] = codes
+    return out.view(np.uint64)
+
+
 def search_block(model: Codes, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its id, and the ids and scores of its k nearest in the block among the codes within the radius."""
     substrings = codes.shape[1]
     limits = probed(substrings, model.radius)
     all_bits = model.radius >= model.bits
-    tables = []
-    for j in range(substrings):
-        order = np.argsort(codes[:, j], kind="stable")
-        tables.append((order, np.searchsorted(codes[order, j], np.arange(257))))
-    values = np.arange(256, dtype=np.uint8)
-    query_codes = model.encode(queries)
-    for i in range(len(queries)):
-        seen = np.full(len(ids), all_bits)
-        for j, (order, bounds) in enumerate(tables):
-            if limits[j] >= 0 and not all_bits:
-                for value in np.flatnonzero(BITS_SET[values ^ query_codes[i, j]] <= limits[j]):
-                    seen[order[bounds[value] : bounds[value + 1]]] = True
-        near = np.flatnonzero(seen)
-        near = near[BITS_SET[codes[near] ^ query_codes[i]].sum(1) <= model.radius]
-        near = near[ids[near] != query_ids[i]]
-        scores = x[near] @ queries[i]
-        if len(near) > k:  # ties at the last place are kept until ids decide
-            near, scores = near[keep := scores >= np.partition(scores, -k)[-k]], scores[keep]
-        best = np.lexsort((ids[near], -scores))[:k]
-        yield query_ids[i], ids[near[best]], scores[best]
+    words = whole_words(codes)
+    for at in range(0, len(queries), QUERY_ROWS):
+        asked, own = queries[at : at + QUERY_ROWS], query_ids[at : at + QUERY_ROWS]
+        query_codes = model.encode(asked)
+        if all_bits:
+            near_any = np.ones((len(asked), len(ids)), bool)
+        else:
+            # Each table gives, for a value, the vectors whose byte is within the limit of it, one bit a vector.
+            seen = np.zeros((len(asked), -(-len(ids) // 8)), np.uint8)
+            for j in np.flatnonzero(limits >= 0):
+                values, of = np.unique(query_codes[:, j], return_inverse=True)
+                seen |= np.packbits((BITS_SET[values[:, None] ^ BYTES] <= limits[j])[:, codes[:, j]], axis=1)[of]
+            near_any = np.unpackbits(seen, axis=1, count=len(ids)).view(bool)
+        far = np.zeros(near_any.shape, np.int64 if words.shape[1] > 1 else np.uint8)
+        for own_words, query_words in zip(words.T, whole_words(query_codes).T, strict=True):
+            far += np.bitwise_count(own_words ^ query_words[:, None])
+        near_any &= (far <= model.radius) & (ids != own[:, None])
+        for i in range(len(asked)):
+            near = np.flatnonzero(near_any[i])
+            scores = x[near] @ asked[i]
+            if len(near) > k:  # ties at the last place are kept until ids decide
+                near, scores = near[keep := scores >= np.partition(scores, -k)[-k]], scores[keep]
+            best = np.lexsort((ids[near], -scores))[:k]
+            yield own[i], ids[near[best]], scores[best]
 
 
 def search(vectors: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int = K, fit_rows: int = FIT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:

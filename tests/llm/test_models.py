@@ -280,6 +280,33 @@ def test_probing_misses_nothing():
             assert set(found) == set(np.flatnonzero(far <= radius)) - {q}
 
 
+@pytest.mark.parametrize("dim", [32, 70])
+def test_queries_of_a_block_are_probed_together(dim):
+    """As by brute force over codes of one and two words, in a few calls a query (each value of each table had one)."""
+    import sys
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, dim))
+    model, ids = neighbours.Codes(x[:500]), np.arange(2000)
+    model.radius = 5 * dim // 12
+    codes, calls = model.encode(x), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = list(neighbours.search_block(model, ids, x, codes, ids[:600], x[:600], 20))
+    finally:
+        sys.setprofile(None)
+    assert calls < 40 * 600 and [g[0] for g in got] == list(range(600))
+    for q, found, scores in got[::50]:
+        near = np.flatnonzero((neighbours.BITS_SET[codes ^ codes[q]].sum(1) <= model.radius) & (ids != q))
+        want = near[np.argsort(-(x[near] @ x[q]))[:20]]
+        assert found.tolist() == want.tolist() and np.allclose(scores, x[want] @ x[q])
+
+
 def test_search_awkward(spark):
     rows = [(i, [float(i % 5 + 1), 1.0, 0.0]) for i in range(40)]
     rows += [(40, None), (41, [0.0, 0.0, 0.0]), (60, [1.0, None, 2.0]), (61, [float("nan"), 1.0, 1.0]), (62, [float("inf"), 1.0, 1.0]), (63, [1.0]), (None, [1.0, 1.0, 1.0]), (80, []), (0, [1.0, 1.0, 0.0])]
