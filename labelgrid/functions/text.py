@@ -111,7 +111,9 @@ def bit_distances(pairs: Sequence[tuple[Sequence[Hashable], Sequence[Hashable]]]
 @F.pandas_udf(T.IntegerType())
 def long_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     known = np.flatnonzero((left.notna() & right.notna()).to_numpy())
-    out = pd.Series([None] * len(left), dtype="Int32")
+    out = pd.Series(pd.arrays.IntegerArray(np.zeros(len(left), np.int32), np.ones(len(left), bool)))
+    if not len(known):
+        return out
     out.iloc[known] = bit_distances([(left.iloc[i], right.iloc[i]) for i in known.tolist()])
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelgrid.functions.arith import harmonic, smart_div, total
@@ -59,3 +59,14 @@ def best_overall(sweep: DataFrame, default: float = 0.5) -> DataFrame:
 def sweep_values(df: DataFrame, values: list[float], column: str = "threshold") -> DataFrame:
     """Repeat rows once per threshold of a literal list (no join)."""
     return df.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+
+
+def level_bits(value: Column, levels: list[float]) -> Column:
+    """Bit k is set where ``value`` reaches the k-th of ``levels`` (at most 62)."""
+    return total([F.when(value >= float(v), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, v in enumerate(levels)])
+
+
+def on_level(bits: str, levels: list[float], column: str = "threshold") -> Column:
+    """Whether the bit of a row's level, named by :func:`sweep_values`, is set."""
+    at = F.array_position(F.array(*[F.lit(float(v)) for v in levels]), F.col(column)) - 1
+    return F.getbit(bits, at.cast("int")) == 1

@@ -106,8 +106,8 @@ MATCH = """mt AS (
 matches AS (SELECT page_id, m.g AS gt_id, m.p AS pred_id, m.i AS iou FROM mt)"""
 
 
-def pairs(spark, sf):
-    return B.box_iou_pairs(V.gt_boxes(spark, sf), V.pred_boxes(spark, sf))
+def pairs(spark, sf, packed=False):
+    return B.box_iou_pairs(V.gt_boxes(spark, sf), V.pred_boxes(spark, sf), packed=packed)
 
 
 @query("box_iou_pairs", with_views(O.BOXES, IOU) + "SELECT page_id, count(*) AS pairs, sum(iou) AS iou_sum, max(iou) AS iou_max FROM bp GROUP BY 1", rounded=["iou_sum", "iou_max"])
@@ -169,11 +169,9 @@ LEVELS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]  # fixed valu
 
 
 def swept_boxes(spark, sf, levels):
-    """Predicted boxes repeated once per confidence level; page ids carry the level."""
-    tag = F.concat_ws("@", F.col("page_id"), F.col("threshold"))
-    pred = TH.sweep_values(V.pred_boxes(spark, sf), levels).where("confidence >= threshold")
-    gt = TH.sweep_values(V.gt_boxes(spark, sf), levels)
-    return gt.withColumn("page_id", tag), pred.withColumn("page_id", tag)
+    """Boxes with the confidence levels they live on as bits: a predicted box up to its own confidence, the truth on all."""
+    pred = V.pred_boxes(spark, sf).withColumn("levels", TH.level_bits(F.col("confidence"), levels)).where("levels <> 0")
+    return V.gt_boxes(spark, sf).withColumn("levels", F.lit((1 << len(levels)) - 1).cast("bigint")), pred
 
 
 SWEPT = O.BOXES.replace("\ngt AS", "\ngt0 AS").replace("\npred AS", "\npred0 AS") + f""",
@@ -187,10 +185,10 @@ pred AS (SELECT * REPLACE (page_id || '@' || threshold AS page_id) FROM pred0, l
   SELECT CAST(split_part(page_id, '@', 2) AS DOUBLE) AS threshold, avg(word_cer) AS word_cer, avg(word_cer_all) AS word_cer_all, CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST(sum(n_unmatched_pred) AS BIGINT) AS n_unmatched_pred
   FROM s GROUP BY 1""", rounded=["word_cer", "word_cer_all"])
 def ocr_confidence_sweep(spark, sf):
-    """All levels matched and scored in one job."""
+    """All levels matched and scored in one job; pairs of boxes and of texts are compared once."""
     gt, pred = swept_boxes(spark, sf, LEVELS)
-    scores = B.ocr_score(gt, pred, B.match_boxes(B.box_iou_pairs(gt, pred)))
-    return scores.groupBy(F.substring_index("page_id", "@", -1).cast("double").alias("threshold")).agg(
+    scores = B.ocr_score(gt, pred, B.match_boxes(B.box_iou_pairs(gt, pred, packed=True)), levels=LEVELS)
+    return scores.groupBy("threshold").agg(
         F.avg("word_cer").alias("word_cer"), F.avg("word_cer_all").alias("word_cer_all"), F.sum("n_matched").alias("n_matched"),
         F.sum("n_unmatched_pred").alias("n_unmatched_pred"))
 
