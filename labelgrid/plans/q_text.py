@@ -145,7 +145,7 @@ SCORE_COLS = ["word_cer", "word_cer_all", "unmatched_gt_chars", "unmatched_pred_
   SELECT page_id, word_cer, word_cer_all, unmatched_gt_chars, unmatched_pred_chars, gt_chars, pred_chars, n_matched, n_unmatched_gt, n_unmatched_pred, cw / w AS document_cer,
     (cw + unmatched_gt_chars + unmatched_pred_chars) / gt_chars AS document_cer_all, 1 - word_cer AS character_accuracy FROM s""", rounded=SCORE_COLS)
 def ocr_score(spark, sf):
-    return B.ocr_score(V.gt_boxes(spark, sf), V.pred_boxes(spark, sf), B.match_boxes(pairs(spark, sf)))
+    return B.ocr_score(V.gt_boxes(spark, sf), V.pred_boxes(spark, sf), B.match_boxes(pairs(spark, sf, packed=True)))
 
 
 WORD_CHARS = "regexp_replace({}, '[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}]+', '', 'g')"
