@@ -124,7 +124,7 @@ def match_boxes(spark, sf):
   SELECT 'gt' AS side, page_id, box_id FROM gt WHERE (page_id, box_id) NOT IN (SELECT page_id, gt_id FROM matches)
   UNION ALL SELECT 'pred', page_id, box_id FROM pred WHERE (page_id, box_id) NOT IN (SELECT page_id, pred_id FROM matches)""")
 def unmatched_boxes(spark, sf):
-    m = B.match_boxes(pairs(spark, sf))
+    m = B.match_boxes(pairs(spark, sf, packed=True))
     side = lambda name, df: B.unmatched_boxes(df, m, name).select(F.lit(name).alias("side"), "page_id", "box_id")
     return side("gt", V.gt_boxes(spark, sf)).unionByName(side("pred", V.pred_boxes(spark, sf)))
 
