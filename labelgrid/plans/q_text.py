@@ -117,7 +117,7 @@ def box_iou_pairs(spark, sf):
 
 @query("match_boxes", with_views(O.BOXES, IOU, MATCH) + "SELECT * FROM matches", rounded=["iou"])
 def match_boxes(spark, sf):
-    return B.match_boxes(pairs(spark, sf))
+    return B.match_boxes(pairs(spark, sf, packed=True))
 
 
 @query("unmatched_boxes", with_views(O.BOXES, IOU, MATCH) + """
